@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_llr
+from . import decontaminate, line_dedup, mixing, quality_llr, recompression
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,24 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("repeats")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+    n_hit = decontaminate.covered_words()
+    return out.select(
+        "row.doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = recompression.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1, mode="all")
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -34,6 +52,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_llr": op5_ngram_llr,
     "op6_mix_sources": op6_mix_sources,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_recompression": op9_recompression,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -89,3 +109,39 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.k IS NOT NULL) AS n
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN common c USING (k) GROUP BY doc_id
 """
+
+ORACLE_SQL["op7_decontaminate"] = """
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws
+  FROM documents),
+bw AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws
+  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+bp AS (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS p FROM bw WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(ws, p, p + k - 1), ' ') AS w FROM bp),
+ks AS (SELECT DISTINCT k FROM win),
+dp AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM dw, ks WHERE len(ws) >= k),
+hits AS (SELECT doc_id, item_id, p, win.k FROM dp JOIN win ON dp.k = win.k AND array_to_string(list_slice(ws, p, p + dp.k - 1), ' ') = win.w),
+spots AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS i FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM dw LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE_SQL["op9_recompression"] = f"""
+WITH dw AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM dw),
+wins AS (SELECT doc_id, p, md5(array_to_string(list_slice(ws, p, p + 49), ' ')) AS h
+         FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM dw WHERE len(ws) >= 50)),
+dups AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h) AS first FROM wins) WHERE first < doc_id),
+marked AS (
+  SELECT words.doc_id, words.p, w,
+         coalesce(max(CASE WHEN dups.p IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY words.doc_id ORDER BY words.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) = 1 AS gone
+  FROM words LEFT JOIN dups ON dups.doc_id = words.doc_id AND dups.p = words.p),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS t FROM marked GROUP BY doc_id)
+SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM dw LEFT JOIN kept USING (doc_id)
+"""

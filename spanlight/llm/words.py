@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time; one longer text is taken whole.
 SLICE_BYTES = 1 << 21
@@ -84,7 +85,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     """Row ranges of at most `limit` bytes of text, one row at least."""
     if len(column) == 0:
         return
-    ends = np.cumsum(pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(column):
         done = ends[at - 1] if at else 0
