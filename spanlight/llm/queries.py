@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, order_minhash, quality_llr, recompression
+from . import cotraining, decontaminate, line_dedup, mixing, order_minhash, quality_llr, recompression, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,15 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("tid")
 
 
+def op3_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cotraining.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("row.doc_id", "p_low_quality", "p_toxic", "kept")
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -55,6 +64,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_order_minhash": op2_order_minhash,
+    "op3_co_training": op3_co_training,
+    "op4_training_order": op4_training_order,
     "op5_ngram_llr": op5_ngram_llr,
     "op6_mix_sources": op6_mix_sources,
     "op7_decontaminate": op7_decontaminate,
