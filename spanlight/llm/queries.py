@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontaminate, line_dedup, mixing, order_minhash, quality_llr, recompression, training_order
+from . import cotraining, decontaminate, line_dedup, mixing, order_minhash, quality_llr, recompression, training_order, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive_records(warc.responses_of(_table(spark, sf_dir, "pages")))
+    return made.withColumnRenamed("key", "page_id")
+
+
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = recompression.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_llr": op5_ngram_llr,
     "op6_mix_sources": op6_mix_sources,
     "op7_decontaminate": op7_decontaminate,
+    "op8_warc_derivatives": op8_warc_derivatives,
     "op9_recompression": op9_recompression,
     "op10_line_dedup": op10_line_dedup,
 }
