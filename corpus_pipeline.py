@@ -1,15 +1,57 @@
-"""The corpus pipeline: STAGES applied one after the other to documents."""
+"""The corpus pipeline: documents through five of the operators in spanlight.llm.
+
+Each stage takes (spark, docs, sf_dir) and decides on all of docs; all but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from spanlight.llm import cotraining, decontaminate, mixing, order_minhash, scratch, training_order
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier neither finds of low quality nor toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return cotraining.classify(docs, labels).filter("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return order_minhash.keep_one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.find_benchmark(docs, benchmark).filter("size(items) = 0").select("row.*")
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to the sources' weights takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of all documents in training order."""
+    return training_order.training_order(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", mix_to_weights),
+    ("token-ID / binary output", token_output),
+]
+
+#: Trained models, sketches and a tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.written(stage(spark, docs, sf_dir), "stage-" + "".join(c if c.isalnum() else "-" for c in name))
+    return STAGES[-1][1](spark, docs, sf_dir)

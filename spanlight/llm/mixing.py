@@ -99,16 +99,9 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state.withColumnRenamed("prefix", "below")
 
 
-def mix_sources(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, repeats of every row.
-
-    size counts the words of the text (null: 0); taken = size * repeats, with
-    repeats the whole times a source fits its target, and one more below its
-    threshold, which lies where the words come nearest to the target.  Rows
-    with one doc_id share a place and are taken together.  A null source is a
-    source of its own, the last by name.  An empty table gives no rows.
-    """
-    sized = scratch.written(
+def sizes(docs: DataFrame, seed: str) -> DataFrame:
+    """doc_id, source, source_key, size, place of every row, as a written table: texts are read once."""
+    return scratch.written(
         docs.select(
             "doc_id",
             "source",
@@ -118,8 +111,36 @@ def mix_sources(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = W
         ),
         "mix-sizes",
     )
+
+
+def source_cuts(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """k, source_size, target, whole, below: one row a source, enough to decide on any document."""
     targets = source_targets(sized, weights, max_repeats).withColumn("source_key", source_key())
-    found = thresholds(sized, targets).select(F.col("source_key").alias("k"), "source_size", "target", F.col("repeats").alias("whole"), "below")
-    joined = sized.join(found, F.col("source_key") == F.col("k"))
-    taken = joined.withColumn("repeats", F.col("whole") + (F.col("place") < F.col("below")).cast("bigint"))
+    return thresholds(sized, targets).select(F.col("source_key").alias("k"), "source_size", "target", F.col("repeats").alias("whole"), "below")
+
+
+def repeats(place_column: Column) -> Column:
+    return F.col("whole") + (place_column < F.col("below")).cast("bigint")
+
+
+def mix_sources(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, repeats of every row.
+
+    size counts the words of the text (null: 0); taken = size * repeats, with
+    repeats the whole times a source fits its target, and one more below its
+    threshold, which lies where the words come nearest to the target.  Rows
+    with one doc_id share a place and are taken together.  A null source is a
+    source of its own, the last by name.  An empty table gives no rows.
+    """
+    sized = sizes(docs, seed)
+    joined = sized.join(source_cuts(sized, weights, max_repeats), F.col("source_key") == F.col("k"))
+    taken = joined.withColumn("repeats", repeats(F.col("place")))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+
+
+def mixed_rows(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The mix itself: each row of docs as often as mix_sources says, with all its columns."""
+    cuts = source_cuts(sizes(docs, seed), weights, max_repeats)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key().alias("r_key"), place(F.col("doc_id"), seed).alias("r_place"))
+    counted = rows.join(cuts, F.col("r_key") == F.col("k")).withColumn("times", repeats(F.col("r_place"))).filter("times > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("nth")).select("row.*")
