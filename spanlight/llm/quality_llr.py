@@ -30,23 +30,28 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def window_hashes(words: Column) -> Column:
+def hashes_of(words: Column) -> Column:
+    """A 64-bit name for each word, from which windows and n-grams are hashed."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def window_hashes(hashes: Column) -> Column:
     """A hash of each run of WINDOW words."""
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-    return F.when(F.size(words) > WINDOW, windows).otherwise(F.array().cast("array<bigint>"))
+    windows = F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
+    return F.when(F.size(hashes) > WINDOW, windows).otherwise(F.array().cast("array<bigint>"))
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
-    """doc_id, tid, words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every row."""
+    """doc_id, hashes, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every row."""
     text = F.coalesce("text", F.lit(""))
-    rows = scratch.keyed(docs).withColumn("words", words_of(F.col("text")))
+    rows = scratch.keyed(docs).withColumn("words", words_of(F.col("text"))).withColumn("hashes", hashes_of(F.col("words")))
     rows = rows.withColumns(
         {
             "n_words": F.size("words").cast("bigint"),
             "word_chars": F.length(F.array_join("words", "")).cast("bigint"),
             "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("bigint"),
             "full_lines": F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0),
-            "windows": window_hashes(F.col("words")),
+            "windows": window_hashes(F.col("hashes")),
         }
     )
     rows = rows.withColumns(
@@ -63,18 +68,18 @@ def base_measures(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("places", F.array_sort(F.transform(F.filter("ordered", lambda x, i: ((i > 0) & same(i - 1, x)) | same(i + 1, x)), lambda x: x["p"])))
     step = F.transform("places", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("places", i + 1), p + WINDOW) - p))
     rows = rows.withColumn("n_repeat_words", F.coalesce(F.aggregate(step, F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0).cast("bigint")))
-    return rows.select("doc_id", "tid", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select("doc_id", "hashes", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def gram_buckets(words: Column, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> Column:
-    """The bucket of each n-gram of each order, as int."""
+def gram_buckets(hashes: Column, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> Column:
+    """The bucket of each n-gram of each order, as int, from the hashes of the words."""
     size = F.lit(buckets)
 
     def of(n: int) -> Column:
         if n == 1:
-            return F.transform(words, lambda w: F.pmod(F.xxhash64(w), size).cast("int"))
-        grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.pmod(F.xxhash64(F.lit(n), F.slice(words, i, n)), size).cast("int"))
-        return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<int>"))
+            return F.transform(hashes, lambda h: F.pmod(h, size).cast("int"))
+        head = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
+        return F.transform(head, lambda h, i: F.pmod(F.xxhash64(F.lit(n), h, *[F.get(hashes, i + k) for k in range(1, n)]), size).cast("int"))
 
     return F.concat(*[of(n) for n in orders])
 
@@ -91,8 +96,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, orders: tuple[int, ...] = OR
     grams = (
         docs.select("doc_id", "text")
         .join(ids, F.col("doc_id") == F.col("t_id"), "left")
-        .select("t_one", words_of(F.col("text")).alias("words"))
-        .select("t_one", F.explode(gram_buckets(F.col("words"), orders, buckets)).alias("gram"))
+        .select("t_one", hashes_of(words_of(F.col("text"))).alias("hashes"))
+        .select("t_one", F.explode(gram_buckets(F.col("hashes"), orders, buckets)).alias("gram"))
     )
     counts = scratch.written(grams.groupBy("gram").agg(F.count("*").alias("n_raw"), F.count("t_one").alias("n_target")), "llr-counts")
     total = counts.agg(F.coalesce(F.sum("n_raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("n_target"), F.lit(0)).alias("target")).first()
@@ -115,7 +120,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_llr: float = MIN_LLR,
     table = F.broadcast(log_ratios(docs, trusted_ids(labels, trusted_max), orders, buckets).withColumnRenamed("gram", "g"))
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     rows = base_measures(docs).withColumn("row_no", F.monotonically_increasing_id())
-    grams = rows.select("row_no", "doc_id", *measures, F.explode_outer(gram_buckets(F.col("words"), orders, buckets)).alias("gram"))
+    grams = rows.select("row_no", "doc_id", *measures, F.explode_outer(gram_buckets(F.col("hashes"), orders, buckets)).alias("gram"))
     scored = (
         grams.join(table, F.col("gram") == F.col("g"), "left")
         .groupBy("row_no", "doc_id")
