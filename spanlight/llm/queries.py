@@ -11,13 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontaminate, line_dedup, mixing, order_minhash, quality_llr, recompression, training_order, warc
+from . import cotraining, decontaminate, line_dedup, mixing, order_minhash, pii, quality_llr, recompression, training_order, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(_table(spark, sf_dir, "documents"))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("tid")
 
@@ -68,6 +72,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_order_minhash": op2_order_minhash,
     "op3_co_training": op3_co_training,
     "op4_training_order": op4_training_order,
