@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time; one longer text is taken whole.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE, _WBASE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
