@@ -86,12 +86,11 @@ def _like(char: Column, n: Column, hexadecimal: Column) -> Column:
     return F.when(char.rlike("^[0-9]$"), _pick("0123456789", n)).when(letter.isNotNull(), F.when(char == low, letter).otherwise(F.upper(letter))).otherwise(char)
 
 
-def _mapped(value: Column, digest: Column, keep: int = 0) -> Column:
+def _mapped(value: Column, digest: Column, keep: Column) -> Column:
     """value with each character but the first `keep` replaced by one of its kind; a leading digit that is not 0 stays so."""
     hexadecimal = value.rlike("^[0-9a-f]+$")
-    chars = F.split(value, "")
     out = F.transform(
-        chars,
+        F.split(value, ""),
         lambda c, i: F.when(i < keep, c).when((i == 0) & c.rlike("^[1-9]$"), _pick("123456789", _number(digest, i))).otherwise(_like(c, _number(digest, i), hexadecimal)),
     )
     return F.array_join(out, "")
@@ -104,62 +103,80 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda a, x: a + x)
 
 
-def _draw(kind: Column, form: Column, draw: Column, key: str) -> Column:
-    """The draw-th surrogate of a form, in the form's own shape."""
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, form, draw.cast("string")), 512)
-    domain = F.substring_index(form, "@", -1)
-    host, top = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.substring_index(domain, ".", -1)
-    at = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain), 512)
-    reserved = domain.rlike(r"(?:^|\.)example\.(?:com|net|org)$")
-    email = F.concat(_mapped(F.substring_index(form, "@", 1), digest), F.lit("@"), F.when(reserved, domain).otherwise(F.concat(_mapped(host, at), F.lit("."), top)))
-    card = _mapped(form, digest, keep=1)
-    zero = F.concat(F.substring(card, F.lit(1), F.length(card) - 1), F.lit("0"))
-    valid = F.concat(F.substring(card, F.lit(1), F.length(card) - 1), F.pmod(F.lit(10) - F.pmod(_luhn(zero), F.lit(10)), F.lit(10)).cast("string"))
-    octets = F.transform(
-        F.split(form, r"\."),
-        lambda o, i: F.when(F.length(o) == 1, F.pmod(_number(digest, i), F.lit(9)) + 1).when(F.length(o) == 2, F.pmod(_number(digest, i), F.lit(90)) + 10).otherwise(F.pmod(_number(digest, i), F.lit(155)) + 100).cast("string"),
+def _drawn(table: DataFrame, key: str) -> DataFrame:
+    """table (kind, form, draw) with surrogate: the draw-th surrogate of each form, in the form's own shape.
+
+    Each step is a column, so that no expression holds another many times.
+    """
+    kind, form, draw = F.col("kind"), F.col("form"), F.col("draw")
+    hashed = lambda *parts: F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 512)
+    words, domain = F.split(form, " "), F.substring_index(form, "@", -1)
+    step = table.withColumns(
+        {
+            "s_digest": hashed(kind, form, draw.cast("string")),
+            "s_body": F.when(kind == "email", F.substring_index(form, "@", 1)).when(kind == "person", F.get(words, F.lit(1))).otherwise(form),
+            "s_keep": F.when((kind == "card") | ((kind == "phone") & (F.length(form) > 10)), 1).otherwise(0),  # issuer and country keep their first digit
+            "s_host": F.when((kind == "email") & ~domain.rlike(r"(?:^|\.)example\.(?:com|net|org)$"), F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1)),
+            "s_family": F.when(kind == "person", F.get(words, F.lit(2))),
+        }
+    )
+    step = step.withColumns({"s_host_digest": hashed(F.lit("domain"), domain), "s_family_digest": hashed(F.lit("family"), F.col("s_family"), F.when(draw > 4, draw).otherwise(0).cast("string"))})
+    step = step.withColumns(
+        {
+            "s_mapped": _mapped(F.col("s_body"), F.col("s_digest"), F.col("s_keep")),
+            "s_host_mapped": _mapped(F.col("s_host"), F.col("s_host_digest"), F.lit(0)),
+            "s_family_mapped": _mapped(F.col("s_family"), F.col("s_family_digest"), F.lit(0)),
+            "s_octets": F.when(
+                kind == "ipv4",
+                F.transform(
+                    F.split(form, r"\."),
+                    lambda o, i: F.when(F.length(o) == 1, F.pmod(_number(F.col("s_digest"), i), F.lit(9)) + 1).when(F.length(o) == 2, F.pmod(_number(F.col("s_digest"), i), F.lit(90)) + 10).otherwise(F.pmod(_number(F.col("s_digest"), i), F.lit(155)) + 100).cast("string"),
+                ),
+            ),
+            "s_nth": _number(F.col("s_digest"), 50),
+        }
     )
-    words = F.split(form, " ")
-    given = F.lit(None).cast("string")
+    mapped = F.col("s_mapped")
+    step = step.withColumns({"s_front": F.substring(mapped, F.lit(1), F.length(mapped) - 1), "s_valid": F.when(kind == "card", F.pmod(_luhn(form), F.lit(10)) == 0)})
+    step = step.withColumn("s_check", F.when(F.col("s_valid"), F.pmod(F.lit(10) - F.pmod(_luhn(F.concat("s_front", F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")))
+    cyrillic = F.get(words, F.lit(1)).rlike(r"\p{IsCyrillic}")
+    given = mapped  # the lists are short, so later draws make names up
     for (gender, script), names in NAMES.items():
-        fits = (F.get(words, F.lit(0)) == gender) & (F.get(words, F.lit(1)).rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~F.get(words, F.lit(1)).rlike(r"\p{IsCyrillic}"))
-        given = F.when(fits, F.element_at(F.array(*[F.lit(n) for n in names]), F.pmod(_number(digest, 50), F.lit(len(names))) + 1)).otherwise(given)
-    given = F.when(draw > 8, _mapped(F.get(words, F.lit(1)), digest)).otherwise(given)  # the lists are short
-    family = F.get(words, F.lit(2))
-    family_digest = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("family"), family, F.when(draw > 4, draw).otherwise(F.lit(0)).cast("string")), 512)
-    person = F.concat_ws(" ", F.get(words, F.lit(0)), given, F.when(family.isNotNull(), _mapped(family, family_digest)))
-    return (
+        fits = (draw <= 8) & (F.get(words, F.lit(0)) == gender) & (cyrillic if script == "cyrillic" else ~cyrillic)
+        given = F.when(fits, F.element_at(F.array(*[F.lit(n) for n in names]), F.pmod(F.col("s_nth"), F.lit(len(names))) + 1)).otherwise(given)
+    email = F.concat(mapped, F.lit("@"), F.when(F.col("s_host").isNull(), domain).otherwise(F.concat("s_host_mapped", F.lit("."), F.substring_index(domain, ".", -1))))
+    surrogate = (
         F.when(kind == "email", email)
-        .when(kind == "card", F.when(F.pmod(_luhn(form), F.lit(10)) == 0, valid).otherwise(card))
-        .when(kind == "ipv4", F.array_join(octets, "."))
-        .when(kind == "person", person)
-        .when((kind == "phone") & (F.length(form) > 10), _mapped(form, digest, keep=1))  # the country code's first digit
-        .otherwise(_mapped(form, digest))
+        .when(F.col("s_valid"), F.concat("s_front", "s_check"))
+        .when(kind == "ipv4", F.array_join("s_octets", "."))
+        .when(kind == "person", F.concat_ws(" ", F.get(words, F.lit(0)), given, "s_family_mapped"))
+        .otherwise(mapped)
     )
+    return step.select("kind", "form", "draw", surrogate.alias("surrogate"))
 
 
 def dictionary(forms: DataFrame, key: str = KEY) -> DataFrame:
     """kind, form, surrogate: distinct surrogates of distinct forms, none of which is a form itself."""
     originals = scratch.written(forms.select("kind", "form").distinct(), "pii-forms")
-    table = originals.withColumn("draw", F.lit(0)).withColumn("surrogate", _draw(F.col("kind"), F.col("form"), F.col("draw"), key))
-    table = scratch.written(table, "pii-draw")
+    table = scratch.written(_drawn(originals.withColumn("draw", F.lit(0)), key), "pii-draw")
+    taken = originals.select(F.col("kind").alias("o_kind"), F.col("form").alias("o_form"))
     for draw in range(1, MAX_DRAWS + 1):
         first = table.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "form")).alias("winner"))
-        taken = originals.select(F.col("kind").alias("o_kind"), F.col("form").alias("o_form"))
         judged = (
             table.join(first, ["kind", "surrogate"])
             .join(taken, (F.col("kind") == F.col("o_kind")) & (F.col("surrogate") == F.col("o_form")), "left")
             .withColumn("bad", (F.col("winner.form") != F.col("form")) | F.col("o_form").isNotNull())
         )
         judged = scratch.written(judged.select("kind", "form", "draw", "surrogate", "bad"), "pii-judged")
-        if judged.filter("bad").isEmpty():
+        again = judged.filter("bad").select("kind", "form", F.lit(draw).alias("draw"))
+        if again.isEmpty():
             break
-        fresh = _draw(F.col("kind"), F.col("form"), F.lit(draw), key)
         if draw == MAX_DRAWS:  # a form whose shape has too few values, as a short number
-            fresh = F.concat(F.lit("["), F.upper("kind"), F.lit("-"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "form"), 256), 1, 24), F.lit("]"))
-        table = scratch.written(
-            judged.select("kind", "form", F.when(F.col("bad"), F.lit(draw)).otherwise(F.col("draw")).alias("draw"), F.when(F.col("bad"), fresh).otherwise(F.col("surrogate")).alias("surrogate")), "pii-draw"
-        )
+            mark = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "form"), 256), 1, 24)
+            fresh = again.withColumn("surrogate", F.concat(F.lit("["), F.upper("kind"), F.lit("-"), mark, F.lit("]")))
+        else:
+            fresh = _drawn(again, key)
+        table = scratch.written(judged.filter("not bad").drop("bad").unionByName(fresh), "pii-draw")
     return table.select("kind", "form", "surrogate")
 
 
