@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as S
-from ..operators import classify, deps, endpoints, existing, fixer, functions, gaps, graph, lines, patterns, points, rules
+from ..operators import ast, classify, deps, endpoints, existing, fixer, functions, gaps, graph, lines, patterns, points, rules
 from . import analyze, report
 from .fixtures import FILES, NODES, table, values
 
@@ -874,3 +874,94 @@ UNION ALL SELECT '    class ' || regexp_replace(function_name, '::|<|>| ', '_',
 UNION ALL SELECT unnest(['graph TD', '', '    classDef critical fill:#ff0000,stroke:#333,stroke-width:2px', '    classDef high fill:#ff6600,stroke:#333,stroke-width:2px', '    classDef medium fill:#ffcc00,stroke:#333,stroke-width:1px', '    classDef low fill:#99cc99,stroke:#333,stroke-width:1px'])""")
 def report_mermaid(spark, sf_dir):
     return report.mermaid_rows(_shop(spark)).select("text")
+
+
+# ---------------------------------------------------------------- syntax
+
+
+def _parsed(spark: SparkSession, observed: bool = True) -> DataFrame:
+    return ast.parse_files(table(spark, "fx_files").select("file", "source"), observed)
+
+
+@query("""SELECT unnest(['shop/src/main.rs', 'desk/src/api/desk.rs', 'rpc/src/lib.rs', 'shop/src/ledger.rs', 'shop/src/ledger/tests.rs', 'desk/src/mocks.rs', 'void/src/empty.rs', 'void/src/line.rs']) AS file,
+unnest([5, 4, 2, 2, 2, 1, 0, 0])::BIGINT AS functions""")
+def ast_functions_per_file(spark, sf_dir):
+    """Functions and methods of each fixture file that parses."""
+    p = _parsed(spark)
+    n = ast.functions(p).groupBy("file").agg(F.count("*").alias("n"))
+    return p.filter("parse_ok").select("file").join(n, "file", "left").select("file", F.coalesce("n", F.lit(0)).cast("bigint").alias("functions"))
+
+
+@query("""SELECT * FROM (VALUES
+ ('app', 'app', false, false, 1, 'Router', 1), ('health', 'health', true, false, 0, '& ''static str', 1), ('show_item', 'show_item', true, false, 1, 'Result < String , Error >', 1), ('create_item', 'create_item', true, false, 1, 'Result < ( ) , Error >', 1), ('feed', 'feed', true, false, 0, 'Vec < String >', 1)
+) v(name, full_path, is_async, is_test, param_count, return_type, cyclomatic)""")
+def ast_functions(spark, sf_dir):
+    f = ast.functions(_parsed(spark)).filter("file = 'shop/src/main.rs'")
+    return f.select("name", "full_path", "is_async", "is_test", "param_count", "return_type", "cyclomatic")
+
+
+@query("""SELECT * FROM (VALUES ('health', NULL, NULL)) v(name, callee, is_method) WHERE false
+UNION ALL SELECT 'app', unnest(['route', 'route', 'route', 'route', 'route', 'Router :: new', 'get', 'delete', 'get', 'post', 'put', 'options']), unnest([true, true, true, true, true, false, false, true, false, false, false, false])
+UNION ALL SELECT 'show_item', 'fetch_one', true UNION ALL SELECT 'show_item', 'Ok', false UNION ALL SELECT 'create_item', 'Ok', false UNION ALL SELECT 'feed', 'entered', true""")
+def ast_calls(spark, sf_dir):
+    """Calls of the shop's functions, every expression visited."""
+    f = ast.functions(_parsed(spark, observed=False)).filter("file = 'shop/src/main.rs'")
+    return f.select("name", F.explode("calls").alias("c")).select("name", "c.callee", "c.is_method")
+
+
+@query()
+def ast_elements(spark, sf_dir):
+    return ast.elements(_parsed(spark)).groupBy("file", "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'shop/src/ledger/tests.rs' AS file, 'tests' AS name, true AS is_test UNION ALL SELECT 'desk/src/mocks.rs', 'store_tests', false")
+def ast_modules(spark, sf_dir):
+    return ast.modules(_parsed(spark)).select("file", "name", "is_test")
+
+
+@query("""SELECT unnest(['app', 'health', 'show_item', 'create_item', 'feed', 'api::desk::list_tickets', 'api::desk::open_ticket', 'api::desk::close_ticket', 'api::desk::ping', 'ledger::add', 'ledger::audit', 'ledger::tests::tests::test_add', 'ledger::tests::tests::it_should_fail', 'mocks::store_tests::helper']) AS id,
+unnest(['Internal', 'Internal', 'Internal', 'Internal', 'Internal', 'Endpoint', 'Internal', 'Endpoint', 'Endpoint', 'Internal', 'Internal', 'Test', 'Internal', 'Internal']) AS kind""")
+def ast_nodes(spark, sf_dir):
+    return ast.fn_nodes(_parsed(spark)).select("id", "kind")
+
+
+@query("""SELECT * FROM (VALUES ('shop/src/main.rs', 'get', 'axum::routing::get') ) v(file, local_name, full_path) WHERE false
+UNION ALL SELECT 'shop/src/main.rs', 'PgPool', 'sqlx::PgPool'""")
+def ast_imports(spark, sf_dir):
+    """Plain uses; names in nested groups and globs are passed over."""
+    return ast.imports(_parsed(spark)).select("file", "local_name", "full_path")
+
+
+@query("SELECT file, file <> 'broken.rs' AS parse_ok FROM (VALUES ('broken.rs'), ('fine.rs')) v(file)")
+def syntax_gate(spark, sf_dir):
+    rows = spark.createDataFrame([("broken.rs", "fn f( { let x = ; }"), ("fine.rs", "fn f() { let x = 1; }")], "file string, source string")
+    return ast.parse_files(rows).select("file", "parse_ok")
+
+
+@query("SELECT * FROM (VALUES ('GET', '/a', 'list', ['web']), ('POST', '/b', 'api::make', ['web'])) v(method, path, handler, module_path)")
+def ast_endpoints(spark, sf_dir):
+    source = 'mod web { fn r(x: R) { x.get("/a", list).post("/b", api::make).route("/c", get(no)); } }'
+    return ast.web_routes(ast.parse_files(spark.createDataFrame([("r.rs", source)], "file string, source string"))).select("method", "path", "handler", "module_path")
+
+
+@query("SELECT * FROM (VALUES ('show', true, 1, 'Shows one.' || chr(10) || 'Twice.'), ('nothing', false, 0, NULL)) v(name, is_async, n_extractors, documentation)")
+def ast_handlers(spark, sf_dir):
+    source = "/// Shows one.\n/// Twice.\nasync fn show(id: Path<u32>, Json(b): Json<B>, n: u8) -> Result<Json<A>, E> { todo() }\nfn nothing() {}\nfn number() -> u32 { 1 }\n"
+    h = ast.web_handlers(ast.parse_files(spark.createDataFrame([("h.rs", source)], "file string, source string")))
+    return h.select("name", "is_async", F.size("extractors").alias("n_extractors"), "documentation")
+
+
+@query("""SELECT * FROM (VALUES ('main', 'helper', 'Direct', false, false), ('main', 'std::fs::read', 'Direct', true, false), ('helper', 'helper', 'Recursive', false, true), ('main', 'outer::thing', 'Direct', false, false)) v(src, dst, kind, is_conditional, is_in_loop)""")
+def ast_edges(spark, sf_dir):
+    source = "use outer::thing;\nfn main() { helper(); if x { std::fs::read(1); } y.run(); thing(); }\nfn helper() { for i in 0..2 { helper(); } }\n"
+    p = ast.parse_files(spark.createDataFrame([("main.rs", source)], "file string, source string"))
+    edges = ast.call_edges(p, ast.fn_nodes(p))
+    return edges.withColumn("dst", F.when(F.col("dst") == "thing", "outer::thing").otherwise(F.col("dst")))
+
+
+@query("SELECT * FROM (VALUES ('one', 4, 4, 3, 1, 1, 1, 1)) v(name, cyclomatic, cognitive, branch_count, max_nesting_depth, loop_count, question_mark_ops, error_matches)")
+def ast_complexity(spark, sf_dir):
+    """Counters of one function with an if, a match of three arms and a loop."""
+    source = "fn one(a: u8) -> Result<u8, E> { if a > 1 { run()?; } match read() { Option::Some(x) => {} None => {} _ => {} } for i in 0..a { loop_body(); } Ok(a) }"
+    f = ast.functions(ast.parse_files(spark.createDataFrame([("c.rs", source)], "file string, source string")))
+    return f.select("name", "cyclomatic", "cognitive", "branch_count", "max_nesting_depth", "loop_count", "question_mark_ops", "error_matches")
