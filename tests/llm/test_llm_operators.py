@@ -1,0 +1,551 @@
+"""Operators of spanlight.llm against brute force, on small tables full of corner cases."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from spanlight.llm import cotraining, decontaminate, line_dedup, mixing, order_minhash, pii, quality_llr, recompression, scratch, training_order, warc, words
+
+rng = np.random.default_rng(7)
+VOCABULARY = [f"w{i}" for i in range(400)]
+CLASH = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, kept string, tid string, symbol string, f_bits string, place string"
+
+
+def prose(n, seed):
+    return " ".join(np.random.default_rng(seed).choice(VOCABULARY, n))
+
+
+LONG = prose(6000, 1)
+PASSAGE = prose(80, 2)
+TEXTS = [
+    (1, "Alpha beta\nshared line \ngamma", "s1"), (2, None, "s1"), (3, "", "s2"), (4, " \t\n\x0b ", None), (5, LONG, "s1"), (6, LONG, "s2"), (6, LONG, "s2"),
+    (7, prose(30, 3) + " " + PASSAGE + " " + prose(30, 4), "s1"), (8, prose(10, 5) + "\n" + PASSAGE.upper().lower() + "\nend", None), (9, "la " * 200, "s3"), (10, "la " * 120 + "lo", "s3"),
+    (11, PASSAGE, "s1"), (11, prose(70, 6), "s1"), (None, PASSAGE, "s1"), (12, "Ünïcödé wörds   naïve\r\nshared LINE", "s2"), (13, "one", "s4"), (14, "x" * 50_000, "s4"),
+    *[(20 + i, f"Shared line\t\nunique {i}\n\n", "s5") for i in range(12)],
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(d, t, "en", s, len(t or ""), "r", "k", "t", "s", "f", "p") for d, t, s in TEXTS]
+    return spark.createDataFrame(rows, CLASH).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], CLASH)
+
+
+def split_words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+# ------------------------------------------------------------------ scanning words
+
+
+def test_words_are_those_of_the_pattern():
+    import pyarrow as pa
+
+    texts = [t for _, t, _ in TEXTS] + ["a", " a", "a ", "é\x0bß", " x\x1f"]
+    got = words.scan(pa.array(texts, pa.string()))
+    for r, t in enumerate(texts):
+        assert [got.text(i).decode() for i in range(got.ptr[r], got.ptr[r + 1])] == split_words(t)
+    by_hash = defaultdict(set)
+    for i, h in enumerate(got.hash.tolist()):
+        by_hash[h].add(got.text(i))
+    assert all(len(v) == 1 for v in by_hash.values())
+    assert len(by_hash) == len({w for t in texts for w in split_words(t)})
+
+
+def test_slices_cover_all_rows():
+    import pyarrow as pa
+
+    column = pa.array(["abc", None, "", "x" * 50, "y"], pa.string())
+    assert [r for lo, hi in words.slices(column, 10) for r in range(lo, hi)] == list(range(5))
+
+
+def test_id_filter_is_a_superset(spark):
+    df = spark.range(5000).withColumn("v", F.col("id").cast("string"))
+    ids = spark.range(0, 5000, 7).select(F.col("id").cast("string").alias("v"))
+    hit, clean = scratch.split_by_ids(df, ids, "v")
+    wanted = {str(i) for i in range(0, 5000, 7)}
+    assert wanted <= {r["v"] for r in hit.collect()} and not wanted & {r["v"] for r in clean.collect()}
+    assert hit.count() + clean.count() == 5000 and hit.count() < 800
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 3), (500, 500)] + [(1000, i) for i in range(1001, 1100)]
+    got = {r["id"]: r["comp"] for r in scratch.connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[300] == 100 and got[1099] == 1000 and 500 not in got
+
+
+# ------------------------------------------------------------------ line dedup
+
+
+def line_key(x):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\f\r"))
+
+
+@pytest.mark.parametrize("min_docs, min_chars", [(10, 1), (2, 1), (2, 7), (1, 1)])
+def test_lines_of_many_documents_go(docs, min_docs, min_chars):
+    seen = defaultdict(set)
+    for d, t, _ in TEXTS:
+        for x in (t or "").split("\n"):
+            seen[line_key(x)].add(d)
+    drop = lambda x: len(line_key(x)) >= min_chars and len(seen[line_key(x)]) >= min_docs
+    want = []
+    for d, t, _ in TEXTS:
+        all_ = (t or "").split("\n")
+        kept = [x for x in all_ if not drop(x)]
+        want.append((d, len(all_), len(all_) - len(kept), "\n".join(kept)))
+    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup_lines(docs, min_docs, min_chars).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_first_occurrences_stay(docs):
+    got = line_dedup.dedup_lines(docs, min_docs=2, mode="first").filter("doc_id >= 20").orderBy("doc_id").collect()
+    assert all("unique" in r["kept_text"] and "Shared" not in r["kept_text"] for r in got)
+    first = line_dedup.dedup_lines(docs, min_docs=2, mode="first").filter("doc_id = 1").first()
+    assert first["kept_text"] == TEXTS[0][1]
+
+
+def test_line_bitmaps(docs):
+    r = line_dedup.dedup_lines(docs, 10).filter("doc_id = 20").first()
+    assert r["drop_bits"] == [1]
+
+
+# ------------------------------------------------------------------ quality rules
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(5, 1, 0), (7, 1, 0), (9, 0, 0), (10, 0, 1), (None, 1, 0), (12, None, None)], "doc_id bigint, quality int, toxic int")
+
+
+def base(t):
+    w = split_words(t)
+    full = [x for x in (t or "").split("\n") if split_words(x)]
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    hit = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(full) - len(set(full)), len(hit)
+
+
+def test_rules_and_ratio(docs, labels):
+    out = quality_llr.quality_rules(docs, labels).collect()
+    assert len(out) == len(TEXTS)
+    want = sorted(repr((d, *base(t))) for d, t, _ in TEXTS)
+    assert want == sorted(repr((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])) for r in out)
+    for r in out:
+        failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+        assert r["base_failed"] or r["kept"] == (r["llr"] >= quality_llr.MIN_LLR)
+    assert next(r for r in out if r["doc_id"] == 5)["llr"] > next(r for r in out if r["doc_id"] == 9)["llr"]
+
+
+def test_ratio_is_that_of_two_multinomials(spark):
+    d = spark.createDataFrame([(1, "a b a"), (2, "c c a"), (3, "b")], "doc_id bigint, text string")
+    trusted = spark.createDataFrame([(1,)], "doc_id bigint")
+    got = quality_llr.log_ratios(d, trusted, orders=(1,), buckets=1 << 20, smoothing=0.5).collect()
+    total = sum(np.exp(r["llr"]) for r in got)
+    raw, target = Counter("abaccab"), Counter("aba")
+    want = sorted(np.log((target[x] + 0.5) / (3 + 0.5 * 2**20)) - np.log((raw[x] + 0.5) / (7 + 0.5 * 2**20)) for x in raw)
+    assert sorted(r["llr"] for r in got) == pytest.approx(want) and total > 0
+
+
+def test_rules_without_trust_or_rows(docs, none, labels):
+    free = quality_llr.quality_rules(docs, labels.filter("false")).collect()
+    assert all(r["kept"] == (not r["base_failed"]) for r in free)
+    assert quality_llr.quality_rules(none, labels).count() == 0
+
+
+# ------------------------------------------------------------------ mixing
+
+
+def water(sizes, weights=(1, 2, 3), most=3):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    target, capped, left = {}, set(), float(sum(sizes.values()))
+    while True:
+        free = [s for s in names if s not in capped]
+        over = [s for s in free if left * w[s] / sum(w[x] for x in free) > most * sizes[s]]
+        if not over:
+            return {**target, **{s: left * w[s] / sum(w[x] for x in free) for s in free}}
+        for s in over:
+            capped.add(s)
+            target[s] = float(most * sizes[s])
+            left -= target[s]
+
+
+def test_mix_meets_its_targets(docs):
+    size = defaultdict(int)
+    for _, t, s in TEXTS:
+        size[s] += len(split_words(t))
+    rows = mixing.mix_sources(docs).collect()
+    again = mixing.mix_sources(docs.repartition(5)).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, again)) and len(rows) == len(TEXTS)
+    want = water(size)
+    by_source = {(r["source_size"], round(r["target"], 6)) for r in rows}
+    assert by_source == {(size[s], round(t, 6)) for s, t in want.items()}
+    assert all(0 <= r["taken"] <= 3 * r["size"] and r["taken"] % max(r["size"], 1) == 0 for r in rows)
+    assert sum(want.values()) == pytest.approx(sum(size.values()))
+
+
+def test_mix_comes_near_in_a_large_source(spark):
+    rows = [(i, prose(20 + i % 30, i), f"src{i % 7 if i % 3 else 0}") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix_sources(d).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 25 for r in got)
+
+
+def test_mixed_rows_are_whole(docs, none):
+    out = mixing.mixed_rows(docs)
+    assert out.columns == docs.columns
+    assert out.count() == mixing.mix_sources(docs).agg(F.sum("repeats")).first()[0]
+    assert mixing.mix_sources(none).count() == 0
+
+
+# ------------------------------------------------------------------ decontamination
+
+
+BENCH = [(1, "The Quick, brown fox; jumps over the lazy dog near a river bank"), (2, "short item"), (3, None), (None, "w1 w2 w3"), (4, ""), (5, "..."), (2, "short item"), (6, " ".join(PASSAGE.split()[5:17])), (7, "naïve")]
+
+
+@pytest.mark.parametrize("width, block", [(10, 4 << 20), (4, 40)])
+def test_windows_are_found_exactly(spark, docs, monkeypatch, width, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    more = docs.select("doc_id", "text").unionByName(
+        spark.createDataFrame([(50, "the quick brown FOX jumps over the lazy dog near a river bank"), (51, "Quick brown fox jumps over the lazy dog near a river bank"), (52, "a short-item, SHORT ITEM"), (53, "quick brown")], "doc_id bigint, text string")
+    )
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    of = lambda t: pattern.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    where = defaultdict(set)
+    for i, t in BENCH:
+        w = of(t)
+        for k in range(max(1, len(w) - width + 1)):
+            if w and i is not None:
+                where[tuple(w[k : k + width])].add(str(i))
+    want = []
+    for r in more.collect():
+        w, hit, items = of(r["text"]), set(), set()
+        for n in {len(x) for x in where}:
+            for k in range(len(w) - n + 1):
+                if found := where.get(tuple(w[k : k + n])):
+                    items |= found
+                    hit.update(range(k, k + n))
+        want.append((r["doc_id"], len(w), len(hit), sorted(items)))
+    bench = spark.createDataFrame(BENCH, "item_id bigint, text string")
+    got = decontaminate.find_benchmark(more, bench, width).select("row.doc_id", "n_words", decontaminate.covered_words().alias("n_hit"), "items").collect()
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["n_words"], r["n_hit"], sorted(r["items"]))) for r in got)
+
+
+def test_no_benchmark_finds_nothing(spark, docs, none):
+    empty = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontaminate.find_benchmark(docs, empty).filter("size(items) > 0").count() == 0
+    assert decontaminate.find_benchmark(none, spark.createDataFrame(BENCH, "item_id bigint, text string")).count() == 0
+
+
+# ------------------------------------------------------------------ recompression
+
+
+@pytest.mark.parametrize("window, rounds", [(50, 3), (12, 2), (3, 3), (50, 5)])
+def test_repeats_are_cut_exactly(docs, none, window, rounds):
+    first = {}
+    for d, t, _ in TEXTS:
+        w = split_words(t)
+        for k in range(len(w) - window + 1):
+            if d is not None:
+                key = tuple(w[k : k + window])
+                first[key] = min(first.get(key, d), d)
+    want = []
+    for d, t, _ in TEXTS:
+        w, gone = split_words(t), set()
+        for k in range(len(w) - window + 1):
+            if d is not None and first[tuple(w[k : k + window])] < d:
+                gone.update(range(k, k + window))
+        want.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    got = recompression.remove_repeats(docs, window, rounds).select("row.doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
+    assert recompression.remove_repeats(none, window, rounds).count() == 0
+
+
+def test_interior_symbols_agree():
+    """A symbol whose range lies in a window is there in every copy of the window."""
+    generator = np.random.default_rng(3)
+    core = generator.integers(1, 9, 60).astype(np.uint64)
+    seen = []
+    for _ in range(30):
+        left, right = (generator.integers(1, 9, generator.integers(0, 40)).astype(np.uint64) for _ in range(2))
+        text = np.concatenate([left, core, right])
+        name, lo, hi = recompression.recompress(text, np.array([0, len(text)]), 4)
+        assert (np.diff(lo) >= 0).all() and (np.diff(hi) >= 0).all()
+        inside = (lo >= len(left)) & (hi <= len(left) + 60)
+        seen.append([(n, a - len(left), b - len(left)) for n, a, b in zip(name[inside], lo[inside], hi[inside])])
+    assert len(seen[0]) > 3 and all(s == seen[0] for s in seen)
+
+
+# ------------------------------------------------------------------ near duplicates
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last = [i]
+        for j, y in enumerate(b, 1):
+            last.append(min(row[j] + 1, last[-1] + 1, row[j - 1] + (x != y)))
+        row = last
+    return row[-1]
+
+
+def test_banded_alignment_is_the_edit_distance():
+    generator = np.random.default_rng(5)
+    for _ in range(3000):
+        a = generator.integers(0, 4, generator.integers(0, 12))
+        b = list(a)
+        for _ in range(generator.integers(0, 6)):
+            i, kind = generator.integers(0, len(b) + 1), generator.integers(0, 3)
+            if kind == 0:
+                b.insert(i, generator.integers(0, 4))
+            elif i < len(b):
+                b[i : i + 1] = [] if kind == 1 else [generator.integers(0, 4)]
+        limit = int(generator.integers(0, 8))
+        assert order_minhash.alignment_distance(np.array(a, np.uint64), np.array(b, np.uint64), limit) == min(edit(list(a), b), limit + 1)
+
+
+def changed(text, share, seed):
+    g, w = np.random.default_rng(seed), text.split()
+    for i in g.choice(len(w), int(len(w) * share), replace=False):
+        w[i] = f"z{g.integers(1000)}"
+    return " ".join(w)
+
+
+def test_near_copies_meet_and_others_do_not(spark):
+    rows, group = [], {}
+    for i in range(25):
+        text = prose(60 + 12 * i, 100 + i)
+        for j, share in enumerate((0, 0.02, 0.05, 0.1)):
+            group[i * 10 + j] = i
+            rows.append((i * 10 + j, changed(text, share, i * 10 + j)))
+        rows.append((i * 10 + 4, " ".join(prose(60 + 12 * i, 900 + i).split())))
+        group[i * 10 + 4] = ("alone", i)
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = order_minhash.near_duplicates(d).collect()
+    by_class = defaultdict(set)
+    for r in got:
+        by_class[group[r["doc_id"]]].add(r["class_id"])
+    assert all(len(v) == 1 for v in by_class.values())
+    assert len({r["class_id"] for r in got}) == len(by_class)
+    assert sum(r["is_kept"] for r in got) == len(by_class)
+
+
+def test_order_matters(spark):
+    """The same k-mers in another order are no near copy by edit similarity."""
+    blocks = [prose(30, 300 + i) for i in range(8)]
+    d = spark.createDataFrame([(1, " ".join(blocks)), (2, " ".join(blocks[::-1])), (3, " ".join(blocks) + " tail")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(d).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_one_of_each_class_stays(docs, none):
+    out = order_minhash.near_duplicates(docs).collect()
+    assert len(out) == len(TEXTS)
+    empty = [r for r in out if r["n_class"] == 1 and r["doc_id"] in (2, 3, 4)]
+    assert len(empty) == 3 and all(r["is_kept"] for r in empty)
+    assert Counter(r["class_id"] for r in out if r["is_kept"]) == Counter({r["class_id"]: 1 for r in out})
+    kept = order_minhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r["is_kept"] for r in out)
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert 6 not in ids and 5 in ids and None not in ids and ids.count(11) == 1 + (next(r["class_id"] for r in out if r["doc_id"] == 11) == 11)
+    assert order_minhash.near_duplicates(none).count() == 0 and order_minhash.keep_one_of_each(none).count() == 0
+
+
+def test_a_large_group_stays_linear(spark):
+    text = prose(120, 55)
+    d = spark.createDataFrame([(i, changed(text, 0.02, i)) for i in range(300)] + [(1000 + i, text) for i in range(200)], "doc_id bigint, text string")
+    got = order_minhash.near_duplicates(d).collect()
+    assert {r["class_id"] for r in got} == {0} and sum(r["is_kept"] for r in got) == 1
+
+
+# ------------------------------------------------------------------ co-training
+
+
+def test_classifier_learns_from_few(spark):
+    g = np.random.default_rng(1)
+    rows, labels_ = [], []
+    for i in range(900):
+        bad, toxic = i % 5 == 0, i % 7 == 0
+        w = list(g.choice(VOCABULARY, 80))
+        if bad:
+            w = [x + "***" for x in w]
+        if toxic:
+            w[int(g.integers(80))] = "slurword"
+        rows.append((i, " ".join(w), "en", "dump" if bad and i % 2 else f"s{i % 4}"))
+        if i < 500:
+            labels_.append((i, int(not bad), int(toxic)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    lab = spark.createDataFrame(labels_, "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in cotraining.classify(d, lab).select("row.doc_id", "kept").collect()}
+    fresh = range(500, 900)
+    clean = [got[i] for i in fresh if i % 5 and i % 7]
+    assert np.mean(clean) > 0.97
+    assert np.mean([got[i] for i in fresh if i % 5 == 0]) < 0.05
+    assert np.mean([got[i] for i in fresh if i % 5 and i % 7 == 0]) < 0.1
+    again = {r["doc_id"]: r["kept"] for r in cotraining.classify(d.repartition(3), lab).select("row.doc_id", "kept").collect()}
+    assert again == got
+
+
+def test_classifier_corner_cases(docs, none, labels):
+    out = cotraining.classify(docs, labels)
+    assert out.count() == len(TEXTS) and out.select("row.*").columns == docs.columns
+    assert cotraining.classify(docs, labels.filter("false")).filter("not kept").count() == 0
+    assert cotraining.classify(none, labels).count() == 0
+    assert cotraining.classify(docs.select("doc_id", "text"), labels).count() == len(TEXTS)
+
+
+def test_views_tell_each_other():
+    """The metadata view, which alone sees what marks the class, teaches the text view."""
+    g = np.random.default_rng(2)
+    n = 400
+    y = (np.arange(n) % 2).astype(float)
+    meta = cotraining.Rows(np.where(y > 0, 1, 2), np.arange(n + 1))
+    text = cotraining.Rows(g.integers(0, 50, n * 5), np.arange(0, n * 5 + 1, 5))
+    fitted = cotraining.co_train([text, meta], [60, 5], y, np.arange(n) % 5 == 0, [text, meta])
+    p = cotraining.probability(fitted, [text, meta])
+    assert ((p > 0.5) == (y > 0)).all()
+
+
+# ------------------------------------------------------------------ training order
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
+def test_feistel_is_a_permutation(n):
+    out = training_order.feistel(np.arange(n), n, 17)
+    assert sorted(out) == list(range(n))
+    if n > 60:
+        assert (out != np.arange(n)).mean() > 0.9
+        assert (training_order.feistel(np.arange(n), n, 18) != out).mean() > 0.9
+
+
+def test_shards_round_trip(docs, none, tmp_path):
+    ordered = training_order.training_order(docs, length=64, shard_sequences=50).cache()
+    rows = ordered.collect()
+    n = len(rows)
+    assert sorted(r["slot"] for r in rows) == list(range(n))
+    assert all(r["shard"] == r["slot"] // 50 and r["shard_row"] == r["slot"] % 50 and len(r["ids"]) == 128 for r in rows)
+    decode = training_order.encoding().decode
+    texts = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["seq"]):
+        texts[r["doc_id"]].append(np.frombuffer(r["ids"], np.uint16)[: r["n_tokens"]])
+    for d, t, _ in TEXTS:
+        if [x for x, _, _ in TEXTS].count(d) == 1 and t is not None:
+            ids = np.concatenate(texts[d])
+            assert ids[-1] == training_order.END_OF_TEXT and decode(ids[:-1].tolist()) == t
+    assert 2 not in texts
+    files = training_order.write_shards(ordered, str(tmp_path / "shards"), length=64).collect()
+    assert sum(f["rows"] for f in files) == n and len(files) == -(-n // 50)
+    by_slot = {r["slot"]: r["ids"] for r in rows}
+    for start in (0, 1, 49, 50, n - 1):
+        read = list(training_order.read_slots(str(tmp_path / "shards"), start, 64, 50))
+        assert [x.tobytes() for x in read] == [by_slot[s] for s in range(start, n)]
+    assert training_order.training_order(none).count() == 0
+
+
+# ------------------------------------------------------------------ WARC
+
+
+PAGE = "<!DOCTYPE html><html lang='de'><head><title>A &amp; B</title><script>var t='</p>';</script><style>p{}</style></head><body><!-- <p>no</p> --><p>One<br>two <b>bold</b> &lt;x&gt;</p><a href=\"/u?a=1&amp;b=2\" title='>'>link</a></body></html>"
+
+
+def test_page_text():
+    assert warc.page_text(PAGE) == "A & B\nOne\ntwo bold <x>\nlink"
+    assert warc.page_text("") == "" and warc.page_text("<!-- open") == "" and warc.page_text("a<script>x") == "a"
+
+
+def test_records_refer_to_their_source():
+    source = warc.build_record(
+        [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://x/"), ("WARC-Date", "2020-01-02T03:04:05Z"), ("WARC-IP-Address", "1.2.3.4"), ("WARC-Payload-Digest", "sha1:X")],
+        b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\nX-A: b\r\n c\r\n\r\n" + "<p>é".encode("latin-1"),
+    )
+    (kind, m_headers, m_block), (other, c_headers, c_block) = warc.derive(source)
+    assert (kind, other) == ("metadata", "conversion") and c_block == "é".encode()
+    for headers, block in ((m_headers, m_block), (c_headers, c_block)):
+        assert [warc.get(headers, k) for k in ("WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "WARC-IP-Address")] == ["<urn:uuid:1>", "http://x/", "2020-01-02T03:04:05Z", "1.2.3.4"]
+        assert warc.get(headers, "WARC-Block-Digest") == warc.digest(block)
+        fields, again = warc.parse_record(warc.build_record(headers, block))
+        assert again == block and fields[:-1] == headers
+    assert warc.get(m_headers, "WARC-Concurrent-To") == warc.get(c_headers, "WARC-Record-ID")
+    told = m_block.decode()
+    assert "http-x-a: b c\r\n" in told and "payload-digest-matches: false" in told and "source-warc-payload-digest: sha1:X" in told
+
+
+def test_warc_corner_cases(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/", PAGE, "k"), (2, None, "", "k"), (3, "http://c/", None, "k"), (1, "http://a/", PAGE, "k")], "page_id bigint, url string, html string, kind string")
+    made = warc.derive_records(warc.responses_of(pages))
+    rows = made.collect()
+    assert Counter((r["key"], r["kind"]) for r in rows) == Counter({(1, "metadata"): 2, (1, "conversion"): 2, (2, "metadata"): 1, (2, "conversion"): 1})
+    broken = spark.createDataFrame([(1, bytearray(b"no record")), (2, bytearray(warc.build_record([("WARC-Type", "request")], b"x"))), (3, None)], "key bigint, record binary")
+    got = {r["key"]: (r["kind"], r["error"]) for r in warc.derive_records(broken).collect()}
+    assert got[1] == (None, "no end of headers") and got[2] == ("metadata", "not a response") and 3 not in got
+    warc.write_warc(made, str(tmp_path / "w")).collect()
+    back = [bytes(r["record"]) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()]
+    assert sorted(back) == sorted(bytes(r["record"]) for r in rows)
+    assert warc.derive_records(broken.filter("false")).count() == 0
+
+
+# ------------------------------------------------------------------ PII
+
+
+def test_surrogates(spark, none):
+    rows = [
+        (1, "Mr. John Smith and Mrs. Eva Smith wrote to JOHN@CORP.ORG, john@corp.org; Mr John Smith."), (2, "john@corp.org, jane@corp.org +1 (988) 555-2485 / +1 988 555 2485"),
+        (3, "4539 1488 0343 6467 4539148803436467 ip 10.20.30.40 10.20.30.41 ssn 123-45-6789"), (4, 'token = "0641917ea4e9feb9cda83477b57ac2654884f485" password=b7db7aa4a5fcc78305'), (5, "Господин Иван Петров, Госпожа Иван"),
+        (6, None), (7, ""), (8, "nothing here 12 3.14 v1.2.3"), (1, "john@corp.org"), (1, "john@corp.org"), (None, "jane@corp.org"),
+    ]
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id bigint, text string, kind string, form string")
+    out = pii.replace_pii(d).collect()
+    assert len(out) == len(rows)
+    by = defaultdict(list)
+    for r in out:
+        by[r["doc_id"]].append(r["text"])
+    assert by[6] == [None] and by[7] == [""] and by[8] == [rows[7][1]]
+    one = next(t for t in by[1] if t.startswith("Mr"))
+    men, women = pii.NAMES["m", "latin"], pii.NAMES["f", "latin"]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) and Mrs\. (\w+) (\w+) wrote to (\S+), (\S+); Mr (\w+) (\w+)\.", one)
+    assert m[1] in men and m[3] in women and m[1] == m[7] and m[2] == m[4] == m[8] != "Smith"
+    mail = m[6]
+    assert m[5] == mail.upper() and mail != "john@corp.org" and mail.endswith(".org")
+    assert sorted(by[1])[1:] == [mail, mail] or sorted(t for t in by[1] if t != one) == [mail, mail]
+    a, b, p1, p2 = re.fullmatch(r"(\S+), (\S+) (\+1 \(\d{3}\) \d{3}-\d{4}) / (\+1 \d{3} \d{3} \d{4})", by[2][0]).groups()
+    assert a == mail and b == by[None][0] and b != a and a.split("@")[1] == b.split("@")[1]
+    assert re.sub(r"\D", "", p1) == re.sub(r"\D", "", p2) != "19885552485"
+    c1, c2, i1, i2, ssn = re.fullmatch(r"(\d{4} \d{4} \d{4} \d{4}) (\d{16}) ip (\S+) (\S+) ssn (\d{3}-\d{2}-\d{4})", by[3][0]).groups()
+    assert c1.replace(" ", "") == c2 and c2[0] == "4" and c2 != "4539148803436467" and i1 != i2
+    digits = [int(x) for x in c2[::-1]]
+    assert sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(digits)) % 10 == 0
+    assert all(0 <= int(o) <= 255 for o in (i1 + "." + i2).split("."))
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" password=[0-9a-f]{18}', by[4][0]) and "0641917e" not in by[4][0]
+    x, y = re.fullmatch(r"Господин (\w+) \w+, Госпожа (\w+)", by[5][0]).groups()
+    assert x in pii.NAMES["m", "cyrillic"] and y in pii.NAMES["f", "cyrillic"]
+    assert pii.replace_pii(d.filter("false")).count() == 0
+    other = {r["doc_id"]: r["text"] for r in pii.replace_pii(d, key="another").collect()}
+    assert other[4] != by[4][0]
+
+
+def test_surrogates_stay_distinct(spark):
+    """More people than names, and all two-digit octets: collisions are drawn again."""
+    people = [(i, f"Mr. {a}{b}") for i, (a, b) in enumerate((x, y) for x in "ABCDEFGH" for y in ("na", "ob", "li", "et", "us"))]
+    d = spark.createDataFrame(people, "doc_id bigint, text string")
+    got = [r["text"] for r in pii.replace_pii(d).collect()]
+    assert len(set(got)) == len(people) and not set(got) & {t for _, t in people}
+
+
+def test_short_shapes_run_out(spark):
+    """Forms whose shape has fewer values than there are forms get marks in the end."""
+    forms = spark.createDataFrame([("ipv4", f"{i}.{j}.1.1") for i in range(1, 4) for j in range(1, 4)], "kind string, form string")
+    out = pii.dictionary(forms).collect()
+    assert len({r["surrogate"] for r in out}) == 9 and not {r["surrogate"] for r in out} & {r["form"] for r in out}
