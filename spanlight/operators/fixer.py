@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import attribute_of, indentation
+from ..sources.tables import checkpointed
 from .gaps import SEVERITY_ORDER
 from .lines import line_array, scan_lines
 
@@ -119,7 +120,7 @@ def plan_fixes(files: DataFrame, gaps: DataFrame, min_severity: str | None = Non
 def fixed_files(files: DataFrame, gaps: DataFrame) -> DataFrame:
     """file, source of files with gaps, with the import and all attributes put in (H-3 to H-5)."""
     some = files.join(gaps.select("file").distinct(), "file", "left_semi")
-    ready = ensure_import(some)
+    ready = checkpointed(ensure_import(some))
     moved = gaps.join(ready.select("file", "was_added"), "file").withColumn("line", F.col("line") + F.col("was_added").cast("int")).drop("was_added")
     return apply_insertions(ready.select("file", "source"), insertion_points(ready.select("file", "source"), moved))
 

@@ -630,7 +630,10 @@ class Parser:
         if t.text == "{":
             block = self.block()
             return Node("Block", block.start, block.end, [block])
-        if self.is_("|", "||") or (self.is_("move", "static", "async") and self.peek().text in ("|", "||", "move")):
+        bar = 0
+        while self.peek(bar).kind == "ident" and self.peek(bar).text in ("move", "static", "async"):
+            bar += 1
+        if self.peek(bar).kind == "punct" and self.peek(bar).text in ("|", "||"):
             return self.closure(structs)
         if t.kind == "ident":
             word = t.text

@@ -47,11 +47,11 @@ EDGE = "src string, dst string, kind string, is_conditional boolean, is_in_loop
 def run_stats(files: DataFrame, lines: DataFrame, nodes: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
     """The eight counts in one row (A-1)."""
     parts = {"total_files": files, "total_functions": nodes, "total_lines": lines, **found}
-    out = None
+    counts = None
     for name, df in parts.items():
-        one = df.agg(F.count("*").alias(name), F.lit(1).alias("one"))
-        out = one if out is None else out.join(one, "one")
-    return out.drop("one")
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in parts])
 
 
 def analyze(files: DataFrame, dependencies: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, config: Config | None = None) -> Analysis:
@@ -80,8 +80,9 @@ def analyze(files: DataFrame, dependencies: DataFrame | None = None, nodes: Data
             by_source = deps.framework_by_source(files.withColumn("project", F.lit("p"))).first()
             framework = by_source["framework"] if by_source else "Unknown"
     lines = scan_lines(files)
-    found = endpoints.detect_endpoints(lines, framework)
-    there = existing.scan_existing(lines)
+    # Narrow tables that several stages read.
+    found = endpoints.detect_endpoints(lines, framework).persist()
+    there = existing.scan_existing(lines).persist()
     context = deps.detection_context(one.unionByName(spark.createDataFrame([("p", "", "", "")], dependencies.schema)))
     matches = classify.classify_in_context(nodes.withColumn("project", F.lit("p")), context).drop("project")
     degs = graph.degrees(nodes, edges)
@@ -90,6 +91,7 @@ def analyze(files: DataFrame, dependencies: DataFrame | None = None, nodes: Data
         seeds = found.select(F.col("handler").alias("id")).distinct()
         near = graph.reachable(seeds, edges, config.max_depth).select(F.col("id").alias("function_name")).distinct()
         suggested = suggested.join(near, "function_name", "left_semi").select(*points.COLUMNS)
+    suggested = suggested.persist()
     open_ = gaps.gaps_live(suggested, there)
     broken = rules.check_all(there, suggested, config.naming_rules)
     stats = run_stats(files, lines, nodes, {"endpoints_count": found, "instrumentation_points": suggested, "existing_count": there, "gaps_count": open_, "rule_violations_count": broken})
