@@ -55,7 +55,8 @@ def dropped_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, mode: str
         F.sum(F.col("fresh").cast("bigint")).alias("n"), F.min(F.when(F.col("nth") == 1, F.struct("doc_id", "tid", "pos"))).alias("first")
     )
     keys = runs.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).filter(F.col("n_docs") >= min_docs)
-    hits = occ.join(keys, ["h1", "h2"])
+    # Written first, so that the join deals both sides anew and AQE can split a key that very many lines have.
+    hits = occ.join(scratch.written(keys, "line-keys"), ["h1", "h2"])
     if mode == "first":
         hits = hits.filter(~F.struct("doc_id", "tid", "pos").eqNullSafe(F.col("first")))
     return hits.select("doc_id", "tid", "pos")
