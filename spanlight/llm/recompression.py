@@ -189,15 +189,17 @@ def _repeats(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     names = segments.groupBy("symbol").agg(
         F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), (F.min(F.struct("content", "n")) < F.max(F.struct("content", "n"))).alias("differ")
     )
-    shared = scratch.written(segments.join(names.filter("d0 < d1").select("symbol", "differ"), "symbol"), "shared")
+    # Written first, so that the join deals both sides anew and AQE can split a symbol that very many documents share.
+    names = scratch.written(names.filter("d0 < d1").select("symbol", "differ"), "symbols")
+    shared = scratch.written(segments.join(names, "symbol"), "shared")
     firsts = shared.groupBy("symbol", "content", "n").agg(F.min("doc_id").alias("first"))
-    classes = scratch.written(shared.join(firsts, ["symbol", "content", "n"]), "classes")
+    classes = scratch.written(shared.join(scratch.written(firsts, "firsts"), ["symbol", "content", "n"]), "classes")
     whole = classes.filter("doc_id > first").select("doc_id", "tid", "pos", "n")
     open_ = scratch.written(classes.filter("doc_id = first and differ").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("pos", "n", "symbol")).alias("open")), "open")
     some, _ = scratch.split_by_ids(rows, open_, "tid")
     windows = scratch.written(map_arrow(some.join(open_, ["doc_id", "tid"]), _windows(window), T.StructType([*ids, *hashes])), "windows")
     seen = windows.groupBy("symbol", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    single = windows.join(seen, ["symbol", "content"]).filter("doc_id > first").select("doc_id", "tid", "pos", F.lit(1).alias("n"))
+    single = windows.join(scratch.written(seen, "seen"), ["symbol", "content"]).filter("doc_id > first").select("doc_id", "tid", "pos", F.lit(1).alias("n"))
     return whole.unionByName(single).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
 
 
