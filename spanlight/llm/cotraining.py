@@ -29,8 +29,10 @@ LABELLED_MAX, POOL_MAX = 12_000, 6_000
 ROUNDS = 3
 CONFIDENT = 0.97
 REJECT_AT = 0.5
-WORD_BITS, META_BITS = 16, 12
+WORD_BITS, META_BITS = 20, 12
 TARGETS = ("low_quality", "toxic")
+#: Standard errors by which a feature's rate must differ to be used: junk shows in shares, toxicity in single words.
+EVIDENCE = {"low_quality": 6.0, "toxic": 3.0}
 
 _EDGES = np.array([0.002, 0.01, 0.03, 0.06, 0.1, 0.2, 0.35, 0.5, 0.7, 0.85])
 _SHARES = 6  # symbols, upper case, digits, bars, distinct words, repeated neighbours
@@ -105,37 +107,56 @@ class Rows:
         return Rows(self.index[at], ptr)
 
 
-def fit_logistic(x: Rows, y: np.ndarray, size: int, weight: np.ndarray, steps: int = 80, ridge: float = 1.0, min_rows: int = 5, evidence: float = 4.0) -> np.ndarray:
-    """Weights and a bias (the last) by Adagrad on the whole sample.
+class Linear:
+    """Weights of the features in use, and a bias."""
 
-    A feature stays 0 if fewer than min_rows rows have it or if its share of
-    positive rows is less than `evidence` standard errors from the overall one.
+    def __init__(self, size: int, features: np.ndarray, weights: np.ndarray, bias: float):
+        self.size, self.features, self.weights, self.bias = size, features, weights, bias
+        self._dense: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_dense": None}
+
+    def score(self, x: Rows) -> np.ndarray:
+        if self._dense is None:
+            self._dense = np.zeros(self.size)
+            self._dense[self.features] = self.weights
+        return _sums(self._dense, x.index, x.ptr) + self.bias
+
+
+def fit_logistic(x: Rows, y: np.ndarray, size: int, weight: np.ndarray, evidence: float, steps: int = 150, rate: float = 0.5, ridge: float = 0.3, min_rows: int = 5) -> Linear:
+    """Logistic regression by Adagrad on the whole sample.
+
+    A feature is left out if fewer than min_rows rows have it or if its share
+    of positive rows is less than `evidence` standard errors from the overall
+    one.
     """
     seen = np.bincount(x.index, minlength=size)
     positive = np.bincount(x.index, weights=np.repeat(y * weight, np.diff(x.ptr)), minlength=size)
-    rate = (y * weight).sum() / max(weight.sum(), 1e-9)
-    z = np.abs(positive - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
+    share = (y * weight).sum() / max(weight.sum(), 1e-9)
+    z = np.abs(positive - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
     use = (seen >= min_rows) & (z > evidence)
+    features = np.flatnonzero(use)
     keep = use[x.index]
     ptr = np.concatenate([[0], np.cumsum(keep)])[x.ptr]
-    index = x.index[keep]
-    w = np.zeros(size)
-    bias = float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
-    g2, gb2 = np.full(size, 1e-8), 1e-8
+    index = np.searchsorted(features, x.index[keep])
+    w, n = np.zeros(len(features)), len(features)
+    bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+    g2, gb2 = np.full(n, 1e-8), 1e-8
     counts = np.diff(ptr)
     for _ in range(steps):
         error = (_sigmoid(_sums(w, index, ptr) + bias) - y) * weight
-        g = np.bincount(index, weights=np.repeat(error, counts), minlength=size) + ridge * w
+        g = np.bincount(index, weights=np.repeat(error, counts), minlength=n)[:n] + ridge * w
         g2 += g * g
-        w -= 0.3 * g / np.sqrt(g2)
+        w -= rate * g / np.sqrt(g2)
         gb = error.sum()
         gb2 += gb * gb
-        bias -= 0.3 * gb / np.sqrt(gb2)
-    return np.append(w, bias)
+        bias -= rate * gb / np.sqrt(gb2)
+    return Linear(size, features, w, bias)
 
 
-def score(model: np.ndarray, x: Rows) -> np.ndarray:
-    return _sums(model[:-1], x.index, x.ptr) + model[-1]
+def score(model: Linear, x: Rows) -> np.ndarray:
+    return model.score(x)
 
 
 def fit_dense(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -150,7 +171,7 @@ def fit_dense(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.
     return w
 
 
-def co_train(views: list[Rows], sizes: list[int], y: np.ndarray, hold: np.ndarray, pools: list[Rows], rounds: int = ROUNDS, confident: float = CONFIDENT) -> dict:
+def co_train(views: list[Rows], sizes: list[int], y: np.ndarray, hold: np.ndarray, pools: list[Rows], rounds: int = ROUNDS, confident: float = CONFIDENT, evidence: float = 3.0) -> dict:
     """Models, calibrations and the combination for one target; y and hold are over labelled rows."""
     train = np.flatnonzero(~hold)
     held = np.flatnonzero(hold)
@@ -165,7 +186,7 @@ def co_train(views: list[Rows], sizes: list[int], y: np.ndarray, hold: np.ndarra
             base, extra = view.take(train), pool.take(rows)
             x = Rows(np.concatenate([base.index, extra.index]), np.concatenate([base.ptr, base.ptr[-1] + extra.ptr[1:]]))
             weight = np.concatenate([np.ones(len(train)), np.full(len(rows), 0.5)])
-            model = fit_logistic(x, np.concatenate([y[train], labels]), size, weight)
+            model = fit_logistic(x, np.concatenate([y[train], labels]), size, weight, evidence)
             calibration = fit_dense(score(model, view.take(held))[:, None], y[held], np.array([1.0, 0.0]))
             p = _sigmoid(calibration[0] * score(model, pool) + calibration[1])
             sure = np.flatnonzero((p >= confident) | (p <= 1 - confident))
@@ -211,8 +232,15 @@ def _score(fitted: list[dict], reject_at: float):
     return run
 
 
-def _unpack(rows: list[bytes]) -> Rows:
-    return Rows(np.frombuffer(b"".join(rows), np.int32).astype(np.int64), np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int64))
+def _unpack(column: pa.ChunkedArray) -> Rows:
+    """The matrix whose rows are packed 32-bit indices, without a copy of them."""
+    held = column.combine_chunks()
+    held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+    if not len(held):
+        return Rows(np.zeros(0, np.int32), np.zeros(1, np.int64))
+    offsets = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
+    data = np.frombuffer(held.buffers()[2], np.int32)
+    return Rows(data[offsets[0] // 4 : offsets[-1] // 4], (offsets - offsets[0]) // 4)
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
@@ -235,12 +263,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_max: int = LABELLED_MAX, po
     sample = _inputs(docs).drop("row").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_view", T.BinaryType()), T.StructField("meta_view", T.BinaryType())])
     drawn = map_arrow(sample, _features, schema)
-    rows = sorted(drawn.join(F.broadcast(chosen), "doc_id").collect(), key=lambda r: (r["doc_id"], r["text_view"], r["meta_view"]))
-    seen = [r for r in rows if r["low_quality"] is not None]
-    rest = [r for r in rows if r["low_quality"] is None]
-    views, pools = ([_unpack([r[v] for r in part]) for v in ("text_view", "meta_view")] for part in (seen, rest))
-    hold = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in seen], bool)
-    return [co_train(views, [TEXT_SIZE, META_SIZE], np.array([r[t] for r in seen]), hold, pools, rounds) for t in TARGETS]
+    table = drawn.join(F.broadcast(chosen), "doc_id").toArrow().sort_by([(c, "ascending") for c in ("doc_id", "meta_view", "text_view")])
+    known = pc.is_valid(table["low_quality"])
+    seen, rest = table.filter(known), table.filter(pc.invert(known))
+    views, pools = ([_unpack(part[v]) for v in ("text_view", "meta_view")] for part in (seen, rest))
+    hold = np.array([zlib.crc32(str(d).encode()) % 5 == 0 for d in seen["doc_id"].to_pylist()], bool)
+    return [co_train(views, [TEXT_SIZE, META_SIZE], seen[t].to_numpy(), hold, pools, rounds, evidence=EVIDENCE[t]) for t in TARGETS]
 
 
 def classify(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT, labelled_max: int = LABELLED_MAX, pool_max: int = POOL_MAX, rounds: int = ROUNDS) -> DataFrame:
