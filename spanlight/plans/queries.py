@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as S
 from ..operators import ast, classify, deps, endpoints, existing, fixer, functions, gaps, graph, lines, patterns, points, rules
 from . import analyze, report
-from .fixtures import FILES, NODES, table, values
+from .fixtures import table, values
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -965,3 +965,21 @@ def ast_complexity(spark, sf_dir):
     source = "fn one(a: u8) -> Result<u8, E> { if a > 1 { run()?; } match read() { Option::Some(x) => {} None => {} _ => {} } for i in 0..a { loop_body(); } Ok(a) }"
     f = ast.functions(ast.parse_files(spark.createDataFrame([("c.rs", source)], "file string, source string")))
     return f.select("name", "cyclomatic", "cognitive", "branch_count", "max_nesting_depth", "loop_count", "question_mark_ops", "error_matches")
+
+
+@query("""SELECT * FROM (VALUES ('t.rs#test_it', 'function_names', 'test_'), ('t.rs#test_it', 'error_handling', 'should_panic'), ('t.rs#run', 'framework:spectral', 'contains')) v(doc, grp, pattern)""")
+def ast_token_matches(spark, sf_dir):
+    source = "#[test]\n#[ignore]\nfn test_it() { should_panic(x); assert!(y); }\nfn run() { x.contains(1).unwrap(); }"
+    return ast.token_matches(ast.parse_files(spark.createDataFrame([("t.rs", source)], "file string, source string"))).select("doc", "grp", "pattern")
+
+
+@query(f"""WITH {values('fx_files')}, u(label, mark) AS (VALUES {', '.join(f"({_sql_text(c)}, {_sql_text(m)})" for c, marks in K.CRATE_USAGE.items() for m in marks)})
+SELECT DISTINCT file, label FROM fx_files JOIN u ON contains(source, mark)""")
+def crate_usage(spark, sf_dir):
+    return deps.crate_usage(table(spark, "fx_files").select("file", "source"))
+
+
+@query(f"""WITH {values('fx_points')} SELECT file, line, function_name, 'MissingAttribute' AS kind, 'Warning' AS severity, 'Span ''' || suggested_span_name || ''' lacks attribute ''user''' AS message,
+'Add field ''user''' AS suggestion FROM fx_points WHERE kind = 'Endpoint'""")
+def rules_missing_attributes(spark, sf_dir):
+    return rules.missing_attributes(_points(spark), rules.NamingRules(required_endpoint_attrs=["method", "user"], required_database_attrs=["query"]))

@@ -1,4 +1,4 @@
-"""Tables in the shared folder: cut lineage with what every executor can read again."""
+"""Tables in the shared folder: what several jobs read is written once, where every executor can read it again."""
 
 from __future__ import annotations
 
@@ -6,24 +6,44 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a written table below spark.checkpoint.dir (a temporary folder where it is unset, locally)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where it is unset (local runs)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        holder = tempfile.TemporaryDirectory(prefix="spanlight-")
+        atexit.register(holder.cleanup)
+        _own[app] = holder.name
+    return _own[app]
+
+
+def _app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/spanlight/{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a written table: one computation, no lineage."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            holder = tempfile.TemporaryDirectory(prefix="spanlight-")
-            atexit.register(holder.cleanup)
-            _own[app] = holder.name
-        folder = _own[app]
-    path = f"{folder.rstrip('/')}/spanlight/{uuid.uuid4().hex}"
+    path = f"{_app_dir(spark)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    return written(df)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the tables that this application has written; results that still read them must be stored before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -266,3 +266,15 @@ def test_streaming(spark, tmp_path):
     (tmp_path / "in" / "b.rs").write_text('counter!("c");\n')
     watch_existing(new_sources(spark, str(tmp_path / "in")), out, check).awaitTermination(60)
     assert sorted((r["kind"], r["line"]) for r in spark.read.parquet(out).collect()) == [("LogMacro", 2), ("Metrics", 1)]
+
+
+def test_written_tables_are_cleaned_up(spark):
+    import os
+
+    from spanlight.sources import tables
+
+    folder = tables._app_dir(spark)
+    t = tables.written(spark.range(3), "three")
+    assert t.count() == 3 and any(x.endswith("-three") for x in os.listdir(folder))
+    tables.clean_up(spark)
+    assert not os.path.exists(folder)
