@@ -99,3 +99,15 @@ TEST_FRAMEWORKS = [
     ("BuiltIn", ["#[test]"], ["std::test"]), ("Tokio", ["#[tokio::test]"], ["tokio::test"]),
     ("AsyncStd", ["#[async_std::test]"], ["async_std::test"]), ("Proptest", ["proptest!"], ["proptest::prelude"]),
 ]
+
+# Texts that show a crate in use.
+CRATE_USAGE = {
+    "sqlx": ["sqlx::query", "Pool", "PgPool", "MySqlPool", "SqlitePool"], "diesel": ["diesel::", "table!", "Insertable", "Queryable"], "sea-orm": ["sea_orm::", "Entity", "ActiveModel"],
+    "tokio-postgres": ["tokio_postgres::", "Client"], "rusqlite": ["rusqlite::", "Connection"], "mongodb": ["mongodb::", "Collection", "Database"],
+    "reqwest": ["reqwest::", "Client::new", ".get(", ".post(", ".send().await"], "hyper": ["hyper::", "Request::builder"], "ureq": ["ureq::", "Agent"], "surf": ["surf::", "surf::get", "surf::post"],
+    "redis": ["redis::", "Commands", "AsyncCommands", ".get(", ".set("], "memcache": ["memcache::"], "moka": ["moka::", "Cache::new"], "cached": ["#[cached]", "cached::"],
+    "axum": ["Router::new", ".route(", "routing::get", "routing::post"], "actix-web": ["#[get(", "#[post(", "web::get()", "HttpServer::new"], "rocket": ["#[get(", "#[post(", "routes!", "rocket::build"],
+    "tonic": ["#[tonic::async_trait]", "tonic::Request", "Server::builder"], "warp": ["warp::path!", "warp::get()", "warp::post()"], "poem": ["#[handler]", "Route::new", "poem::get"],
+}
+# Terminal codes.
+ANSI = {"reset": "\x1b[0m", "bold": "\x1b[1m", "dim": "\x1b[2m", "red": "\x1b[31m", "green": "\x1b[32m", "yellow": "\x1b[33m", "blue": "\x1b[34m"}

@@ -127,6 +127,14 @@ def coverage_colour(c: Column) -> Column:
     return F.when(c >= 80, "green").when(c >= 60, "yellow").otherwise("red")
 
 
+def coloured(c: Column, colour: Column | str, enabled: bool = True) -> Column:
+    """A text between terminal codes, or as it is (S-17)."""
+    if not enabled:
+        return c
+    code = choose(colour, {k: v for k, v in K.ANSI.items() if k != "reset"}) if isinstance(colour, Column) else F.lit(K.ANSI[colour])
+    return F.concat(code, c, F.lit(K.ANSI["reset"]))
+
+
 def coverage_bar(c: Column, width: int) -> Column:
     """A bar of `width` cells (S-17)."""
     full = F.floor(c / 100 * width).cast("int")

@@ -496,3 +496,21 @@ def call_edges(parsed: DataFrame, nodes: DataFrame) -> DataFrame:
     kept = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
     inside = kept.filter("not is_external").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return inside.unionByName(kept.filter("is_external")).select("src", "dst", "kind", "is_conditional", "is_in_loop")
+
+
+def token_matches(parsed: DataFrame, pattern_set: list | None = None) -> DataFrame:
+    """doc (file and function), grp, pattern, weight, matched over token texts (P-6).
+
+    Names meet the name patterns, attributes theirs and whole functions the
+    rest.  Tokens stand apart by spaces, so patterns such as `#[test]` or
+    `assert!` cannot match there.
+    """
+    from .patterns import match_patterns
+
+    pattern_set = K.PATTERNS if pattern_set is None else pattern_set
+    f = functions(parsed).select(F.concat_ws("#", "file", "full_path").alias("doc"), "name", "attributes", "tokens")
+    of = lambda *groups: [p for p in pattern_set if p[0] in groups or ("framework" in groups and p[0].startswith("framework:"))]
+    names = match_patterns(f.select("doc", F.col("name").alias("text")), of("function_names"))
+    attributes = match_patterns(f.select("doc", F.explode("attributes").alias("text")), of("attributes"))
+    bodies = match_patterns(f.select("doc", F.col("tokens").alias("text")), of("assertions", "error_handling", "framework"))
+    return names.unionByName(attributes).unionByName(bodies).drop("ord")

@@ -56,3 +56,9 @@ def framework_by_source(files: DataFrame) -> DataFrame:
     seen = files.withColumn("fw", found)
     first = seen.groupBy("project").agg(F.min_by("fw", F.when(F.col("fw").isNotNull(), F.col("file"))).alias("fw"))
     return first.select("project", F.coalesce("fw", F.lit("Unknown")).alias("framework"))
+
+
+def crate_usage(files: DataFrame) -> DataFrame:
+    """file, label: crates whose texts of use a source shows (D-2)."""
+    found = [F.when(contains_any(F.col("source"), marks), F.lit(label)) for label, marks in K.CRATE_USAGE.items()]
+    return files.select("file", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("label"))

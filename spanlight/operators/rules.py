@@ -20,6 +20,8 @@ class NamingRules:
     external_prefix: str | None = None
     cache_prefix: str | None = None
     forbidden_patterns: list[str] = field(default_factory=list)
+    required_endpoint_attrs: list[str] = field(default_factory=list)
+    required_database_attrs: list[str] = field(default_factory=list)
 
     def forbidden(self) -> list[str]:
         """Patterns that compile and use no look-around; the others are left out without a word (N-1)."""
@@ -88,3 +90,16 @@ def check_points(points: DataFrame, rules: NamingRules) -> DataFrame:
 def check_all(existing: DataFrame, points: DataFrame, rules: NamingRules) -> DataFrame:
     """Violations of both (N-0, U-2)."""
     return check_existing(existing, rules).unionByName(check_points(points, rules))
+
+
+def missing_attributes(points: DataFrame, rules: NamingRules) -> DataFrame:
+    """A violation for each required field that a point does not suggest (N-5); an extension, not part of check_all."""
+    kind, names = F.col("kind"), F.transform("suggested_fields", lambda f: f["name"])
+    found = []
+    for of, attrs in (("Endpoint", rules.required_endpoint_attrs), ("DatabaseCall", rules.required_database_attrs)):
+        for a in attrs:
+            lacking = (kind == of) & ~F.array_contains(names, a)
+            found.append(_violation(lacking, "MissingAttribute", "Warning", F.concat(F.lit("Span '"), "suggested_span_name", F.lit(f"' lacks attribute '{a}'")), F.lit(f"Add field '{a}'")))
+    if not found:
+        found = [_violation(F.lit(False), "MissingAttribute", "Warning", F.lit(""), F.lit(""))]
+    return _rows(points, found)
