@@ -7,45 +7,14 @@ lost executor never loses them and lineage stays short.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 #: Bits of the id filter that `split_by_ids` broadcasts: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset (local runs)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        holder = tempfile.TemporaryDirectory(prefix="spanlight-")
-        atexit.register(holder.cleanup)
-        _own_dirs[app] = holder.name
-    return _own_dirs[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/spanlight/{uuid.uuid4().hex}-{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: one computation, no lineage."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def text_id(text: Column | str = "text") -> Column:
     """A 64-bit fingerprint of the text that tells rows with one doc_id apart."""
