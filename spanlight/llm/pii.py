@@ -33,15 +33,17 @@ TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Господин"], "f": ["
 TYPES = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:password|passwd|token|secret|api_?key)\s?[=:]\s?\"?[A-Za-z0-9_/+-]{8,}\"?",
+    "key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9_-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{16})(?![\d-]|\.\d)",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d(+.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "phone": r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d(+.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "person": r"(?<!\w)(?:" + "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: A cheap test that every text with an entity passes.
-HINT = r"@|\d[ .)-]?\d|[=:]\s?\"?[A-Za-z0-9_/+-]{8}|(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}"
+HINT = r"@|\d[ .)-]?\d|AKIA|ASIA|gh[pousr]_|sk-|[=:]\s?\"?[A-Za-z0-9_/+-]{8}|(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}"
 
 LETTERS = {"latin_vowel": "aeiou", "latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя"}
 
@@ -56,7 +58,7 @@ def form_of(kind: Column, entity: Column) -> Column:
     digits = F.regexp_replace(entity, r"\D", "")
     value = F.regexp_extract(entity, r"[=:]\s?\"?([^\"]+)", 1)
     return (
-        F.when(kind.isin("card", "ssn", "phone"), digits)
+        F.when(kind.isin("card", "ssn", "phone", "iban"), digits)
         .when(kind == "email", F.lower(entity))
         .when(kind == "secret", value)
         .when(kind == "person", F.concat(gender_of(entity), F.lit(" "), F.regexp_replace(entity, r"^\S+ ", "")))
@@ -115,7 +117,7 @@ def _drawn(table: DataFrame, key: str) -> DataFrame:
         {
             "s_digest": hashed(kind, form, draw.cast("string")),
             "s_body": F.when(kind == "email", F.substring_index(form, "@", 1)).when(kind == "person", F.get(words, F.lit(1))).otherwise(form),
-            "s_keep": F.when((kind == "card") | ((kind == "phone") & (F.length(form) > 10)), 1).otherwise(0),  # issuer and country keep their first digit
+            "s_keep": F.when(kind == "key", 4).when((kind == "card") | ((kind == "phone") & (F.length(form) > 10)), 1).otherwise(0),  # issuer and country keep their first digit
             "s_host": F.when((kind == "email") & ~domain.rlike(r"(?:^|\.)example\.(?:com|net|org)$"), F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1)),
             "s_family": F.when(kind == "person", F.get(words, F.lit(2))),
         }
@@ -193,7 +195,7 @@ def _rendered(kind: Column, entity: Column, surrogate: Column) -> Column:
     upper = (F.upper(entity) == entity) & (F.lower(entity) != entity)
     value = F.regexp_extract(entity, r"[=:]\s?\"?([^\"]+)", 1)
     return (
-        F.when(kind.isin("card", "ssn", "phone"), numbers)
+        F.when(kind.isin("card", "ssn", "phone", "iban"), numbers)
         .when(kind == "email", F.when(upper, F.upper(surrogate)).otherwise(surrogate))
         .when(kind == "secret", F.concat(F.regexp_extract(entity, r"^([^=:]*[=:]\s?\"?)", 1), surrogate, F.when(entity.endswith('"'), F.lit('"')).otherwise(F.lit(""))))
         .when(kind == "person", F.concat(F.regexp_extract(entity, r"^(\S+ )", 1), F.regexp_replace(surrogate, r"^[mf] ", "")))
