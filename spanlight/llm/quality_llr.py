@@ -21,13 +21,15 @@ SMOOTHING = 0.5
 #: At most so many labelled documents make up the trusted target; those of least hashed id.
 TRUSTED_MAX = 20_000
 MIN_LLR = -0.2
+WHITE = " \t\n\x0b\f\r"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 
 def words_of(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
 
 
 def hashes_of(words: Column) -> Column:
@@ -50,7 +52,7 @@ def base_measures(docs: DataFrame) -> DataFrame:
             "n_words": F.size("words").cast("bigint"),
             "word_chars": F.length(F.array_join("words", "")).cast("bigint"),
             "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("bigint"),
-            "full_lines": F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0),
+            "full_lines": F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0),
             "windows": window_hashes(F.col("hashes")),
         }
     )
@@ -124,7 +126,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_llr: float = MIN_LLR,
     scored = (
         grams.join(table, F.col("gram") == F.col("g"), "left")
         .groupBy("row_no", "doc_id")
-        .agg(*[F.first(c).alias(c) for c in measures], F.round(F.avg("llr"), 9).alias("llr"))
+        .agg(*[F.max(c).alias(c) for c in measures], F.round(F.avg("llr"), 9).alias("llr"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
