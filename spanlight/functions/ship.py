@@ -10,6 +10,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch on its way to a worker and back, where the session keeps Spark's default of 64 MB:
+#: executors hold several batches outside the heap for each running task.
+BATCH_BYTES = "4194304b"
+_LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _shipped: set[str] = set()
 
 
@@ -29,5 +34,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_LIMIT, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_LIMIT, BATCH_BYTES)
     return df.mapInArrow(fn, schema)
