@@ -33,9 +33,27 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def _releasing(fn: Callable) -> Callable:
+    """fn, giving memory back as it goes: workers live on between tasks and share their executor's memory."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        pool = pa.default_memory_pool()
+        try:
+            for n, out in enumerate(fn(batches), 1):
+                yield out
+                if n % 16 == 0:
+                    pool.release_unused()
+        finally:
+            pool.release_unused()
+
+    return run
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     if spark.conf.get(_LIMIT, _DEFAULT) == _DEFAULT:
         spark.conf.set(_LIMIT, BATCH_BYTES)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_releasing(fn), schema)
