@@ -74,26 +74,29 @@ def _tokenise(path: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path).encode_ordinary
         part, count = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            column = batch.column("text")
-            for lo, hi in words.slices(column, 1 << 22):
-                rows, no, n, ids = [], [], [], []
-                for r, text in enumerate(column.slice(lo, hi - lo).to_pylist(), lo):
-                    if text is None:
-                        continue
-                    own = np.array([*encode(text), end], np.uint16)
-                    for k in range(0, len(own), length):
-                        piece = own[k : k + length]
-                        rows.append(r)
-                        no.append(k // length)
-                        n.append(len(piece))
-                        ids.append(piece.tobytes())
-                at = np.arange(count, count + len(rows))
-                count += len(rows)
-                yield pa.record_batch(
-                    [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(no, pa.int32()), pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array(np.full(len(rows), part, np.int32)), pa.array(at)],
-                    ["doc_id", "seq", "n_tokens", "ids", "part", "nth"],
-                )
+        try:
+            for batch in batches:
+                column = batch.column("text")
+                for lo, hi in words.slices(column, 1 << 22):
+                    rows, no, n, ids = [], [], [], []
+                    for r, text in enumerate(column.slice(lo, hi - lo).to_pylist(), lo):
+                        if text is None:
+                            continue
+                        own = np.array([*encode(text), end], np.uint16)
+                        for k in range(0, len(own), length):
+                            piece = own[k : k + length]
+                            rows.append(r)
+                            no.append(k // length)
+                            n.append(len(piece))
+                            ids.append(piece.tobytes())
+                    at = np.arange(count, count + len(rows))
+                    count += len(rows)
+                    yield pa.record_batch(
+                        [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(no, pa.int32()), pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array(np.full(len(rows), part, np.int32)), pa.array(at)],
+                        ["doc_id", "seq", "n_tokens", "ids", "part", "nth"],
+                    )
+        finally:
+            _encodings.clear()  # some 100 MB that an idle worker would keep
 
     return run
 
