@@ -73,19 +73,22 @@ def base_measures(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "hashes", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def gram_buckets(hashes: Column, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> Column:
-    """The bucket of each n-gram of each order, as int, from the hashes of the words."""
-    size = F.lit(buckets)
+def gram_hashes(hashes: Column, orders: tuple[int, ...] = ORDERS) -> Column:
+    """A hash of each n-gram of each order, from the hashes of the words."""
 
     def of(n: int) -> Column:
         if n == 1:
-            return F.transform(hashes, lambda h: F.pmod(h, size).cast("int"))
+            return hashes
         head = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
-        return F.transform(head, lambda h, i: F.pmod(F.xxhash64(F.lit(n), h, *[F.get(hashes, i + k) for k in range(1, n)]), size).cast("int"))
+        return F.transform(head, lambda h, i: F.xxhash64(F.lit(n), h, *[F.get(hashes, i + k) for k in range(1, n)]))
 
     return F.concat(*[of(n) for n in orders])
 
 
+def bucket_of(gram: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(gram, F.lit(buckets)).cast("int")
+
+
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_MAX) -> DataFrame:
     """Ids of good, harmless labelled documents, at most `most`: those with the least hash."""
     good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull())
@@ -99,7 +102,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, orders: tuple[int, ...] = OR
         docs.select("doc_id", "text")
         .join(ids, F.col("doc_id") == F.col("t_id"), "left")
         .select("t_one", hashes_of(words_of(F.col("text"))).alias("hashes"))
-        .select("t_one", F.explode(gram_buckets(F.col("hashes"), orders, buckets)).alias("gram"))
+        .select("t_one", F.explode(gram_hashes(F.col("hashes"), orders)).alias("gram"))
+        .select("t_one", bucket_of(F.col("gram"), buckets).alias("gram"))
     )
     counts = scratch.written(grams.groupBy("gram").agg(F.count("*").alias("n_raw"), F.count("t_one").alias("n_target")), "llr-counts")
     total = counts.agg(F.coalesce(F.sum("n_raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("n_target"), F.lit(0)).alias("target")).first()
@@ -122,7 +126,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_llr: float = MIN_LLR,
     table = F.broadcast(log_ratios(docs, trusted_ids(labels, trusted_max), orders, buckets).withColumnRenamed("gram", "g"))
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     rows = base_measures(docs).withColumn("row_no", F.monotonically_increasing_id())
-    grams = rows.select("row_no", "doc_id", *measures, F.explode_outer(gram_buckets(F.col("hashes"), orders, buckets)).alias("gram"))
+    grams = rows.select("row_no", "doc_id", *measures, F.explode_outer(gram_hashes(F.col("hashes"), orders)).alias("gram"))
+    grams = grams.withColumn("gram", bucket_of(F.col("gram"), buckets))
     scored = (
         grams.join(table, F.col("gram") == F.col("g"), "left")
         .groupBy("row_no", "doc_id")
