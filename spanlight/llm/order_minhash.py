@@ -7,18 +7,23 @@ taken and kept in text order; their hash is one bucket key.  Unlike plain
 MinHash, documents whose k-mers agree but stand in another order fall apart.
 
 Documents with equal word sequences share one node, the first of their rows.  In each bucket every node
-is a candidate with the bucket's least and greatest node, which is linear in
-the bucket however large it is.  A candidate pair is verified by an exact
+is first a candidate with the bucket's least and greatest node, which is linear in
+the bucket however large it is and links most of what is alike.  A candidate pair is verified by an exact
 edit distance over words in a band of the greatest allowed distance; pairs
 that a lower bound from word histograms rules out need no text.  Pairs inside
 one component that is already linked are redundant, so the best candidate of
 each node is verified first and only the pairs that still join two components
 follow.
+
+A bucket that still holds several components is then compared as a whole, in
+blocks of a bounded size, so that of any two nodes of a bucket either both are
+linked or their distance is known to be too great.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +41,8 @@ ELL = 2
 SKETCHES = 64
 SIMILARITY = 0.8
 HISTOGRAM = 128
+#: Nodes of a block of a bucket; every two blocks of a bucket are one piece of work.
+BLOCK = 256
 
 _U = np.uint64
 _FACTORS = words.mix(np.arange(1, 4097, dtype=_U) * _U(0x9E6C63D0876A9A47)) | _U(1)
@@ -186,6 +193,88 @@ def _plausible(similarity: float):
     return run
 
 
+def _across(similarity: float):
+    """(x, y, hits) of the pairs of two components in each run of equal (key, band, p, q) that length and histogram allow."""
+
+    def pairs_of(t: pa.Table) -> pa.RecordBatch:
+        node, comp, n_words, own, mult = (t.column(c).to_numpy() for c in ("node", "comp", "n_words", "own", "mult"))
+        histogram = np.frombuffer(b"".join(t.column("histogram").to_pylist()), np.uint16).reshape(-1, HISTOGRAM)
+        edges = _run_starts(t)
+        found = []
+        for lo, hi in zip(edges, np.append(edges[1:], t.num_rows)):
+            p, q = t.column("p")[lo].as_py(), t.column("q")[lo].as_py()
+            if p == q:
+                a, b = np.triu_indices(hi - lo, 1)
+            else:
+                a, b = (g.ravel() for g in np.meshgrid(np.flatnonzero(own[lo:hi] == p), np.flatnonzero(own[lo:hi] == q)))
+            a, b = a + lo, b + lo
+            limit = np.floor((1 - similarity) * np.maximum(n_words[a], n_words[b]) + 1e-9)
+            ok = (comp[a] != comp[b]) & (np.abs(n_words[a] - n_words[b]) <= limit)
+            a, b, limit = a[ok], b[ok], limit[ok]
+            for at in range(0, len(a), 8192):
+                i, j = a[at : at + 8192], b[at : at + 8192]
+                gap = histogram[i].astype(np.int32) - histogram[j]
+                near = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1)) <= limit[at : at + 8192]
+                found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), mult[i]])[:, near])
+        x, y, hits = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        return pa.record_batch([pa.array(x), pa.array(y), pa.array(hits)], ["x", "y", "hits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = (pa.concat_tables([held, t]) if held is not None else t).combine_chunks()
+            if not t.num_rows:
+                continue
+            last = int(_run_starts(t)[-1])
+            if last:
+                yield pairs_of(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None and held.num_rows:
+            yield pairs_of(held)
+
+    return run
+
+
+def _run_starts(t: pa.Table) -> np.ndarray:
+    """Where the rows of another (key, band, p, q) begin."""
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for c in ("key", "band", "p", "q"):
+        v = t.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _uncompared(members: DataFrame, known: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
+    """x, y, hits of the plausible pairs of members (key, node) of one bucket that comps does not link, as a written table.
+
+    Nodes are dealt to bands of length, of which two near nodes share one; a
+    group whose nodes are all linked has nothing to compare, and of groups of
+    the same nodes one is compared for all.  The others are cut into blocks.
+    """
+    info = known.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").select("node", "n_words", "histogram", F.coalesce("comp", "node").alias("comp"))
+    width = max(-math.log(similarity), 1e-6) * (1 + 1e-9)
+    band = F.floor(F.log("n_words") / width)
+    light = members.join(info.select("node", "comp", band.alias("b")), "node")
+    light = light.select("key", "node", "comp", F.explode(F.array("b", F.col("b") + 1)).alias("band"))
+    groups = light.groupBy("key", "band").agg(
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("s0"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s1"),
+    )
+    groups = groups.filter("c0 < c1").groupBy("n", "s0", "s1").agg(F.min(F.struct("key", "band")).alias("g"), F.count("*").alias("mult"))
+    groups = scratch.written(groups.select("g.key", "g.band", "n", "mult"), "groups")
+    some, _ = scratch.split_by_ids(light.select("key", "node", "band"), groups, "key")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = some.join(groups, ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), blocks))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    dealt = dealt.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "mult", "node").join(info, "node")
+    runs = dealt.repartition("key", "band", "p", "q").sortWithinPartitions("key", "band", "p", "q")
+    long = T.LongType()
+    met = map_arrow(runs, _across(similarity), T.StructType([T.StructField(c, long) for c in ("x", "y", "hits")]))
+    return scratch.written(met.groupBy("x", "y").agg(F.sum("hits").alias("hits")), "uncompared")
+
+
 def _align(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,6 +313,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return scratch.written(map_arrow(both, _align(similarity), pairs.select("x", "y").schema), "links")
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """x, y of the likeliest pair of each node."""
+    ends = pairs.select("x", "y", "hits", F.explode(F.array("x", "y")).alias("node"))
+    return ends.groupBy("node").agg(F.max_by(F.struct("x", "y"), F.struct("hits", -F.col("x"), -F.col("y"))).alias("p")).select("p.x", "p.y").distinct()
+
+
+def _parted(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """x, y of the pairs whose ends (id, comp) does not put together."""
+    at = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias("c" + c))
+    both = pairs.join(at("x"), "x", "left").join(at("y"), "y", "left")
+    return both.filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return scratch.connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), "classes")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n_sketches: int = SKETCHES, ell: int = ELL) -> DataFrame:
     """doc_id, tid, class_id, n_class, is_kept of every row of docs.
 
@@ -256,7 +362,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     reps = alone.unionByName(maybe.join(copies.select("node"), "node", "left_anti"))
 
     buckets = reps.select("node", F.explode("keys").alias("key"))
-    ends = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    ends = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    ends = scratch.written(ends, "ends")
     met = buckets.join(ends, "key").select("node", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("other")).filter("node <> other")
     pairs = scratch.written(
         met.groupBy(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).agg(F.count("*").alias("hits")), "pairs"
@@ -269,17 +376,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     texts = _texts(pairs, reps.select("node", "doc_id", "tid"), rows)
 
     # The likeliest partner of each node first; what that links needs no other check.
-    ends = pairs.select("x", "y", "hits", F.explode(F.array("x", "y")).alias("node"))
-    best = ends.groupBy("node").agg(F.max_by(F.struct("x", "y"), F.struct("hits", -F.col("x"), -F.col("y"))).alias("p")).select("p.x", "p.y").distinct()
-    best = scratch.written(best, "best")
+    best = scratch.written(_best(pairs), "best")
     links = _verified(best, texts, similarity)
     near = links.select(F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("y").alias("to")), F.struct(F.col("y").alias("id"), F.col("x").alias("to")))).alias("e"))
-    near = scratch.written(near.groupBy("e.id").agg(F.min("e.to").alias("to")).select("id", F.least("id", "to").alias("hub")), "hubs")
-    at = lambda c: near.select(F.col("id").alias(c), F.col("hub").alias("h" + c))
-    rest = pairs.join(best, ["x", "y"], "left_anti").join(at("x"), "x", "left").join(at("y"), "y", "left")
-    rest = rest.filter(F.coalesce("hx", "x") != F.coalesce("hy", "y")).select("x", "y")
+    near = scratch.written(near.groupBy("e.id").agg(F.min("e.to").alias("to")).select("id", F.least("id", "to").alias("comp")), "hubs")
+    rest = _parted(pairs.join(best, ["x", "y"], "left_anti"), near)
     links = links.unionByName(_verified(scratch.written(rest, "rest"), texts, similarity))
-    comps = scratch.connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), "classes")
+    comps = _components(links)
+
+    # Buckets of four nodes or more have pairs of which neither is an end.
+    crowded = ends.filter("n > 3")
+    inner, _ = scratch.split_by_ids(buckets, crowded, "key")
+    inner = scratch.written(inner.join(crowded, "key").filter("node <> lo and node <> hi").select("key", "node"), "inner")
+    left = _uncompared(inner, known, comps, similarity).join(pairs, ["x", "y"], "left_anti")
+    left = scratch.written(left, "left")
+    if not left.isEmpty():
+        texts = _texts(left, reps.select("node", "doc_id", "tid"), rows)
+        best = scratch.written(_best(left), "best")
+        links = links.unionByName(_verified(best, texts, similarity))
+        comps = _components(links)
+        rest = scratch.written(_parted(left.join(best, ["x", "y"], "left_anti"), comps), "rest")
+        if not rest.isEmpty():
+            comps = _components(links.unionByName(_verified(rest, texts, similarity)))
 
     homes = copies.withColumnRenamed("node", "c_node").withColumnRenamed("first", "c_first")
     slim = sketched.select("doc_id", "tid", "node").join(homes, F.col("node") == F.col("c_node"), "left")

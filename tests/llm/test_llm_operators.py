@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,6 +343,26 @@ def test_near_copies_meet_and_others_do_not(spark):
     assert sum(r["is_kept"] for r in got) == len(by_class)
 
 
+def test_every_copy_of_a_star_is_found(spark):
+    """400 copies, each 12 to 15% away from one original and more from each other: those that share a bucket with it are in its class."""
+    g = np.random.default_rng(5)
+    text = " ".join(f"s{i}" for i in g.integers(0, 5000, 200))
+    rows = []
+    for i in range(400):
+        words_ = text.split()
+        for j in g.choice(200, int(g.integers(24, 31)), replace=False):
+            words_[j] = f"x{g.integers(10**9)}"
+        rows.append((i, " ".join(words_)))
+    rows.insert(150, (1000, text))  # not the first or last node of its buckets
+    found = words.scan(pa.array([t for _, t in rows]), words.WHITE, words.FOLD)
+    keys = order_minhash.sketches(*order_minhash.labelled_kmers(found), len(rows))
+    meets = {rows[i][0] for i in np.flatnonzero((keys == keys[150]).any(1))}
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    classes = {r["doc_id"]: r["class_id"] for r in got}
+    lost = [d for d in meets if classes[d] != classes[1000]]
+    assert len(meets) > 380 and not lost, (len(meets), len(lost))
+
+
 def test_order_matters(spark):
     """The same k-mers in another order are no near copy by edit similarity."""
     blocks = [prose(30, 300 + i) for i in range(8)]
