@@ -6,6 +6,12 @@ count.  For each of SKETCHES random orders the ELL least labelled k-mers are
 taken and kept in text order; their hash is one bucket key.  Unlike plain
 MinHash, documents whose k-mers agree but stand in another order fall apart.
 
+Short texts have too few k-mers for that, so those of at most SHORT words are
+also cut into one piece more than the edits that their length allows.  One
+piece stays whole in any text within that distance, at a place that bounds
+tell, so pairs of which one text has under SHORT words and the other
+at most `longest_short` share a bucket for certain.
+
 Documents with equal word sequences share one node, the first of their rows.  In each bucket every node
 is first a candidate with the bucket's least and greatest node, which is linear in
 the bucket however large it is and links most of what is alike.  A candidate pair is verified by an exact
@@ -41,6 +47,8 @@ ELL = 2
 SKETCHES = 64
 SIMILARITY = 0.8
 HISTOGRAM = 128
+#: Texts of fewer words find all that is similar to them, however few k-mers are left.
+SHORT = 30
 #: Nodes of a block of a bucket; every two blocks of a bucket are one piece of work.
 BLOCK = 256
 
@@ -96,7 +104,50 @@ def sketches(row: np.ndarray, labelled: np.ndarray, rows: int, n: int = SKETCHES
     return keys
 
 
-def _sketch(k: int, n: int, ell: int):
+def longest_short(similarity: float) -> int:
+    """The most words of a text that can be similar to one of fewer than SHORT words."""
+    n = SHORT - 1
+    while n + 1 - allowed(n + 1, similarity) < SHORT:
+        n += 1
+    return n
+
+
+def piece_template(m: int, similarity: float) -> np.ndarray:
+    """(n, piece, start, length) of what a text of m words shows of the pieces of texts of n >= m words.
+
+    A text of n words allows d edits and has d + 1 pieces.  The first piece i up to whose end there are at
+    most i edits has none, i edits before it and at most d - i after it, which bounds how far it has moved.
+    """
+    rows = []
+    for n in range(m, longest_short(similarity) + 1):
+        d = allowed(n, similarity)
+        if not d or n - m > d:
+            continue
+        cuts = [n * i // (d + 1) for i in range(d + 2)]
+        for i, (p, end) in enumerate(zip(cuts, cuts[1:])):
+            for at in range(max(0, p - i, p + m - n - (d - i)), min(m - (end - p), p + i, p + m - n + (d - i)) + 1):
+                rows.append((n, i, at, end - p))
+    return np.array(rows, np.int64).reshape(-1, 4)
+
+
+def piece_keys(found: words.Words, similarity: float) -> list[np.ndarray]:
+    """The bucket keys of the pieces of each row; a row too long has none."""
+    many, longest = np.diff(found.ptr), longest_short(similarity)
+    prefix = words.prefix_hashes(found.hash)
+    templates = {int(m): piece_template(int(m), similarity) for m in np.unique(many[many <= longest]) if m}
+    keys = []
+    for first, m in zip(found.ptr[:-1], many.tolist()):
+        t = templates.get(m)
+        if t is None or not len(t):
+            keys.append(np.zeros(0, _U))
+            continue
+        start = first + t[:, 2]
+        name = words.mix((t[:, 0] * 1024 + t[:, 1] + 1).astype(_U) * _U(0xC2B2AE3D27D4EB4F))
+        keys.append(np.unique(words.mix(words.range_hash(prefix, start, start + t[:, 3]) + name)))
+    return keys
+
+
+def _sketch(k: int, n: int, ell: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -113,7 +164,9 @@ def _sketch(k: int, n: int, ell: int):
                 sequence = []
                 for a, b in zip(found.ptr[:-1], found.ptr[1:]):
                     sequence.append(hashlib.md5(found.hash[a:b].tobytes() + words.mix(found.hash[a:b] + _U(b - a)).tobytes()).digest())
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * n, n, dtype=np.int32)), pa.array(words.signed(keys).ravel()))
+                pieces = piece_keys(found, similarity)
+                ends = np.cumsum([0] + [n + len(p) for p in pieces])
+                flat = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words.signed(np.concatenate([x for row_keys in zip(keys, pieces) for x in row_keys]))))
                 numbers = pa.array(np.arange(base, base + hi - lo))
                 base += hi - lo
                 yield pa.record_batch(
@@ -351,7 +404,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
             T.StructField("keys", T.ArrayType(long)),
         ]
     )
-    sketched = scratch.written(map_arrow(rows, _sketch(k, n_sketches, ell), schema), "sketches")
+    sketched = scratch.written(map_arrow(rows, _sketch(k, n_sketches, ell, similarity), schema), "sketches")
     full = sketched.filter("n_words > 0")
     # Rows with one word sequence are one node; all but their first row leave here.
     same = full.groupBy("sequence").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("sequence").alias("s_sequence"), "first")

@@ -363,6 +363,37 @@ def test_every_copy_of_a_star_is_found(spark):
     assert len(meets) > 380 and not lost, (len(meets), len(lost))
 
 
+def test_short_texts_find_all_that_is_similar(spark):
+    """Against brute force, pairs of which one text has under 30 words, edited in any place and way."""
+    g, texts = np.random.default_rng(11), []
+    for n in range(1, 37):
+        for _ in range(3):
+            base = [f"b{x}" for x in g.integers(0, 10**6, n)]
+            texts.append(base)
+            for _ in range(3):
+                copy = list(base)
+                for _ in range(order_minhash.allowed(n, 0.8)):
+                    kind, i = g.integers(3), int(g.integers(len(copy)))
+                    copy[i : i + (kind != 1)] = [] if kind == 0 else [f"e{g.integers(10**6)}"]
+                texts.append(copy)
+            d = order_minhash.allowed(n, 0.8)
+            texts.append([f"v{i}" if d and i % (n // d) == n // d - 1 and i // (n // d) < d else w for i, w in enumerate(base)])
+    texts = [[w.lower() for w in t] for t in texts if t]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    classes = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(d).collect()}
+    names: dict[str, int] = {}
+    sequence = [np.array([names.setdefault(w, len(names)) for w in t], np.uint64) for t in texts]
+    near, lost = 0, []
+    for i, x in enumerate(sequence):
+        for j, y in enumerate(sequence[:i]):
+            limit = order_minhash.allowed(max(len(x), len(y)), 0.8)
+            if min(len(x), len(y)) < 30 and set(texts[i]) & set(texts[j]) and order_minhash.alignment_distance(x, y, limit) <= limit:
+                near += 1
+                if classes[i] != classes[j]:
+                    lost.append((len(x), len(y)))
+    assert near > 300 and not lost, (near, len(lost), lost[:5])
+
+
 def test_order_matters(spark):
     """The same k-mers in another order are no near copy by edit similarity."""
     blocks = [prose(30, 300 + i) for i in range(8)]
