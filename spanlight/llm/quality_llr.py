@@ -18,8 +18,6 @@ from . import scratch
 BUCKETS = 1 << 16
 ORDERS = (1, 2)
 SMOOTHING = 0.5
-#: At most so many labelled documents make up the trusted target; those of least hashed id.
-TRUSTED_MAX = 20_000
 MIN_LLR = -0.2
 WHITE = " \t\n\x0b\f\r"
 WINDOW = 8
@@ -89,19 +87,21 @@ def bucket_of(gram: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(gram, F.lit(buckets)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_MAX) -> DataFrame:
-    """Ids of good, harmless labelled documents, at most `most`: those with the least hash."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all good, harmless labelled documents."""
     good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return good.select("doc_id").distinct()
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
     """gram, llr: smoothed log(p_target / p_corpus) of each bucket that the corpus holds."""
-    ids = F.broadcast(trusted.select(F.col("doc_id").alias("t_id"), F.lit(1).alias("t_one")))
+    ids = trusted.select(F.col("doc_id").alias("t_id"), F.lit(1).alias("t_one"))
+    # Only texts that may be trusted are shuffled.
+    some, others = scratch.split_by_ids(docs.select("doc_id", "text"), trusted, "doc_id")
+    marked = some.join(ids, F.col("doc_id") == F.col("t_id"), "left").select("t_one", "text")
+    marked = marked.unionByName(others.select(F.lit(None).cast("int").alias("t_one"), "text"))
     grams = (
-        docs.select("doc_id", "text")
-        .join(ids, F.col("doc_id") == F.col("t_id"), "left")
-        .select("t_one", hashes_of(words_of(F.col("text"))).alias("hashes"))
+        marked.select("t_one", hashes_of(words_of(F.col("text"))).alias("hashes"))
         .select("t_one", F.explode(gram_hashes(F.col("hashes"), orders)).alias("gram"))
         .select("t_one", bucket_of(F.col("gram"), buckets).alias("gram"))
     )
@@ -113,7 +113,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, orders: tuple[int, ...] = OR
     return counts.select("gram", (F.log(F.col("n_target") + smoothing) - F.log(F.col("n_raw") + smoothing) + shift).alias("llr"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, min_llr: float = MIN_LLR, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, trusted_max: int = TRUSTED_MAX) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, min_llr: float = MIN_LLR, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept of every row.
 
     base_failed: fewer than MIN_WORDS words, or over MAX_REPEAT_PERCENT of them
@@ -123,7 +123,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_llr: float = MIN_LLR,
     trusted documents every llr is 0.  Null texts have no words; rows that
     repeat get equal answers each; an empty table gives no rows.
     """
-    table = F.broadcast(log_ratios(docs, trusted_ids(labels, trusted_max), orders, buckets).withColumnRenamed("gram", "g"))
+    table = F.broadcast(log_ratios(docs, trusted_ids(labels), orders, buckets).withColumnRenamed("gram", "g"))
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     rows = base_measures(docs).withColumn("row_no", F.monotonically_increasing_id())
     grams = rows.select("row_no", "doc_id", *measures, F.explode_outer(gram_hashes(F.col("hashes"), orders)).alias("gram"))

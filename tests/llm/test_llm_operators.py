@@ -158,6 +158,14 @@ def test_ratio_is_that_of_two_multinomials(spark):
     assert sorted(r["llr"] for r in got) == pytest.approx(want) and total > 0
 
 
+def test_every_trusted_document_counts(spark):
+    """If all of 20,500 documents are trusted, target and corpus are the same."""
+    d = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("all "), F.col("id").cast("string")).alias("text"))
+    trusted = quality_llr.trusted_ids(d.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    worst = quality_llr.log_ratios(d, trusted).agg(F.max(F.abs("llr"))).first()[0]
+    assert worst == pytest.approx(0, abs=1e-9)
+
+
 def test_rules_without_trust_or_rows(docs, none, labels):
     free = quality_llr.quality_rules(docs, labels.filter("false")).collect()
     assert all(r["kept"] == (not r["base_failed"]) for r in free)
