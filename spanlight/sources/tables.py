@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,11 +32,26 @@ def _app_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/spanlight/{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the time of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a written table: one computation, no lineage."""
+    """df as a written table: one computation, no lineage, and its shuffle files go once it is written."""
     spark = df.sparkSession
     path = f"{_app_dir(spark)}/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
