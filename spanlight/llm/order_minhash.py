@@ -12,7 +12,8 @@ piece stays whole in any text within that distance, at a place that bounds
 tell, so pairs of which one text has under SHORT words and the other
 at most `longest_short` share a bucket for certain.
 
-Documents with equal word sequences share one node, the first of their rows.  In each bucket every node
+Documents with equal word sequences share one node, named by a digest of the
+sequence, so that nothing depends on where a row is read.  In each bucket every node
 is first a candidate with the bucket's least and greatest node, which is linear in
 the bucket however large it is and links most of what is alike.  A candidate pair is verified by an exact
 edit distance over words in a band of the greatest allowed distance; pairs
@@ -28,7 +29,6 @@ linked or their distance is known to be too great.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -45,6 +45,8 @@ from . import scratch, words
 K = 5
 ELL = 2
 SKETCHES = 64
+#: Texts of at most so many words have so many more sets of SKETCHES: of few k-mers, chance takes more.
+FEW_WORDS = {60: 2, 200: 1}
 SIMILARITY = 0.8
 HISTOGRAM = 128
 #: Texts of fewer words find all that is similar to them, however few k-mers are left.
@@ -75,8 +77,8 @@ def labelled_kmers(found: words.Words, k: int = K) -> tuple[np.ndarray, np.ndarr
     return row, words.mix(kmer + nth.astype(_U) * _U(0xDA942042E4DD58B5))
 
 
-def sketches(row: np.ndarray, labelled: np.ndarray, rows: int, n: int = SKETCHES, ell: int = ELL) -> np.ndarray:
-    """rows x n bucket keys: for each order the ell least labelled k-mers, hashed in text order."""
+def sketches(row: np.ndarray, labelled: np.ndarray, rows: int, n: int = SKETCHES, ell: int = ELL, first_order: int = 0) -> np.ndarray:
+    """rows x n bucket keys: for each order the ell least labelled k-mers, hashed in text order; a row without k-mers has zeros."""
     keys = np.zeros((rows, n), _U)
     if not len(row):
         return keys
@@ -85,7 +87,7 @@ def sketches(row: np.ndarray, labelled: np.ndarray, rows: int, n: int = SKETCHES
     sizes = np.diff(np.append(head, len(row)))
     group = np.repeat(np.arange(len(head)), sizes)
     top = _U(2**64 - 1)
-    for j in range(n):
+    for j in range(first_order, first_order + n):
         value = labelled * _FACTORS[j]
         value ^= value >> _U(29)
         picks = []
@@ -100,7 +102,23 @@ def sketches(row: np.ndarray, labelled: np.ndarray, rows: int, n: int = SKETCHES
         padded = np.append(labelled, _U(0))
         for p in places:
             key = words.mix(key * _U(0xAEF17502108EF2D9) + padded[p])
-        keys[own, j] = key
+        keys[own, j - first_order] = key
+    return keys
+
+
+def all_sketches(found: words.Words, k: int, n: int, ell: int) -> list[np.ndarray]:
+    """The bucket keys of each row: n, and more for a text of few words."""
+    row, labelled = labelled_kmers(found, k)
+    many = np.diff(found.ptr)
+    keys = list(sketches(row, labelled, len(many), n, ell))
+    extra = np.select([many <= m for m in FEW_WORDS], list(FEW_WORDS.values()), 0) * (many > 0)
+    for turn in range(1, extra.max(initial=0) + 1):
+        few = np.flatnonzero(extra >= turn)
+        place = np.full(len(many), -1)
+        place[few] = np.arange(len(few))
+        some = place[row] >= 0
+        for r, more in zip(few, sketches(place[row[some]], labelled[some], len(few), n, ell, n * turn)):
+            keys[r] = np.concatenate([keys[r], more])
     return keys
 
 
@@ -155,23 +173,20 @@ def _sketch(k: int, n: int, ell: int, similarity: float):
             for lo, hi in words.slices(column):
                 part = column.slice(lo, hi - lo)
                 found = words.scan(part, words.WHITE, words.FOLD)
-                row, labelled = labelled_kmers(found, k)
-                keys = sketches(row, labelled, hi - lo, n, ell)
+                keys = all_sketches(found, k, n, ell)
                 counts = np.zeros((hi - lo, HISTOGRAM), np.int64)
                 np.add.at(counts, (found.row, (found.hash >> _U(40)).astype(np.int64) % HISTOGRAM), 1)
                 counts = np.minimum(counts, 65535).astype(np.uint16)
                 n_words = np.diff(found.ptr)
-                sequence = []
-                for a, b in zip(found.ptr[:-1], found.ptr[1:]):
-                    sequence.append(hashlib.md5(found.hash[a:b].tobytes() + words.mix(found.hash[a:b] + _U(b - a)).tobytes()).digest())
+                digests = np.frombuffer(b"".join(found.digests(found.ptr[:-1], found.ptr[1:])), np.int64).reshape(-1, 2)
                 pieces = piece_keys(found, similarity)
-                ends = np.cumsum([0] + [n + len(p) for p in pieces])
+                ends = np.cumsum([0] + [len(x) + len(p) for x, p in zip(keys, pieces)])
                 flat = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words.signed(np.concatenate([x for row_keys in zip(keys, pieces) for x in row_keys]))))
                 numbers = pa.array(np.arange(base, base + hi - lo))
                 base += hi - lo
                 yield pa.record_batch(
-                    [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "tid")), numbers, pa.array(n_words), pa.array(sequence, pa.binary()), pa.array([c.tobytes() for c in counts], pa.binary()), flat],
-                    ["doc_id", "tid", "node", "n_words", "sequence", "histogram", "keys"],
+                    [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "tid")), numbers, pa.array(n_words), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([c.tobytes() for c in counts], pa.binary()), flat],
+                    ["doc_id", "tid", "nth", "n_words", "node", "check", "histogram", "keys"],
                 )
 
     return run
@@ -334,8 +349,9 @@ def _align(similarity: float):
             ok = np.zeros(batch.num_rows, bool)
             for lo, hi in words.slices(batch.column("text_x")):
                 x, y = (words.scan(batch.column(c).slice(lo, hi - lo), words.WHITE, words.FOLD) for c in ("text_x", "text_y"))
+                names_x, names_y = words.codes(x, y)
                 for r in range(hi - lo):
-                    a, b = x.hash[x.ptr[r] : x.ptr[r + 1]], y.hash[y.ptr[r] : y.ptr[r + 1]]
+                    a, b = names_x[x.ptr[r] : x.ptr[r + 1]], names_y[y.ptr[r] : y.ptr[r + 1]]
                     limit = allowed(max(len(a), len(b)), similarity)
                     ok[lo + r] = alignment_distance(a, b, limit) <= limit
             yield pa.record_batch([batch.column("x"), batch.column("y")], ["x", "y"]).filter(pa.array(ok))
@@ -380,7 +396,28 @@ def _parted(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _components(links: DataFrame) -> DataFrame:
-    return scratch.connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), "classes")
+    """(id, comp) as a written table."""
+    return scratch.written(scratch.connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), "classes"), "comps")
+
+
+def _settled(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sketched with a node for each word sequence, and (node, first, n) of the nodes of several rows.
+
+    Nodes are halves of 128-bit digests.  Where two sequences share a half,
+    all but one of them are named anew.
+    """
+    draw = 0
+    while True:
+        draw += 1
+        groups = sketched.filter("n_words > 0").groupBy("node").agg(F.min("nth").alias("first"), F.count("*").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+        same = scratch.written(groups.filter("n > 1"), "same")
+        clash = same.filter("c0 < c1").select(F.col("node").alias("k_node"), "c0")
+        if clash.isEmpty():
+            return sketched, same.select(F.col("node").alias("s_node"), "first", "n")
+        some, others = scratch.split_by_ids(sketched, clash.withColumnRenamed("k_node", "node"), "node")
+        moved = some.join(clash, F.col("node") == F.col("k_node"), "left")
+        moved = moved.withColumn("node", F.when(F.col("check") != F.col("c0"), F.xxhash64("node", "check", F.lit(draw))).otherwise(F.col("node")))
+        sketched = scratch.written(others.unionByName(moved.select(*sketched.columns)), "sketches")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n_sketches: int = SKETCHES, ell: int = ELL) -> DataFrame:
@@ -399,20 +436,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
-            *(T.StructField(c, long) for c in ("tid", "node", "n_words")),
-            *(T.StructField(c, T.BinaryType()) for c in ("sequence", "histogram")),
+            *(T.StructField(c, long) for c in ("tid", "nth", "n_words", "node", "check")),
+            T.StructField("histogram", T.BinaryType()),
             T.StructField("keys", T.ArrayType(long)),
         ]
     )
     sketched = scratch.written(map_arrow(rows, _sketch(k, n_sketches, ell, similarity), schema), "sketches")
-    full = sketched.filter("n_words > 0")
+    sketched, same = _settled(sketched)
     # Rows with one word sequence are one node; all but their first row leave here.
-    same = full.groupBy("sequence").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("sequence").alias("s_sequence"), "first")
-    same = scratch.written(same, "same")
-    maybe, alone = scratch.split_by_ids(full, same.select(F.col("s_sequence").alias("sequence")), "sequence")
-    copies = maybe.select("node", "sequence").join(same, F.col("sequence") == F.col("s_sequence")).filter("node <> first").select("node", "first")
-    copies = scratch.written(copies, "copies")
-    reps = alone.unionByName(maybe.join(copies.select("node"), "node", "left_anti"))
+    maybe, alone = scratch.split_by_ids(sketched.filter("n_words > 0"), same.select(F.col("s_node").alias("node")), "node")
+    firsts = maybe.join(same.select("s_node", "first"), F.col("node") == F.col("s_node"), "left").filter("first is null or nth = first")
+    reps = alone.unionByName(firsts.select(*alone.columns))
 
     buckets = reps.select("node", F.explode("keys").alias("key"))
     ends = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
@@ -452,14 +486,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
         if not rest.isEmpty():
             comps = _components(links.unionByName(_verified(rest, texts, similarity)))
 
-    homes = copies.withColumnRenamed("node", "c_node").withColumnRenamed("first", "c_first")
-    slim = sketched.select("doc_id", "tid", "node").join(homes, F.col("node") == F.col("c_node"), "left")
-    slim = slim.select("doc_id", "tid", "node", F.coalesce("c_first", "node").alias("id")).join(comps, "id", "left")
-    named = scratch.written(slim.select("doc_id", "tid", "node", F.coalesce("comp", "id").alias("comp")), "named")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tid", "node")
-    classes = named.groupBy("comp").agg(F.min(order).alias("first"), F.count("*").alias("n_class"))
-    return named.join(classes, "comp").select(
-        "doc_id", "tid", F.col("first.doc_id").alias("class_id"), "n_class", (F.col("node") == F.col("first.node")).alias("is_kept")
+    # A text without words is alone; aggregates are written before they are joined, so that AQE can split a large class.
+    slim = sketched.select("doc_id", "tid", "nth", "node", F.when(F.col("n_words") == 0, F.col("nth")).otherwise(-1).alias("lone"))
+    slim = slim.join(comps, F.col("node") == F.col("id"), "left")
+    named = scratch.written(slim.select("doc_id", "tid", "nth", "lone", F.coalesce("comp", "node").alias("comp")), "named")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tid", "nth")
+    classes = scratch.written(named.groupBy("comp", "lone").agg(F.min(order).alias("first"), F.count("*").alias("n_class")), "class-sizes")
+    return named.join(classes, ["comp", "lone"]).select(
+        "doc_id", "tid", F.col("first.doc_id").alias("class_id"), "n_class", (F.col("nth") == F.col("first.nth")).alias("is_kept")
     )
 
 

@@ -4,19 +4,20 @@ ROUNDS of recompression rewrite every document at once: runs of one symbol
 become one symbol, then pairs whose left symbol is in the round's left half and
 whose right symbol is in its right half become one.  A symbol's name is a
 64-bit hash of what it stands for and halves are chosen by a hash of the name,
-so names agree over all documents and executors without any exchange, and
-equal substrings get equal interior symbols.  Each symbol also carries the
-range of words on which its existence depends (its neighbours decide where
-runs and pairs end); a symbol whose range lies inside a window is the same in
-every copy of the window.
+so names agree over all documents and executors without an exchange of
+dictionaries, and equal substrings get equal interior symbols.  Each symbol
+also carries the range of words on which its existence depends (its neighbours
+decide where runs and pairs end); a symbol whose range lies inside a window is
+the same in every copy of the window.
 
 Each window of `window` words is filed under the least of its high-level
 symbols (with the words of their ranges); a window with none, as inside one
 long run, under its own content.  Neighbouring windows filed under one symbol
 form a segment.  Spark then (1) finds symbols shared by documents, (2) settles
 segments whose whole content is shared with an earlier document, and (3) only
-where segments of one symbol differ compares their windows one by one.
-Contents are compared by symbol and content hash together, 128 bits.
+where segments of one symbol differ compares their windows one by one.  Names
+only bring segments together: two are equal if and only if the 128-bit BLAKE2b
+digests of their words' bytes are, so names that clash change nothing.
 """
 
 from __future__ import annotations
@@ -85,8 +86,8 @@ def recompress(symbols: np.ndarray, ptr: np.ndarray, rounds: int = ROUNDS) -> tu
     return name, lo, hi
 
 
-def window_symbols(found: words.Words, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, symbol) of every window of a slice, and the prefix hashes of its words."""
+def window_symbols(found: words.Words, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, symbol) of every window of a slice."""
     prefix = words.prefix_hashes(found.hash)
     name, lo, hi = recompress(found.hash, found.ptr, rounds)
     n_windows = np.maximum(np.diff(found.ptr) - window + 1, 0)
@@ -103,7 +104,7 @@ def window_symbols(found: words.Words, window: int = WINDOW, rounds: int = ROUND
         symbol[some] = np.minimum(least[first[some]], least[last[some] - size])
         least = np.minimum(least[: max(len(least) - size, 0)], least[size:])
         size *= 2
-    return row, start, symbol, prefix
+    return row, start, symbol
 
 
 def _pass(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
@@ -116,7 +117,7 @@ def _segments(window: int, rounds: int):
             column = batch.column("text")
             for lo, hi in words.slices(column):
                 found = words.scan(column.slice(lo, hi - lo))
-                row, start, symbol, prefix = window_symbols(found, window, rounds)
+                row, start, symbol = window_symbols(found, window, rounds)
                 if not len(row):
                     continue
                 head = np.ones(len(row), bool)
@@ -124,9 +125,9 @@ def _segments(window: int, rounds: int):
                 first = np.flatnonzero(head)
                 many = np.diff(np.append(first, len(row)))
                 at = start[first]
-                content = words.range_hash(prefix, at, at + many - 1 + window)
+                content = found.digests(at, at + many - 1 + window)
                 yield pa.record_batch(
-                    [*_pass(batch, lo + row[first]), pa.array(words.signed(symbol[first])), pa.array(words.signed(content)), pa.array((at - found.ptr[row[first]]).astype(np.int32)), pa.array(many.astype(np.int32))],
+                    [*_pass(batch, lo + row[first]), pa.array(words.signed(symbol[first])), pa.array(content, pa.binary()), pa.array((at - found.ptr[row[first]]).astype(np.int32)), pa.array(many.astype(np.int32))],
                     ["doc_id", "tid", "symbol", "content", "pos", "n"],
                 )
 
@@ -139,7 +140,6 @@ def _windows(window: int):
             column, spans = batch.column("text"), batch.column("open")
             for lo, hi in words.slices(column):
                 found = words.scan(column.slice(lo, hi - lo))
-                prefix = words.prefix_hashes(found.hash)
                 part = spans.slice(lo, hi - lo)
                 of = np.repeat(np.arange(hi - lo), pc.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False))
                 x = part.flatten()
@@ -149,9 +149,9 @@ def _windows(window: int):
                 rep = np.repeat(np.arange(len(n)), n)
                 at = pos[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
                 start = found.ptr[of[rep]] + at
-                own = words.range_hash(prefix, start, start + window)
+                own = found.digests(start, start + window)
                 yield pa.record_batch(
-                    [*_pass(batch, lo + of[rep]), pa.array(symbol[rep]), pa.array(words.signed(own)), pa.array(at.astype(np.int32))],
+                    [*_pass(batch, lo + of[rep]), pa.array(symbol[rep]), pa.array(own, pa.binary()), pa.array(at.astype(np.int32))],
                     ["doc_id", "tid", "symbol", "content", "pos"],
                 )
 
@@ -183,7 +183,7 @@ def _repeats(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     """doc_id, tid, spans: array of (pos, n) for n windows from word pos that an earlier document holds."""
     id_type = docs.schema["doc_id"].dataType
     ids = [T.StructField("doc_id", id_type), T.StructField("tid", T.LongType())]
-    hashes = [T.StructField("symbol", T.LongType()), T.StructField("content", T.LongType()), T.StructField("pos", T.IntegerType())]
+    hashes = [T.StructField("symbol", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("pos", T.IntegerType())]
     rows = scratch.keyed(docs).filter(F.col("doc_id").isNotNull())
     segments = scratch.written(map_arrow(rows, _segments(window, rounds), T.StructType([*ids, *hashes, T.StructField("n", T.IntegerType())])), "segments")
     names = segments.groupBy("symbol").agg(

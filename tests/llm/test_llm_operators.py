@@ -63,6 +63,27 @@ def test_words_are_those_of_the_pattern():
     assert len(by_hash) == len({w for t in texts for w in split_words(t)})
 
 
+def thue_morse(n, letters):
+    """Sequences on which every polynomial hash modulo 2**64 collides once n reaches 2048."""
+    return [letters[bin(i).count("1") % 2] for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_names_tell_thue_morse_apart(n):
+    x, y = (thue_morse(n, p) for p in ("ab", "ba"))
+    got = words.scan(pa.array(["".join(x), "".join(y), " ".join(x), " ".join(y)]))
+    assert got.hash[0] != got.hash[1]
+    prefix = words.prefix_hashes(got.hash)
+    a, b = words.range_hash(prefix, got.ptr[2:4], got.ptr[3:5])
+    assert a != b
+
+
+def test_products_modulo_the_prime():
+    a, b = rng.integers(0, words.PRIME, (2, 2000), dtype=np.uint64)
+    a[:4], b[:4] = [0, 1, words.PRIME - 1, words.PRIME - 1], [5, words.PRIME - 1, words.PRIME - 1, 2]
+    assert [int(x) * int(y) % words.PRIME for x, y in zip(a, b)] == words.mulmod(a, b).tolist()
+
+
 def test_slices_cover_all_rows():
     import pyarrow as pa
 
@@ -282,6 +303,28 @@ def test_repeats_are_cut_exactly(docs, none, window, rounds):
     assert recompression.remove_repeats(none, window, rounds).count() == 0
 
 
+def test_repeats_are_told_by_the_words_themselves(spark):
+    """Documents that differ in one long word, or in their order alone, share no window."""
+    x, y = (thue_morse(4096, p) for p in ("ab", "ba"))
+    tail = [f"t{i}" for i in range(50)]
+    rows = [(1, " ".join(["".join(x), *tail])), (2, " ".join(["".join(y), *tail[:49], "end"])), (3, " ".join(x)), (4, " ".join(y))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for window in (50, 4000):
+        first, want = {}, {}
+        for i, t in rows:
+            w, gone = t.split(), set()
+            for k in range(len(w) - window + 1):
+                if first.setdefault(tuple(w[k : k + window]), i) < i:
+                    gone.update(range(k, k + window))
+            want[i] = len(gone)
+        assert {r["doc_id"]: r["n_removed"] for r in recompression.remove_repeats(d, window).select("row.doc_id", "n_removed").collect()} == want
+    short = spark.createDataFrame([(3, " ".join(x[:2048])), (4, " ".join(y[:2048]))], "doc_id bigint, text string")
+    names = [np.array([ord(w) for w in t[:2048]], np.uint64) for t in (x, y)]
+    near = order_minhash.alignment_distance(*names, 409) <= 409
+    out = order_minhash.near_duplicates(short).collect()
+    assert sum(r["is_kept"] for r in out) == len({r["class_id"] for r in out}) and (near or len({r["class_id"] for r in out}) == 2)
+
+
 def test_interior_symbols_agree():
     """A symbol whose range lies in a window is there in every copy of the window."""
     generator = np.random.default_rng(3)
@@ -351,6 +394,40 @@ def test_near_copies_meet_and_others_do_not(spark):
     assert sum(r["is_kept"] for r in got) == len(by_class)
 
 
+def test_classes_follow_from_the_texts(spark):
+    """However rows are dealt and ordered, links and classes are the same."""
+    rows = [(i * 10 + j, changed(prose(25 + 9 * i, 700 + i), share, i * 10 + j)) for i in range(20) for j, share in enumerate((0, 0.05, 0.1, 0.15, 0.19))]
+    rows += [(500 + i, rows[7][1]) for i in range(5)] + [(600, ""), (601, None), (600, "")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [sorted(map(str, order_minhash.near_duplicates(x).drop("tid").collect())) for x in (d.repartition(3), d.repartition(7, "text"), d.orderBy(F.desc("text")))]
+    assert got[0] == got[1] == got[2]
+
+
+def test_nodes_that_clash_are_named_anew(spark):
+    d = spark.createDataFrame([(1, 10, 3, 7, 1), (2, 10, 3, 7, 2), (3, 11, 3, 7, 3), (4, 12, 3, 8, 4)], "doc_id bigint, check bigint, n_words bigint, node bigint, nth bigint")
+    got, same = order_minhash._settled(d)
+    nodes = {r["doc_id"]: r["node"] for r in got.collect()}
+    assert nodes[1] == nodes[2] != nodes[3] and nodes[4] == 8 and len(set(nodes.values())) == 3
+    assert [(r["s_node"], r["first"], r["n"]) for r in same.collect()] == [(nodes[1], 1, 2)]
+
+
+@pytest.mark.parametrize("n_words", [30, 60, 100, 200, 1000])
+def test_recall_from_the_threshold_up(n_words):
+    """Of pairs right at the threshold, by scattered replacements, 0.9 share a bucket (less twice the standard error of a sample)."""
+    g = np.random.default_rng(n_words)
+    pairs = 400 if n_words < 1000 else 100
+    texts = []
+    for _ in range(pairs):
+        base = [f"r{x}" for x in g.integers(0, 10**6, n_words)]
+        other = list(base)
+        for i in g.choice(n_words, order_minhash.allowed(n_words, 0.8), replace=False):
+            other[i] = f"e{g.integers(10**6)}"
+        texts += [" ".join(base), " ".join(other)]
+    keys = order_minhash.all_sketches(words.scan(pa.array(texts)), order_minhash.K, order_minhash.SKETCHES, order_minhash.ELL)
+    met = np.mean([bool(set(a) & set(b)) for a, b in zip(keys[::2], keys[1::2])])
+    assert met >= (0.87 if pairs == 400 else 0.84)
+
+
 def test_every_copy_of_a_star_is_found(spark):
     """400 copies, each 12 to 15% away from one original and more from each other: those that share a bucket with it are in its class."""
     g = np.random.default_rng(5)
@@ -363,7 +440,7 @@ def test_every_copy_of_a_star_is_found(spark):
         rows.append((i, " ".join(words_)))
     rows.insert(150, (1000, text))  # not the first or last node of its buckets
     found = words.scan(pa.array([t for _, t in rows]), words.WHITE, words.FOLD)
-    keys = order_minhash.sketches(*order_minhash.labelled_kmers(found), len(rows))
+    keys = np.array(order_minhash.all_sketches(found, order_minhash.K, order_minhash.SKETCHES, order_minhash.ELL))
     meets = {rows[i][0] for i in np.flatnonzero((keys == keys[150]).any(1))}
     got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     classes = {r["doc_id"]: r["class_id"] for r in got}
