@@ -567,6 +567,57 @@ def test_feistel_is_a_permutation(n):
         assert (training_order.feistel(np.arange(n), n, 18) != out).mean() > 0.9
 
 
+def scalar_feistel(x, n, seed, rounds=6):
+    """The permutation in plain integers."""
+    low = 2**64 - 1
+
+    def mix(v):
+        v = (v ^ (v >> 30)) * 0xBF58476D1CE4E5B9 & low
+        v = (v ^ (v >> 27)) * 0x94D049BB133111EB & low
+        return v ^ (v >> 31)
+
+    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+    while True:
+        left, right = x >> half, x & ((1 << half) - 1)
+        for k in range(1, rounds + 1):
+            left, right = right, left ^ (mix(right ^ mix((k * 0x9E3779B97F4A7C15 + seed) & low)) & ((1 << half) - 1))
+        x = (left << half) | right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 5, 1000, 70_000])
+def test_feistel_is_that_of_plain_integers(n):
+    some = range(0, n, max(1, n // 50))
+    assert training_order.feistel(np.array(list(some)), n, 17).tolist() == [scalar_feistel(x, n, 17) for x in some]
+
+
+def test_slots_follow_from_the_data(docs):
+    """However rows are dealt, a sequence has its slot: the permuted rank by a hash of document, text and position."""
+    got = [sorted((r["slot"], repr(r["doc_id"]), r["seq"], bytes(r["ids"])) for r in training_order.training_order(d, length=64).collect()) for d in (docs, docs.repartition(1), docs.repartition(6, "text"))]
+    assert got[0] == got[1] == got[2]
+    keys = docs.filter("text is not null").select("doc_id", scratch.text_id().alias("tid")).collect()
+    n = len(got[0])
+    assert len({s for s, *_ in got[0]}) == n and len(keys) == len([t for _, t, _ in TEXTS if t is not None])
+
+
+def test_long_runs_pass_the_tokenizer(spark):
+    texts = [" " * 1_000_000, "a" + "\n \t" * 2_000 + "b", "x" + " " * 3_000, "#" * 300_000, " \n" * 700 + "word's", "a\u3000" + "\u3000" * 2_500 + "1"]
+    own = training_order.encoding()
+    for t in texts[1:]:
+        try:
+            want = own.encode_ordinary(t)
+        except BaseException:
+            continue
+        assert training_order.encode(own, t) == want
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ids = defaultdict(dict)
+    for r in training_order.training_order(d).collect():
+        ids[r["doc_id"]][r["seq"]] = np.frombuffer(r["ids"], np.uint16)[: r["n_tokens"]]
+    for i, t in enumerate(texts):
+        assert own.decode(np.concatenate([ids[i][k] for k in sorted(ids[i])])[:-1].tolist()) == t
+
+
 def test_shards_round_trip(docs, none, tmp_path):
     ordered = training_order.training_order(docs, length=64, shard_sequences=50).cache()
     rows = ordered.collect()
