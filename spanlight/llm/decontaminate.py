@@ -3,13 +3,14 @@
 A window (`width` consecutive item words; a shorter item whole) is the set of
 its shingles of up to SHINGLE words.  To hold the window a document must hold
 all of them, so one shingle is the necessary prefix: the one that the corpus
-holds least often.  Documents join on those prefix shingles alone; the place
-of the shingle in its window bounds where the window can start and whether it
-fits, and what is left is compared word by word.
-
-Items come in blocks of at most BLOCK_BYTES of text; each block is broadcast
-and every document passes the blocks one after the other, so neither side is
-ever shuffled and any number of items works.
+holds least often.  Spark joins documents and windows on those prefix shingles
+alone.  The place of the shingle in its window bounds where the window can
+start and whether it fits in the document, and what is left is compared word
+by word.
+
+Both sides of every join are tables.  What is broadcast is a filter of a fixed
+size that tells which of a document's shingles are worth a row; where items
+outgrow it, more rows reach the join, and none is lost.
 """
 
 from __future__ import annotations
@@ -18,175 +19,186 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ship import map_arrow
-from . import words
+from . import scratch, words
 
 SHINGLE = 3
 WIDTH = 10
-BLOCK_BYTES = 4 << 20
+#: Bits of the shingle filter, at least and at most (1 and 16 MB); 32 bits for each shingle within these bounds.
+FILTER_BITS, FILTER_BITS_MAX = 1 << 23, 1 << 27
 
+_U = np.uint64
+#: What parts words, on the text as it is: A-Z count as letters.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _scan(column: pa.Array) -> words.Words:
+    return words.scan(column, words.NOT_ALNUM, words.FOLD)
 
-def _windows(texts: list[str], width: int) -> list[list[tuple[bytes, ...]]]:
-    """The windows of each text, as tuples of words."""
-    found = words.scan(pa.array(texts, pa.string()), words.NOT_ALNUM, words.FOLD)
-    out = []
-    for lo, hi in zip(found.ptr[:-1], found.ptr[1:]):
-        own = [found.text(i) for i in range(lo, hi)]
-        out.append([tuple(own[i : i + width]) for i in range(max(1, len(own) - width + 1))] if own else [])
-    return out
 
+def _starts(count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, first[group] + 0 .. count[group] - 1), one after the other."""
+    group = np.repeat(np.arange(len(count)), count)
+    return group, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[group]
+
+
+def _item_windows(width: int):
+    """(item, window, n, shingle, at) of every shingle of every window of an item; window is its words, joined by a space."""
 
-class Block:
-    """Windows of some items with their shingles; prefixes once the shingles are counted."""
-
-    def __init__(self, items: list[tuple[str, str]], width: int):
-        where: dict[tuple[bytes, ...], set[str]] = {}
-        for (item, _), found in zip(items, _windows([t for _, t in items], width)):
-            for w in found:
-                where.setdefault(w, set()).add(item)
-        self.windows = list(where)
-        self.items = [sorted(where[w]) for w in self.windows]
-        flat = words.scan(pa.array([b" ".join(w).decode("utf-8", "surrogatepass") if w else "" for w in self.windows], pa.string()))
-        self.hashes = [flat.hash[a:b] for a, b in zip(flat.ptr[:-1], flat.ptr[1:])]
-        self.shingles = [self._shingles(h) for h in self.hashes]
-        self.all = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.shingles]))
-        self.sizes = sorted({min(SHINGLE, len(h)) for h in self.hashes})
-
-    @staticmethod
-    def _shingles(h: np.ndarray) -> np.ndarray:
-        s = min(SHINGLE, len(h))
-        at = np.arange(len(h) - s + 1)
-        return words.range_hash(words.prefix_hashes(h), at, at + s)
-
-    def order(self, counts: dict[int, int]) -> None:
-        """Choose each window's rarest shingle; ties go to the least hash."""
-        prefix = []
-        for i, own in enumerate(self.shingles):
-            at = min(range(len(own)), key=lambda k: (counts.get(int(own[k]), 0), int(own[k])))
-            prefix.append((int(own[at]), at, i))
-        prefix.sort()
-        self.prefix = np.array([p[0] for p in prefix], np.uint64)
-        self.at = np.array([p[1] for p in prefix], np.int64)
-        self.window = np.array([p[2] for p in prefix], np.int64)
-        self.length = np.array([len(self.hashes[i]) for i in self.window], np.int64)
-        self.whole = np.array([words.range_hash(words.prefix_hashes(self.hashes[i]), np.array([0]), np.array([len(self.hashes[i])]))[0] for i in self.window], np.uint64)
-
-    def shingles_of(self, found: words.Words, prefix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(start words, hashes) of the shingles of each size that lie in one row."""
-        ends = np.repeat(found.ptr[1:], np.diff(found.ptr))
-        at = np.arange(len(found.hash))
-        for s in self.sizes:
-            ok = at[at + s <= ends]
-            yield ok, words.range_hash(prefix, ok, ok + s)
-
-
-def _held(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), bool)
-    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
-
-
-def _count(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(block.all), np.int64)
         for batch in batches:
             column = batch.column("text")
             for lo, hi in words.slices(column):
-                found = words.scan(column.slice(lo, hi - lo), words.NOT_ALNUM, words.FOLD)
-                for _, own in block.shingles_of(found, words.prefix_hashes(found.hash)):
-                    hit = own[_held(block.all, own)]
-                    total += np.bincount(np.searchsorted(block.all, hit), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(words.signed(block.all[some])), pa.array(total[some])], ["shingle", "n"])
+                found = _scan(column.slice(lo, hi - lo))
+                prefix = words.prefix_hashes(found.hash)
+                many = np.diff(found.ptr)
+                row, start = _starts(np.where(many > 0, np.maximum(many - width + 1, 1), 0), found.ptr[:-1])
+                n = np.minimum(many[row], width)
+                s = np.minimum(n, SHINGLE)
+                which, at = _starts(n - s + 1, start)
+                shingle = words.range_hash(prefix, at, at + s[which])
+                text = [found.joined[a : b - 1].tobytes() for a, b in zip(found.at[start].tolist(), found.at[start + n].tolist())]
+                window = pa.array(text, pa.binary()).cast(pa.string()).take(pa.array(which))
+                yield pa.record_batch(
+                    [batch.column("item").take(pa.array(lo + row[which])), window, pa.array(n[which].astype(np.int32)), pa.array(words.signed(shingle)), pa.array((at - start[which]).astype(np.int32))],
+                    ["item", "window", "n", "shingle", "at"],
+                )
 
     return run
 
 
-def _merge(spans: list[tuple[int, int]]) -> list[int]:
-    out: list[int] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
+def _bits(rows: list, bits: int) -> np.ndarray:
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[(r["f_bucket"] - 1) * 4096 : r["f_bucket"] * 4096] = np.frombuffer(r["f_bits"], np.uint8)
     return out
 
 
-def _annotate(block: Block):
+class Filter:
+    """A set of shingle hashes by `bits` bits, for numpy."""
+
+    def __init__(self, shingles: DataFrame, key: str = "shingle"):
+        n = shingles.count()
+        self.bits = min(max(FILTER_BITS, 1 << (32 * n).bit_length()), FILTER_BITS_MAX)
+        at = (F.shiftrightunsigned(F.col(key), 64 - self.bits.bit_length() + 1) + 1).alias("at")
+        rows = shingles.select(at).groupBy(F.bitmap_bucket_number("at").alias("f_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("f_bits"))
+        held = _bits(rows.collect(), self.bits)  # FILTER_BITS_MAX / 8 bytes at most
+        self.held = shingles.sparkSession.sparkContext.broadcast(held)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        at = (x >> _U(64 - self.bits.bit_length() + 1)).astype(np.int64)
+        return (self.held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _doc_shingles(found: words.Words, sizes: list[int], may: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, start words, hashes) of the shingles of each size within one row that the filter lets pass."""
+    prefix = words.prefix_hashes(found.hash)
+    ends = np.repeat(found.ptr[1:], np.diff(found.ptr))
+    at = np.arange(len(found.hash))
+    for s in sizes:
+        start = at[at + s <= ends]
+        own = words.range_hash(prefix, start, start + s)
+        some = may(own)
+        yield s, start[some], own[some]
+
+
+def _counted(sizes: list[int], may: Filter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
-            n_words = np.zeros(len(column), np.int64)
-            spans = [list(zip(s[::2], s[1::2])) for s in batch.column("spans").to_pylist()]
-            items = [set(x) for x in batch.column("items").to_pylist()]
-            touched = np.zeros(len(column), bool)
             for lo, hi in words.slices(column):
-                found = words.scan(column.slice(lo, hi - lo), words.NOT_ALNUM, words.FOLD)
-                n_words[lo:hi] = np.diff(found.ptr)
-                prefix = words.prefix_hashes(found.hash)
+                for _, _, own in _doc_shingles(_scan(column.slice(lo, hi - lo)), sizes, may):
+                    value, n = np.unique(own, return_counts=True)
+                    yield pa.record_batch([pa.array(words.signed(value)), pa.array(n)], ["shingle", "n"])
+
+    return run
+
+
+def _met(sizes: list[int], may: Filter, width: int):
+    """(doc_id, tid, shingle, pos, near, context): context holds the words from `near` on that a window around the shingle can reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("text")
+            for lo, hi in words.slices(column):
+                found = _scan(column.slice(lo, hi - lo))
                 row = found.row
-                for at, own in block.shingles_of(found, prefix):
-                    some = _held(block.prefix, own)
-                    at, own = at[some], own[some]
-                    first = np.searchsorted(block.prefix, own, "left")
-                    many = np.searchsorted(block.prefix, own, "right") - first
-                    which = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else first
-                    at = np.repeat(at, many)
-                    start = at - block.at[which]
-                    r = row[at]
-                    fits = (start >= found.ptr[r]) & (start + block.length[which] <= found.ptr[r + 1])
-                    start, which, r = start[fits], which[fits], r[fits]
-                    same = words.range_hash(prefix, start, start + block.length[which]) == block.whole[which]
-                    for s, w, k in zip(start[same].tolist(), block.window[which[same]].tolist(), r[same].tolist()):
-                        own_words = block.windows[w]
-                        if all(found.text(s + i) == x for i, x in enumerate(own_words)):
-                            base = s - int(found.ptr[k])
-                            spans[lo + k].append((base, base + len(own_words)))
-                            items[lo + k].update(block.items[w])
-                            touched[lo + k] = True
-            flat = [_merge(s) if t else [x for p in s for x in p] for s, t in zip(spans, touched)]
-            yield pa.record_batch(
-                [batch.column("row"), column, pa.array(n_words), pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                ["row", "text", "n_words", "spans", "items"],
-            )
+                for s, start, own in _doc_shingles(found, sizes, may):
+                    r = row[start]
+                    a = np.maximum(start - (width - s), found.ptr[r])
+                    b = np.minimum(start + width, found.ptr[r + 1])
+                    context = [found.joined[x : y - 1].tobytes() for x, y in zip(found.at[a].tolist(), found.at[b].tolist())]
+                    of = pa.array(lo + r)
+                    yield pa.record_batch(
+                        [*(batch.column(c).take(of) for c in ("doc_id", "tid")), pa.array(words.signed(own)), pa.array(start - found.ptr[r]), pa.array(a - found.ptr[r]), pa.array(context, pa.binary()).cast(pa.string())],
+                        ["doc_id", "tid", "shingle", "pos", "near", "context"],
+                    )
 
     return run
 
 
+def _prefixes(pairs: DataFrame, docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """window, n, shingle, at: the shingle of each window that the corpus holds least often, as a written table; ties go to the least hash."""
+    distinct = scratch.written(pairs.select("shingle").distinct(), "shingles")
+    counts = map_arrow(docs.select("text"), _counted(sizes, Filter(distinct)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("count"))
+    counts = scratch.written(counts.join(distinct, "shingle", "left_semi"), "shingle-counts")
+    rare = pairs.select("window", "n", "shingle", "at").distinct().join(counts, "shingle", "left")
+    # A window that holds a shingle which no document has can't occur.
+    least = rare.groupBy("window", "n").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "at")).alias("p"))
+    return scratch.written(least.filter("p.count > 0").select("window", "n", "p.shingle", "p.at"), "prefixes")
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """row, n_words, spans, items of every row of docs.
 
-    row is the whole input row; spans holds start, end, start, end, ... of the
-    word ranges that windows cover, merged; items the ids, as sorted strings,
-    of the items that have an occurring window.  A null text has no words; an
-    item with a null id or no words has no windows; repeated items share their
-    windows.  An empty benchmark gives empty spans, an empty table no rows.
+    row is the whole input row; spans holds (start, n) of each window that
+    occurs, by start; items the ids, as sorted strings, of the items that have
+    an occurring window.  A null text has no words; an item without words has
+    no windows, one with a null id has windows but no place in items; repeated
+    items share their windows.  An empty benchmark gives empty spans, an empty
+    table no rows.
     """
-    spark = docs.sparkSession
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text")).withColumns(
-        {"n_words": F.lit(0).cast("bigint"), "spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")}
-    )
-    schema = T.StructType([*out.schema.fields])
-    known = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
-    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    blocks = size // BLOCK_BYTES + 1
-    for b in range(blocks):
-        rows = known.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        block = Block([(r["item"], r["text"]) for r in rows], width)
-        if block.windows:
-            counted = map_arrow(docs.select(F.col("text").cast("string").alias("text")), _count(block), "shingle bigint, n bigint")
-            counts = counted.groupBy("shingle").agg(F.sum("n").alias("n")).collect()  # at most the shingles of one block
-            block.order({r["shingle"] & (2**64 - 1): r["n"] for r in counts})
-        else:
-            block.order({})
-        out = map_arrow(out, _annotate(block), schema)
-    return out.drop("text")
-
-
-def covered_words(spans: str = "spans"):
-    """Number of words in merged spans, as a column."""
-    return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    known = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    pairs = scratch.written(map_arrow(known, _item_windows(width), "item string, window string, n int, shingle bigint, at int"), "windows")
+    sizes = sorted(r["s"] for r in pairs.select(F.least("n", F.lit(SHINGLE)).alias("s")).distinct().collect())  # SHINGLE numbers at most
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), scratch.text_id(F.col("text").cast("string")).alias("tid"))
+    prefixes = _prefixes(pairs, rows, sizes)
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("tid", "shingle", "pos", "near")), T.StructField("context", T.StringType())])
+    # Written first, so that AQE can split a shingle that very many documents hold.
+    met = scratch.written(map_arrow(rows, _met(sizes, Filter(prefixes.select("shingle").distinct()), width), schema), "met")
+    start = F.col("pos") - F.col("at")
+    inner = start - F.col("near")
+    parts = F.split("context", " ")
+    fits = (inner >= 0) & (inner + F.col("n") <= F.size(parts))
+    same = F.array_join(F.slice(parts, F.greatest(inner, F.lit(0)).cast("int") + 1, F.col("n")), " ") == F.col("window")
+    hits = met.join(prefixes, "shingle").filter(fits).filter(same).select("doc_id", "tid", start.alias("start"), "n", "window").distinct()
+    hits = scratch.written(hits, "hits")
+    spans = hits.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans"))
+    held = hits.select("doc_id", "tid", "window").distinct()
+    of = scratch.written(pairs.filter("item is not null").select("window", "item").distinct(), "window-items")
+    items = held.join(of, "window").groupBy("doc_id", "tid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = spans.join(items, (spans["doc_id"].eqNullSafe(items["doc_id"])) & (spans["tid"] == items["tid"]), "left")
+    found = scratch.written(found.select(spans["doc_id"].alias("h_id"), spans["tid"].alias("h_tid"), "spans", "items"), "found")
+    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("r_id"), scratch.text_id(F.col("text").cast("string")).alias("r_tid"))
+    some, clean = scratch.split_by_ids(every, found.select(F.col("h_tid").alias("r_tid")), "r_tid")
+    joined = some.join(found, F.col("r_id").eqNullSafe(F.col("h_id")) & (F.col("r_tid") == F.col("h_tid")), "left").select("row", "spans", "items")
+    empty = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("spans", "items")]
+    out = joined.unionByName(clean.select("row", *empty))
+    n_words = F.regexp_count(F.coalesce(F.col("row.text").cast("string"), F.lit("")), F.lit(WORD)).cast("bigint")
+    return out.select("row", n_words.alias("n_words"), *[F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "items")])
+
+
+def covered_words(spans: str = "spans") -> Column:
+    """Number of words in spans sorted by start, as a column."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto"))
+
+    def step(s: Column, x: Column) -> Column:
+        end = x["start"] + x["n"]
+        fresh = F.greatest(end - F.greatest(s["upto"], x["start"]), F.lit(0))
+        return F.struct((s["n"] + fresh).alias("n"), F.greatest(s["upto"], end).alias("upto"))
+
+    return F.aggregate(spans, zero, step, lambda s: s["n"])

@@ -245,9 +245,11 @@ def test_mixed_rows_are_whole(docs, none):
 BENCH = [(1, "The Quick, brown fox; jumps over the lazy dog near a river bank"), (2, "short item"), (3, None), (None, "w1 w2 w3"), (4, ""), (5, "..."), (2, "short item"), (6, " ".join(PASSAGE.split()[5:17])), (7, "naïve")]
 
 
-@pytest.mark.parametrize("width, block", [(10, 4 << 20), (4, 40)])
-def test_windows_are_found_exactly(spark, docs, monkeypatch, width, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("width, bits", [(10, 1 << 23), (4, 1 << 15)])
+def test_windows_are_found_exactly(spark, docs, monkeypatch, width, bits):
+    """A filter with too few bits lets everything pass, and nothing changes."""
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS_MAX", bits)
     more = docs.select("doc_id", "text").unionByName(
         spark.createDataFrame([(50, "the quick brown FOX jumps over the lazy dog near a river bank"), (51, "Quick brown fox jumps over the lazy dog near a river bank"), (52, "a short-item, SHORT ITEM"), (53, "quick brown")], "doc_id bigint, text string")
     )
@@ -257,15 +259,15 @@ def test_windows_are_found_exactly(spark, docs, monkeypatch, width, block):
     for i, t in BENCH:
         w = of(t)
         for k in range(max(1, len(w) - width + 1)):
-            if w and i is not None:
-                where[tuple(w[k : k + width])].add(str(i))
+            if w:
+                where[tuple(w[k : k + width])] |= {str(i)} if i is not None else set()
     want = []
     for r in more.collect():
         w, hit, items = of(r["text"]), set(), set()
         for n in {len(x) for x in where}:
             for k in range(len(w) - n + 1):
-                if found := where.get(tuple(w[k : k + n])):
-                    items |= found
+                if tuple(w[k : k + n]) in where:
+                    items |= where[tuple(w[k : k + n])]
                     hit.update(range(k, k + n))
         want.append((r["doc_id"], len(w), len(hit), sorted(items)))
     bench = spark.createDataFrame(BENCH, "item_id bigint, text string")
@@ -275,7 +277,7 @@ def test_windows_are_found_exactly(spark, docs, monkeypatch, width, block):
 
 def test_no_benchmark_finds_nothing(spark, docs, none):
     empty = spark.createDataFrame([], "item_id bigint, text string")
-    assert decontaminate.find_benchmark(docs, empty).filter("size(items) > 0").count() == 0
+    assert decontaminate.find_benchmark(docs, empty).filter("size(items) > 0 or size(spans) > 0").count() == 0
     assert decontaminate.find_benchmark(none, spark.createDataFrame(BENCH, "item_id bigint, text string")).count() == 0
 
 
