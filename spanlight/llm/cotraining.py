@@ -3,29 +3,36 @@
 Two logistic models look at one document through different columns: the text
 model at hashed words and coarse shares of its characters, the metadata model
 at source, language and length only.  For each target (low quality, toxic)
-they train on a bounded sample of labelled rows, label a bounded sample of
-unlabelled rows, and hand the labels they are confident of to each other, over
-ROUNDS.  Both views are calibrated on held-out labelled rows and combined
-there; the combined model then scores every document in one pass.
+they are fitted on a bounded sample of labelled rows.  Then, round by round,
+each view labels every document outside the sample, in one pass over the
+corpus, and what it is confident of teaches the other view: the pass returns
+sums by feature (documents, positives, gradient and curvature of the loss at
+the weights at hand), whose number does not depend on the corpus, and the next
+fit adds that quadratic to the labelled rows' own loss.  Both views are
+calibrated on held-out labelled rows, combined on others, and the combined
+model scores every document.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ship import map_arrow
 from . import scratch, words
 
-#: Bounds of the samples that are fitted on; those of least hashed id are taken.
-LABELLED_MAX, POOL_MAX = 12_000, 6_000
+#: Bounds of the labelled sample, in rows and in text features; rows of least hashed id are taken.
+LABELLED_MAX, FEATURES_MAX = 12_000, 8_000_000
+#: What all pseudo-labels weigh together at most, as a share of the labelled rows.
+TAUGHT_SHARE = 0.3
+MIN_ROWS = 5
 ROUNDS = 3
 CONFIDENT = 0.97
 REJECT_AT = 0.5
@@ -124,32 +131,58 @@ class Linear:
         return _sums(self._dense, x.index, x.ptr) + self.bias
 
 
-def fit_logistic(x: Rows, y: np.ndarray, size: int, weight: np.ndarray, evidence: float, steps: int = 150, rate: float = 0.5, ridge: float = 0.3, min_rows: int = 5) -> Linear:
-    """Logistic regression by Adagrad on the whole sample.
+_FIXED = 1 << 20  # gradients are summed as whole numbers, so that no order of additions matters
 
-    A feature is left out if fewer than min_rows rows have it or if its share
+
+class Taught:
+    """What the other view's confident labels say about one view, by feature; the last feature is the bias."""
+
+    def __init__(self, features: np.ndarray, sums: np.ndarray, before: Linear):
+        self.features, self.before = features, before
+        self.n, self.positive, self.error, self.curve = sums.astype(float)
+
+    def weight(self, rows: int) -> float:
+        return min(1.0, TAUGHT_SHARE * rows / max(self.n[-1], 1.0))
+
+
+def fit_logistic(x: Rows, y: np.ndarray, size: int, evidence: float, taught: Taught | None = None, steps: int = 150, rate: float = 0.5, ridge: float = 0.3) -> Linear:
+    """Logistic regression by Adagrad on the whole sample, and on the quadratic of what was taught.
+
+    A feature is left out if fewer than MIN_ROWS rows have it or if its share
     of positive rows is less than `evidence` standard errors from the overall
     one.
     """
-    seen = np.bincount(x.index, minlength=size)
-    positive = np.bincount(x.index, weights=np.repeat(y * weight, np.diff(x.ptr)), minlength=size)
-    share = (y * weight).sum() / max(weight.sum(), 1e-9)
+    rows = np.bincount(x.index, minlength=size)
+    seen, positive, total, true = rows.astype(float), np.bincount(x.index, weights=np.repeat(y, np.diff(x.ptr)), minlength=size), float(len(y)), float(y.sum())
+    if taught is not None:
+        scale = taught.weight(len(y))
+        seen[taught.features] += scale * taught.n[:-1]
+        positive[taught.features] += scale * taught.positive[:-1]
+        total, true = total + scale * taught.n[-1], true + scale * taught.positive[-1]
+    share = true / max(total, 1e-9)
     z = np.abs(positive - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-    use = (seen >= min_rows) & (z > evidence)
+    use = (rows >= MIN_ROWS) & (z > evidence)
     features = np.flatnonzero(use)
     keep = use[x.index]
     ptr = np.concatenate([[0], np.cumsum(keep)])[x.ptr]
     index = np.searchsorted(features, x.index[keep])
     w, n = np.zeros(len(features)), len(features)
     bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+    slope, curve, start = (np.zeros(size + 1) for _ in range(3))
+    if taught is not None:
+        spots = np.append(taught.features, size)
+        slope[spots], curve[spots] = scale * taught.error / _FIXED, scale * taught.curve / 4
+        start[taught.before.features], start[size] = taught.before.weights, taught.before.bias
+    spots = np.append(features, size)
+    slope, curve, start = slope[spots], curve[spots], start[spots]
     g2, gb2 = np.full(n, 1e-8), 1e-8
     counts = np.diff(ptr)
     for _ in range(steps):
-        error = (_sigmoid(_sums(w, index, ptr) + bias) - y) * weight
-        g = np.bincount(index, weights=np.repeat(error, counts), minlength=n)[:n] + ridge * w
+        error = _sigmoid(_sums(w, index, ptr) + bias) - y
+        g = np.bincount(index, weights=np.repeat(error, counts), minlength=n)[:n] + ridge * w + slope[:-1] + curve[:-1] * (w - start[:-1])
         g2 += g * g
         w -= rate * g / np.sqrt(g2)
-        gb = error.sum()
+        gb = error.sum() + slope[-1] + curve[-1] * (bias - start[-1])
         gb2 += gb * gb
         bias -= rate * gb / np.sqrt(gb2)
     return Linear(size, features, w, bias)
@@ -171,31 +204,65 @@ def fit_dense(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.
     return w
 
 
-def co_train(views: list[Rows], sizes: list[int], y: np.ndarray, hold: np.ndarray, pools: list[Rows], rounds: int = ROUNDS, confident: float = CONFIDENT, evidence: float = 3.0) -> dict:
-    """Models, calibrations and the combination for one target; y and hold are over labelled rows."""
-    train = np.flatnonzero(~hold)
-    held = np.flatnonzero(hold)
-    if not len(train) or not len(held) or y[train].min() == y[train].max():
-        rate = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
-        return {"constant": rate}
-    given: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0))] * 2
-    models, calibrations = [], []
-    for _ in range(rounds):
-        models, calibrations, told = [], [], []
-        for view, size, pool, (rows, labels) in zip(views, sizes, pools, given):
-            base, extra = view.take(train), pool.take(rows)
-            x = Rows(np.concatenate([base.index, extra.index]), np.concatenate([base.ptr, base.ptr[-1] + extra.ptr[1:]]))
-            weight = np.concatenate([np.ones(len(train)), np.full(len(rows), 0.5)])
-            model = fit_logistic(x, np.concatenate([y[train], labels]), size, weight, evidence)
-            calibration = fit_dense(score(model, view.take(held))[:, None], y[held], np.array([1.0, 0.0]))
-            p = _sigmoid(calibration[0] * score(model, pool) + calibration[1])
-            sure = np.flatnonzero((p >= confident) | (p <= 1 - confident))
-            told.append((sure, (p[sure] >= 0.5).astype(float)))
-            models.append(model)
-            calibrations.append(calibration)
-        given = told[::-1]
-    held_scores = np.column_stack([c[0] * score(m, v.take(held)) + c[1] for m, c, v in zip(models, calibrations, views)])
-    return {"models": models, "calibrations": calibrations, "combined": fit_dense(held_scores, y[held], np.array([1.0, 0.3, 0.0]))}
+def teach(views: list[Rows], fitted: dict, features: list[np.ndarray], confident: float = CONFIDENT) -> list[np.ndarray]:
+    """For each view the sums (documents, positives, error, curvature) by feature, and for the bias, over the rows the other view is sure of."""
+    out = [np.zeros((4, len(f) + 1), np.int64) for f in features]
+    if "constant" in fitted:
+        return out
+    raw = [m.score(v) for m, v in zip(fitted["models"], views)]
+    for taught, other in ((0, 1), (1, 0)):
+        c = fitted["calibrations"][other]
+        p = _sigmoid(c[0] * raw[other] + c[1])
+        rows = np.flatnonzero((p >= confident) | (p <= 1 - confident))
+        if not len(rows):
+            continue
+        label = (p[rows] >= 0.5).astype(np.int64)
+        error = np.round((_sigmoid(raw[taught][rows]) - label) * _FIXED).astype(np.int64)
+        x = views[taught].take(rows)
+        own = features[taught]
+        spot = np.minimum(np.searchsorted(own, x.index), max(len(own) - 1, 0))
+        held = own[spot] == x.index if len(own) else np.zeros(len(x.index), bool)
+        many = np.diff(np.concatenate([[0], np.cumsum(held)])[x.ptr])
+        values = np.stack([np.ones_like(label), label, error, many + 1])
+        spot, of = spot[held], np.repeat(np.arange(len(rows)), np.diff(x.ptr))[held]
+        for total, v in zip(out[taught], values):
+            total[:-1] += np.bincount(spot, weights=v[of], minlength=len(own)).astype(np.int64)[: len(own)]
+            total[-1] += v.sum()
+    return out
+
+
+def known_features(views: list[Rows], sizes: list[int], train: np.ndarray) -> list[np.ndarray]:
+    """The features that MIN_ROWS training rows have: all that a model can weigh."""
+    return [np.flatnonzero(np.bincount(v.take(train).index, minlength=s) >= MIN_ROWS) for v, s in zip(views, sizes)]
+
+
+def co_train(views: list[Rows], sizes: list[int], targets: list[np.ndarray], hold: np.ndarray, passed: Callable, rounds: int = ROUNDS, evidence: list[float] = (3.0,)) -> list[dict]:
+    """Models, calibrations and the combination for each target; targets and hold are over labelled rows.
+
+    passed(fitted, features) returns `teach` of all other documents, for each
+    target.  Of the rows held out one half calibrates and the other combines.
+    """
+    train, held = np.flatnonzero(hold == 0), [np.flatnonzero(hold == i) for i in (1, 2)]
+    features = known_features(views, sizes, train)
+    taught: list[list[Taught | None]] = [[None] * len(views)] * len(targets)
+    fitted: list[dict] = []
+    for k in range(rounds):
+        fitted = []
+        for y, given, proof in zip(targets, taught, evidence):
+            if not len(train) or not all(map(len, held)) or y[train].min() == y[train].max():
+                fitted.append({"constant": float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0})
+                continue
+            models = [fit_logistic(v.take(train), y[train], s, proof, t) for v, s, t in zip(views, sizes, given)]
+            calibrations = [fit_dense(score(m, v.take(held[0]))[:, None], y[held[0]], np.array([1.0, 0.0])) for m, v in zip(models, views)]
+            fitted.append({"models": models, "calibrations": calibrations})
+        if k + 1 < rounds and any("models" in f for f in fitted):
+            sums = passed(fitted, features)
+            taught = [[Taught(x, t, m) for x, t, m in zip(features, told, f["models"])] if "models" in f else given for told, f, given in zip(sums, fitted, taught)]
+    for y, f in zip(targets, fitted):
+        if "models" in f:
+            scores = np.column_stack([c[0] * score(m, v.take(held[1])) + c[1] for m, c, v in zip(f["models"], f["calibrations"], views)])
+            f["combined"] = fit_dense(scores, y[held[1]], np.array([1.0, 0.3, 0.0]))
+    return fitted
 
 
 def probability(fitted: dict, views: list[Rows]) -> np.ndarray:
@@ -217,7 +284,30 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in words.slices(batch.column("text")):
             packed = [[v.index[a:b].astype(np.int32).tobytes() for a, b in zip(v.ptr[:-1], v.ptr[1:])] for v in _views(batch, lo, hi)]
-            yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), *(pa.array(p, pa.binary()) for p in packed)], ["doc_id", "text_view", "meta_view"])
+            yield pa.record_batch([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "tid")), *(pa.array(p, pa.binary()) for p in packed)], ["doc_id", "tid", "text_view", "meta_view"])
+
+
+def _teach(fitted: list[dict], features: list[np.ndarray]):
+    """(target, view, feature, and the four sums) of a task; feature counts places in `features`, the last is the bias."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [[np.zeros((4, len(f) + 1), np.int64) for f in features] for _ in fitted]
+        for batch in batches:
+            for lo, hi in words.slices(batch.column("text")):
+                views = _views(batch, lo, hi)
+                for sums, f in zip(total, fitted):
+                    for t, own in zip(sums, teach(views, f, features)):
+                        t += own
+        for t, sums in enumerate(total):
+            for v, own in enumerate(sums):
+                some = np.flatnonzero(own[0])
+                fixed = [pa.array(np.full(len(some), x, np.int32)) for x in (t, v)]
+                yield pa.record_batch([*fixed, pa.array(some), *(pa.array(x[some]) for x in own)], ["target", "view", "feature", *_SUMS])
+
+    return run
+
+
+_SUMS = ["n", "positive", "error", "curve"]
 
 
 def _score(fitted: list[dict], reject_at: float):
@@ -246,32 +336,45 @@ def _unpack(column: pa.ChunkedArray) -> Rows:
 def _inputs(docs: DataFrame) -> DataFrame:
     """text, source and lang as strings; a column that the table lacks is null."""
     has = lambda c: F.col(f"`{c}`").cast("string") if c in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", *[has(c).alias(c) for c in ("text", "source", "lang")])
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", scratch.text_id(has("text")).alias("tid"), *[has(c).alias(c) for c in ("text", "source", "lang")])
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled_max: int = LABELLED_MAX, pool_max: int = POOL_MAX, rounds: int = ROUNDS) -> list[dict]:
-    """The fitted targets, from at most labelled_max labelled and pool_max unlabelled rows."""
-    spark = docs.sparkSession
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+def fit(docs: DataFrame, labels: DataFrame, labelled_max: int = LABELLED_MAX, features_max: int = FEATURES_MAX, rounds: int = ROUNDS) -> list[dict]:
+    """The fitted targets, from a sample of labelled rows and all other documents."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
         (F.min("quality") == 0).cast("double").alias("low_quality"), F.coalesce((F.max("toxic") == 1).cast("double"), F.lit(0.0)).alias("toxic")
     )
     ids = docs.select("doc_id").filter("doc_id is not null").distinct()
-    labelled = known.join(ids, "doc_id", "left_semi").orderBy(*by_hash).limit(labelled_max)
-    pool = ids.join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(*by_hash).limit(pool_max).select("doc_id", F.lit(None).cast("double").alias("low_quality"), F.lit(None).cast("double").alias("toxic"))
-    chosen = scratch.written(labelled.unionByName(pool), "sample")
+    chosen = scratch.written(known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_max), "sample")
+    # labelled_max rows at most are broadcast.
     sample = _inputs(docs).drop("row").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_view", T.BinaryType()), T.StructField("meta_view", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("tid", T.LongType()), T.StructField("text_view", T.BinaryType()), T.StructField("meta_view", T.BinaryType())])
     drawn = map_arrow(sample, _features, schema)
-    table = drawn.join(F.broadcast(chosen), "doc_id").toArrow().sort_by([(c, "ascending") for c in ("doc_id", "meta_view", "text_view")])
-    known = pc.is_valid(table["low_quality"])
-    seen, rest = table.filter(known), table.filter(pc.invert(known))
-    views, pools = ([_unpack(part[v]) for v in ("text_view", "meta_view")] for part in (seen, rest))
-    hold = np.array([zlib.crc32(str(d).encode()) % 5 == 0 for d in seen["doc_id"].to_pylist()], bool)
-    return [co_train(views, [TEXT_SIZE, META_SIZE], seen[t].to_numpy(), hold, pools, rounds, evidence=EVIDENCE[t]) for t in TARGETS]
-
-
-def classify(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT, labelled_max: int = LABELLED_MAX, pool_max: int = POOL_MAX, rounds: int = ROUNDS) -> DataFrame:
+    # Of rows with one doc_id the one of the least text hash is fitted on.
+    first = drawn.groupBy("doc_id").agg(F.min(F.struct("tid", "meta_view", "text_view")).alias("x"))
+    rows = scratch.written(first.select("doc_id", "x.text_view", "x.meta_view", F.xxhash64("doc_id").alias("place")).join(F.broadcast(chosen), "doc_id"), "sample-features")
+    upto = F.sum(F.octet_length("text_view")).over(Window.orderBy("place", "doc_id"))  # labelled_max rows at most
+    table = rows.withColumn("upto", upto).filter(F.col("upto") <= 4 * features_max).drop("upto").toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])
+    views = [_unpack(table[v]) for v in ("text_view", "meta_view")]
+    fold = np.array([zlib.crc32(str(d).encode()) for d in table["doc_id"].to_pylist()], np.int64)
+    hold = np.where(fold % 5 == 0, 1 + fold // 5 % 2, 0)
+    others = _inputs(docs).drop("row", "tid").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+
+    def passed(fitted: list[dict], features: list[np.ndarray]) -> list[list[np.ndarray]]:
+        told = map_arrow(others, _teach(fitted, features), "target int, view int, feature bigint, " + ", ".join(f"{c} bigint" for c in _SUMS))
+        sums = told.groupBy("target", "view", "feature").agg(*[F.sum(c).alias(c) for c in _SUMS]).toArrow()  # no more rows than features
+        out = [[np.zeros((4, len(f) + 1), np.int64) for f in features] for _ in fitted]
+        column = {c: sums[c].to_numpy() for c in sums.column_names}
+        for t, of in enumerate(out):
+            for v, own in enumerate(of):
+                here = (column["target"] == t) & (column["view"] == v)
+                own[:, column["feature"][here]] = [column[c][here] for c in _SUMS]
+        return out
+
+    return co_train(views, [TEXT_SIZE, META_SIZE], [table[t].to_numpy() for t in TARGETS], hold, passed, rounds, [EVIDENCE[t] for t in TARGETS])
+
+
+def classify(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT, labelled_max: int = LABELLED_MAX, features_max: int = FEATURES_MAX, rounds: int = ROUNDS) -> DataFrame:
     """row, p_low_quality, p_toxic, kept of every row of docs; row is the whole input row.
 
     kept: both probabilities are below reject_at.  A null text has no words
@@ -280,7 +383,7 @@ def classify(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT, l
     probability is the smoothed rate of its labels (0 without any).  Rows that
     repeat score alike; an empty table gives no rows.
     """
-    fitted = fit(docs, labels, labelled_max, pool_max, rounds)
+    fitted = fit(docs, labels, labelled_max, features_max, rounds)
     rows = _inputs(docs)
     schema = T.StructType([rows.schema["row"], *(T.StructField(f"p_{t}", T.DoubleType()) for t in TARGETS), T.StructField("kept", T.BooleanType())])
-    return map_arrow(rows.drop("doc_id"), _score(fitted, reject_at), schema)
+    return map_arrow(rows.drop("doc_id", "tid"), _score(fitted, reject_at), schema)

@@ -545,6 +545,15 @@ def test_classifier_corner_cases(docs, none, labels):
     assert cotraining.classify(docs.select("doc_id", "text"), labels).count() == len(TEXTS)
 
 
+def test_repeated_ids_are_fitted_on_once(spark):
+    """A labelled doc_id that fills half the table brings one row to the sample."""
+    rows = [(i if i < 200 else 1, f"word{i % 2} " * 30 + f"u{i}", "en", f"s{i % 2}") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    out = cotraining.classify(d, lab, features_max=20_000).select("row.doc_id", "kept").collect()
+    assert len(out) == 400 and np.mean([r["kept"] == (r["doc_id"] % 2 == 1) for r in out if 1 < r["doc_id"]]) > 0.95
+
+
 def test_views_tell_each_other():
     """The metadata view, which alone sees what marks the class, teaches the text view."""
     g = np.random.default_rng(2)
@@ -552,7 +561,25 @@ def test_views_tell_each_other():
     y = (np.arange(n) % 2).astype(float)
     meta = cotraining.Rows(np.where(y > 0, 1, 2), np.arange(n + 1))
     text = cotraining.Rows(g.integers(0, 50, n * 5), np.arange(0, n * 5 + 1, 5))
-    fitted = cotraining.co_train([text, meta], [60, 5], y, np.arange(n) % 5 == 0, [text, meta])
+    hold = np.where(np.arange(n) % 5 == 0, 1 + np.arange(n) // 5 % 2, 0)
+    told = []
+
+    def passed(fitted, features):
+        told.append([cotraining.teach([text, meta], f, features) for f in fitted])
+        return told[-1]
+
+    (fitted,) = cotraining.co_train([text, meta], [60, 5], [y], hold, passed)
+    # The pass counts each document that the other view is sure of, as brute force does.
+    (model, other), (_, c) = fitted["models"], fitted["calibrations"]
+    p = 1 / (1 + np.exp(-(c[0] * other.score(meta) + c[1])))
+    sure = (p >= cotraining.CONFIDENT) | (p <= 1 - cotraining.CONFIDENT)
+    sums = cotraining.teach([text, meta], fitted, [np.arange(60), np.arange(5)])[0]
+    assert len(told) == cotraining.ROUNDS - 1 and sure.sum() > 300
+    for f in range(60):
+        of = [r for r in range(n) if sure[r] for x in text.index[text.ptr[r] : text.ptr[r + 1]] if x == f]
+        assert sums[0, f] == len(of) and sums[1, f] == sum(p[r] >= 0.5 for r in of)
+        error = sum(1 / (1 + np.exp(-model.score(text.take(np.array([r])))[0])) - (p[r] >= 0.5) for r in of)
+        assert sums[2, f] / cotraining._FIXED == pytest.approx(error, abs=1e-3)
     p = cotraining.probability(fitted, [text, meta])
     assert ((p > 0.5) == (y > 0)).all()
 
