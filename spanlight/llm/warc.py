@@ -6,6 +6,9 @@ the source's target URI, date and the header fields in CARRIED, a
 WARC-Refers-To with the source's record id, and SHA-1 digests in Base32; the
 metadata block repeats the source's own digests.  Record ids are name-based
 on the source id, so a rerun or a retried task writes equal records.
+
+Pages are read in one pass from tag to tag; no pattern scans a stretch of text
+twice, so a hostile page costs as much as any other of its size.
 """
 
 from __future__ import annotations
@@ -27,17 +30,16 @@ from ..functions.ship import map_arrow
 
 VERSION = b"WARC/1.1"
 CARRIED = ("WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Identified-Payload-Type", "WARC-Truncated")
-DATE = "2000-01-01T00:00:00Z"
+#: WARC-Date, which a record must have, of pages without a known time of capture.
+NO_DATE = "1970-01-01T00:00:00Z"
+_LENGTH = re.compile(rb"\r\nContent-Length[ \t]*+:[ \t]*+(\d++)", re.I)
 _SPACE = uuid.UUID("8c6f0f0a-6c1e-5f43-9a57-3a1d9a1f7b11")
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+#: Comments, declarations and tags; quantifiers are possessive, so each character is passed once.
+_MARKUP = re.compile(r"<(?:!--|([!?])|(/?)([a-z][a-z0-9]*+)((?:[^>\"']|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z))", re.S | re.I)
+_SKIPPED = {t: re.compile(rf"</{t}\s*+>", re.I) for t in ("script", "style", "noscript", "template")}
 _BLOCKS = frozenset("address article aside blockquote body br dd div dl dt footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"']*+)))?", re.S)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -89,24 +91,53 @@ def parse_record(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return fields, data[at : at + int(length)]
 
 
-def split_records(data: bytes) -> Iterator[bytes]:
-    """The records of an uncompressed file, or of one whose members are gzipped."""
-    if data[:2] == b"\x1f\x8b":
-        out = []
-        while data:
-            z = zlib.decompressobj(31)
-            out.append(z.decompress(data) + z.flush())
-            data = z.unused_data
-        data = b"".join(out)
-    at = 0
-    while at < len(data):
-        _, fields, start = parse_headers(data[at:])
-        end = at + start + int(get(fields, "Content-Length") or 0)
-        yield data[at:end] + b"\r\n\r\n"
-        at = end + 4
-
-
-def response_record(url: str, page: str, date: str = DATE, name: str | None = None) -> bytes:
+def _members(data: bytes) -> Iterator[bytes]:
+    """The contents of gzipped members one after the other; what can't be unpacked ends them with None."""
+    view = memoryview(data)
+    while len(view):
+        z = zlib.decompressobj(31)
+        try:
+            yield z.decompress(view) + z.flush()
+        except zlib.error:
+            yield None
+            return
+        if not z.eof:
+            yield None
+            return
+        view = view[len(view) - len(z.unused_data) :] if z.unused_data else view[:0]
+
+
+def split_records(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """(record, error) of each record of an uncompressed file, or of one whose members are gzipped.
+
+    Where no record can be made out the rest of the stretch, up to the next
+    version line, is one with an error.
+    """
+    for part in _members(data) if data[:2] == b"\x1f\x8b" else (data,):
+        if part is None:
+            yield b"", "a gzip member is broken"
+            return
+        at = 0
+        while at < len(part):
+            if not part.startswith(VERSION[:5], at):
+                at = (part.find(b"\r\nWARC/", at) + 2 or len(part) + 2) if part[at:].strip() else len(part)
+                if at <= len(part) and not part[at:].strip():
+                    return
+                yield b"", "no WARC version line"
+                continue
+            end = part.find(b"\r\n\r\n", at)
+            length = _LENGTH.search(part, at, end if end >= 0 else at)
+            stop = end + 4 + int(length.group(1)) if length else -1
+            if end < 0 or length is None or stop > len(part):
+                yield b"", "no end of headers" if end < 0 else "no Content-Length" if length is None else "the block is cut off"
+                again = part.find(b"\r\nWARC/", at)
+                at = again + 2 if again >= 0 else len(part)
+                continue
+            yield part[at:stop] + b"\r\n\r\n", None
+            at = stop + 4
+
+
+def response_record(url: str, page: str, date: str = NO_DATE, name: str | None = None) -> bytes:
     """A response record for a page that was kept without its headers."""
     body = page.encode("utf-8", "surrogatepass")
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
@@ -122,16 +153,56 @@ def response_record(url: str, page: str, date: str = DATE, name: str | None = No
     return build_record(headers, block)
 
 
-def page_text(page: str) -> str:
-    """The text of a page: no scripts, styles or comments, a line for each block, entities resolved."""
+def attributes(tag: str) -> dict[str, str]:
+    """The attributes of a tag's inside by lower-case name, the first of each."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag):
+        out.setdefault(m.group(1).lower(), next((v for v in m.groups()[1:] if v is not None), ""))
+    return out
 
-    def put(m: re.Match) -> str:
-        name = m.group(3)
-        return "\n" if name and name.lower() in _BLOCKS else "" if name else " " if m.group(1) is None else "\n"
 
-    text = html.unescape(_MARKUP.sub(put, page))
-    lines = (" ".join(x.split()) for x in text.split("\n"))
-    return "\n".join(x for x in lines if x)
+def read_page(page: str) -> dict:
+    """text, title, language and links of a page.
+
+    text has no scripts, styles or comments, a line for each block, and
+    entities resolved.  Comments, scripts and the like that are never closed
+    go on to the end; so does a title.
+    """
+    out, links, at, n = [], [], 0, len(page)
+    title = language = None
+    while (m := _MARKUP.search(page, at)) is not None:
+        out.append(page[at : m.start()])
+        name = (m.group(3) or "").lower()
+        if not name:
+            comment = m.group(1) is None
+            end = page.find("-->" if comment else ">", m.end())
+            at = n if end < 0 else end + (3 if comment else 1)
+            out.append("" if comment else " ")
+            continue
+        at = m.end()
+        if m.group(2):
+            out.append("\n" if name in _BLOCKS else "")
+            continue
+        if name in _SKIPPED:
+            closing = _SKIPPED[name].search(page, at)
+            at = closing.end() if closing else n
+            out.append("\n")
+            continue
+        out.append("\n" if name in _BLOCKS else "")
+        if name == "title" and title is None:
+            end = page.find("<", at)
+            title = " ".join(html.unescape(page[at : end if end >= 0 else n]).split())
+        elif name == "html" and language is None:
+            language = attributes(m.group(4)).get("lang") or None
+        elif name == "a" and (to := attributes(m.group(4)).get("href")) is not None:
+            links.append(" ".join(html.unescape(to).split()))
+    out.append(page[at:])
+    lines = (" ".join(x.split()) for x in html.unescape("".join(out)).split("\n"))
+    return {"text": "\n".join(x for x in lines if x), "title": title, "language": language, "links": links}
+
+
+def page_text(page: str) -> str:
+    return read_page(page)["text"]
 
 
 def derive(data: bytes) -> list[tuple[str, list[tuple[str, str]], bytes]]:
@@ -163,12 +234,10 @@ def derive(data: bytes) -> list[tuple[str, list[tuple[str, str]], bytes]]:
         told += [("charset", charset), ("computed-payload-digest", digest(body)), ("payload-length", str(len(body)))]
         declared = get(fields, "WARC-Payload-Digest")
         told.append(("payload-digest-matches", "unknown" if declared is None else str(declared == digest(body)).lower()))
-        if m := _LANG.search(page):
-            told.append(("language", m.group(1)))
-        if m := _TITLE.search(page):
-            told.append(("title", " ".join(html.unescape(m.group(1)).split())))
-        told += [("outlink", " ".join(html.unescape(a or b or c).split())) for a, b, c in _LINK.findall(page)]
-        text = page_text(page).encode("utf-8", "surrogatepass")
+        read = read_page(page)
+        told += [(k, read[k]) for k in ("language", "title") if read[k] is not None]
+        told += [("outlink", x) for x in read["links"]]
+        text = read["text"].encode("utf-8", "surrogatepass")
         extra = [("Content-Type", "text/plain; charset=utf-8"), ("WARC-Source-Payload-Digest", declared or digest(body))]
         out.append(("conversion", extra, text))
     except ValueError as why:
@@ -194,7 +263,9 @@ DERIVED = T.StructType(
 )
 
 
-def _row(data: bytes | None) -> list[dict]:
+def _row(data: bytes | None, broken: str | None = None) -> list[dict]:
+    if broken is not None:
+        return [{"kind": None, "error": broken}]
     if data is None:
         return []
     try:
@@ -225,9 +296,10 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.name for f in DERIVED.fields]
     types = [pa.string()] * 8 + [pa.int64(), pa.binary()]
     for batch in batches:
-        records = batch.column("record")
+        records, errors = batch.column("record"), batch.column("broken")
         for lo in range(0, batch.num_rows, 256):
-            made = [(lo + i, x) for i, r in enumerate(records.slice(lo, 256).to_pylist()) for x in _row(r)]
+            cut = zip(records.slice(lo, 256).to_pylist(), errors.slice(lo, 256).to_pylist())
+            made = [(lo + i, x) for i, (r, e) in enumerate(cut) for x in _row(r, e)]
             at = pa.array([i for i, _ in made], pa.int64())
             yield pa.record_batch([batch.column("key").take(at), *(pa.array([x.get(n) for _, x in made], t) for n, t in zip(names, types))], ["key", *names])
 
@@ -236,14 +308,20 @@ def _respond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             cut = batch.slice(lo, 256)
-            rows = zip(cut.column("url").to_pylist(), cut.column("html").to_pylist())
-            made = [None if page is None else response_record(url or "", page) for url, page in rows]
+            rows = zip(*(cut.column(c).to_pylist() for c in ("key", "url", "html", "date")))
+            made = [None if page is None else response_record(url or "", page, date or NO_DATE, f"{key}\n{url}\n{digest(page.encode('utf-8', 'surrogatepass'))}") for key, url, page, date in rows]
             yield pa.record_batch([cut.column("key"), pa.array(made, pa.binary())], ["key", "record"])
 
 
-def responses_of(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """key, record: a response record for each page; null where the page is null."""
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).alias("html"))
+def responses_of(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", date: str | None = None) -> DataFrame:
+    """key, record: a response record for each page; null where the page is null.
+
+    date names a column with the times of capture as WARC writes them; without
+    it, or where it is null, records carry NO_DATE.  A record's id follows from
+    key, address and content; rows equal in all three are one capture.
+    """
+    when = F.lit(None).cast("string") if date is None else F.col(date)
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).alias("html"), when.alias("date"))
     return map_arrow(rows, _respond, T.StructType([rows.schema["key"], T.StructField("record", T.BinaryType())]))
 
 
@@ -251,54 +329,60 @@ def derive_records(responses: DataFrame) -> DataFrame:
     """key and the columns of DERIVED: a row for each record made from (key, record).
 
     A null record gives no row; one that is no WARC record gives a row with a
-    null kind and the error.  Repeated records give equal rows each; an empty
+    null kind and the error, and one that brings an error from its file keeps it.  Repeated records give equal rows each; an empty
     table gives none; other columns are ignored.
     """
-    rows = responses.select("key", "record")
+    broken = F.col("error") if "error" in responses.columns else F.lit(None)
+    rows = responses.select("key", "record", broken.cast("string").alias("broken"))
     return map_arrow(rows, _derive, T.StructType([rows.schema["key"], *DERIVED.fields]))
 
 
 def _files(folder: str):
-    import os
-
     from pyspark import TaskContext
 
+    from .training_order import _store
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        name = f"{folder}/part-{task.partitionId():05d}.warc.gz"
-        temporary = f"{name}.{task.taskAttemptId()}"
+        store, base = _store(folder)
+        name = f"{base}/part-{task.partitionId():05d}.warc.gz"
+        temporary = f"{base}/.{task.partitionId():05d}-{task.taskAttemptId()}"
         n = 0
-        with open(temporary, "wb") as f:
+        with store.open_output_stream(temporary) as f:
             for batch in batches:
                 for record in batch.column("record").to_pylist():
                     if record is not None:
                         z = zlib.compressobj(6, zlib.DEFLATED, 31)
                         f.write(z.compress(record) + z.flush())
                         n += 1
-        os.replace(temporary, name)
+        store.move(temporary, name)
         yield pa.record_batch([pa.array([name]), pa.array([n])], ["path", "records"])
 
     return run
 
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
-    """Write records as gzipped members, a file for each partition, on a folder that executors share."""
-    import os
-
+    """Write records as gzipped members, a file for each partition; folder is a path that executors share or a URI of a store."""
     from . import scratch
+    from .training_order import _store
 
-    os.makedirs(folder, exist_ok=True)
+    store, base = _store(folder)
+    store.create_dir(base, recursive=True)
     return scratch.written(map_arrow(records.select("record"), _files(folder), "path string, records bigint"), "warc-files")
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            for i, record in enumerate(split_records(content)):
-                yield pa.record_batch([pa.array([f"{path}#{i}"]), pa.array([record], pa.binary())], ["key", "record"])
+            for i, (record, error) in enumerate(split_records(content)):
+                yield pa.record_batch([pa.array([f"{path}#{i}"]), pa.array([None if error else record], pa.binary()), pa.array([error], pa.string())], ["key", "record", "error"])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """key (path#number), record of each record of the WARC files under path."""
+    """key (path#number), record, error of each record of the WARC files under path.
+
+    A file is one row to Spark, 2 GB at most; what is broken in it becomes a
+    row with a null record and the error, and reading goes on behind it.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return map_arrow(files, _split, "key string, record binary")
+    return map_arrow(files, _split, "key string, record binary, error string")
