@@ -5,7 +5,8 @@ are range-partitioned with a document salt and sorted by document and position
 inside each run, so one pass over a run finds first occurrences and document
 changes; the few numbers of a key's runs are then added up.  A key that holds a
 third of all lines is split over SALTS runs, and joins on it are split by AQE.
-What returns per document is a bitmap of 64 lines a word, not text.
+What returns per document is its keep bitmap, compressed to runs of kept
+lines, not text.
 """
 
 from __future__ import annotations
@@ -62,41 +63,48 @@ def dropped_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, mode: str
     return hits.select("doc_id", "tid", "pos")
 
 
-def drop_bitmaps(dropped: DataFrame) -> DataFrame:
-    """doc_id, tid, drop_bits: bit pos % 64 of drop_bits[pos div 64] is set for each line to drop."""
-    words = dropped.groupBy("doc_id", "tid", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits")
-    )
-    packed = words.groupBy("doc_id", "tid").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
-    return packed.select(
-        "doc_id", "tid", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("m"))), lambda w: F.coalesce(F.try_element_at(F.col("m"), w), F.lit(0).cast("bigint"))).alias("drop_bits")
-    )
+KEEP = "array<struct<start:int,length:int>>"
+
+
+def keep_bitmaps(dropped: DataFrame) -> DataFrame:
+    """doc_id, tid, keep: the keep bitmap of each document that loses lines, as its runs of ones.
+
+    A run has its first line and its length; that of the last run is null, as
+    it goes on to the end of the text.
+    """
+    lines = dropped.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    before = F.coalesce(F.get("gone", F.lit(0)), F.lit(0))
+    first = F.struct(F.lit(0).alias("start"), before.cast("int").alias("length"))
+    after = F.transform("gone", lambda p, i: F.struct((p + 1).cast("int").alias("start"), (F.get("gone", i + 1) - p - 1).cast("int").alias("length")))
+    runs = F.filter(F.concat(F.array(first), after), lambda r: F.coalesce(r["length"] > 0, F.lit(True)))
+    return lines.select("doc_id", "tid", runs.cast(KEEP).alias("keep"))
 
 
-def is_dropped(bits: Column, pos: Column) -> Column:
-    word = F.get(bits, F.floor(pos / 64).cast("int"))
-    return F.coalesce(F.call_function("shiftright", word, F.pmod(pos, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)), F.lit(0)) == 1
+def kept_lines(lines: Column, keep: Column) -> Column:
+    """The lines that a keep bitmap keeps; all where it is null."""
+    part = F.transform(keep, lambda r: F.slice(lines, r["start"] + 1, F.coalesce(r["length"], F.size(lines))))
+    return F.when(keep.isNull(), lines).otherwise(F.flatten(part))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, mode: str = "all") -> DataFrame:
-    """doc_id, text, n_lines, n_dropped, kept_text, drop_bits (null: nothing dropped) of every row.
+    """doc_id, text, n_lines, n_dropped, kept_text, keep (null: nothing dropped) of every row.
 
     Null and empty texts have one empty line, which has no key and stays.  A
     text whose lines all go becomes ''.  Repeated rows get the same answer
     each; an empty table gives no rows; other columns are ignored.
     """
-    bitmaps = scratch.written(drop_bitmaps(dropped_lines(docs, min_docs, min_chars, mode)), "bitmaps")
+    bitmaps = scratch.written(keep_bitmaps(dropped_lines(docs, min_docs, min_chars, mode)), "bitmaps")
     hit, clean = scratch.split_by_ids(scratch.keyed(docs), bitmaps, "tid")
-    marks = bitmaps.select(F.col("doc_id").alias("b_id"), F.col("tid").alias("b_tid"), "drop_bits")
-    joined = hit.join(marks, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("tid") == F.col("b_tid")), "left").select("doc_id", "text", "drop_bits")
-    rows = joined.unionByName(clean.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("drop_bits")))
+    marks = bitmaps.select(F.col("doc_id").alias("b_id"), F.col("tid").alias("b_tid"), "keep")
+    joined = hit.join(marks, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("tid") == F.col("b_tid")), "left").select("doc_id", "text", "keep")
+    rows = joined.unionByName(clean.select("doc_id", "text", F.lit(None).cast(KEEP).alias("keep")))
     rows = rows.withColumn("all_lines", lines_of(F.col("text")))
-    rows = rows.withColumn("kept_lines", F.when(F.col("drop_bits").isNull(), F.col("all_lines")).otherwise(F.filter("all_lines", lambda _, i: ~is_dropped(F.col("drop_bits"), i))))
+    rows = rows.withColumn("kept_lines", kept_lines(F.col("all_lines"), F.col("keep")))
     return rows.select(
         "doc_id",
         "text",
         F.size("all_lines").cast("bigint").alias("n_lines"),
         (F.size("all_lines") - F.size("kept_lines")).cast("bigint").alias("n_dropped"),
         F.array_join("kept_lines", "\n").alias("kept_text"),
-        "drop_bits",
+        "keep",
     )
