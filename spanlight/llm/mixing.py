@@ -37,21 +37,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     max_repeats times its source's size and the excess goes to the others by
     weight until none is above.  That settles in the order of size per weight:
     a source is capped iff the share left to it, with those before it capped,
-    reaches its cap.  One row a source meets in these windows.
+    reaches its cap.  Ranks and running sums go by ranges, so sources may be
+    many; one row a source is held.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
-    weighed = totals.withColumn("w", F.element_at(F.array(*[F.lit(w).cast("bigint") for w in weights]), turn + 1))
-    order = Window.orderBy((F.col("source_size") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    whole = Window.partitionBy()
-    s = weighed.withColumns({"cap": F.col("source_size") * max_repeats, "w_all": F.sum("w").over(whole), "size_all": F.sum("source_size").over(whole)})
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumns({"cap_before": F.coalesce(F.sum("cap").over(before), F.lit(0)), "w_before": F.coalesce(F.sum("w").over(before), F.lit(0))})
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("bigint"))
+    named = scratch.running(totals, [F.col("source").isNull(), F.col("source")], {"one": "nth"}, "mix-names")
+    weighed = named.withColumn("w", F.element_at(F.array(*[F.lit(w).cast("bigint") for w in weights]), (F.pmod("nth", F.lit(len(weights))) + 1).cast("int")))
+    weighed = weighed.withColumn("cap", F.col("source_size") * max_repeats).drop("one", "nth")
+    order = [F.col("source_size") / F.col("w"), F.col("source").isNull(), F.col("source")]
+    s = scratch.running(weighed, order, {"cap": "cap_before", "w": "w_before"}, "mix-caps")
     exact = lambda c: F.col(c).cast("decimal(38,0)")
-    s = s.withColumn("capped", exact("cap") * (exact("w_all") - exact("w_before")) <= (exact("size_all") - exact("cap_before")) * exact("w"))
-    s = s.withColumns({"cap_sum": F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(whole), "w_sum": F.sum(F.when(F.col("capped"), F.col("w")).otherwise(0)).over(whole)})
-    share = (F.col("size_all") - F.col("cap_sum")).cast("double") * F.col("w").cast("double") / (F.col("w_all") - F.col("w_sum")).cast("double")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    whole = s.agg(zero(F.col("w")).alias("w"), zero(F.col("source_size")).alias("size")).first()
+    capped = exact("cap") * (F.lit(whole["w"]).cast("decimal(38,0)") - exact("w_before")) <= (F.lit(whole["size"]).cast("decimal(38,0)") - exact("cap_before")) * exact("w")
+    s = scratch.written(s.withColumn("capped", capped), "mix-capped")
+    taken = s.filter("capped").agg(zero(F.col("cap")).alias("cap"), zero(F.col("w")).alias("w")).first()
+    share = F.lit(float(whole["size"] - taken["cap"])) * F.col("w").cast("double") / F.lit(float(whole["w"] - taken["w"]))
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
