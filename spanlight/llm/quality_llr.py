@@ -3,7 +3,8 @@
 Two multinomials over BUCKETS hashed n-grams are counted, one over every
 document of the corpus and one over trusted documents.  A document's score is
 the mean log ratio of its n-grams; a fixed threshold keeps or drops it.  The
-table of log ratios has BUCKETS rows whatever the corpus, so it is broadcast.
+log ratios are one array of BUCKETS whole numbers whatever the corpus, so a
+document is scored within its row: no n-gram is ever shuffled for it.
 """
 
 from __future__ import annotations
@@ -58,9 +59,10 @@ def base_measures(docs: DataFrame) -> DataFrame:
         {
             "n_dup_lines": (F.size("full_lines") - F.size(F.array_distinct("full_lines"))).cast("bigint"),
             # Only texts with a repeated window pay for sorting their windows.
+            # A hash of the words themselves stands beside that of their names.
             "ordered": F.when(
                 F.size(F.array_distinct("windows")) < F.size("windows"),
-                F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("p")))),
+                F.array_sort(F.transform("windows", lambda h, i: F.struct(F.struct(h.alias("a"), F.xxhash64(F.lit(1), F.slice("words", i + 1, WINDOW)).alias("b")).alias("h"), i.alias("p")))),
             ),
         }
     )
@@ -113,26 +115,38 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, orders: tuple[int, ...] = OR
     return counts.select("gram", (F.log(F.col("n_target") + smoothing) - F.log(F.col("n_raw") + smoothing) + shift).alias("llr"))
 
 
+FIXED = 1 << 32
+
+
+def score_of(hashes: Column, ratios: Column, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> Column:
+    """The mean of the n-grams' ratios, summed as whole numbers of 1 / FIXED; null without n-grams."""
+    grams = gram_hashes(hashes, orders)
+    total = F.aggregate(grams, F.lit(0).cast("bigint"), lambda a, g: a + F.get(ratios, bucket_of(g, buckets)))
+    return F.when(F.size(hashes) > 0, total / F.size(grams) / FIXED)
+
+
+def ratio_array(ratios: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row, ratios: the log ratio of each bucket in units of 1 / FIXED, 0 where the corpus holds none."""
+    every = ratios.sparkSession.range(buckets).select(F.col("id").cast("int").alias("gram"))
+    full = every.join(ratios, "gram", "left").select("gram", F.round(F.coalesce("llr", F.lit(0.0)) * FIXED).cast("bigint").alias("v"))
+    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", "v"))), lambda x: x["v"]).alias("ratios"))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, min_llr: float = MIN_LLR, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept of every row.
 
     base_failed: fewer than MIN_WORDS words, or over MAX_REPEAT_PERCENT of them
     in repeated windows.  llr is the mean log ratio of the n-grams, rounded to
-    9 digits so that the order of additions cannot move a verdict; null for a
-    text with no words.  kept: not base_failed and llr >= min_llr.  Without
-    trusted documents every llr is 0.  Null texts have no words; rows that
-    repeat get equal answers each; an empty table gives no rows.
+    9 digits; ratios are summed as whole numbers, so that no order of additions
+    can move a verdict; null for a text with no words.  kept: not base_failed
+    and llr >= min_llr.  Without trusted documents every llr is 0.  Null texts
+    have no words; rows that repeat get equal answers each; an empty table
+    gives no rows.
     """
-    table = F.broadcast(log_ratios(docs, trusted_ids(labels), orders, buckets).withColumnRenamed("gram", "g"))
-    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    rows = base_measures(docs).withColumn("row_no", F.monotonically_increasing_id())
-    grams = rows.select("row_no", "doc_id", *measures, F.explode_outer(gram_hashes(F.col("hashes"), orders)).alias("gram"))
-    grams = grams.withColumn("gram", bucket_of(F.col("gram"), buckets))
-    scored = (
-        grams.join(table, F.col("gram") == F.col("g"), "left")
-        .groupBy("row_no", "doc_id")
-        .agg(*[F.max(c).alias(c) for c in measures], F.round(F.avg("llr"), 9).alias("llr"))
-    )
+    table = scratch.written(ratio_array(log_ratios(docs, trusted_ids(labels), orders, buckets), buckets), "llr-ratios")
+    # A join with one row of `buckets` numbers.
+    rows = base_measures(docs).join(F.broadcast(table)).withColumn("llr", F.round(score_of(F.col("hashes"), F.col("ratios"), orders, buckets), 9))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed)
-    return scored.select("doc_id", *measures, "base_failed", "llr", (~F.col("base_failed") & F.coalesce(F.col("llr") >= min_llr, F.lit(False))).alias("kept"))
+    rows = rows.withColumn("base_failed", failed)
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select("doc_id", *measures, "base_failed", "llr", (~F.col("base_failed") & F.coalesce(F.col("llr") >= min_llr, F.lit(False))).alias("kept"))
