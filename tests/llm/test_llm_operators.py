@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from spanlight.llm import cotraining, decontaminate, line_dedup, mixing, order_minhash, pii, quality_llr, recompression, scratch, training_order, warc, words
@@ -136,9 +138,14 @@ def test_first_occurrences_stay(docs):
     assert first["kept_text"] == TEXTS[0][1]
 
 
-def test_line_bitmaps(docs):
+def test_keep_bitmaps(docs, spark):
     r = line_dedup.dedup_lines(docs, 10).filter("doc_id = 20").first()
-    assert r["drop_bits"] == [1]
+    assert [tuple(x) for x in r["keep"]] == [(1, None)]
+    gone = {1: [0, 1, 2, 7], 2: [3], 3: [2, 4, 6], 4: [0]}
+    dropped = spark.createDataFrame([(d, 0, p) for d, ps in gone.items() for p in [*ps, ps[0]]], "doc_id bigint, tid bigint, pos int")
+    for r in line_dedup.keep_bitmaps(dropped).collect():
+        kept = {i for x in r["keep"] for i in range(x["start"], 10 if x["length"] is None else x["start"] + x["length"])}
+        assert kept == set(range(10)) - set(gone[r["doc_id"]])
 
 
 # ------------------------------------------------------------------ quality rules
@@ -187,6 +194,45 @@ def test_every_trusted_document_counts(spark):
     assert worst == pytest.approx(0, abs=1e-9)
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark over strings and whole numbers of four (int) or eight bytes."""
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (seed >> 63 << 64)
+
+
+def test_verdict_by_brute_force(docs, labels):
+    """Bigrams, both multinomials, the score of each document and the verdict, in plain Python."""
+    long, short = lambda v: struct.pack("<q", v), lambda v: struct.pack("<i", v)
+
+    def buckets(t):
+        h = [spark_hash(w) for w in split_words(t)]
+        grams = h + [spark_hash(short(2), long(a), long(b)) for a, b in zip(h, h[1:])]
+        return [g % quality_llr.BUCKETS for g in grams]
+
+    raw, target = Counter(), Counter()
+    for d, t, _ in TEXTS:
+        raw.update(buckets(t))
+        target.update(buckets(t) if d in (5, 7) else [])
+    total = lambda c: sum(c.values()) + 0.5 * quality_llr.BUCKETS
+    ratio = {g: np.log((target[g] + 0.5) / total(target)) - np.log((raw[g] + 0.5) / total(raw)) for g in raw}
+    want = defaultdict(list)
+    for d, t, _ in TEXTS:
+        own, (n, *_, again) = buckets(t), base(t)
+        score = np.mean([ratio[g] for g in own]) if own else None
+        kept = not (n < 20 or 100 * again > 30 * n) and score >= quality_llr.MIN_LLR
+        want[d].append((score, kept))
+    got = defaultdict(list)
+    for r in quality_llr.quality_rules(docs, labels).collect():
+        got[r["doc_id"]].append((r["llr"], r["kept"]))
+    for d, rows in want.items():
+        key = lambda x: (x[0] is None, x[0] or 0)
+        for (a, k), (b, l) in zip(sorted(rows, key=key), sorted(got[d], key=key)):
+            assert k == l and (a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-8))
+
+
 def test_rules_without_trust_or_rows(docs, none, labels):
     free = quality_llr.quality_rules(docs, labels.filter("false")).collect()
     assert all(r["kept"] == (not r["base_failed"]) for r in free)
@@ -232,6 +278,16 @@ def test_mix_comes_near_in_a_large_source(spark):
     assert all(abs(r["taken"] - r["target"]) <= 25 for r in got)
 
 
+def test_many_sources_share_by_weight(spark):
+    rows = [(i, "w " * (1 + i * i % 37), f"s{i % 230:03d}" if i % 231 else None) for i in range(1500)]
+    size = defaultdict(int)
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    want = Counter((size[s], round(t, 4)) for s, t in water(size).items() for _, _, x in rows if x == s)
+    assert Counter((r["source_size"], round(r["target"], 4)) for r in got.collect()) == want
+
+
 def test_mixed_rows_are_whole(docs, none):
     out = mixing.mixed_rows(docs)
     assert out.columns == docs.columns
