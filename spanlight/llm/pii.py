@@ -1,51 +1,93 @@
 """PII surrogates [native]: keyed, type-consistent, collision-checked replacements.
 
 Entities are found by one pattern, told apart by type, and brought to a form in
-which mentions of one thing are equal (digits of a number, letters of an
-address in lower case), so that mentions corefer across documents.  Each
-distinct form gets a surrogate drawn from an HMAC-like keyed digest: digits
-become digits and letters letters of the same script and case, card numbers
-keep their issuer digit and Luhn sum, addresses stay valid, and given names
-come from lists of the same gender and script.  Surrogates that two forms share,
-or that are forms in the corpus themselves, are drawn again until all are
-distinct; only the dictionary of forms is iterated, never the texts.
+which mentions of one thing are equal (digits of a number, letters in lower
+case, a secret's value wherever it stands), so that mentions corefer across
+documents.  A person's name is taken word by word: the first of several words
+is a given name, others are family names, and a word that stands alone is what
+it is elsewhere in the corpus, so `Mr John Smith` and `Mr Smith` stay related.
+
+Each distinct form gets a surrogate drawn from a keyed digest: digits become
+digits and letters letters of the same script and case, card numbers keep their
+issuer digit and Luhn sum, IBANs their country and a valid check, addresses stay
+valid, and given names come from lists of the same gender and script as long as
+these last.  Surrogates that two forms of any type share, or that are forms in
+the corpus themselves, are drawn again until all are distinct; only the
+dictionary of forms is iterated, never the texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
 
-KEY = "spanlight-demo-key"
-MAX_DRAWS = 40
+#: Draws of a form's own shape; forms that are left then swap places among themselves.
+MAX_DRAWS = 24
+#: Draws that take given names from the lists; later ones make names up.
+LIST_DRAWS = 8
 
-#: Given names by gender and script, and the titles that tell the gender.
+#: Given names by gender and script.
 NAMES = {
-    ("m", "latin"): ["Adam", "Bernd", "Carlos", "David", "Emil", "Frank", "Georg", "Henri", "Ivan", "Jonas", "Karl", "Louis", "Martin", "Noel", "Oscar", "Paul", "Ruben", "Simon", "Thomas", "Victor"],
-    ("f", "latin"): ["Anna", "Berta", "Clara", "Diana", "Elena", "Frida", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura", "Maria", "Nina", "Olga", "Paula", "Rosa", "Sofia", "Teresa", "Vera"],
-    ("m", "cyrillic"): ["Андрей", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Максим", "Никита", "Олег", "Павел", "Роман", "Сергей", "Тимур", "Юрий"],
-    ("f", "cyrillic"): ["Алла", "Белла", "Вера", "Галина", "Дарья", "Елена", "Инна", "Ксения", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья", "Юлия"],
+    ("m", "latin"): "adam albert anton arthur bernd boris bruno carlos conrad david diego emil enzo felix frank georg gustav henri hugo igor ivan jonas karl klaus leo louis marco martin noel oscar otto paul pedro ralf ruben simon stefan thomas victor walter".split(),
+    ("f", "latin"): "agnes alma anna astrid berta bianca carmen clara diana dora elena elsa emma frida gloria greta hanna helen ines irene julia karin klara laura linda luisa maria marta nadia nina olga paula petra rita rosa silvia sofia teresa ursula vera".split(),
+    ("x", "latin"): "alexis andrea ariel ashley charlie dominique eden jamie jordan kim lee luca morgan nikola noa quinn robin sasha taylor toni".split(),
+    ("m", "cyrillic"): "андрей антон борис вадим виктор глеб денис егор иван игорь кирилл лев максим никита олег павел роман сергей тимур юрий".split(),
+    ("f", "cyrillic"): "алла анна белла вера галина дарья елена жанна зоя инна ксения лидия мария нина ольга полина раиса софья тамара юлия".split(),
+    ("x", "cyrillic"): "валя женя лера паша саша слава тоня шура".split(),
+    ("m", "greek"): "ανδρέας βασίλης γιάννης δημήτρης ηλίας θωμάς κώστας λεωνίδας μιχάλης νίκος παύλος σπύρος στέφανος φίλιππος χρήστος".split(),
+    ("f", "greek"): "άννα βασιλική γεωργία δέσποινα ελένη ζωή ιωάννα κατερίνα μαρία νίκη όλγα σοφία τασία φωτεινή χρυσά".split(),
+    ("x", "greek"): "άλεξ βάλια κίκα νόνη ρένα τόλη".split(),
 }
-TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа"]}
+#: Titles, which tell the gender (x: they do not), and those that are titles with a dot only.
+TITLES = {
+    "m": "Mr Mister Herr Monsieur Señor Don Signor Senhor Господин Κύριος".split(),
+    "f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Señorita Doña Signora Senhora Госпожа Κυρία".split(),
+    "x": "Dr Prof Professor Доктор Δρ".split(),
+}
+DOTTED = {"m": "M Sr Sig".split(), "f": "Sra Srta Sig.ra".split()}
+
+_WORD = r"[\p{Lu}\p{Lo}][\p{L}\p{M}]*+(?:[-'’]\p{L}[\p{L}\p{M}]*+)*+"
+
+
+def _one_of(words: list[str]) -> str:
+    return "(?:" + "|".join(w.replace(".", r"\.") for w in sorted(words, key=len, reverse=True)) + ")"
+
 
+_TITLE = r"(?:" + _one_of([t for ts in TITLES.values() for t in ts]) + r"\.?|" + _one_of([t for ts in DOTTED.values() for t in ts]) + r"\.)"
+_KEY_MARK = r"(?:AKIA|ASIA|gh[pousr]_|sk-)"
 TYPES = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?i:password|passwd|token|secret|api_?key)\s?[=:]\s?\"?[A-Za-z0-9_/+-]{8,}\"?",
+    "assigned": r"(?i:password|passwd|token|secret|api_?key)[\"']?\s?[=:]\s?[\"']?[A-Za-z0-9_/+-]{8,}[\"']?",
     "key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9_-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{16})(?![\d-]|\.\d)",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d(+.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])",
-    "person": r"(?<!\w)(?:" + "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "phone": r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d(+.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d.-])\d{3}\.\d{3}\.\d{4}(?![\d.-])|(?<![\d+.-])(?<!\d )0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?![\d-])",
+    "person": r"(?<![\p{L}\p{N}])" + _TITLE + " " + _WORD + "(?: " + _WORD + "){0,2}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: A cheap test that every text with an entity passes.
-HINT = r"@|\d[ .)-]?\d|AKIA|ASIA|gh[pousr]_|sk-|[=:]\s?\"?[A-Za-z0-9_/+-]{8}|(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}"
+HINT = r"@|\d[ .)-]?\d|" + _KEY_MARK + r"|[=:]\s?[\"']?[A-Za-z0-9_/+-]{8}|::|(?:[0-9A-Fa-f]{1,4}:){7}|" + _TITLE + r" [\p{Lu}\p{Lo}]|[A-Z]{2}\d{2}[ A-Z0-9]"
+_VALUE = r"[=:]\s?[\"']?([A-Za-z0-9_/+-]+)[\"']?$"
 
-LETTERS = {"latin_vowel": "aeiou", "latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя"}
+
+def _every(first: int, n: int, step: int = 1) -> str:
+    return "".join(chr(first + step * i) for i in range(n))
+
+
+#: Letters that stand for a letter of the same kind, as (kind, letters); the first kind that fits counts, the last is for scripts without an alphabet here.
+ALPHABETS = [
+    ("[aeiou]", "aeiou"), ("[a-z]", "bcdfghjklmnpqrstvwxyz"), (r"\p{IsLatin}", "àáâäåçèéêëíîïñóôöøúûüý"),
+    ("[αεηιουω]", "αεηιουω"), ("[άέήίόύώ]", "άέήίόύώ"), (r"\p{IsGreek}", "βγδζθκλμνξπρστφχψ"),
+    ("[аеиоуыэюя]", "аеиоуыэюя"), (r"\p{IsCyrillic}", "бвгджзклмнпрстфхцчшщ"),
+    (r"\p{IsArmenian}", _every(0x561, 38)), (r"\p{IsGeorgian}", _every(0x10D0, 33)), (r"\p{IsHebrew}", _every(0x5D0, 27)), (r"\p{IsArabic}", _every(0x628, 19) + _every(0x641, 8)),
+    (r"\p{IsDevanagari}", _every(0x915, 36)), (r"\p{IsThai}", _every(0xE01, 46)), (r"\p{IsHiragana}", _every(0x3042, 40)), (r"\p{IsKatakana}", _every(0x30A2, 40)), (r"\p{IsHangul}", _every(0xAC00, 100, 28)), (r"\p{IsHan}", _every(0x4E10, 100, 7)),
+    (r"\p{L}", "bcdfghjklmnpqrstvwxyz"),
+]
 
 
 def type_of(entity: Column) -> Column:
@@ -53,21 +95,64 @@ def type_of(entity: Column) -> Column:
     return F.coalesce(*[F.when(entity.rlike(r"\A(?:" + p + r")\z"), F.lit(t)) for t, p in TYPES.items()])
 
 
-def form_of(kind: Column, entity: Column) -> Column:
-    """What is equal for mentions of one thing: a secret's value, digits of numbers, lower-case addresses, a person without the title's dot."""
-    digits = F.regexp_replace(entity, r"\D", "")
-    value = F.regexp_extract(entity, r"[=:]\s?\"?([^\"]+)", 1)
-    return (
-        F.when(kind.isin("card", "ssn", "phone", "iban"), digits)
-        .when(kind == "email", F.lower(entity))
-        .when(kind == "secret", value)
-        .when(kind == "person", F.concat(gender_of(entity), F.lit(" "), F.regexp_replace(entity, r"^\S+ ", "")))
-        .otherwise(entity)
-    )
+def check_97(value: Column) -> Column:
+    """An IBAN's rest modulo 97 with its head put last; 1 where it is valid."""
+    turned = F.split(F.concat(F.substr(value, F.lit(5)), F.substring(value, 1, 4)), "")
+    digit = lambda c: c.rlike("^[0-9]$")
+    return F.aggregate(turned, F.lit(0), lambda a, c: F.when(digit(c), F.pmod(a * 10 + F.when(digit(c), c).otherwise("0").cast("int"), F.lit(97))).otherwise(F.pmod(a * 100 + F.ascii(c) - 55, F.lit(97))))
 
 
-def gender_of(entity: Column) -> Column:
-    return F.when(entity.rlike("^(?:" + "|".join(TITLES["m"]) + r")\.? "), F.lit("m")).otherwise(F.lit("f"))
+def luhn(digits: Column) -> Column:
+    """The Luhn sum of a digit string."""
+    parts = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.when(d.cast("int") > 4, d.cast("int") * 2 - 9).otherwise(d.cast("int") * 2)))
+    return F.aggregate(parts, F.lit(0), lambda a, x: a + x)
+
+
+def _gender(entity: Column) -> Column:
+    title = F.regexp_replace(F.substring_index(entity, " ", 1), r"\.$", "")
+    return F.when(title.isin(*TITLES["m"], *DOTTED["m"]), "m").when(title.isin(*TITLES["f"], *DOTTED["f"]), "f").otherwise("x")
+
+
+def found_in(docs: DataFrame) -> DataFrame:
+    """doc_id, tid, at, part, prefix, piece, kind, form of each mention in rows with text and tid, as a written table.
+
+    A person has a part for each word of the name and its title as prefix;
+    anything else is one part.  kind and form are null for what only looks
+    like an IBAN.
+    """
+    hit = docs.filter(F.col("text").rlike(HINT)).select("doc_id", "tid", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("at", "entity"))
+    typed = hit.withColumn("type", type_of(F.col("entity")))
+    person = F.col("type") == "person"
+    title = F.regexp_extract("entity", r"^(\S+ )", 1)
+    words = F.split(F.substr(F.col("entity"), F.length(title) + 1), " ")
+    parts = typed.withColumns({"gender": _gender(F.col("entity")), "words": F.when(person, words).otherwise(F.array("entity")), "prefix": F.when(person, title).otherwise("")})
+    parts = parts.select("doc_id", "tid", "at", "type", "gender", "prefix", F.size("words").alias("n"), F.posexplode("words").alias("part", "piece"))
+    bare = F.regexp_replace("piece", "[^A-Za-z0-9]", "")
+    iban = (check_97(bare) == 1) | bare.rlike(r"^[A-Z]{2}\d+$")
+    given = F.concat(F.lit("given-"), "gender")
+    kind = (
+        F.when(F.col("type").isin("assigned", "key"), "secret")
+        .when(F.col("type") == "iban", F.when(iban, "iban"))
+        .when(F.col("type") != "person", F.col("type"))
+        .when(F.col("n") == 1, "alone")
+        .otherwise(F.when(F.col("part") == 0, given).otherwise("family"))
+    )
+    form = (
+        F.when(F.col("type") == "assigned", F.regexp_extract("piece", _VALUE, 1))
+        .when(F.col("type") == "key", F.col("piece"))
+        .when(F.col("type") == "iban", bare)
+        .when(F.col("type").isin("card", "ssn", "phone"), F.regexp_replace("piece", r"\D", ""))
+        .otherwise(F.lower("piece"))
+    )
+    parts = scratch.written(parts.withColumns({"kind": kind, "form": F.when(kind.isNotNull(), form)}), "pii-mentions")
+    # A word that stands alone is a given name if it is one elsewhere, or in the lists, and no family name.
+    listed = F.col("form").isin(sorted({n for names in NAMES.values() for n in names}))
+    seen = parts.filter("type = 'person'").groupBy("form").agg(F.max(F.col("kind") == "family").alias("is_family"), F.max(F.col("kind").startswith("given-")).alias("is_given"))
+    seen = scratch.written(seen.withColumnRenamed("form", "s_form"), "pii-names")
+    alone = parts.filter("kind = 'alone'").join(seen, F.col("form") == F.col("s_form"))
+    alone = alone.withColumn("kind", F.when(~F.col("is_family") & (F.col("is_given") | listed), given).otherwise("family"))
+    columns = ["doc_id", "tid", "at", "part", "prefix", "piece", "type", "kind", "form"]
+    return scratch.written(parts.filter("kind is null or kind <> 'alone'").select(columns).unionByName(alone.select(columns)), "pii-parts")
 
 
 def _number(digest: Column, i: Column | int) -> Column:
@@ -81,16 +166,17 @@ def _pick(letters: str, n: Column) -> Column:
 
 
 def _like(char: Column, n: Column, hexadecimal: Column) -> Column:
-    """A character of the same kind: digit, letter of the same script, case and (Latin) vowel or not; else itself."""
+    """A character of the same kind: digit, or letter of the same script and case; marks and signs stay."""
     low = F.lower(char)
-    vowel, consonant, cyrillic = (_pick(LETTERS[k], n) for k in ("latin_vowel", "latin", "cyrillic"))
-    letter = F.when(hexadecimal & low.between("a", "f"), _pick("abcdef", n)).when(low.rlike("^[aeiou]$"), vowel).when(low.rlike("^[a-z]$"), consonant).when(low.rlike("^[а-яё]$"), cyrillic)
+    letter = F.when(hexadecimal & low.between("a", "f"), _pick("abcdef", n))
+    for kind, letters in ALPHABETS:
+        letter = letter.when(low.rlike(f"^{kind}$"), _pick(letters, n))
     return F.when(char.rlike("^[0-9]$"), _pick("0123456789", n)).when(letter.isNotNull(), F.when(char == low, letter).otherwise(F.upper(letter))).otherwise(char)
 
 
 def _mapped(value: Column, digest: Column, keep: Column) -> Column:
     """value with each character but the first `keep` replaced by one of its kind; a leading digit that is not 0 stays so."""
-    hexadecimal = value.rlike("^[0-9a-f]+$")
+    hexadecimal = value.rlike("^[0-9a-f:]+$")
     out = F.transform(
         F.split(value, ""),
         lambda c, i: F.when(i < keep, c).when((i == 0) & c.rlike("^[1-9]$"), _pick("123456789", _number(digest, i))).otherwise(_like(c, _number(digest, i), hexadecimal)),
@@ -98,131 +184,157 @@ def _mapped(value: Column, digest: Column, keep: Column) -> Column:
     return F.array_join(out, "")
 
 
-def _luhn(digits: Column) -> Column:
-    """The Luhn sum of a digit string."""
-    reverse = F.split(F.reverse(digits), "")
-    parts = F.transform(reverse, lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.when(d.cast("int") > 4, d.cast("int") * 2 - 9).otherwise(d.cast("int") * 2)))
-    return F.aggregate(parts, F.lit(0), lambda a, x: a + x)
-
-
 def _drawn(table: DataFrame, key: str) -> DataFrame:
     """table (kind, form, draw) with surrogate: the draw-th surrogate of each form, in the form's own shape.
 
     Each step is a column, so that no expression holds another many times.
     """
     kind, form, draw = F.col("kind"), F.col("form"), F.col("draw")
-    hashed = lambda *parts: F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 512)
-    words, domain = F.split(form, " "), F.substring_index(form, "@", -1)
+    hashed = lambda *parts: F.sha2(F.concat_ws("\x1f", F.lit(key), F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 512)), 512)
+    domain = F.substring_index(form, "@", -1)
     step = table.withColumns(
         {
             "s_digest": hashed(kind, form, draw.cast("string")),
-            "s_body": F.when(kind == "email", F.substring_index(form, "@", 1)).when(kind == "person", F.get(words, F.lit(1))).otherwise(form),
-            "s_keep": F.when(kind == "key", 4).when((kind == "card") | ((kind == "phone") & (F.length(form) > 10)), 1).otherwise(0),  # issuer and country keep their first digit
+            "s_body": F.when(kind == "email", F.substring_index(form, "@", 1)).otherwise(form),
+            # A key keeps its mark, an IBAN its country; issuer and country code of a number their first digit.
+            "s_keep": F.when(kind == "secret", F.length(F.regexp_extract(form, "^" + _KEY_MARK, 0))).when(kind == "iban", 2).when((kind == "card") | ((kind == "phone") & (F.length(form) > 10)), 1).otherwise(0),
             "s_host": F.when((kind == "email") & ~domain.rlike(r"(?:^|\.)example\.(?:com|net|org)$"), F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1)),
-            "s_family": F.when(kind == "person", F.get(words, F.lit(2))),
         }
     )
-    step = step.withColumns({"s_host_digest": hashed(F.lit("domain"), domain), "s_family_digest": hashed(F.lit("family"), F.col("s_family"), F.when(draw > 4, draw).otherwise(0).cast("string"))})
+    step = step.withColumn("s_host_digest", hashed(F.lit("domain"), domain))
+    octet = lambda o, n: F.when(draw >= LIST_DRAWS, F.pmod(n, F.lit(254)) + 1).when(F.length(o) == 1, F.pmod(n, F.lit(9)) + 1).when(F.length(o) == 2, F.pmod(n, F.lit(90)) + 10).otherwise(F.pmod(n, F.lit(155)) + 100)
     step = step.withColumns(
         {
             "s_mapped": _mapped(F.col("s_body"), F.col("s_digest"), F.col("s_keep")),
             "s_host_mapped": _mapped(F.col("s_host"), F.col("s_host_digest"), F.lit(0)),
-            "s_family_mapped": _mapped(F.col("s_family"), F.col("s_family_digest"), F.lit(0)),
-            "s_octets": F.when(
-                kind == "ipv4",
-                F.transform(
-                    F.split(form, r"\."),
-                    lambda o, i: F.when(F.length(o) == 1, F.pmod(_number(F.col("s_digest"), i), F.lit(9)) + 1).when(F.length(o) == 2, F.pmod(_number(F.col("s_digest"), i), F.lit(90)) + 10).otherwise(F.pmod(_number(F.col("s_digest"), i), F.lit(155)) + 100).cast("string"),
-                ),
-            ),
-            "s_nth": _number(F.col("s_digest"), 50),
+            "s_octets": F.when(kind == "ipv4", F.transform(F.split(form, r"\."), lambda o, i: octet(o, _number(F.col("s_digest"), i)).cast("string"))),
+            "s_script": F.when(form.rlike(r"\p{IsCyrillic}"), "cyrillic").when(form.rlike(r"\p{IsGreek}"), "greek").when(form.rlike(r"\p{IsLatin}"), "latin").otherwise("other"),
         }
     )
     mapped = F.col("s_mapped")
-    step = step.withColumns({"s_front": F.substring(mapped, F.lit(1), F.length(mapped) - 1), "s_valid": F.when(kind == "card", F.pmod(_luhn(form), F.lit(10)) == 0)})
-    step = step.withColumn("s_check", F.when(F.col("s_valid"), F.pmod(F.lit(10) - F.pmod(_luhn(F.concat("s_front", F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")))
-    cyrillic = F.get(words, F.lit(1)).rlike(r"\p{IsCyrillic}")
+    step = step.withColumns({"s_front": F.substring(mapped, F.lit(1), F.length(mapped) - 1), "s_valid": F.when(kind == "card", F.pmod(luhn(form), F.lit(10)) == 0).when(kind == "iban", check_97(form) == 1)})
+    step = step.withColumn(
+        "s_check",
+        F.when(~F.col("s_valid"), F.lit(None).cast("string"))
+        .when(kind == "card", F.pmod(F.lit(10) - F.pmod(luhn(F.concat("s_front", F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))
+        .when(kind == "iban", F.lpad((F.lit(98) - check_97(F.concat(F.substring(form, 1, 2), F.lit("00"), F.substr(mapped, F.lit(5))))).cast("string"), 2, "0")),
+    )
     given = mapped  # the lists are short, so later draws make names up
     for (gender, script), names in NAMES.items():
-        fits = (draw <= 8) & (F.get(words, F.lit(0)) == gender) & (cyrillic if script == "cyrillic" else ~cyrillic)
-        given = F.when(fits, F.element_at(F.array(*[F.lit(n) for n in names]), F.pmod(F.col("s_nth"), F.lit(len(names))) + 1)).otherwise(given)
+        fits = (draw < LIST_DRAWS) & (kind == f"given-{gender}") & (F.col("s_script") == script)
+        pick = lambda at: F.element_at(F.array(*[F.lit(n) for n in names]), F.pmod(_number(F.col("s_digest"), at), F.lit(len(names))) + 1)  # noqa: B023, E731
+        given = F.when(fits, F.when(F.contains(form, F.lit("-")), F.concat(pick(50), F.lit("-"), pick(51))).otherwise(pick(50))).otherwise(given)
     email = F.concat(mapped, F.lit("@"), F.when(F.col("s_host").isNull(), domain).otherwise(F.concat("s_host_mapped", F.lit("."), F.substring_index(domain, ".", -1))))
     surrogate = (
         F.when(kind == "email", email)
-        .when(F.col("s_valid"), F.concat("s_front", "s_check"))
+        .when((kind == "card") & F.col("s_check").isNotNull(), F.concat("s_front", "s_check"))
+        .when((kind == "iban") & F.col("s_check").isNotNull(), F.concat(F.substring(form, 1, 2), "s_check", F.substr(mapped, F.lit(5))))
         .when(kind == "ipv4", F.array_join("s_octets", "."))
-        .when(kind == "person", F.concat_ws(" ", F.get(words, F.lit(0)), given, "s_family_mapped"))
+        .when(kind.startswith("given-"), given)
         .otherwise(mapped)
     )
     return step.select("kind", "form", "draw", surrogate.alias("surrogate"))
 
 
-def dictionary(forms: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, form, surrogate: distinct surrogates of distinct forms, none of which is a form itself."""
-    originals = scratch.written(forms.select("kind", "form").distinct(), "pii-forms")
+def _space(kind: Column) -> Column:
+    """Given names may be given names of others in the corpus; everything else is told apart from all forms of all types."""
+    return F.when(kind.startswith("given-"), "given").otherwise("other")
+
+
+def _swapped(left: DataFrame) -> DataFrame:
+    """kind, form, surrogate of forms whose shape has no value left: each takes the next one's form, which nothing else has.
+
+    A shape with one such form gets a character more.
+    """
+    shape = F.regexp_replace(F.regexp_replace("form", "[0-9]", "0"), r"\p{L}", "a")
+    ring = left.select("kind", "form", shape.alias("shape"))
+    order = Window.partitionBy("kind", "shape").orderBy("form")
+    whole = Window.partitionBy("kind", "shape")
+    following = F.coalesce(F.lead("form").over(order), F.min("form").over(whole))
+    return ring.withColumn("next", following).select("kind", "form", F.when(F.col("next") != F.col("form"), F.col("next")).otherwise(F.concat("form", F.substring("form", -1, 1))).alias("surrogate"))
+
+
+def dictionary(forms: DataFrame, key: str) -> DataFrame:
+    """kind, form, surrogate: distinct surrogates of distinct forms, none of which is its own form or, but for given names, any form."""
+    originals = scratch.written(forms.select("kind", "form").filter("form is not null").distinct(), "pii-forms")
     table = scratch.written(_drawn(originals.withColumn("draw", F.lit(0)), key), "pii-draw")
-    taken = originals.select(F.col("kind").alias("o_kind"), F.col("form").alias("o_form"))
+    taken = scratch.written(originals.filter(_space(F.col("kind")) == "other").select(F.col("form").alias("o_form")).distinct(), "pii-taken")
     for draw in range(1, MAX_DRAWS + 1):
-        first = table.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "form")).alias("winner"))
+        spaced = table.withColumn("space", _space(F.col("kind")))
+        first = spaced.groupBy("space", "surrogate").agg(F.min(F.struct("draw", "kind", "form")).alias("winner"))
         judged = (
-            table.join(first, ["kind", "surrogate"])
-            .join(taken, (F.col("kind") == F.col("o_kind")) & (F.col("surrogate") == F.col("o_form")), "left")
-            .withColumn("bad", (F.col("winner.form") != F.col("form")) | F.col("o_form").isNotNull())
+            spaced.join(scratch.written(first, "pii-first"), ["space", "surrogate"])
+            .join(taken, (F.col("space") == "other") & (F.col("surrogate") == F.col("o_form")), "left")
+            .withColumn("bad", (F.col("winner.form") != F.col("form")) | (F.col("winner.kind") != F.col("kind")) | F.col("o_form").isNotNull() | (F.col("surrogate") == F.col("form")))
         )
         judged = scratch.written(judged.select("kind", "form", "draw", "surrogate", "bad"), "pii-judged")
         again = judged.filter("bad").select("kind", "form", F.lit(draw).alias("draw"))
         if again.isEmpty():
             break
-        if draw == MAX_DRAWS:  # a form whose shape has too few values, as a short number
-            mark = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "form"), 256), 1, 24)
-            fresh = again.withColumn("surrogate", F.concat(F.lit("["), F.upper("kind"), F.lit("-"), mark, F.lit("]")))
-        else:
-            fresh = _drawn(again, key)
-        table = scratch.written(judged.filter("not bad").drop("bad").unionByName(fresh), "pii-draw")
+        good = judged.filter("not bad").drop("bad")
+        if draw == MAX_DRAWS:
+            return good.drop("draw").unionByName(_swapped(again))
+        table = scratch.written(good.unionByName(_drawn(again, key)), "pii-draw")
     return table.select("kind", "form", "surrogate")
 
 
-def _rendered(kind: Column, entity: Column, surrogate: Column) -> Column:
-    """The surrogate in the format of this mention."""
-    chars = F.split(entity, "")
+def _in_order(piece: Column, surrogate: Column, kind: str) -> Column:
+    """piece with its characters of a kind replaced by those of the surrogate, one after the other."""
     state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def step(s: Column, c: Column) -> Column:
-        digit = c.rlike("^[0-9]$")
-        return F.struct(F.concat(s["out"], F.when(digit, F.substring(surrogate, s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + digit.cast("int")).alias("at"))
+        own = c.rlike(f"^{kind}$")
+        return F.struct(F.concat(s["out"], F.when(own, F.substring(surrogate, s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + own.cast("int")).alias("at"))
+
+    return F.aggregate(F.split(piece, ""), state, step)["out"]
+
+
+def _cased(piece: Column, surrogate: Column) -> Column:
+    """surrogate, which is in lower case, with the capitals of piece; one of another length with capitals where a name has them."""
+    chars, own = F.split(surrogate, ""), F.split(piece, "")
+    upper = (F.upper(piece) == piece) & (F.lower(piece) != piece) & (F.length(piece) > 1)
+    each = F.array_join(F.transform(chars, lambda c, i: F.when(F.lower(F.get(own, i)) != F.get(own, i), F.upper(c)).otherwise(c)), "")
+    heads = F.array_join(F.transform(chars, lambda c, i: F.when((i == 0) | F.coalesce(F.get(chars, i - 1).rlike("^[-'’]$"), F.lit(False)), F.upper(c)).otherwise(c)), "")
+    capital = F.substring(piece, 1, 1) != F.lower(F.substring(piece, 1, 1))
+    return F.when(upper, F.upper(surrogate)).when(F.length(piece) == F.length(surrogate), each).when(capital, heads).otherwise(surrogate)
 
-    numbers = F.when(surrogate.startswith("["), surrogate).otherwise(F.aggregate(chars, state, step)["out"])
-    upper = (F.upper(entity) == entity) & (F.lower(entity) != entity)
-    value = F.regexp_extract(entity, r"[=:]\s?\"?([^\"]+)", 1)
+
+def rendered(type_: Column, piece: Column, surrogate: Column) -> Column:
+    """The surrogate in the format of this mention."""
+    whole = F.length(F.regexp_extract(piece, _VALUE, 1))
+    at = F.length(F.regexp_extract(piece, r"^(.*?[=:]\s?[\"']?)[A-Za-z0-9_/+-]+[\"']?$", 1))
     return (
-        F.when(kind.isin("card", "ssn", "phone", "iban"), numbers)
-        .when(kind == "email", F.when(upper, F.upper(surrogate)).otherwise(surrogate))
-        .when(kind == "secret", F.concat(F.regexp_extract(entity, r"^([^=:]*[=:]\s?\"?)", 1), surrogate, F.when(entity.endswith('"'), F.lit('"')).otherwise(F.lit(""))))
-        .when(kind == "person", F.concat(F.regexp_extract(entity, r"^(\S+ )", 1), F.regexp_replace(surrogate, r"^[mf] ", "")))
+        F.when(type_.isin("card", "ssn", "phone"), _in_order(piece, surrogate, "[0-9]"))
+        .when(type_ == "iban", _in_order(piece, surrogate, "[A-Za-z0-9]"))
+        .when(type_.isin("email", "person", "ipv6"), _cased(piece, surrogate))
+        .when(type_ == "assigned", F.concat(F.substring(piece, F.lit(1), at), surrogate, F.substr(piece, at + whole + 1)))
         .otherwise(surrogate)
     )
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, n_entities, text of every row, with a surrogate in place of each entity.
 
-    Equal forms get equal surrogates in all documents, distinct forms of one
-    type distinct ones, and no surrogate is itself a form in the input.  A
-    null text stays null with no entities; repeated rows are replaced alike;
-    an empty table gives no rows; other columns are ignored.
+    key is secret: who knows it can try forms.  Equal forms get equal
+    surrogates in all documents, distinct forms distinct ones, and no
+    surrogate but a given name is itself a form in the input.  A null text
+    stays null with no entities; repeated rows are replaced alike; an empty
+    table gives no rows; other columns are ignored.
     """
     rows = scratch.keyed(docs)
-    found = rows.filter(F.col("text").rlike(HINT)).select("doc_id", "tid", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("at", "entity"))
-    typed = found.withColumn("kind", F.coalesce(type_of(F.col("entity")), F.lit("other"))).withColumn("form", form_of(F.col("kind"), F.col("entity")))
-    mentions = scratch.written(typed, "pii-mentions")
-    table = dictionary(mentions, key)
-    told = mentions.join(table, ["kind", "form"]).select("doc_id", "tid", "at", _rendered(F.col("kind"), F.col("entity"), F.col("surrogate")).alias("put"))
-    by_row = told.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_set(F.struct("at", "put"))).alias("puts"))
-    by_row = scratch.written(by_row.select(F.col("doc_id").alias("p_id"), F.col("tid").alias("p_tid"), F.transform("puts", lambda x: x["put"]).alias("puts")), "pii-rows")
+    mentions = found_in(rows)
+    table = scratch.written(dictionary(mentions, key), "pii-dictionary").select(F.col("kind").alias("d_kind"), F.col("form").alias("d_form"), "surrogate")
+    told = mentions.join(table, (F.col("kind") == F.col("d_kind")) & (F.col("form") == F.col("d_form")), "left")
+    put = F.when(F.col("surrogate").isNull(), F.col("piece")).otherwise(rendered(F.col("type"), F.col("piece"), F.col("surrogate")))
+    told = told.select("doc_id", "tid", "at", "part", "prefix", put.alias("put"), F.col("surrogate").isNotNull().alias("is_entity"))
+    whole = told.groupBy("doc_id", "tid", "at").agg(
+        F.max("prefix").alias("prefix"), F.max("is_entity").alias("is_entity"), F.array_sort(F.collect_set(F.struct("part", "put"))).alias("parts")
+    )
+    whole = whole.select("doc_id", "tid", "at", "is_entity", F.concat("prefix", F.array_join(F.transform("parts", lambda x: x["put"]), " ")).alias("put"))
+    by_row = whole.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_list(F.struct("at", "put"))).alias("puts"), F.count_if("is_entity").alias("n"))
+    by_row = scratch.written(by_row.select(F.col("doc_id").alias("p_id"), F.col("tid").alias("p_tid"), F.transform("puts", lambda x: x["put"]).alias("puts"), "n"), "pii-rows")
     some, clean = scratch.split_by_ids(rows, by_row.select(F.col("p_tid").alias("tid")), "tid")
     joined = some.join(by_row, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("tid") == F.col("p_tid")), "left")
     pieces = F.transform(F.split("text", PATTERN, -1), lambda x, i: F.concat(x, F.coalesce(F.get("puts", i), F.lit(""))))
-    out = joined.select(
-        "doc_id", F.coalesce(F.size("puts"), F.lit(0)).cast("bigint").alias("n_entities"), F.when(F.col("puts").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")).alias("text")
-    )
+    out = joined.select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_entities"), F.when(F.col("puts").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")).alias("text"))
     return out.unionByName(clean.select("doc_id", F.lit(0).cast("bigint").alias("n_entities"), "text"))
