@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 
+#: Unicode white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 _SPACE = r"[\s\x0B\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def trimmed(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{_SPACE}+", ""), f"{_SPACE}+\\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -95,8 +97,10 @@ def function_id(modules: Column, name: Column) -> Column:
 
 
 def truncated(c: Column, length: int) -> Column:
-    """At most `length` bytes, cut with an ellipsis (S-12); meant for ASCII texts."""
-    return F.when(F.octet_length(c) <= length, c).otherwise(F.concat(F.substring(c, 1, max(length - 3, 0)), F.lit("...")))
+    """At most `length` bytes, cut between characters and with an ellipsis (S-12)."""
+    # A character that is cut apart decodes to signs that stand for no character.
+    cut = F.regexp_replace(F.decode(F.substring(F.encode(c, "UTF-8"), 1, max(length - 3, 0)), "UTF-8"), "\uFFFD+\\z", "")
+    return F.when(F.octet_length(c) <= length, c).otherwise(F.concat(cut, F.lit("...")))
 
 
 def summary_line(label: Column, value: Column, width: int) -> Column:

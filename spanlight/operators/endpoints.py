@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import fn_name, is_fn_start, quoted
+from ..functions.text import contains_any, fn_name, is_fn_start, quoted
+from .lines import lines_with, scan_lines
 
 COLUMNS = ["file", "line", "method", "path", "handler", "framework"]
 
@@ -60,6 +61,19 @@ def tonic_methods(lines: DataFrame) -> DataFrame:
     return found.select("file", "line", F.lit("gRPC").alias("method"), F.concat(F.lit("/"), "handler").alias("path"), "handler", F.lit("tonic").alias("framework"))
 
 
+def endpoint_lines(files: DataFrame, framework: str) -> DataFrame:
+    """The lines that detect_endpoints needs, of files that have a mark of the framework."""
+    having = lambda marks: files.filter(contains_any(F.col("source"), marks))
+    attributes = [f"#[{m}(" for m in K.ATTRIBUTE_METHODS]
+    if framework == "Axum":
+        return lines_with(having([".route("]), [".route(", "fn "])
+    if framework in ("Actix", "Rocket"):
+        return scan_lines(having(attributes))
+    if framework == "Tonic":
+        return lines_with(having(["Request<"]), ["async fn "])
+    return scan_lines(having([".route(", "Request<", *attributes]))
+
+
 def detect_endpoints(lines: DataFrame, framework: str) -> DataFrame:
     """Endpoints of a known framework, or of all four where it is Unknown (E-1, U-1)."""
     makers = {"Axum": axum_routes, "Actix": lambda x: attribute_routes(x, "actix-web"), "Rocket": lambda x: attribute_routes(x, "rocket"), "Tonic": tonic_methods}

@@ -29,6 +29,10 @@ def quality_score(line: Column) -> Column:
     return F.greatest(F.round(total, 6), F.lit(0.0))
 
 
+#: One of these is in every line that sets off a detector.
+MARKS = ["instrument", *K.SPAN_MARKS, *K.LOG_MARKS, *K.METRIC_MARKS]
+
+
 def scan_existing(lines: DataFrame) -> DataFrame:
     """file, line, ord, kind, span_name, score, issues: a row for each detector that a line sets off (X-1 to X-5)."""
     text = F.col("text")
@@ -45,7 +49,6 @@ def scan_existing(lines: DataFrame) -> DataFrame:
         hit(3, contains_any(text, K.LOG_MARKS), "LogMacro", none, clean, no_issue),
         hit(4, contains_any(text, K.METRIC_MARKS), "Metrics", none, clean, no_issue),
     )
-    # One cheap test spares lines without any mark the rest.
-    marks = ["instrument", *K.SPAN_MARKS, *K.LOG_MARKS, *K.METRIC_MARKS]
-    rows = lines.filter(contains_any(text, marks)).select("file", "line", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("x"))
+    # One cheap test spares lines without any mark the rest; no mark begins or ends with white space.
+    rows = lines.filter(contains_any(F.col("raw"), MARKS)).select("file", "line", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("x"))
     return rows.select("file", "line", "x.*")

@@ -118,27 +118,41 @@ def shortest_paths(start: DataFrame, edges: DataFrame) -> DataFrame:
         seen = seen.unionByName(front)
 
 
-def cycles(edges: DataFrame, max_length: int = 10) -> DataFrame:
-    """cycle: each simple cycle of at most max_length ids once, from its least id on (C-14).
+def on_cycles(hops: DataFrame) -> DataFrame:
+    """The hops (src, dst) left when ids without a hop into or out of them are taken away again and again."""
+    before = hops.count()
+    while before:
+        inner = hops.join(hops.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(hops.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        hops = checkpointed(inner.select("src", "dst"))
+        left = hops.count()
+        if left == before:
+            break
+        before = left
+    return hops
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """cycle: each simple cycle once, of any length, from its least id on (C-14).
 
-    Paths start at a cycle's least id and never pass a smaller one, which
-    finds each cycle once and cuts the search early.
+    Ids on no cycle are taken away first.  Paths then start at a cycle's least
+    id and never pass a smaller one, which finds each cycle once.  A dense
+    graph has exponentially many simple cycles, and all are listed.
     """
-    hops = checkpointed(edges.select("src", "dst").distinct())
-    paths = hops.filter("dst >= src").select(F.array("src").alias("path"), "dst")
-    found = None
-    for _ in range(max_length):
-        paths = checkpointed(paths)
-        closed = paths.filter(F.col("dst") == F.col("path")[0]).select(F.col("path").alias("cycle"))
-        found = closed if found is None else found.unionByName(closed)
-        longer = paths.filter(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"))
-        paths = longer.join(hops, F.element_at("path", -1) == F.col("src")).filter(F.col("dst") >= F.col("path")[0]).select("path", "dst")
-        if paths.isEmpty():
-            break
+    hops = on_cycles(checkpointed(edges.select("src", "dst").distinct()))
+    found = hops.filter("src = dst").select(F.array("src").alias("cycle"))
+    paths = checkpointed(hops.filter("dst > src").select(F.array("src").alias("path"), "dst"))
+    depth = 0
+    while not paths.isEmpty():
+        depth += 1
+        longer = paths.select(F.array_append("path", F.col("dst")).alias("path")).join(hops, F.element_at("path", -1) == F.col("src")).filter(F.col("dst") >= F.col("path")[0]).select("path", "dst")
+        steps = checkpointed(longer.filter((F.col("dst") == F.col("path")[0]) | ~F.array_contains("path", F.col("dst"))))
+        closed = steps.filter(F.col("dst") == F.col("path")[0]).select(F.col("path").alias("cycle"))
+        found = checkpointed(found.unionByName(closed)) if depth % 8 == 0 else found.unionByName(closed)
+        paths = steps.filter(F.col("dst") != F.col("path")[0])
     return found
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame, max_cycle: int = 10) -> DataFrame:
+def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The ten numbers of a graph in one row (A-14, C-15, C-19, U-6)."""
     one = F.lit(1).alias("one")
     kinds = nodes.agg(one, F.count("*").alias("total_nodes"), *[F.count_if(F.col("kind") == k).alias(f"{k.lower()}_count") for k in K.NODE_KINDS])
@@ -146,7 +160,7 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, max_cycle: int = 10) -> Data
     lost = nodes.filter("kind = 'Internal'").join(reached, "id", "left_anti").agg(one, F.count("*").alias("unreachable_internal"))
     all_edges = edges.agg(one, F.count("*").alias("total_edges"))
     degs = degrees(nodes, edges).agg(one, F.coalesce(F.max("callers"), F.lit(0)).alias("max_in_degree"), F.coalesce(F.max("callees"), F.lit(0)).alias("max_out_degree"))
-    loops = cycles(edges, max_cycle).agg(one, F.count("*").alias("cycle_count"))
+    loops = cycles(edges).agg(one, F.count("*").alias("cycle_count"))
     out = kinds
     for part in (all_edges, lost, loops, degs):
         out = out.join(part, "one")

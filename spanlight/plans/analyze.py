@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import classify, deps, endpoints, existing, gaps, graph, points, rules
-from ..operators.lines import scan_lines
+from ..operators.lines import line_counts, lines_with
 
 
 @dataclass
@@ -38,20 +38,24 @@ class Analysis:
     gaps: DataFrame
     violations: DataFrame
     stats: DataFrame
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Give back what is kept in memory; the tables can still be read, at the cost of computing them again."""
+        for df in self.kept:
+            df.unpersist()
 
 
 NODE = "id string, name string, kind string, file string, line int"
 EDGE = "src string, dst string, kind string, is_conditional boolean, is_in_loop boolean"
 
 
-def run_stats(files: DataFrame, lines: DataFrame, nodes: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
-    """The eight counts in one row (A-1)."""
-    parts = {"total_files": files, "total_functions": nodes, "total_lines": lines, **found}
-    counts = None
-    for name, df in parts.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in parts])
+def run_stats(files: DataFrame, nodes: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """The eight counts in one row (A-1); files and their lines are counted in one pass."""
+    counts = line_counts(files).agg(F.count("*").alias("total_files"), F.coalesce(F.sum("line_count"), F.lit(0)).alias("total_lines")).unpivot([], ["total_files", "total_lines"], "name", "n")
+    for name, df in {"total_functions": nodes, **found}.items():
+        counts = counts.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n"))
+    return counts.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in ("total_files", "total_functions", "total_lines", *found)])
 
 
 def analyze(files: DataFrame, dependencies: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, config: Config | None = None) -> Analysis:
@@ -79,10 +83,9 @@ def analyze(files: DataFrame, dependencies: DataFrame | None = None, nodes: Data
         if framework == "Unknown":
             by_source = deps.framework_by_source(files.withColumn("project", F.lit("p"))).first()
             framework = by_source["framework"] if by_source else "Unknown"
-    lines = scan_lines(files)
     # Narrow tables that several stages read.
-    found = endpoints.detect_endpoints(lines, framework).persist()
-    there = existing.scan_existing(lines).persist()
+    found = endpoints.detect_endpoints(endpoints.endpoint_lines(files, framework), framework).persist()
+    there = existing.scan_existing(lines_with(files, existing.MARKS)).persist()
     context = deps.detection_context(one.unionByName(spark.createDataFrame([("p", "", "", "")], dependencies.schema)))
     matches = classify.classify_in_context(nodes.withColumn("project", F.lit("p")), context).drop("project")
     degs = graph.degrees(nodes, edges)
@@ -94,5 +97,5 @@ def analyze(files: DataFrame, dependencies: DataFrame | None = None, nodes: Data
     suggested = suggested.persist()
     open_ = gaps.gaps_live(suggested, there)
     broken = rules.check_all(there, suggested, config.naming_rules)
-    stats = run_stats(files, lines, nodes, {"endpoints_count": found, "instrumentation_points": suggested, "existing_count": there, "gaps_count": open_, "rule_violations_count": broken})
-    return Analysis(files, nodes, edges, found, there, suggested, open_, broken, stats)
+    stats = run_stats(files, nodes, {"endpoints_count": found, "instrumentation_points": suggested, "existing_count": there, "gaps_count": open_, "rule_violations_count": broken})
+    return Analysis(files, nodes, edges, found, there, suggested, open_, broken, stats, [found, there, suggested])

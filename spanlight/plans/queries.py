@@ -42,6 +42,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.coalesce("text", F.lit("")).alias("source"))
 
 
+#: Lines of source that follow the prose of each document, made from its id, so that detectors have something to find; the same text in Spark and SQL.
+CODE = """concat(coalesce(text, ''), chr(10), 'fn app_', doc_id, '() { Router::new()', chr(10), '    .route("/d/', doc_id, '", get(show_', doc_id, '));', chr(10), '}', chr(10),
+  CASE WHEN doc_id % 4 = 0 THEN concat('#[instrument(name = "api.d', doc_id, '", token)]', chr(10)) ELSE '' END, 'async fn show_', doc_id, '() {', chr(10), chr(10), chr(10),
+  CASE doc_id % 4 WHEN 1 THEN '    info!("seen");' WHEN 2 THEN '    counter!("d");' WHEN 3 THEN concat('    let s = info_span!("work ', doc_id, '");') ELSE '    assert_eq!(1, 1);' END, chr(10), '}', chr(10))"""
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with lines of source behind its prose, as files."""
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.expr(CODE).alias("source"))
+
+
 def _fx_lines(spark: SparkSession) -> DataFrame:
     return lines.scan_lines(table(spark, "fx_files"))
 
@@ -59,6 +70,7 @@ l_rows AS (SELECT file, unnest(range(1, len(p) + 1))::INTEGER AS line, unnest(p)
 l_raw AS (SELECT file, line, CASE WHEN x LIKE '%' || chr(13) THEN x[:length(x) - 1] ELSE x END AS raw FROM l_rows),
 l_lines AS (SELECT file, line, raw, {TRIM.format('raw')} AS text FROM l_raw)"""
 FX_LINES = f"WITH {values('fx_files')},\nt_files AS (SELECT file, source FROM fx_files),\n{LINES_SQL}"
+MARKED_LINES = f"WITH t_files AS (SELECT doc_id::VARCHAR AS file, {CODE} AS source FROM documents),\n{LINES_SQL}"
 DOC_LINES = f"WITH t_files AS (SELECT doc_id::VARCHAR AS file, coalesce(text, '') AS source FROM documents),\n{LINES_SQL}"
 
 
@@ -115,7 +127,7 @@ def existing_by_kind(spark, sf_dir):
 SELECT file, line, score FROM marked""")
 def existing_quality(spark, sf_dir):
     """Quality of every document line that holds a sensitive word, as if it were an attribute."""
-    rows = lines.scan_lines(_documents(spark, sf_dir)).filter(S.contains_any(F.col("text"), K.SENSITIVE_WORDS))
+    rows = lines.lines_with(_documents(spark, sf_dir), K.SENSITIVE_WORDS)
     return rows.select("file", "line", existing.quality_score(F.col("text")).alias("score"))
 
 
@@ -129,9 +141,9 @@ def existing_issues(spark, sf_dir):
     return rows.select("file", "line", "i.kind")
 
 
-@query(f"{DOC_LINES},\n{EXISTING_SQL} SELECT file, line, ord, kind, span_name, score FROM x_rows")
+@query(f"{MARKED_LINES},\n{EXISTING_SQL} SELECT file, line, ord, kind, span_name, score FROM x_rows")
 def existing_scan_documents(spark, sf_dir):
-    return existing.scan_existing(lines.scan_lines(_documents(spark, sf_dir))).drop("issues")
+    return existing.scan_existing(lines.lines_with(_marked(spark, sf_dir), existing.MARKS)).drop("issues")
 
 
 # ---------------------------------------------------------------- endpoints
@@ -550,15 +562,15 @@ def nodes_by_kind(spark, sf_dir):
 
 
 TRADE_SQL = """trade AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
-  WHERE (o_orderkey + l_suppkey) % 97 = 3 AND c_nationkey <> s_nationkey)"""
+  WHERE c_nationkey <> s_nationkey)"""
 
 
 @query(f"WITH {TRADE_SQL}, ids AS (SELECT n_nationkey AS id FROM nation) SELECT id, (SELECT count(DISTINCT src) FROM trade WHERE dst = id) AS callers, (SELECT count(DISTINCT dst) FROM trade WHERE src = id) AS callees FROM ids")
 def graph_degrees_trade(spark, sf_dir):
-    """Degrees in the graph of trade between nations, one edge in 97 of all lines."""
+    """Degrees in the graph of trade between nations, over all order lines."""
     o, c, l, s = (read(spark, sf_dir, t) for t in ("orders", "customer", "lineitem", "supplier"))
     joined = o.join(c, o.o_custkey == c.c_custkey).join(l, o.o_orderkey == l.l_orderkey).join(s, l.l_suppkey == s.s_suppkey)
-    edges = joined.filter(((F.col("o_orderkey") + F.col("l_suppkey")) % 97 == 3) & (F.col("c_nationkey") != F.col("s_nationkey")))
+    edges = joined.filter(F.col("c_nationkey") != F.col("s_nationkey"))
     return graph.degrees(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")), edges.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct())
 
 
@@ -614,7 +626,7 @@ def _pattern_sql(source: str) -> str:
 
 
 FX_PATTERNS = f"WITH {values('fx_files')}, t AS (SELECT file AS doc, source AS text FROM fx_files),\n{_pattern_sql('t')}"
-DOC_PATTERNS = f"WITH t AS (SELECT doc_id AS doc, coalesce(text, '') AS text FROM documents),\n{_pattern_sql('t')}"
+DOC_PATTERNS = f"WITH t AS (SELECT doc_id AS doc, {CODE} AS text FROM documents),\n{_pattern_sql('t')}"
 HAS_WORD = " UNION ALL ".join(f"SELECT doc, weight, '{c}' AS category, {i} AS o FROM m WHERE {_any('pattern', words)}" for i, (c, words) in enumerate(K.CATEGORY_WORDS))
 SCORES_SQL = f"h AS ({HAS_WORD}), s0 AS (SELECT doc, category, sum(weight) AS w FROM h GROUP BY doc, category), scores AS (SELECT doc, category, round(w / max(w) OVER (PARTITION BY doc), 6)::DOUBLE AS score FROM s0)"
 ORDER_SQL = "CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for i, (c, _, _) in enumerate(K.CATEGORIES)) + " END"
@@ -633,7 +645,7 @@ def pattern_matches(spark, sf_dir):
 @query(f"{DOC_PATTERNS} SELECT doc, ord, pattern, count(*) AS n FROM m GROUP BY doc, ord, pattern")
 def pattern_matches_documents(spark, sf_dir):
     """The weighted matcher over every document."""
-    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.expr(CODE).alias("text"))
     return patterns.match_patterns(texts).groupBy("doc", "ord", "pattern").agg(F.count("*").alias("n"))
 
 
@@ -830,11 +842,11 @@ def flagship_sources(spark, sf_dir):
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixture sources and every document, as files."""
-    return table(spark, "fx_files").select("file", "source").unionByName(_documents(spark, sf_dir))
+    """Fixture sources and every document with its source lines, as files."""
+    return table(spark, "fx_files").select("file", "source").unionByName(_marked(spark, sf_dir))
 
 
-CORPUS_SQL = FX_LINES.replace("t_files AS (SELECT file, source FROM fx_files)", "t_files AS (SELECT file, source FROM fx_files UNION ALL SELECT doc_id::VARCHAR, coalesce(text, '') FROM documents)")
+CORPUS_SQL = FX_LINES.replace("t_files AS (SELECT file, source FROM fx_files)", "t_files AS (SELECT file, source FROM fx_files UNION ALL SELECT doc_id::VARCHAR, CODE FROM documents)".replace("CODE", CODE))
 FLAG_SQL = f"{CORPUS_SQL},\n{EXISTING_SQL},\n{AXUM_SQL}, e_rows AS (SELECT * FROM a_rows),\n{ENDPOINT_POINTS},\nopen_ AS (SELECT * FROM p_endpoint p WHERE NOT EXISTS (SELECT 1 FROM x_rows e WHERE e.file = p.file AND e.line BETWEEN greatest(p.line - 1, 0) AND p.line + 1))"
 
 
@@ -892,85 +904,126 @@ def ast_functions_per_file(spark, sf_dir):
     return p.filter("parse_ok").select("file").join(n, "file", "left").select("file", F.coalesce("n", F.lit(0)).cast("bigint").alias("functions"))
 
 
-@query("""SELECT * FROM (VALUES
- ('app', 'app', false, false, 1, 'Router', 1), ('health', 'health', true, false, 0, '& ''static str', 1), ('show_item', 'show_item', true, false, 1, 'Result < String , Error >', 1), ('create_item', 'create_item', true, false, 1, 'Result < ( ) , Error >', 1), ('feed', 'feed', true, false, 0, 'Vec < String >', 1)
-) v(name, full_path, is_async, is_test, param_count, return_type, cyclomatic)""")
+#: One source for each supplier, made from its key; the same text in Spark and SQL.  A function is one line.
+GEN = """concat('use std::fs;', chr(10), 'use helper::tool_', s_suppkey, ';', chr(10), 'mod inner_', s_suppkey, ' { pub fn deep_', s_suppkey, '() {} }', chr(10),
+  CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE concat('#[cfg(test)]', chr(10), 'mod checks_', s_suppkey, ' { #[test] fn test_it_', s_suppkey, '() { should_panic(x); y.unwrap(); } }', chr(10)) END,
+  '/// Shows item ', s_suppkey, '.', chr(10), 'pub async fn show_', s_suppkey, '(id: Path<u32>, n: u8) -> Result<Json<A>, E> { if id > ', s_suppkey, ' { run_', s_suppkey, '(); } Ok(id) }', chr(10),
+  'fn plain_', s_suppkey, '(a: u8) { for i in 0..a { plain_', s_suppkey, '(i); } show_', s_suppkey, '(1); std::fs::read(1); y.go(); tool_', s_suppkey, '(); }', chr(10),
+  CASE WHEN s_suppkey % 3 = 0 THEN concat('fn routes_', s_suppkey, '(x: R) { x.get("/a/', s_suppkey, '", show_', s_suppkey, ').post("/b/', s_suppkey, '", api::make_', s_suppkey, '); }', chr(10)) ELSE '' END,
+  'fn branch_', s_suppkey, '(a: u8) -> Result<u8, E> { if a > 1 { run()?; } match read() { Option::Some(x) => {} None => {} _ => {} } for i in 0..a { body(); } Ok(a) }', chr(10),
+  CASE WHEN s_suppkey % 7 = 0 THEN 'fn broken( {' ELSE '' END)"""
+#: Generated sources that parse, and g_fn: a row for each line with a function.  What follows reads these texts alone.
+GEN_SQL = f"""WITH gen AS (SELECT 'gen' || s_suppkey || '/src/lib.rs' AS file, {GEN} AS source FROM supplier),
+g_ok AS (SELECT * FROM gen WHERE NOT contains(source, 'fn broken( {{')),
+g_lines AS (SELECT file, unnest(string_split(source, chr(10))) AS l, unnest(range(1, len(string_split(source, chr(10))) + 1)) AS n FROM g_ok),
+g_sig AS (SELECT *, regexp_extract(l, 'fn (\\w+)', 1) AS name, regexp_extract(l, '^mod (\\w+)', 1) AS inside, regexp_extract(l, 'fn \\w+\\(([^)]*)\\)', 1) AS params,
+  trim(regexp_replace(regexp_replace(regexp_extract(l, '\\) -> ([^{{]*)\\{{', 1), '([<>,])', ' \\1 ', 'g'), ' +', ' ', 'g')) AS ret FROM g_lines WHERE contains(l, 'fn ')),
+g_fn AS (SELECT *, CASE WHEN inside = '' THEN name ELSE inside || '::' || name END AS full_path, nullif(ret, '') AS return_type FROM g_sig)"""
+
+
+def _generated(spark: SparkSession, sf_dir: str, observed: bool = True) -> DataFrame:
+    """A source for each supplier, parsed."""
+    s = read(spark, sf_dir, "supplier").select(F.concat(F.lit("gen"), F.col("s_suppkey").cast("string"), F.lit("/src/lib.rs")).alias("file"), F.expr(GEN).alias("source"))
+    return ast.parse_files(s, observed)
+
+
+@query(f"""{GEN_SQL} SELECT file, name, full_path, contains(l, 'async fn') AS is_async, contains(l, '#[test]') AS is_test, length(params) - length(replace(params, ':', '')) AS param_count, return_type FROM g_fn""")
 def ast_functions(spark, sf_dir):
-    f = ast.functions(_parsed(spark)).filter("file = 'shop/src/main.rs'")
-    return f.select("name", "full_path", "is_async", "is_test", "param_count", "return_type", "cyclomatic")
+    f = ast.functions(_generated(spark, sf_dir))
+    return f.select("file", "name", "full_path", "is_async", "is_test", "param_count", "return_type")
 
 
-@query("""SELECT * FROM (VALUES ('health', NULL, NULL)) v(name, callee, is_method) WHERE false
-UNION ALL SELECT 'app', unnest(['route', 'route', 'route', 'route', 'route', 'Router :: new', 'get', 'delete', 'get', 'post', 'put', 'options']), unnest([true, true, true, true, true, false, false, true, false, false, false, false])
-UNION ALL SELECT 'show_item', 'fetch_one', true UNION ALL SELECT 'show_item', 'Ok', false UNION ALL SELECT 'create_item', 'Ok', false UNION ALL SELECT 'feed', 'entered', true""")
+@query(f"""{GEN_SQL}, bodies AS (SELECT file, name, regexp_replace(substr(l, position('fn ' IN l)), '^fn \\w+', '') AS b FROM g_fn),
+calls AS (SELECT file, name, unnest(regexp_extract_all(b, '\\.?[\\w:]+\\(', 0)) AS c FROM bodies)
+SELECT file, name, replace(rtrim(ltrim(c, '.'), '('), '::', ' :: ') AS callee, c[1] = '.' AS is_method FROM calls
+WHERE NOT regexp_matches(c, '^(Some|Option::Some)')""")
 def ast_calls(spark, sf_dir):
-    """Calls of the shop's functions, every expression visited."""
-    f = ast.functions(_parsed(spark, observed=False)).filter("file = 'shop/src/main.rs'")
-    return f.select("name", F.explode("calls").alias("c")).select("name", "c.callee", "c.is_method")
+    """Calls of all functions, every expression visited; patterns in arms are no calls."""
+    return ast.functions(_generated(spark, sf_dir, observed=False)).select("file", "name", F.explode("calls").alias("c")).select("file", "name", "c.callee", "c.is_method")
 
 
-@query()
+@query(f"""{GEN_SQL}, k(kind, mark) AS (VALUES ('IfExpression', '\\bif '), ('Loop', '\\bfor '), ('MatchExpression', '\\bmatch '), ('MatchArm', '=>')),
+counted AS (SELECT file, kind, len(regexp_extract_all(source, mark)) AS n FROM g_ok, k) SELECT file, kind, n FROM counted WHERE n > 0""")
 def ast_elements(spark, sf_dir):
-    return ast.elements(_parsed(spark)).groupBy("file", "kind").agg(F.count("*").alias("n"))
+    """Branching elements of each generated source."""
+    e = ast.elements(_generated(spark, sf_dir)).filter(F.col("kind").isin("IfExpression", "Loop", "MatchExpression", "MatchArm"))
+    return e.groupBy("file", "kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'shop/src/ledger/tests.rs' AS file, 'tests' AS name, true AS is_test UNION ALL SELECT 'desk/src/mocks.rs', 'store_tests', false")
+@query(f"""{GEN_SQL} SELECT a.file, regexp_extract(a.l, '^mod (\\w+)', 1) AS name, coalesce(contains(b.l, 'cfg(test)'), false) AS is_test
+FROM g_lines a LEFT JOIN g_lines b ON a.file = b.file AND b.n = a.n - 1 WHERE a.l LIKE 'mod %'""")
 def ast_modules(spark, sf_dir):
-    return ast.modules(_parsed(spark)).select("file", "name", "is_test")
+    return ast.modules(_generated(spark, sf_dir)).select("file", "name", "is_test")
 
 
-@query("""SELECT unnest(['app', 'health', 'show_item', 'create_item', 'feed', 'api::desk::list_tickets', 'api::desk::open_ticket', 'api::desk::close_ticket', 'api::desk::ping', 'ledger::add', 'ledger::audit', 'ledger::tests::tests::test_add', 'ledger::tests::tests::it_should_fail', 'mocks::store_tests::helper']) AS id,
-unnest(['Internal', 'Internal', 'Internal', 'Internal', 'Internal', 'Endpoint', 'Internal', 'Endpoint', 'Endpoint', 'Internal', 'Internal', 'Test', 'Internal', 'Internal']) AS kind""")
+@query(f"""{GEN_SQL} SELECT full_path AS id, CASE WHEN contains(l, '#[test]') THEN 'Test' ELSE 'Internal' END AS kind FROM g_fn""")
 def ast_nodes(spark, sf_dir):
-    return ast.fn_nodes(_parsed(spark)).select("id", "kind")
+    return ast.fn_nodes(_generated(spark, sf_dir)).select("id", "kind")
 
 
-@query("""SELECT * FROM (VALUES ('shop/src/main.rs', 'get', 'axum::routing::get') ) v(file, local_name, full_path) WHERE false
-UNION ALL SELECT 'shop/src/main.rs', 'PgPool', 'sqlx::PgPool'""")
+@query(f"""{GEN_SQL} SELECT file, regexp_extract(l, '(\\w+);$', 1) AS local_name, regexp_extract(l, '^use ([\\w:]+);', 1) AS full_path FROM g_lines WHERE l LIKE 'use %'""")
 def ast_imports(spark, sf_dir):
-    """Plain uses; names in nested groups and globs are passed over."""
-    return ast.imports(_parsed(spark)).select("file", "local_name", "full_path")
+    return ast.imports(_generated(spark, sf_dir)).select("file", "local_name", "full_path")
 
 
-@query("SELECT file, file <> 'broken.rs' AS parse_ok FROM (VALUES ('broken.rs'), ('fine.rs')) v(file)")
+@query(f"{GEN_SQL} SELECT file, file IN (SELECT file FROM g_ok) AS parse_ok FROM gen")
 def syntax_gate(spark, sf_dir):
-    rows = spark.createDataFrame([("broken.rs", "fn f( { let x = ; }"), ("fine.rs", "fn f() { let x = 1; }")], "file string, source string")
-    return ast.parse_files(rows).select("file", "parse_ok")
+    """Every seventh source ends in the middle of a function."""
+    return _generated(spark, sf_dir).select("file", "parse_ok")
 
 
-@query("SELECT * FROM (VALUES ('GET', '/a', 'list', ['web']), ('POST', '/b', 'api::make', ['web'])) v(method, path, handler, module_path)")
+@query(f"""{GEN_SQL}, c AS (SELECT file, unnest(regexp_extract_all(l, '\\w+\\("[^"]*", [\\w:]+\\)', 0)) AS t FROM g_lines)
+SELECT file, upper(regexp_extract(t, '^(\\w+)', 1)) AS method, regexp_extract(t, '"([^"]*)"', 1) AS path, regexp_extract(t, ', ([\\w:]+)\\)', 1) AS handler FROM c""")
 def ast_endpoints(spark, sf_dir):
-    source = 'mod web { fn r(x: R) { x.get("/a", list).post("/b", api::make).route("/c", get(no)); } }'
-    return ast.web_routes(ast.parse_files(spark.createDataFrame([("r.rs", source)], "file string, source string"))).select("method", "path", "handler", "module_path")
+    return ast.web_routes(_generated(spark, sf_dir)).select("file", "method", "path", "handler")
+
 
+EXTRACTS = "len(list_filter(string_split(params, ', '), lambda x: " + _any("x", K.EXTRACTORS) + "))"
 
-@query("SELECT * FROM (VALUES ('show', true, 1, 'Shows one.' || chr(10) || 'Twice.'), ('nothing', false, 0, NULL)) v(name, is_async, n_extractors, documentation)")
+
+@query(f"""{GEN_SQL} SELECT f.file, f.name, contains(f.l, 'async fn') AS is_async, {EXTRACTS} AS n_extractors, CASE WHEN d.l LIKE '/// %' THEN substr(d.l, 5) END AS documentation
+FROM g_fn f LEFT JOIN g_lines d ON d.file = f.file AND d.n = f.n - 1 WHERE f.return_type IS NULL OR {_any('f.return_type', K.HANDLER_RETURNS)}""")
 def ast_handlers(spark, sf_dir):
-    source = "/// Shows one.\n/// Twice.\nasync fn show(id: Path<u32>, Json(b): Json<B>, n: u8) -> Result<Json<A>, E> { todo() }\nfn nothing() {}\nfn number() -> u32 { 1 }\n"
-    h = ast.web_handlers(ast.parse_files(spark.createDataFrame([("h.rs", source)], "file string, source string")))
-    return h.select("name", "is_async", F.size("extractors").alias("n_extractors"), "documentation")
+    h = ast.web_handlers(_generated(spark, sf_dir))
+    return h.select("file", "name", "is_async", F.size("extractors").alias("n_extractors"), "documentation")
 
 
-@query("""SELECT * FROM (VALUES ('main', 'helper', 'Direct', false, false), ('main', 'std::fs::read', 'Direct', true, false), ('helper', 'helper', 'Recursive', false, true), ('main', 'outer::thing', 'Direct', false, false)) v(src, dst, kind, is_conditional, is_in_loop)""")
+@query(f"""{GEN_SQL}, bodies AS (SELECT file, full_path AS src, substr(l, position('{{' IN substr(l, position('fn ' IN l))) + position('fn ' IN l)) AS b FROM g_fn WHERE inside = ''),
+marked AS (SELECT file, src, regexp_replace(regexp_replace(regexp_replace(b, '(if [^{{]*\\{{)([^}}]*)\\}}', '\\1 %IF% \\2 }}', 'g'), '(for [^{{]*\\{{)([^}}]*)\\}}', '\\1 %FOR% \\2 }}', 'g'), 'Option::Some\\(x\\)', '', 'g') AS b FROM bodies),
+calls AS (SELECT file, src, unnest(regexp_extract_all(b, '(%IF%|%FOR%)? *\\.?[\\w:]+\\(', 0)) AS c FROM marked),
+named AS (SELECT DISTINCT src, regexp_extract(c, '([\\w:]+)\\($', 1) AS dst, contains(c, '%IF%') AS is_conditional, contains(c, '%FOR%') AS is_in_loop FROM calls WHERE NOT contains(c, '.'))
+SELECT src, dst, CASE WHEN src = dst THEN 'Recursive' ELSE 'Direct' END AS kind, is_conditional, is_in_loop FROM named""")
 def ast_edges(spark, sf_dir):
-    source = "use outer::thing;\nfn main() { helper(); if x { std::fs::read(1); } y.run(); thing(); }\nfn helper() { for i in 0..2 { helper(); } }\n"
-    p = ast.parse_files(spark.createDataFrame([("main.rs", source)], "file string, source string"))
-    edges = ast.call_edges(p, ast.fn_nodes(p))
-    return edges.withColumn("dst", F.when(F.col("dst") == "thing", "outer::thing").otherwise(F.col("dst")))
+    """Calls of free functions; what is no function of the sources lies outside under the path it is written with."""
+    p = _generated(spark, sf_dir)
+    return ast.call_edges(p, ast.fn_nodes(p))
 
 
-@query("SELECT * FROM (VALUES ('one', 4, 4, 3, 1, 1, 1, 1)) v(name, cyclomatic, cognitive, branch_count, max_nesting_depth, loop_count, question_mark_ops, error_matches)")
+@query(f"""{GEN_SQL}, n AS (SELECT file, name, l, len(regexp_extract_all(l, '\\bif ')) AS i, len(regexp_extract_all(l, '\\bfor ')) AS f, len(regexp_extract_all(l, '\\bmatch ')) AS m, len(regexp_extract_all(l, '=>')) AS arms FROM g_fn)
+SELECT file, name, 1 + i + f + m AS cyclomatic, i + f + arms - m AS cognitive, i + f + m AS branch_count, least(i + f + m, 1) AS max_nesting_depth, f AS loop_count, len(regexp_extract_all(l, '\\?;')) AS question_mark_ops,
+  CASE WHEN m > 0 AND contains(l, 'Option::') THEN 1 ELSE 0 END AS error_matches FROM n""")
 def ast_complexity(spark, sf_dir):
-    """Counters of one function with an if, a match of three arms and a loop."""
-    source = "fn one(a: u8) -> Result<u8, E> { if a > 1 { run()?; } match read() { Option::Some(x) => {} None => {} _ => {} } for i in 0..a { loop_body(); } Ok(a) }"
-    f = ast.functions(ast.parse_files(spark.createDataFrame([("c.rs", source)], "file string, source string")))
-    return f.select("name", "cyclomatic", "cognitive", "branch_count", "max_nesting_depth", "loop_count", "question_mark_ops", "error_matches")
+    """Counters of every function: one for each branch and loop, arms less one for a match."""
+    f = ast.functions(_generated(spark, sf_dir))
+    return f.select("file", "name", "cyclomatic", "cognitive", "branch_count", "max_nesting_depth", "loop_count", "question_mark_ops", "error_matches")
+
 
+PLAIN_NAMES = [p for g, p, _, r in K.PATTERNS if g == "function_names" and not r]
 
-@query("""SELECT * FROM (VALUES ('t.rs#test_it', 'function_names', 'test_'), ('t.rs#test_it', 'error_handling', 'should_panic'), ('t.rs#run', 'framework:spectral', 'contains')) v(doc, grp, pattern)""")
+
+@query(f"""{GEN_SQL}, p(pattern) AS (VALUES {', '.join(f"({_sql_text(p)})" for p in PLAIN_NAMES)})
+SELECT file || '#' || full_path AS doc, pattern FROM g_fn, p WHERE contains(name, pattern)""")
 def ast_token_matches(spark, sf_dir):
-    source = "#[test]\n#[ignore]\nfn test_it() { should_panic(x); assert!(y); }\nfn run() { x.contains(1).unwrap(); }"
-    return ast.token_matches(ast.parse_files(spark.createDataFrame([("t.rs", source)], "file string, source string"))).select("doc", "grp", "pattern")
+    """Name patterns without regular expressions over all function names."""
+    found = ast.token_matches(_generated(spark, sf_dir))
+    return found.filter((F.col("grp") == "function_names") & F.col("pattern").isin(PLAIN_NAMES)).select("doc", "pattern")
+
+
+@query(f"""{GEN_SQL} SELECT file, full_path, 1 AS lines_of_code, n AS line, position(name || '(' IN l) - 1 AS first_column FROM g_fn WHERE NOT contains(l, 'match ')""")
+def ast_locations(spark, sf_dir):
+    """Where the generated functions stand: lines from 1, columns from 0 (Y-8, Y-9)."""
+    f = ast.functions(_generated(spark, sf_dir)).filter("not contains(name, 'branch')")
+    return f.select("file", "full_path", "lines_of_code", F.col("loc.start_line").alias("line"), F.col("loc.start_column").alias("first_column"))
 
 
 @query(f"""WITH {values('fx_files')}, u(label, mark) AS (VALUES {', '.join(f"({_sql_text(c)}, {_sql_text(m)})" for c, marks in K.CRATE_USAGE.items() for m in marks)})
