@@ -98,8 +98,14 @@ def function_id(modules: Column, name: Column) -> Column:
 
 def truncated(c: Column, length: int) -> Column:
     """At most `length` bytes, cut between characters and with an ellipsis (S-12)."""
-    # A character that is cut apart decodes to signs that stand for no character.
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(c, "UTF-8"), 1, max(length - 3, 0)), "UTF-8"), "\uFFFD+\\z", "")
+    room = max(length - 3, 0)
+    state = F.struct(F.lit("").alias("out"), F.lit(False).alias("full"))
+
+    def step(s: Column, x: Column) -> Column:
+        full = s["full"] | (F.octet_length(s["out"]) + F.octet_length(x) > room)
+        return F.struct(F.when(full, s["out"]).otherwise(F.concat(s["out"], x)).alias("out"), full.alias("full"))
+
+    cut = F.aggregate(F.split(c, ""), state, step)["out"]
     return F.when(F.octet_length(c) <= length, c).otherwise(F.concat(cut, F.lit("...")))
 
 

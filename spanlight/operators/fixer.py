@@ -125,6 +125,14 @@ def fixed_files(files: DataFrame, gaps: DataFrame) -> DataFrame:
     return apply_insertions(ready.select("file", "source"), insertion_points(ready.select("file", "source"), moved))
 
 
+def gated(attempts: DataFrame, parsed: DataFrame) -> DataFrame:
+    """attempts with what was applied to files that no longer parse marked as failed (H-6); parsed: file, parse_ok, parse_error."""
+    broken = parsed.filter("not parse_ok").select(F.col("file").alias("g_file"), F.concat(F.lit("Failed: Syntax validation failed: "), "parse_error").alias("why"))
+    rows = attempts.join(broken, F.col("file") == F.col("g_file"), "left")
+    failed = F.col("why").isNotNull() & (F.col("status") == "Applied")
+    return rows.select("file", "line", "function_name", F.when(failed, F.col("why")).otherwise(F.col("status")).alias("status"), F.when(~failed, F.col("diff")).alias("diff"))
+
+
 def tally(attempts: DataFrame) -> DataFrame:
     """One row: total, applied (dry runs too), skipped, failed (A-17)."""
     is_ = lambda p: F.count_if(F.col("status").rlike(p))

@@ -5,7 +5,7 @@ nodes: id, kind and whatever else; edges: src, dst, kind, is_conditional, is_in_
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -190,6 +190,35 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> D
     return out.select("call_id", "path", F.when(outside, F.col("path")).otherwise(F.col("full_path")).alias("full_path"), outside.alias("is_external"))
 
 
+class Scope:
+    """Symbols and imports put down by hand while modules are entered and left; `tables` is what resolve_calls reads (C-20)."""
+
+    def __init__(self):
+        self.module: list[str] = []
+        self.symbols: list[tuple[str]] = []
+        self.imports: dict[str, str] = {}
+
+    def enter_module(self, name: str) -> None:
+        self.module.append(name)
+
+    def exit_module(self) -> None:
+        if self.module:
+            self.module.pop()
+
+    def register_import(self, local_name: str, full_path: str) -> None:
+        self.imports[local_name] = full_path
+
+    def register_function(self, name: str) -> None:
+        """Under its full path, and under its short name where that is free."""
+        self.symbols.append(("::".join([*self.module, name]),))
+        if (name,) not in self.symbols:
+            self.symbols.append((name,))
+
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """symbols (full_path) and imports (local_name, full_path)."""
+        return spark.createDataFrame(self.symbols, "full_path string"), spark.createDataFrame(list(self.imports.items()), "local_name string, full_path string")
+
+
 def graph_text(stats: DataFrame) -> DataFrame:
     """A graph's display text (K-10)."""
     return stats.select(

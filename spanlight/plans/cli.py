@@ -14,6 +14,7 @@ from ..operators import ast, fixer, gaps, graph
 from ..sources.config import load_config, save_config
 from ..sources.files import scan_files
 from ..sources.manifest import read_manifest
+from ..sources.tables import checkpointed
 from . import report
 from .analyze import Analysis, Config, analyze
 
@@ -47,11 +48,16 @@ def restore(path: str) -> None:
     shutil.copy2(path + ".bak", path)
 
 
-def write_fixes(a: Analysis, chosen, keep: bool) -> None:
-    """Write fixed sources that still parse (H-6, K-7); the driver writes, a file at a time."""
-    fixed = fixer.fixed_files(a.files, chosen)
-    checked = ast.parse_files(fixed).filter("parse_ok").select("file")
-    for row in fixed.join(checked, "file", "left_semi").toLocalIterator():
+def prepare_fixes(a: Analysis, chosen) -> tuple:
+    """(fixed files with parse_ok and parse_error, the same without their sources), as written tables (H-6)."""
+    fixed = checkpointed(fixer.fixed_files(a.files, chosen))
+    parsed = checkpointed(ast.parse_files(fixed).select("file", "parse_ok", "parse_error"))
+    return fixed, parsed
+
+
+def write_fixes(fixed, parsed, keep: bool) -> None:
+    """Write the fixed sources that parse (K-7); the driver writes, a file at a time."""
+    for row in fixed.join(parsed.filter("parse_ok"), "file", "left_semi").toLocalIterator():
         if keep:
             backup(row["file"])
         with open(row["file"], "w", encoding="utf-8") as f:
@@ -98,12 +104,14 @@ def main(argv: list[str] | None = None) -> int:
         report.write_output(text, args.output)
         return 0 if row["passed"] else 1
     if args.fix or args.dry_run:
-        numbered = a.gaps.withColumn("ord", F.monotonically_increasing_id())
+        numbered = checkpointed(a.gaps.withColumn("ord", F.monotonically_increasing_id()))
         severity = args.fix_severity.capitalize() if args.fix_severity else None
         attempts = fixer.plan_fixes(a.files, numbered, severity, args.max_fixes, args.fix and not args.dry_run)
-        text = report.fix_report(attempts)
         if args.fix and not args.dry_run:
-            write_fixes(a, fixer.select_fixes(numbered, severity, args.max_fixes).filter("status = 'Fix'").drop("status"), args.backup)
+            fixed, parsed = prepare_fixes(a, fixer.select_fixes(numbered, severity, args.max_fixes).filter("status = 'Fix'").drop("status"))
+            attempts = checkpointed(fixer.gated(attempts, parsed))
+            write_fixes(fixed, parsed, args.backup)
+        text = report.fix_report(attempts)
         report.write_output(text, args.output)
         return 1 if "[FAILED" in text else 0
     report.write_output(report.FORMATTERS[args.format](a), args.output)

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import choose, mermaid_id, priority_score, quality_status
 from ..operators.gaps import kind_name
+from ..operators.ranges import numbered
 
 TITLE = "Analysis Results"
 
 
 def _numbered(df: DataFrame, *order: Column | str) -> DataFrame:
-    return df.withColumn("n", F.row_number().over(Window.orderBy(*order)))
+    return numbered(df, *order)
 
 
 def _section(df: DataFrame, section: int, text: Column) -> DataFrame:
@@ -34,8 +35,7 @@ def _header(rows: DataFrame, section: int, title: str) -> DataFrame:
 def tree_rows(a) -> DataFrame:
     """section, n, text: the pieces of the human report in their order (K-1).
 
-    Reports are for people: each section holds one project's findings, which
-    are numbered in one order.
+    Ranks within a section go by ranges, so no task holds a whole section.
     """
     s = a.stats
     labels = [
@@ -62,13 +62,30 @@ def tree_rows(a) -> DataFrame:
         _section(v, 5, F.concat(F.lit("   ["), severity, F.lit("] ["), kind, F.lit("] "), "message", F.lit("\n"), _place("      Location: "), F.lit("      Suggestion: "), "suggestion", F.lit("\n\n")))
     )
     nothing = s.filter("existing_count = 0").select(F.lit(True).alias("shown"))
-    p = _numbered(a.points.join(F.broadcast(nothing)), priority_score(F.col("priority")).desc(), "phase", "file", "line", "function_name")  # one row at most
+    p = _numbered(a.points.join(F.broadcast(nothing)), priority_score(F.col("priority")) * -1, "phase", "file", "line", "function_name")  # one row at most
     return out.unionByName(_header(p, 6, "📍 Suggested Instrumentation Points\n")).unionByName(
         _section(p, 6, F.concat(F.lit("   ["), "priority", F.lit("] "), "function_name", F.lit(" ("), kind_name(F.col("kind")), F.lit(")\n      Reason: "), "reason", F.lit("\n      Suggested span: "), "suggested_span_name", F.lit("\n"), _place("      Location: "), F.lit("\n")))
     )
 
 
+def write_rows(rows: DataFrame, folder: str) -> None:
+    """The pieces of tree_rows or mermaid_rows as text files in the order of their names, for reports of any size."""
+    ordered = rows.repartitionByRange("section", "n").sortWithinPartitions("section", "n")
+    ordered.select(F.regexp_replace("text", r"\n\z", "").alias("value")).write.mode("overwrite").text(folder)
+
+
+def finding_rows(a) -> DataFrame:
+    """kind, file, line, finding: every finding as one JSON text, to be written as JSON lines whatever their number."""
+    parts = {"endpoint": a.endpoints, "existing": a.existing, "gap": a.gaps, "point": a.points.drop("suggested_fields"), "violation": a.violations}
+    out = None
+    for kind, df in parts.items():
+        rows = df.select(F.lit(kind).alias("kind"), "file", "line", F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("finding"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def tree_text(a) -> str:
+    """The whole report as one text, for results of a size to read."""
     return "".join(r["text"] for r in tree_rows(a).orderBy("section", "n").collect())
 
 
@@ -78,7 +95,7 @@ def _listed(df: DataFrame, name: str, value: Column, *order: Column | str) -> Da
 
 
 def json_report(a) -> DataFrame:
-    """One row, report: the JSON document, its keys in alphabetical order (K-2)."""
+    """One row, report: the JSON document, its keys in alphabetical order (K-2); see finding_rows for results too many for one."""
     c = F.col
     place = F.struct("file", "line")
     with_function = F.struct("file", c("function_name").alias("function"), "line")
@@ -86,7 +103,7 @@ def json_report(a) -> DataFrame:
         _listed(a.endpoints, "endpoints", F.struct("framework", "handler", place.alias("location"), "method", "path"), "file", "line", "framework", "method", "path"),
         _listed(a.existing, "existing_instrumentation", F.struct("issues", "kind", place.alias("location"), c("score").alias("quality_score"), "span_name"), "file", "line", "ord"),
         _listed(a.gaps, "gaps", F.struct("description", with_function.alias("location"), "severity", "suggested_fix"), "file", "line", "function_name", "description"),
-        _listed(a.points, "instrumentation_points", F.struct("file", c("function_name").alias("function"), "kind", "line", "priority", "reason", "suggested_span_name"), priority_score(c("priority")).desc(), "phase", "file", "line", "function_name"),
+        _listed(a.points, "instrumentation_points", F.struct("file", c("function_name").alias("function"), "kind", "line", "priority", "reason", "suggested_span_name"), priority_score(c("priority")) * -1, "phase", "file", "line", "function_name"),
         _listed(a.violations, "rule_violations", F.struct("kind", with_function.alias("location"), "message", "severity", "suggestion"), "file", "line", "kind", "message"),
     ]
     out = a.stats.select(F.struct(*sorted(a.stats.columns)).alias("stats"), F.lit(1).alias("one"))
@@ -102,7 +119,7 @@ def mermaid_rows(a) -> DataFrame:
     out = _section(e, 2, F.concat("ep", F.lit('["'), "method", F.lit(" "), "path", F.lit('"]\n'), "ep", F.lit(" --> "), mermaid_id(F.col("handler"))))
     edge = _numbered(a.edges, "src", "dst", "kind")
     out = out.unionByName(_section(edge, 3, F.concat(F.lit("    "), mermaid_id(F.col("src")), F.lit(" --> "), mermaid_id(F.col("dst")))))
-    p = _numbered(a.points, priority_score(F.col("priority")).desc(), "phase", "file", "line", "function_name")
+    p = _numbered(a.points, priority_score(F.col("priority")) * -1, "phase", "file", "line", "function_name")
     out = out.unionByName(_section(p, 4, F.concat(F.lit("    class "), mermaid_id(F.col("function_name")), F.lit(" "), F.lower("priority"))))
     fixed = [(1, 1, "graph TD"), (5, 0, "")] + [(5, i, f"    classDef {n} fill:#{f},stroke:#333,stroke-width:{w}px") for i, (n, f, w) in enumerate((("critical", "ff0000", 2), ("high", "ff6600", 2), ("medium", "ffcc00", 1), ("low", "99cc99", 1)), 1)]
     return out.unionByName(a.points.sparkSession.createDataFrame(fixed, out.schema))

@@ -55,6 +55,22 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file in any store that Spark writes to."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{_app_dir(spark)}/{uuid.uuid4().hex}-{name}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     return written(df)
 

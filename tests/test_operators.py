@@ -45,6 +45,37 @@ def test_one_cycle(spark):
     assert [r["cycle"] for r in graph.cycles(edges).collect()] == [["bar", "baz", "foo"]]
 
 
+@pytest.mark.parametrize("n", [12, 40])
+def test_cycles_of_any_length(spark, n):
+    ring = [(f"n{i:02d}", f"n{(i + 1) % n:02d}", "Direct", False, False) for i in range(n)]
+    tail = [("n03", "out", "Direct", False, False), ("in", "n05", "Direct", False, False), ("in", "in", "Direct", False, False)]
+    edges = spark.createDataFrame(ring + tail, EDGE)
+    assert sorted(map(len, (r["cycle"] for r in graph.cycles(edges).collect()))) == [1, n]
+
+
+def test_lines_are_trimmed_once(spark):
+    """No filter holds copies of what makes the trimmed text, and prose without marks is not cut into lines."""
+    f = spark.createDataFrame([("a", "x")], "file string, source string")
+    from spanlight.operators import existing
+    from spanlight.operators.lines import lines_with
+
+    for df in (scan_existing(scan_lines(f)), scan_existing(lines_with(f, existing.MARKS)), analyze.analyze(f, config=analyze.Config(framework="Axum")).points):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace(" not in plan.split("Generate")[0] and plan.count("btrim(") + plan.count("trimboth") <= 2 * plan.count("Generate")
+
+
+def test_failed_syntax_undoes_a_fix(spark):
+    attempts = spark.createDataFrame([("a.rs", 1, "f", "Applied", "+ x"), ("a.rs", 2, "g", "Skipped: Severity filter", None), ("b.rs", 1, "h", "Applied", "+ y")], "file string, line int, function_name string, status string, diff string")
+    parsed = spark.createDataFrame([("a.rs", False, "no end"), ("b.rs", True, None)], "file string, parse_ok boolean, parse_error string")
+    got = {(r["file"], r["line"]): (r["status"], r["diff"]) for r in fixer.gated(attempts, parsed).collect()}
+    assert got == {("a.rs", 1): ("Failed: Syntax validation failed: no end", None), ("a.rs", 2): ("Skipped: Severity filter", None), ("b.rs", 1): ("Applied", "+ y")}
+
+
+def test_cut_texts_stay_whole(spark):
+    rows = spark.createDataFrame([("short",), ("twelve chars",), ("ääääääääää",), ("日本語日本語",), ("a" * 20,)], "t string").select("t", S.truncated(F.col("t"), 12).alias("x")).collect()
+    assert {r["t"]: r["x"] for r in rows} == {"short": "short", "twelve chars": "twelve chars", "ääääääääää": "ääää...", "日本語日本語": "日本語...", "a" * 20: "a" * 9 + "..."}
+
+
 def test_graph_without_edges(spark):
     nodes, edges = chain(spark)
     s = graph.graph_stats(nodes, edges.filter("false")).first()
