@@ -111,3 +111,5 @@ CRATE_USAGE = {
 }
 # Terminal codes.
 ANSI = {"reset": "\x1b[0m", "bold": "\x1b[1m", "dim": "\x1b[2m", "red": "\x1b[31m", "green": "\x1b[32m", "yellow": "\x1b[33m", "blue": "\x1b[34m"}
+#: Kinds of input and output errors that are worth another try.
+RETRYABLE = ["WouldBlock", "Interrupted", "TimedOut"]

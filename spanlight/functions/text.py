@@ -210,3 +210,8 @@ def weighted_score(criticality: Column, errors: Column, external: Column, comple
 def score_band(c: Column) -> Column:
     """The documented bands at 80, 60, 40 and 20 (M-10)."""
     return F.when(c >= 80, "Critical").when(c >= 60, "High").when(c >= 40, "Medium").when(c >= 20, "Low").otherwise("Minimal")
+
+
+def is_retryable(kind: Column, io_kind: Column) -> Column:
+    """Whether an error is worth another try: input or output that would block, was interrupted or timed out (R-12)."""
+    return (kind == "Io") & F.coalesce(io_kind.isin(*K.RETRYABLE), F.lit(False))

@@ -1032,6 +1032,15 @@ def test_runner(spark, sf_dir):
     return registry.BuiltinRunner().results(spark, "ok").join(registry.detected_test_frameworks(spark, "."), "framework")
 
 
+@query("""SELECT event_id, kind = 'Io' AND io_kind IN ('WouldBlock', 'Interrupted', 'TimedOut') AS retry
+FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 'Io' ELSE 'Parse' END AS kind, ['WouldBlock', 'NotFound', 'TimedOut', 'Interrupted', 'Other'][event_id % 5 + 1] AS io_kind FROM events)""")
+def retryable(spark, sf_dir):
+    """Events as errors of five kinds (R-12)."""
+    kinds = F.array(*[F.lit(k) for k in ("WouldBlock", "NotFound", "TimedOut", "Interrupted", "Other")])
+    kind = F.when(F.col("event_type") == "error", "Io").otherwise("Parse")
+    return read(spark, sf_dir, "events").select("event_id", S.is_retryable(kind, F.get(kinds, (F.col("event_id") % 5).cast("int"))).alias("retry"))
+
+
 @query("SELECT * FROM (VALUES ('helper', 'helper'), ('inner', 'outer::inner'), ('m::load', 'store::load')) v(path, full_path)")
 def symbol_scope(spark, sf_dir):
     """Calls resolved against symbols that were put down by hand (C-20)."""

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -48,11 +48,18 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a written table: one computation, no lineage, and its shuffle files go once it is written."""
+    return written_with(df, name)[0]
+
+
+def written_with(df: DataFrame, name: str, **told: Column) -> tuple[DataFrame, dict]:
+    """df as a written table, and aggregates of it that the writing job takes along."""
     spark = df.sparkSession
     path = f"{_app_dir(spark)}/{uuid.uuid4().hex}-{name}"
+    seen = Observation(name)
+    rows = df.observe(seen, *[c.alias(k) for k, c in told.items()]) if told else df
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        rows.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get if told else {}
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
