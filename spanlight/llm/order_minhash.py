@@ -46,7 +46,7 @@ K = 5
 ELL = 2
 SKETCHES = 64
 #: Texts of at most so many words have so many more sets of SKETCHES: of few k-mers, chance takes more.
-FEW_WORDS = {60: 2, 200: 1}
+FEW_WORDS = {50: 2, 150: 1}
 SIMILARITY = 0.8
 HISTOGRAM = 128
 #: Texts of fewer words find all that is similar to them, however few k-mers are left.
@@ -400,6 +400,18 @@ def _components(links: DataFrame) -> DataFrame:
     return scratch.written(scratch.connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), "classes"), "comps")
 
 
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps after more links: only what the links join is looked at again."""
+    if links.isEmpty():
+        return comps
+    at = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias("c" + c))
+    ends = links.join(at("x"), "x", "left").join(at("y"), "y", "left").select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"))
+    over = _components(ends.distinct()).select(F.col("id").alias("o_id"), F.col("comp").alias("o_comp"))
+    moved = comps.join(over, F.col("comp") == F.col("o_id"), "left").select("id", F.coalesce("o_comp", "comp").alias("comp"))
+    fresh = over.join(comps.select(F.col("comp").alias("o_id")).distinct(), "o_id", "left_anti").select(F.col("o_id").alias("id"), F.col("o_comp").alias("comp"))
+    return scratch.written(moved.unionByName(fresh), "comps")
+
+
 def _settled(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """sketched with a node for each word sequence, and (node, first, n) of the nodes of several rows.
 
@@ -480,11 +492,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     if not left.isEmpty():
         texts = _texts(left, reps.select("node", "doc_id", "tid"), rows)
         best = scratch.written(_best(left), "best")
-        links = links.unionByName(_verified(best, texts, similarity))
-        comps = _components(links)
+        comps = _joined(comps, _verified(best, texts, similarity))
         rest = scratch.written(_parted(left.join(best, ["x", "y"], "left_anti"), comps), "rest")
         if not rest.isEmpty():
-            comps = _components(links.unionByName(_verified(rest, texts, similarity)))
+            comps = _joined(comps, _verified(rest, texts, similarity))
 
     # A text without words is alone; aggregates are written before they are joined, so that AQE can split a large class.
     slim = sketched.select("doc_id", "tid", "nth", "node", F.when(F.col("n_words") == 0, F.col("nth")).otherwise(-1).alias("lone"))

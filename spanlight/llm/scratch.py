@@ -7,13 +7,16 @@ lost executor never loses them and lineage stays short.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..operators.ranges import running
+from ..sources.tables import written, written_with
 
-#: Bits of the id filter that `split_by_ids` broadcasts: 16 for each id, within these bounds (1 and 64 MB).
-FILTER_BITS, FILTER_BITS_MAX = 1 << 23, 1 << 29
+__all__ = ["connected_components", "id_filter", "keyed", "running", "split_by_ids", "text_id", "written", "written_with"]
+
+#: Bits of the id filter that `split_by_ids` broadcasts: 8 for each id, within these bounds (1 and 32 MB).
+FILTER_BITS, FILTER_BITS_MAX = 1 << 23, 1 << 28
 
 
 def text_id(text: Column | str = "text") -> Column:
@@ -40,15 +43,15 @@ def id_filter(ids: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
 
 
 def filter_bits(n: int) -> int:
-    """The size of a filter of n ids: a power of two, 16 bits an id where the bounds allow."""
-    return min(max(FILTER_BITS, 1 << (16 * n - 1).bit_length()), FILTER_BITS_MAX)
+    """The size of a filter of n ids: a power of two, 8 bits an id where the bounds allow."""
+    return min(max(FILTER_BITS, 1 << (8 * n - 1).bit_length()), FILTER_BITS_MAX)
 
 
 def split_by_ids(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be in ids, rows whose key is certainly not), without shuffling df.
 
     ids is a written table or cheap to count.  The filter that is broadcast
-    has 64 MB at most, enough to tell 500 million ids apart from others but
+    has 32 MB at most, enough to tell 200 million ids apart from others but
     for one row in two.  When ids outgrow it, more rows take the first way,
     which joins exactly, so results never change.
     """
@@ -72,48 +75,27 @@ def split_by_ids(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, Da
     return marked.filter("f_in").drop(*drop), marked.filter("not f_in").drop(*drop)
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, str], name: str = "ranged") -> DataFrame:
-    """df as a written table with, for each (column, total) of sums, the total of column over the rows before each row.
-
-    Rows are dealt to ranges of `order`, whose values should be distinct but
-    for rows that are equal, and summed within each range; the ranges' own
-    totals, one row for each, are added up in one task.  The result follows
-    from the rows and their order alone, however they are partitioned.
-    """
-    keys = [f"o_{i}" for i in range(len(order))]
-    keyed_ = df.withColumns(dict(zip(keys, order)))
-    ranged = written(keyed_.repartitionByRange(*[F.col(k).asc_nulls_last() for k in keys]).withColumn("range", F.spark_partition_id()), name)
-    base = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("range").agg(*[F.sum(c).alias(t) for c, t in sums.items()])
-    totals = written(totals.select(F.col("range").alias("b_range"), *[F.coalesce(F.sum(t).over(base), F.lit(0)).alias(f"b_{t}") for t in sums.values()]), name + "-bases")
-    within = Window.partitionBy("range").orderBy(*[F.col(k).asc_nulls_last() for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.withColumns({t: F.coalesce(F.sum(c).over(within), F.lit(0)) for c, t in sums.items()})
-    # One row a range, of which there are as many as shuffle partitions.
-    out = out.join(F.broadcast(totals), F.col("range") == F.col("b_range"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(t) + F.col(f"b_{t}")).alias(t) for t in sums.values()])
-
-
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, comp) for every end of (src, dst): comp is the least id it is linked to.
 
     Alternates large-star and small-star steps, so the number of rounds grows
     with the logarithm of the longest path; each round is a written table.
-    Only a count and a checksum reach the driver.
+    Only a count and a checksum reach the driver, with the writing job.
     """
-    e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct()
-    e = written(e, name)
-    state = None
+    told = {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("u", "v"))}
+    start = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct()
+    e, state = written_with(start, name, **told)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Aggregates are written before they are joined, so that AQE can split an id with very many edges.
+        # Written before it is joined, so that AQE can split an id with very many edges.
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), name + "-least")
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), name + "-low")
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = written(small.select("x.u", "x.v").filter("u <> v").distinct(), name)
-        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if (now["n"], now["x"]) == state:
+        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        hung = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
+        e, now = written_with(hung.filter("u <> v").distinct(), name, **told)
+        if now == state:
             break
-        state = (now["n"], now["x"])
+        state = now
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("comp"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots).distinct()
