@@ -9,6 +9,7 @@ document is scored within its row: no n-gram is ever shuffled for it.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -125,11 +126,12 @@ def score_of(hashes: Column, ratios: Column, orders: tuple[int, ...] = ORDERS, b
     return F.when(F.size(hashes) > 0, total / F.size(grams) / FIXED)
 
 
-def ratio_array(ratios: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row, ratios: the log ratio of each bucket in units of 1 / FIXED, 0 where the corpus holds none."""
-    every = ratios.sparkSession.range(buckets).select(F.col("id").cast("int").alias("gram"))
-    full = every.join(ratios, "gram", "left").select("gram", F.round(F.coalesce("llr", F.lit(0.0)) * FIXED).cast("bigint").alias("v"))
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", "v"))), lambda x: x["v"]).alias("ratios"))
+def ratio_list(ratios: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """The log ratio of each bucket in units of 1 / FIXED, 0 where the corpus holds none."""
+    out = [0] * buckets
+    for r in ratios.select("gram", F.round(F.col("llr") * FIXED).cast("bigint").alias("v")).collect():  # `buckets` rows at most
+        out[r["gram"]] = r["v"]
+    return out
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, min_llr: float = MIN_LLR, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> DataFrame:
@@ -143,9 +145,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_llr: float = MIN_LLR,
     have no words; rows that repeat get equal answers each; an empty table
     gives no rows.
     """
-    table = scratch.written(ratio_array(log_ratios(docs, trusted_ids(labels), orders, buckets), buckets), "llr-ratios")
-    # A join with one row of `buckets` numbers.
-    rows = base_measures(docs).join(F.broadcast(table)).withColumn("llr", F.round(score_of(F.col("hashes"), F.col("ratios"), orders, buckets), 9))
+    # `buckets` numbers become a constant of the plan; as a column they would be copied for every row.
+    ratios = F.from_json(F.lit(json.dumps(ratio_list(log_ratios(docs, trusted_ids(labels), orders, buckets), buckets))), "array<bigint>")
+    rows = base_measures(docs).withColumn("llr", F.round(score_of(F.col("hashes"), ratios, orders, buckets), 9))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
