@@ -51,8 +51,8 @@ SIMILARITY = 0.8
 HISTOGRAM = 128
 #: Texts of fewer words find all that is similar to them, however few k-mers are left.
 SHORT = 30
-#: Nodes of a block of a bucket; every two blocks of a bucket are one piece of work.
-BLOCK = 256
+#: Nodes of a block of a bucket (1 MB of histograms); every two blocks of a bucket are one piece of work.
+BLOCK = 4096
 
 _U = np.uint64
 _FACTORS = words.mix(np.arange(1, 4097, dtype=_U) * _U(0x9E6C63D0876A9A47)) | _U(1)
@@ -264,28 +264,35 @@ def _plausible(similarity: float):
 def _across(similarity: float):
     """(x, y, hits) of the pairs of two components in each run of equal (key, band, p, q) that length and histogram allow."""
 
-    def pairs_of(t: pa.Table) -> pa.RecordBatch:
+    def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
         node, comp, n_words, own, mult = (t.column(c).to_numpy() for c in ("node", "comp", "n_words", "own", "mult"))
         histogram = np.frombuffer(b"".join(t.column("histogram").to_pylist()), np.uint16).reshape(-1, HISTOGRAM)
         edges = _run_starts(t)
-        found = []
+        found, held = [], 0
+
+        def batch() -> pa.RecordBatch:
+            x, y, hits = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+            return pa.record_batch([pa.array(x), pa.array(y), pa.array(hits)], ["x", "y", "hits"])
+
         for lo, hi in zip(edges, np.append(edges[1:], t.num_rows)):
             p, q = t.column("p")[lo].as_py(), t.column("q")[lo].as_py()
-            if p == q:
-                a, b = np.triu_indices(hi - lo, 1)
-            else:
-                a, b = (g.ravel() for g in np.meshgrid(np.flatnonzero(own[lo:hi] == p), np.flatnonzero(own[lo:hi] == q)))
-            a, b = a + lo, b + lo
-            limit = np.floor((1 - similarity) * np.maximum(n_words[a], n_words[b]) + 1e-9)
-            ok = (comp[a] != comp[b]) & (np.abs(n_words[a] - n_words[b]) <= limit)
-            a, b, limit = a[ok], b[ok], limit[ok]
-            for at in range(0, len(a), 8192):
-                i, j = a[at : at + 8192], b[at : at + 8192]
-                gap = histogram[i].astype(np.int32) - histogram[j]
-                near = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1)) <= limit[at : at + 8192]
-                found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), mult[i]])[:, near])
-        x, y, hits = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        return pa.record_batch([pa.array(x), pa.array(y), pa.array(hits)], ["x", "y", "hits"])
+            left, right = (lo + np.flatnonzero(own[lo:hi] == c) for c in (p, q))
+            for at in range(0, len(left), max(1, 65536 // max(len(right), 1))):
+                some = left[at : at + max(1, 65536 // max(len(right), 1))]
+                a, b = np.repeat(some, len(right)), np.tile(right, len(some))
+                limit = np.floor((1 - similarity) * np.maximum(n_words[a], n_words[b]) + 1e-9)
+                ok = (comp[a] != comp[b]) & (np.abs(n_words[a] - n_words[b]) <= limit) & ((b > a) | (p != q))
+                a, b, limit = a[ok], b[ok], limit[ok]
+                for k in range(0, len(a), 8192):
+                    i, j = a[k : k + 8192], b[k : k + 8192]
+                    gap = histogram[i].astype(np.int32) - histogram[j]
+                    near = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1)) <= limit[k : k + 8192]
+                    found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), mult[i]])[:, near])
+                    held += found[-1].shape[1]
+                if held > 100_000:
+                    yield batch()
+                    found, held = [], 0
+        yield batch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -296,10 +303,10 @@ def _across(similarity: float):
                 continue
             last = int(_run_starts(t)[-1])
             if last:
-                yield pairs_of(t.slice(0, last))
+                yield from pairs_of(t.slice(0, last))
             held = t.slice(last)
         if held is not None and held.num_rows:
-            yield pairs_of(held)
+            yield from pairs_of(held)
 
     return run
 

@@ -486,8 +486,9 @@ def test_recall_from_the_threshold_up(n_words):
     assert met >= (0.87 if pairs == 400 else 0.84)
 
 
-def test_every_copy_of_a_star_is_found(spark):
+def test_every_copy_of_a_star_is_found(spark, monkeypatch):
     """400 copies, each 12 to 15% away from one original and more from each other: those that share a bucket with it are in its class."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 64)  # so that a bucket has several blocks
     g = np.random.default_rng(5)
     text = " ".join(f"s{i}" for i in g.integers(0, 5000, 200))
     rows = []
