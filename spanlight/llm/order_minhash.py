@@ -13,9 +13,9 @@ tell, so pairs of which one text has under SHORT words and the other
 at most `longest_short` share a bucket for certain.
 
 Documents with equal word sequences share one node, named by a digest of the
-sequence, so that nothing depends on where a row is read.  In each bucket every node
-is first a candidate with the bucket's least and greatest node, which is linear in
-the bucket however large it is and links most of what is alike.  A candidate pair is verified by an exact
+sequence, so that nothing depends on where a row is read.  In each bucket every
+node is first a candidate with the bucket's least node, which is linear in the
+bucket however large it is and links most of what is alike.  A candidate pair is verified by an exact
 edit distance over words in a band of the greatest allowed distance; pairs
 that a lower bound from word histograms rules out need no text.  Pairs inside
 one component that is already linked are redundant, so the best candidate of
@@ -470,7 +470,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     buckets = reps.select("node", F.explode("keys").alias("key"))
     ends = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     ends = scratch.written(ends, "ends")
-    met = buckets.join(ends, "key").select("node", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("other")).filter("node <> other")
+    met = buckets.join(ends, "key").select("node", F.col("lo").alias("other")).filter("node <> other")
     pairs = scratch.written(
         met.groupBy(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).agg(F.count("*").alias("hits")), "pairs"
     )
@@ -490,10 +490,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     links = links.unionByName(_verified(scratch.written(rest, "rest"), texts, similarity))
     comps = _components(links)
 
-    # Buckets of four nodes or more have pairs of which neither is an end.
-    crowded = ends.filter("n > 3")
+    # Buckets of three nodes or more have pairs without the least node.
+    crowded = ends.filter("n > 2")
     inner, _ = scratch.split_by_ids(buckets, crowded, "key")
-    inner = scratch.written(inner.join(crowded, "key").filter("node <> lo and node <> hi").select("key", "node"), "inner")
+    inner = scratch.written(inner.join(crowded, "key").filter("node <> lo").select("key", "node"), "inner")
     left = _uncompared(inner, known, comps, similarity).join(pairs, ["x", "y"], "left_anti")
     left = scratch.written(left, "left")
     if not left.isEmpty():
