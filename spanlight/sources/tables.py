@@ -62,6 +62,17 @@ def written_with(df: DataFrame, name: str, **told: Column) -> tuple[DataFrame, d
     return spark.read.schema(df.schema).parquet(path), seen.get if told else {}
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that `written` returned and that nothing reads any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if f"/spanlight/{spark.sparkContext.applicationId}/" not in f"{folder}/":
+            raise ValueError(f"{folder} is no written table")
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text file in any store that Spark writes to."""
     jvm = spark.sparkContext._jvm
