@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontaminate, line_dedup, mixing, order_minhash, pii, quality_llr, recompression, training_order, warc
+from . import centroids, cotraining, decontaminate, line_dedup, mixing, order_minhash, pii, quality_llr, recompression, training_order, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_codes.compressed(_table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+    return out.drop("label").withColumnRenamed("key", "vec_id")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.clustered(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64, salt=3)
+    return out.withColumnRenamed("key", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_order_minhash": op2_order_minhash,
@@ -83,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_recompression": op9_recompression,
     "op10_line_dedup": op10_line_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_centroids": op12_centroids,
 }
 
 WORDS_SQL = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -173,3 +185,56 @@ kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w,
 SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM dw LEFT JOIN kept USING (doc_id)
 """
+
+FINITE_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+WHOLE_SQL = "list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)"
+
+
+def _vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Full scans in every round; a vector without a number is told apart by rid."""
+    dot = "list_dot_product(v::DOUBLE[], e::DOUBLE[])"
+    near = "(list_dot_product(v::DOUBLE[], v::DOUBLE[]) - 2 * {0} + list_dot_product(e::DOUBLE[], e::DOUBLE[]))::BIGINT".format(dot)
+    out = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, {WHOLE_SQL} AS v FROM embeddings WHERE {FINITE_SQL} AND len(embedding) > 0),
+seeds AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS i, v FROM kept ORDER BY vec_id NULLS LAST, v LIMIT {entries}),
+pieces AS MATERIALIZED (SELECT rid, p, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS v FROM kept, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, i, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS e FROM seeds, range({parts}) t(p))"""]
+    for n in range(rounds + 1):
+        out.append(f"a{n} AS MATERIALIZED (SELECT rid, p, min(struct_pack(d := {near}, i := i)) AS m FROM pieces JOIN b{n} USING (p) GROUP BY rid, p)")
+        if n < rounds:
+            out.append(f"""b{n + 1} AS MATERIALIZED (
+  SELECT b.p, b.i, coalesce(u.e, b.e) AS e FROM b{n} b LEFT JOIN (
+    SELECT p, i, list((s - ((s % n) + n) % n) // n ORDER BY j) AS e FROM (
+      SELECT p, m.i AS i, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM a{n} JOIN pieces USING (rid, p), range(1, len(v) + 1) t(j) GROUP BY 1, 2, 3)
+    GROUP BY p, i) u USING (p, i))""")
+    last = f"a{rounds}"
+    out.append(f"""coded AS (SELECT rid, string_agg(lpad(lower(to_hex(m.i)), 2, '0'), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM {last} GROUP BY rid)""")
+    digest = f"(SELECT sha256(coalesce(string_agg(array_to_string(e, ','), ',' ORDER BY p, i), '')) FROM b{rounds})"
+    return "WITH " + ",\n".join(out) + f"""
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, {digest} AS codebooks_sha256 FROM kept JOIN coded USING (rid)"""
+
+
+def _centroids_sql(k: int = 8, rounds: int = 10, width: int = 64, salt: int = 3) -> str:
+    """All distances over the vectors themselves."""
+    near = "list_sum(list_transform(list_zip(v, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    out = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, {WHOLE_SQL} AS v FROM embeddings WHERE {FINITE_SQL} AND len(embedding) = {width}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v AS e
+  FROM (SELECT sha256('{salt}:' || vec_id::VARCHAR) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT {k}))"""]
+    for n in range(rounds + 1):
+        out.append(f"a{n} AS MATERIALIZED (SELECT rid, min(struct_pack(d := {near}, c := c)) AS m FROM kept, c{n} GROUP BY rid)")
+        if n < rounds:
+            out.append(f"""c{n + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(u.e, c.e) AS e FROM c{n} c LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS e FROM (
+      SELECT m.c AS c, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM a{n} JOIN kept USING (rid), range(1, {width} + 1) t(j) GROUP BY 1, 2)
+    GROUP BY c) u USING (c))""")
+    return "WITH " + ",\n".join(out) + f"""
+SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia,
+       (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(e, ',')) AS centroid_sha256
+FROM kept JOIN a{rounds} USING (rid) JOIN c{rounds} c ON c.c = m.c"""
+
+
+ORACLE_SQL["op11_vector_codes"] = _vector_codes_sql()
+ORACLE_SQL["op12_centroids"] = _centroids_sql()

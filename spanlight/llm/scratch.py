@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranges import running
-from ..sources.tables import written, written_with
+from ..sources.tables import discard, written, written_with
 
-__all__ = ["connected_components", "id_filter", "keyed", "running", "split_by_ids", "text_id", "written", "written_with"]
+__all__ = ["connected_components", "discard", "id_filter", "keyed", "running", "split_by_ids", "text_id", "written", "written_with"]
 
 #: Bits of the id filter that `split_by_ids` broadcasts: 8 for each id, within these bounds (1 and 32 MB).
 FILTER_BITS, FILTER_BITS_MAX = 1 << 23, 1 << 28
