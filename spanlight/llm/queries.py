@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, cotraining, decontaminate, line_dedup, mixing, order_minhash, pii, quality_llr, recompression, training_order, vector_codes, warc
+from . import centroids, cotraining, decontaminate, line_dedup, mixing, order_minhash, pii, quality_llr, recompression, secret_scan, training_order, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,14 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("key", "vec_id")
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return out.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secret_scan.spelled(F.col("base")), 256).alias("base_sha256"), secret_scan.spelled(F.col("spans")).alias("spans")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_order_minhash": op2_order_minhash,
@@ -95,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_vector_codes": op11_vector_codes,
     "op12_centroids": op12_centroids,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 WORDS_SQL = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -238,3 +247,82 @@ FROM kept JOIN a{rounds} USING (rid) JOIN c{rounds} c ON c.c = m.c"""
 
 ORACLE_SQL["op11_vector_codes"] = _vector_codes_sql()
 ORACLE_SQL["op12_centroids"] = _centroids_sql()
+
+
+def _secret_scan_sql() -> str:
+    """Matches as rows; places by window sums over gaps and matches."""
+    q = lambda x: x.replace("'", "''")
+    place = """sum(len(gap)) OVER w + coalesce(sum(len(hit)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"""
+
+    def matches(source: str, text: str, by: str, pattern: str) -> str:
+        return f"""SELECT *, ({place})::BIGINT AS start, ({place})::BIGINT + len(hit) AS stop FROM (
+    SELECT {by}, i, hits[i] AS hit, gaps[i] AS gap FROM (
+      SELECT {by}, regexp_extract_all({text}, '{q(pattern)}') AS hits, string_split_regex({text}, '{q(pattern)}') AS gaps FROM {source}),
+      unnest(range(1, len(hits) + 1)) u(i))
+  WINDOW w AS (PARTITION BY {by} ORDER BY i)"""
+
+    alphabet = "CASE " + " ".join(f"WHEN translate(body, '{a}', '') = '' THEN '{a}'" for a in secret_scan.ALPHABETS) + " END"
+    t = f"(1 / (1 + {secret_scan.TAIL[0]} * z))"
+    poly = "0.0::DOUBLE"
+    for b in reversed(secret_scan.TAIL[1:]):
+        poly = f"{t} * ({b}::DOUBLE + {poly})"
+    tail = f"({secret_scan.ROOT}::DOUBLE * exp(-z * z / 2) * ({poly}))".replace("(1 / (1 + ", "(1 / (1::DOUBLE + ")
+    of = lambda z: tail.replace("z", z)
+    classes = " + ".join(f"(n >= {c})::INTEGER" for c in secret_scan.CLASSES[1:])
+    bins, last, (num, den) = secret_scan.BINS, secret_scan.LAST_BIN, secret_scan.Q
+    return f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+assigned AS MATERIALIZED (
+  {matches("docs", "t", "rid", secret_scan.ASSIGN)}),
+access AS ({matches("docs", "t", "rid", secret_scan.ACCESS)}),
+hexes AS ({matches("docs", "t", "rid", secret_scan.HEX)}),
+base AS MATERIALIZED (
+  SELECT rid, start, 0 AS kind, stop FROM assigned WHERE len(regexp_extract(hit, '{q(secret_scan.ASSIGN)}', 2)) >= 6
+  UNION ALL SELECT rid, start, 1, stop FROM access WHERE len(hit) >= 20
+  UNION ALL SELECT rid, start, 2, stop FROM hexes WHERE len(hit) >= 24),
+pieces AS MATERIALIZED (
+  SELECT row_number() OVER () AS pid, * FROM (
+    SELECT rid, start AS began, true AS inside, hit AS piece FROM assigned
+    UNION ALL SELECT rid, start - len(gap), false, gap FROM assigned
+    UNION ALL SELECT rid, coalesce(stop, 0), false, substr(t, coalesce(stop, 0)::INTEGER + 1)
+              FROM docs LEFT JOIN (SELECT rid, max(stop) AS stop FROM assigned GROUP BY rid) USING (rid))),
+runs AS (
+  SELECT p.rid, began + r.start AS start, began + stop AS stop, inside OR regexp_matches(hit, '{secret_scan.FIXED}') AS fixed, rtrim(hit, '=') AS body
+  FROM ({matches("pieces", "piece", "pid", secret_scan.RUN)}) r JOIN pieces p USING (pid)),
+coded AS (
+  SELECT *, {alphabet} AS alphabet, len(body) AS n FROM runs WHERE regexp_matches(body, '[0-9]') AND regexp_matches(body, '[A-Za-z]')),
+valued AS (
+  SELECT rid, start, stop, fixed, n, len(alphabet) AS a,
+         list_sum(list_transform(list_distinct(string_split(body, '')), lambda c: (n - len(replace(body, c, ''))) * (n - len(replace(body, c, '')))))::BIGINT AS squares,
+         list_transform(string_split(body, ''), lambda c: 2 * strpos(alphabet, c) - len(alphabet) - 1) AS v
+  FROM coded WHERE alphabet IS NOT NULL),
+measured AS (
+  SELECT * EXCLUDE (pr), list_sum(pr)::BIGINT AS serial, len(list_filter(pr, lambda x: x < 0)) AS changes
+  FROM (SELECT *, list_transform(range(1, len(v)), lambda i: v[i] * v[i + 1]) AS pr FROM valued)),
+scored AS (
+  SELECT *, (cbrt((a * squares - n * n)::DOUBLE / n::DOUBLE / (a::DOUBLE - 1)) - (1 - s)) / sqrt(s) AS z1,
+         abs((2 * changes - (n - 1))::DOUBLE / sqrt(n::DOUBLE - 1)) AS z2, abs(3 * serial::DOUBLE / (a::DOUBLE * a::DOUBLE - 1) / sqrt(n::DOUBLE - 1)) AS z3
+  FROM (SELECT *, 2 * (n::DOUBLE - 1) / (9 * (a::DOUBLE - 1) * n::DOUBLE) AS s FROM measured)),
+chances AS (
+  SELECT *, least(CASE WHEN z1 >= 0 THEN {of("abs(z1)")} ELSE 1 - {of("abs(z1)")} END, 2 * {of("z2")}, 2 * {of("z3")}) AS p FROM scored),
+binned AS MATERIALIZED (
+  SELECT rid, start, stop, fixed, {classes} AS class, greatest(0, least({bins - 1}, floor((1 - (1 - p) * (1 - p) * (1 - p)) * {bins})))::INTEGER AS bin FROM chances),
+uppers AS (SELECT class, 2 * greatest(0, count(*) FILTER (WHERE bin >= {bins // 2}) - 1) AS random FROM binned GROUP BY class),
+cuts AS (
+  SELECT class, min(j) AS cut FROM (
+    SELECT class, j, random, count(*) FILTER (WHERE bin >= j) AS found FROM binned JOIN uppers USING (class), range(1, {last + 1}) t(j) GROUP BY ALL)
+  WHERE found > 0 AND {den} * ({bins} * found - random * ({bins} - j)) <= {num} * {bins} * found GROUP BY class),
+spans AS (
+  SELECT rid, start, kind, stop, true AS is_base FROM base
+  UNION ALL SELECT rid, start, 3, stop, false FROM binned JOIN cuts USING (class) WHERE NOT fixed AND bin >= cut),
+named AS (SELECT *, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || start || ':' || stop AS s FROM spans),
+told AS (
+  SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+         string_agg(s, ',' ORDER BY start, kind) FILTER (WHERE is_base) AS base, string_agg(s, ',' ORDER BY start, kind) AS spans
+  FROM named GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN told USING (rid)"""
+
+
+ORACLE_SQL["op13_secret_scan"] = _secret_scan_sql()
