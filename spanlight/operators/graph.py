@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import edge_weight
-from ..sources.tables import checkpointed
+from ..sources.tables import Growing, checkpointed, written_with
+from . import components, traverse
 
 
 def node_kind(name: Column, attributes: Column) -> Column:
@@ -76,20 +77,11 @@ def locally_reachable(nodes: DataFrame, degs: DataFrame) -> DataFrame:
 def reachable(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """seed, id, depth: everything on a path from each seed, itself at depth 0 (C-11, C-18).
 
-    A frontier is joined with the edges level by level, less what was seen;
-    each level is a written table, so that lineage stays short.
+    A row for each seed and id, as many as there are such pairs: `traverse.reach_sets`
+    has them as bitmaps, `traverse.reached` the ids that any seed reaches.
     """
-    hops = checkpointed(edges.select("src", "dst").distinct())
-    seen = checkpointed(seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("depth", F.lit(0)))
-    front, depth = seen, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = front.join(hops, front["id"] == hops["src"]).select("seed", F.col("dst").alias("id")).distinct()
-        front = checkpointed(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            break
-        seen = checkpointed(seen.unionByName(front)) if depth % 8 == 0 else seen.unionByName(front)
-    return seen
+    numbers = traverse.numbered_seeds(seeds)
+    return traverse.expanded(traverse.reach_sets(numbers, edges, max_depth), numbers)
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -102,61 +94,35 @@ def reaching(targets: DataFrame, edges: DataFrame, max_depth: int | None = None)
 
 
 def shortest_paths(start: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, path: a shortest path from the start to every id it reaches, the least by its ids of equal ones (C-13).
-
-    start has one row; paths grow level by level, one for each new id.
-    """
-    hops = checkpointed(edges.select("src", "dst").distinct())
-    seen = checkpointed(start.select("id", F.array("id").alias("path")))
-    front = seen
-    while True:
-        step = front.join(hops, front["id"] == hops["src"]).select(F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path"))
-        fresh = step.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
-        front = checkpointed(fresh)
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
-
-
-def on_cycles(hops: DataFrame) -> DataFrame:
-    """The hops (src, dst) left when ids without a hop into or out of them are taken away again and again."""
-    before = hops.count()
-    while before:
-        inner = hops.join(hops.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(hops.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        hops = checkpointed(inner.select("src", "dst"))
-        left = hops.count()
-        if left == before:
-            break
-        before = left
-    return hops
+    """id, path: a shortest path from the start to every id it reaches; the id before an id is the least that is one step nearer (C-13)."""
+    return traverse.shortest_paths(start, edges)
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """cycle: each simple cycle once, of any length, from its least id on (C-14).
 
-    Ids on no cycle are taken away first.  Paths then start at a cycle's least
-    id and never pass a smaller one, which finds each cycle once.  A dense
-    graph has exponentially many simple cycles, and all are listed.
+    Only hops inside strongly connected components are followed.  Paths start
+    at a cycle's least id and never pass a smaller one, which finds each cycle
+    once.  A dense component has exponentially many simple cycles, and all are
+    listed; `components.component_cycles` gives a shortest one of each.
     """
-    hops = on_cycles(checkpointed(edges.select("src", "dst").distinct()))
-    found = hops.filter("src = dst").select(F.array("src").alias("cycle"))
-    paths = checkpointed(hops.filter("dst > src").select(F.array("src").alias("path"), "dst"))
-    depth = 0
-    while not paths.isEmpty():
-        depth += 1
+    hops = checkpointed(components.hops_inside(edges).select("src", "dst"))
+    found = Growing(edges.sparkSession, "cycle array<string>", "cycles")
+    found.add(hops.filter("src = dst").select(F.array("src").alias("cycle")))
+    paths, told = written_with(hops.filter("dst > src").select(F.array("src").alias("path"), "dst"), "paths", n=F.count(F.lit(1)))
+    while told["n"]:
         longer = paths.select(F.array_append("path", F.col("dst")).alias("path")).join(hops, F.element_at("path", -1) == F.col("src")).filter(F.col("dst") >= F.col("path")[0]).select("path", "dst")
         steps = checkpointed(longer.filter((F.col("dst") == F.col("path")[0]) | ~F.array_contains("path", F.col("dst"))))
-        closed = steps.filter(F.col("dst") == F.col("path")[0]).select(F.col("path").alias("cycle"))
-        found = checkpointed(found.unionByName(closed)) if depth % 8 == 0 else found.unionByName(closed)
-        paths = steps.filter(F.col("dst") != F.col("path")[0])
-    return found
+        found.add(steps.filter(F.col("dst") == F.col("path")[0]).select(F.col("path").alias("cycle")))
+        paths, told = written_with(steps.filter(F.col("dst") != F.col("path")[0]), "paths", n=F.count(F.lit(1)))
+    return found.all()
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The ten numbers of a graph in one row (A-14, C-15, C-19, U-6)."""
     one = F.lit(1).alias("one")
     kinds = nodes.agg(one, F.count("*").alias("total_nodes"), *[F.count_if(F.col("kind") == k).alias(f"{k.lower()}_count") for k in K.NODE_KINDS])
-    reached = reachable(nodes.filter("kind = 'Endpoint'"), edges).select("id").distinct()
+    reached = traverse.reached(nodes.filter("kind = 'Endpoint'"), edges).select("id")
     lost = nodes.filter("kind = 'Internal'").join(reached, "id", "left_anti").agg(one, F.count("*").alias("unreachable_internal"))
     all_edges = edges.agg(one, F.count("*").alias("total_edges"))
     degs = degrees(nodes, edges).agg(one, F.coalesce(F.max("callers"), F.lit(0)).alias("max_in_degree"), F.coalesce(F.max("callees"), F.lit(0)).alias("max_out_degree"))

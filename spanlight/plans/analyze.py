@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import classify, deps, endpoints, existing, gaps, graph, points, rules
+from ..operators import classify, deps, endpoints, existing, gaps, graph, points, rules, traverse
 from ..operators.lines import line_counts, lines_with
 
 
@@ -92,7 +92,7 @@ def analyze(files: DataFrame, dependencies: DataFrame | None = None, nodes: Data
     suggested = points.all_points(found, matches, nodes, degs, config.threshold)
     if config.trace_from_endpoints:
         seeds = found.select(F.col("handler").alias("id")).distinct()
-        near = graph.reachable(seeds, edges, config.max_depth).select(F.col("id").alias("function_name")).distinct()
+        near = traverse.reached(seeds, edges, config.max_depth).select(F.col("id").alias("function_name"))
         suggested = suggested.join(near, "function_name", "left_semi").select(*points.COLUMNS)
     suggested = suggested.persist()
     open_ = gaps.gaps_live(suggested, there)

@@ -73,6 +73,28 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Growing:
+    """A table that rounds of a loop add rows to: each part is written once, and the whole is one scan however many there are."""
+
+    def __init__(self, spark: SparkSession, schema: str, name: str):
+        self.spark, self.schema, self.root = spark, schema, new_folder(spark, name)
+        self.parts: list[str] = []
+
+    def add(self, df: DataFrame, **told: Column) -> tuple[DataFrame, dict]:
+        """Add the rows of df; gives them back as they were written, with the aggregates that were asked for."""
+        rows, seen = df, Observation("part")
+        if told:
+            rows = df.observe(seen, *[c.alias(k) for k, c in told.items()])
+        self.parts.append(f"{self.root}/part-{len(self.parts):05d}")
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            rows.write.parquet(self.parts[-1])
+        return self.spark.read.schema(self.schema).parquet(self.parts[-1]), seen.get if told else {}
+
+    def all(self) -> DataFrame:
+        """Every row that was added so far."""
+        return self.spark.read.schema(self.schema).parquet(*self.parts) if self.parts else self.spark.createDataFrame([], self.schema)
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text file in any store that Spark writes to."""
     jvm = spark.sparkContext._jvm
