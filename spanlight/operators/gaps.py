@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import choose
+from .ranges import numbered
 
 SEVERITY_ORDER = {"Critical": 0, "Major": 1, "Minor": 2}
 
@@ -73,6 +74,11 @@ def by_severity(gaps: DataFrame) -> DataFrame:
     return gaps.orderBy(choose(F.col("severity"), SEVERITY_ORDER), "file", "line", "function_name")
 
 
+def ranked(gaps: DataFrame) -> DataFrame:
+    """gaps with n, their rank in that order, by ranges (T-2)."""
+    return numbered(gaps, choose(F.col("severity"), SEVERITY_ORDER), "file", "line", "function_name")
+
+
 def at_least(gaps: DataFrame, severity: str | None) -> DataFrame:
     """Gaps of a severity or a worse one (R-7, R-8)."""
     if severity in (None, "Minor"):

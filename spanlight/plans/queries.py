@@ -1,23 +1,23 @@
 """The catalogue: a query for each group of operators and SQL that gives the same rows.
 
-Fixture queries read the tables of `fixtures`; scale queries apply the same
-operators to the driver's tables, whole.
+Every query reads the given tables, whole, or the sources, manifests, graphs and
+findings that `derived` makes from them; tests run the same queries over fixtures.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as S
-from ..operators import ast, classify, deps, endpoints, existing, fixer, functions, gaps, graph, lines, patterns, points, rules
+from ..operators import ast, classify, components, deps, endpoints, existing, fixer, functions, gaps, graph, lines, patterns, points, ranges, rules, traverse
 from ..sources import config, files, manifest
-from ..sources.tables import put_text
+from ..sources.tables import new_folder
 from . import analyze, registry, report
-from .fixtures import DEPS, project, table, values
+from .derived import table, values
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,8 +55,8 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.expr(CODE).alias("source"))
 
 
-def _fx_lines(spark: SparkSession) -> DataFrame:
-    return lines.scan_lines(table(spark, "fx_files"))
+def _fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.scan_lines(table(spark, sf_dir, "fx_files"))
 
 
 def _any(column: str, words: list[str]) -> str:
@@ -86,7 +86,7 @@ def line_scan(spark, sf_dir):
 
 @query(f"{FX_LINES} SELECT file, line, raw, text FROM l_lines")
 def line_scan_sources(spark, sf_dir):
-    return _fx_lines(spark)
+    return _fx_lines(spark, sf_dir)
 
 
 @query(f"{DOC_LINES} SELECT f.file, count(l.line) AS line_count FROM t_files f LEFT JOIN l_lines l USING (file) GROUP BY f.file")
@@ -117,12 +117,12 @@ EXISTING_SQL = f"""x_rows AS (
 
 @query(f"{FX_LINES},\n{EXISTING_SQL} SELECT file, line, ord, kind, span_name, score FROM x_rows")
 def existing_scan(spark, sf_dir):
-    return existing.scan_existing(_fx_lines(spark)).drop("issues")
+    return existing.scan_existing(_fx_lines(spark, sf_dir)).drop("issues")
 
 
 @query(f"{FX_LINES},\n{EXISTING_SQL} SELECT kind, count(*) AS n, round(avg(score), 6) AS mean_score FROM x_rows GROUP BY kind")
 def existing_by_kind(spark, sf_dir):
-    return existing.scan_existing(_fx_lines(spark)).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return existing.scan_existing(_fx_lines(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 @query(f"""{DOC_LINES}, marked AS (SELECT file, line, {QUALITY_SQL} AS score FROM l_lines WHERE {_any('text', K.SENSITIVE_WORDS)})
@@ -139,7 +139,7 @@ k AS (SELECT file, line, 'MissingSkip' AS kind FROM a WHERE {_any('text', K.LARG
   UNION ALL SELECT file, line, 'NoErrorHandling' FROM a WHERE contains(text, 'err') AND NOT contains(text, 'err = true') AND NOT contains(text, 'err('))
 SELECT file, line, kind FROM k""")
 def existing_issues(spark, sf_dir):
-    rows = existing.scan_existing(_fx_lines(spark)).select("file", "line", F.explode("issues").alias("i"))
+    rows = existing.scan_existing(_fx_lines(spark, sf_dir)).select("file", "line", F.explode("issues").alias("i"))
     return rows.select("file", "line", "i.kind")
 
 
@@ -177,27 +177,27 @@ e_rows AS (SELECT * FROM a_rows UNION ALL SELECT *, 'actix-web' FROM t_rows UNIO
 
 @query(f"{FX_LINES},\n{AXUM_SQL} SELECT * FROM a_rows")
 def endpoints_axum(spark, sf_dir):
-    return endpoints.detect_endpoints(_fx_lines(spark), "Axum")
+    return endpoints.detect_endpoints(_fx_lines(spark, sf_dir), "Axum")
 
 
 @query(f"{FX_LINES},\n{ATTR_SQL} SELECT *, 'actix-web' AS framework FROM t_rows")
 def endpoints_actix(spark, sf_dir):
-    return endpoints.detect_endpoints(_fx_lines(spark), "Actix")
+    return endpoints.detect_endpoints(_fx_lines(spark, sf_dir), "Actix")
 
 
 @query(f"{FX_LINES},\n{ATTR_SQL} SELECT *, 'rocket' AS framework FROM t_rows")
 def endpoints_rocket(spark, sf_dir):
-    return endpoints.detect_endpoints(_fx_lines(spark), "Rocket")
+    return endpoints.detect_endpoints(_fx_lines(spark, sf_dir), "Rocket")
 
 
 @query(f"{FX_LINES},\n{TONIC_SQL} SELECT * FROM g_rows")
 def endpoints_tonic(spark, sf_dir):
-    return endpoints.detect_endpoints(_fx_lines(spark), "Tonic")
+    return endpoints.detect_endpoints(_fx_lines(spark, sf_dir), "Tonic")
 
 
 @query(f"{FX_LINES},\n{ALL_ENDPOINTS} SELECT * FROM e_rows")
 def endpoints_unknown_union(spark, sf_dir):
-    return endpoints.detect_endpoints(_fx_lines(spark), "Unknown")
+    return endpoints.detect_endpoints(_fx_lines(spark, sf_dir), "Unknown")
 
 
 @query("SELECT DISTINCT event_type AS name, CASE WHEN upper(event_type) IN ('GET', 'POST', 'PUT', 'DELETE', 'PATCH', 'HEAD', 'OPTIONS', 'CONNECT', 'TRACE') THEN upper(event_type) ELSE event_type END AS method FROM events")
@@ -213,7 +213,7 @@ CLASSES_SQL = f"{values('fx_deps')}, {CRATES_SQL}, known AS (SELECT DISTINCT pro
 
 @query(f"WITH {CLASSES_SQL} SELECT * FROM known")
 def deps_classify(spark, sf_dir):
-    return deps.classify_deps(table(spark, "fx_deps"))
+    return deps.classify_deps(table(spark, sf_dir, "fx_deps"))
 
 
 @query(f"""WITH {CLASSES_SQL}, titles(category, o, title) AS (VALUES {', '.join(f"('{c}', {i}, '{t}')" for i, (c, t) in enumerate(K.CATEGORY_TITLES))}),
@@ -221,7 +221,7 @@ by_category AS (SELECT project, o, title || ': ' || string_agg(label, ', ' ORDER
 SELECT p.project, coalesce(string_agg(t, chr(10) ORDER BY o), '{K.NO_DEPENDENCIES}') AS summary
 FROM (SELECT DISTINCT project FROM fx_deps) p LEFT JOIN by_category USING (project) GROUP BY p.project""")
 def deps_summary(spark, sf_dir):
-    return deps.dependency_summary(table(spark, "fx_deps"))
+    return deps.dependency_summary(table(spark, sf_dir, "fx_deps"))
 
 
 CONTEXT_SQL = """context AS (
@@ -233,13 +233,13 @@ graded AS (SELECT *, CASE WHEN has_db THEN 0.9 ELSE 0.3 END::DOUBLE AS db_priori
 
 @query(f"WITH {CLASSES_SQL}, {CONTEXT_SQL} SELECT * FROM graded")
 def detection_context(spark, sf_dir):
-    return deps.detection_context(table(spark, "fx_deps"))
+    return deps.detection_context(table(spark, sf_dir, "fx_deps"))
 
 
 @query(f"""WITH {values('fx_deps')}, fw(o, framework, crate) AS (VALUES {', '.join(f"({i}, '{f}', '{c}')" for i, (f, c) in enumerate(K.FRAMEWORKS))})
 SELECT project, coalesce(arg_min(framework, o), 'Unknown') AS framework FROM fx_deps LEFT JOIN fw ON crate = dep_name GROUP BY project""")
 def framework_by_deps(spark, sf_dir):
-    return deps.framework_by_deps(table(spark, "fx_deps"))
+    return deps.framework_by_deps(table(spark, sf_dir, "fx_deps"))
 
 
 FW_CASE = "CASE " + " ".join(f"WHEN {_any('source', marks)} THEN '{f}'" for f, marks in K.FRAMEWORK_MARKERS) + " END"
@@ -247,7 +247,7 @@ FW_CASE = "CASE " + " ".join(f"WHEN {_any('source', marks)} THEN '{f}'" for f, m
 
 @query(f"WITH {values('fx_files')}, seen AS (SELECT project, file, {FW_CASE} AS fw FROM fx_files) SELECT project, coalesce(arg_min(fw, file) FILTER (WHERE fw IS NOT NULL), 'Unknown') AS framework FROM seen GROUP BY project")
 def framework_by_source(spark, sf_dir):
-    return deps.framework_by_source(table(spark, "fx_files"))
+    return deps.framework_by_source(table(spark, sf_dir, "fx_files"))
 
 
 # ---------------------------------------------------------------- classification
@@ -269,7 +269,7 @@ MATCH_SQL = f"matched AS (SELECT n.*, {_case(IN_CONTEXT, 1)} AS category, ({_cas
 
 @query(f"WITH {CLASSES_SQL}, {CONTEXT_SQL}, {values('fx_nodes')}, {MATCH_SQL} SELECT project, id, category, confidence FROM matched WHERE category IS NOT NULL")
 def classify_context(spark, sf_dir):
-    out = classify.classify_in_context(table(spark, "fx_nodes"), deps.detection_context(table(spark, "fx_deps")))
+    out = classify.classify_in_context(table(spark, sf_dir, "fx_nodes"), deps.detection_context(table(spark, sf_dir, "fx_deps")))
     return out.select("project", "id", "category", "confidence")
 
 
@@ -313,40 +313,41 @@ GRAPH_SQL = f"{CLASSES_SQL}, {CONTEXT_SQL}, {values('fx_nodes')}, {values('fx_ed
 ALL_POINTS = f"{FX_LINES},\n{ALL_ENDPOINTS},\n{GRAPH_SQL},\n{ENDPOINT_POINTS},\n{PATTERN_POINTS},\n{CONNECTED_POINTS},\np_all AS (SELECT * FROM p_endpoint UNION ALL SELECT * FROM p_pattern UNION ALL SELECT * FROM p_connected)"
 
 
-def _fx_points(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes, edges = table(spark, "fx_nodes"), table(spark, "fx_edges")
-    matches = classify.classify_in_context(nodes, deps.detection_context(table(spark, "fx_deps")))
+def _fx_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, edges = table(spark, sf_dir, "fx_nodes"), table(spark, sf_dir, "fx_edges")
+    matches = classify.classify_in_context(nodes, deps.detection_context(table(spark, sf_dir, "fx_deps")))
     return matches, nodes, graph.degrees(nodes, edges)
 
 
 @query(f"{FX_LINES},\n{ALL_ENDPOINTS},\n{ENDPOINT_POINTS} SELECT * FROM p_endpoint")
 def points_endpoint(spark, sf_dir):
-    return points.endpoint_points(endpoints.detect_endpoints(_fx_lines(spark), "Unknown")).select(*POINT_COLUMNS)
+    return points.endpoint_points(endpoints.detect_endpoints(_fx_lines(spark, sf_dir), "Unknown")).select(*POINT_COLUMNS)
 
 
 @query(f"WITH {GRAPH_SQL}, {PATTERN_POINTS} SELECT * FROM p_pattern")
 def points_pattern(spark, sf_dir):
-    matches, _, degs = _fx_points(spark)
+    matches, _, degs = _fx_points(spark, sf_dir)
     return points.pattern_points(matches, degs, 0.5).select(*POINT_COLUMNS)
 
 
 @query(f"{ALL_POINTS} SELECT * FROM p_connected")
 def points_connectivity(spark, sf_dir):
-    matches, nodes, degs = _fx_points(spark)
-    first = points.endpoint_points(endpoints.detect_endpoints(_fx_lines(spark), "Unknown")).unionByName(points.pattern_points(matches, degs, 0.5))
+    matches, nodes, degs = _fx_points(spark, sf_dir)
+    first = points.endpoint_points(endpoints.detect_endpoints(_fx_lines(spark, sf_dir), "Unknown")).unionByName(points.pattern_points(matches, degs, 0.5))
     return points.connectivity_points(nodes, degs, first, 0.5).select(*POINT_COLUMNS)
 
 
 @query(f"{ALL_POINTS} SELECT * FROM p_all")
 def points_all(spark, sf_dir):
-    matches, nodes, degs = _fx_points(spark)
-    return points.all_points(endpoints.detect_endpoints(_fx_lines(spark), "Unknown"), matches, nodes, degs, 0.5).select(*POINT_COLUMNS)
+    matches, nodes, degs = _fx_points(spark, sf_dir)
+    return points.all_points(endpoints.detect_endpoints(_fx_lines(spark, sf_dir), "Unknown"), matches, nodes, degs, 0.5).select(*POINT_COLUMNS)
 
 
-@query("SELECT unnest(['Endpoint', 'DatabaseCall', 'ExternalApiCall', 'CacheOperation', 'ErrorBoundary', 'BusinessLogic']) AS kind, unnest(['method=method,path=path', 'query=query,table=table', 'url=url,method=method', 'key=key,operation=op', 'error=err', '']) AS fields")
+@query(f"""WITH {values('fx_points')}, f(kind, fields) AS (VALUES ('Endpoint', 'method=method,path=path'), ('DatabaseCall', 'query=query,table=table'), ('ExternalApiCall', 'url=url,method=method'), ('CacheOperation', 'key=key,operation=op'), ('ErrorBoundary', 'error=err'), ('BusinessLogic', ''))
+SELECT file, line, function_name, fields FROM fx_points JOIN f USING (kind)""")
 def suggested_fields(spark, sf_dir):
-    kinds = spark.createDataFrame([(k,) for k in ("Endpoint", "DatabaseCall", "ExternalApiCall", "CacheOperation", "ErrorBoundary", "BusinessLogic")], "kind string")
-    return kinds.select("kind", F.array_join(F.transform(points.fields_of(F.col("kind")), lambda f: F.concat(f["name"], F.lit("="), f["expression"])), ",").alias("fields"))
+    fields = F.array_join(F.transform(points.fields_of(F.col("kind")), lambda f: F.concat(f["name"], F.lit("="), f["expression"])), ",")
+    return table(spark, sf_dir, "fx_points").select("file", "line", "function_name", fields.alias("fields"))
 
 
 # ---------------------------------------------------------------- gaps and coverage
@@ -357,14 +358,14 @@ LIVE_SQL = """live AS (SELECT * FROM fx_points p WHERE NOT EXISTS (SELECT 1 FROM
 STRICT_SQL = """strict AS (SELECT * FROM fx_points p WHERE NOT EXISTS (SELECT 1 FROM fx_existing e WHERE e.file = p.file AND (e.line = p.line OR e.function_name = p.function_name)))"""
 
 
-def _points(spark: SparkSession) -> DataFrame:
-    return table(spark, "fx_points").withColumn("suggested_fields", points.fields_of(F.col("kind")))
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "fx_points").withColumn("suggested_fields", points.fields_of(F.col("kind")))
 
 
 @query(f"""{FX_GAPS}, {LIVE_SQL} SELECT file, line, function_name, function_name || ' (' || {KINDS_SQL.format('kind')} || ') has no instrumentation' AS description,
 '#[instrument(name = "' || suggested_span_name || '")]' AS suggested_fix, CASE priority WHEN 'Critical' THEN 'Critical' WHEN 'High' THEN 'Major' ELSE 'Minor' END AS severity FROM live""")
 def gaps_live(spark, sf_dir):
-    return gaps.gaps_live(_points(spark), table(spark, "fx_existing"))
+    return gaps.gaps_live(_points(spark, sf_dir), table(spark, sf_dir, "fx_existing"))
 
 
 @query(f"""{FX_GAPS}, {STRICT_SQL}, f(kind, fields, skip, head) AS (VALUES ('Endpoint', ', method = %method, path = %path', ', skip_all', 'async fn '), ('DatabaseCall', ', query = %query, table = %table', ', skip(self)', 'async fn '),
@@ -374,7 +375,7 @@ SELECT file, line, function_name, {KINDS_SQL.format('s.kind')} || ' ''' || funct
   CASE WHEN s.kind IN ('Endpoint', 'ExternalApiCall') THEN 'Critical' WHEN coalesce(callers, 0) > 3 OR coalesce(callees, 0) > 5 OR s.kind IN ('DatabaseCall', 'BusinessLogic') THEN 'Major' ELSE 'Minor' END AS severity
 FROM strict s JOIN f USING (kind) LEFT JOIN degs ON degs.id = function_name""")
 def gaps_strict(spark, sf_dir):
-    return gaps.gaps_strict(_points(spark), table(spark, "fx_existing"), graph.degrees(table(spark, "fx_nodes"), table(spark, "fx_edges")))
+    return gaps.gaps_strict(_points(spark, sf_dir), table(spark, sf_dir, "fx_existing"), graph.degrees(table(spark, sf_dir, "fx_nodes"), table(spark, sf_dir, "fx_edges")))
 
 
 COVERAGE = """SELECT n AS total_points, g AS gaps, greatest(n - g, 0) AS covered, CASE WHEN n > 0 THEN round(greatest(n - g, 0) / n * 100, 6) ELSE 100.0 END::DOUBLE AS coverage,
@@ -384,8 +385,8 @@ FROM (SELECT count(*) AS n FROM fx_points) x, (SELECT count(*) AS g FROM live {w
 
 @query(f"{FX_GAPS}, {LIVE_SQL} {COVERAGE.format(c='false', w='')}")
 def coverage_check(spark, sf_dir):
-    p = _points(spark)
-    return gaps.coverage_check(p, gaps.gaps_live(p, table(spark, "fx_existing")), 40.0)
+    p = _points(spark, sf_dir)
+    return gaps.coverage_check(p, gaps.gaps_live(p, table(spark, sf_dir, "fx_existing")), 40.0)
 
 
 _CRITICAL = "WHERE priority = 'Critical'"
@@ -393,13 +394,13 @@ _CRITICAL = "WHERE priority = 'Critical'"
 
 @query(f"{FX_GAPS}, {LIVE_SQL} {COVERAGE.format(c='true', w=_CRITICAL)}")
 def coverage_critical(spark, sf_dir):
-    p = _points(spark)
-    return gaps.coverage_check(p, gaps.gaps_live(p, table(spark, "fx_existing")), 40.0, critical_only=True)
+    p = _points(spark, sf_dir)
+    return gaps.coverage_check(p, gaps.gaps_live(p, table(spark, sf_dir, "fx_existing")), 40.0, critical_only=True)
 
 
 @query(f"{FX_GAPS}, {STRICT_SQL} SELECT round((n - u) / n * 100, 6)::DOUBLE AS coverage FROM (SELECT count(*) AS n FROM fx_points) x, (SELECT count(*) AS u FROM strict) y")
 def coverage_points(spark, sf_dir):
-    return gaps.coverage_strict(_points(spark), table(spark, "fx_existing"))
+    return gaps.coverage_strict(_points(spark, sf_dir), table(spark, sf_dir, "fx_existing"))
 
 
 @query("""WITH e AS (SELECT event_id, user_id::VARCHAR AS file, (epoch(ts)::BIGINT // 3600)::INTEGER AS line, event_type FROM events)
@@ -435,132 +436,145 @@ FX_RULES = f"WITH {values('fx_points')}, {values('fx_existing')}"
 
 @query(f"{FX_RULES}, v AS ({V_EXISTING}) SELECT * FROM v WHERE kind = 'ForbiddenPattern'")
 def rules_forbidden(spark, sf_dir):
-    return rules.check_existing(table(spark, "fx_existing"), RULES).filter("kind = 'ForbiddenPattern'")
+    return rules.check_existing(table(spark, sf_dir, "fx_existing"), RULES).filter("kind = 'ForbiddenPattern'")
 
 
 @query(f"{FX_RULES}, v AS ({V_EXISTING}) SELECT * FROM v WHERE kind = 'NamingConvention'")
 def rules_naming(spark, sf_dir):
-    return rules.check_existing(table(spark, "fx_existing"), RULES).filter("kind = 'NamingConvention'")
+    return rules.check_existing(table(spark, sf_dir, "fx_existing"), RULES).filter("kind = 'NamingConvention'")
 
 
 @query(f"{FX_RULES} {V_POINTS}")
 def rules_points(spark, sf_dir):
-    return rules.check_points(_points(spark), RULES)
+    return rules.check_points(_points(spark, sf_dir), RULES)
 
 
 @query(f"{FX_RULES} {V_EXISTING} UNION ALL {V_POINTS}")
 def rules_all(spark, sf_dir):
-    return rules.check_all(table(spark, "fx_existing"), _points(spark), RULES)
+    return rules.check_all(table(spark, sf_dir, "fx_existing"), _points(spark, sf_dir), RULES)
 
 
 # ---------------------------------------------------------------- graphs
 
 FX_GRAPH = f"{values('fx_nodes')}, {values('fx_edges')}, {DEGREES_SQL}"
+#: The same nodes with one call each: long chains, few cycles.
+FX_SPARSE = f"{values('fx_nodes')}, {values('fx_hops')}, fx_edges AS (SELECT * FROM fx_hops), {DEGREES_SQL}"
+SEED, SINK = "(SELECT min(id) FROM fx_nodes WHERE kind = 'Endpoint')", "(SELECT max(id) FROM fx_nodes)"
 
 
-def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return table(spark, "fx_nodes").select("id", "name", "kind"), table(spark, "fx_edges")
+def _graph(spark: SparkSession, sf_dir: str, edges: str = "fx_edges") -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "fx_nodes").select("id", "name", "kind"), table(spark, sf_dir, edges)
+
+
+def _seed(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("kind = 'Endpoint'").agg(F.min("id").alias("id"))
 
 
 @query(f"WITH {FX_GRAPH} SELECT * FROM degs")
 def graph_degrees(spark, sf_dir):
-    return graph.degrees(*_graph(spark))
+    return graph.degrees(*_graph(spark, sf_dir))
 
 
 @query(f"WITH {FX_GRAPH} SELECT src AS id, list_sort(list(DISTINCT dst)) AS calls FROM fx_edges GROUP BY src")
 def graph_adjacency(spark, sf_dir):
-    return graph.adjacency(_graph(spark)[1])
+    return graph.adjacency(_graph(spark, sf_dir)[1])
 
 
-REACH = "WITH RECURSIVE {g}, r(id) AS (SELECT '{s}' UNION SELECT {to} FROM fx_edges JOIN r ON {frm} = r.id) SELECT id FROM r"
+REACH = "WITH RECURSIVE {g}, r(id) AS (SELECT {s} UNION SELECT {to} FROM fx_edges JOIN r ON {frm} = r.id) SELECT id FROM r"
 
 
-@query(REACH.format(g=FX_GRAPH, s="main", to="dst", frm="src"))
+@query(REACH.format(g=FX_SPARSE, s=SEED, to="dst", frm="src"))
 def graph_reachable(spark, sf_dir):
-    nodes, edges = _graph(spark)
-    return graph.reachable(nodes.filter("id = 'main'"), edges).select("id")
+    nodes, edges = _graph(spark, sf_dir, "fx_hops")
+    return graph.reachable(_seed(nodes), edges).select("id")
 
 
-@query(REACH.format(g=FX_GRAPH, s="db::connect", to="src", frm="dst"))
+@query(REACH.format(g=FX_SPARSE, s=SINK, to="src", frm="dst"))
 def graph_reaching(spark, sf_dir):
-    nodes, edges = _graph(spark)
-    return graph.reaching(nodes.filter("id = 'db::connect'"), edges).select("id")
+    nodes, edges = _graph(spark, sf_dir, "fx_hops")
+    return graph.reaching(nodes.agg(F.max("id").alias("id")), edges).select("id")
 
 
 @query(f"WITH RECURSIVE {FX_GRAPH}, r(seed, id, depth) AS (SELECT id, id, 0 FROM fx_nodes WHERE kind = 'Endpoint' UNION SELECT seed, dst, depth + 1 FROM fx_edges JOIN r ON src = id WHERE depth < 2) SELECT seed, id, min(depth) AS depth FROM r GROUP BY seed, id")
 def graph_trace_depth(spark, sf_dir):
     """What endpoints reach within two calls (C-18)."""
-    nodes, edges = _graph(spark)
+    nodes, edges = _graph(spark, sf_dir)
     return graph.reachable(nodes.filter("kind = 'Endpoint'"), edges, max_depth=2)
 
 
-@query(f"""WITH RECURSIVE {FX_GRAPH}, r(id, path) AS (SELECT 'main', ['main'] UNION SELECT dst, list_append(path, dst) FROM fx_edges JOIN r ON src = id WHERE NOT list_contains(path, dst))
-SELECT id, arg_min(path, [lpad(len(path)::VARCHAR, 4, '0')] || path) AS path FROM r GROUP BY id""")
+#: Levels from a seed; 40 are more than the dense graph has.
+LEVELS_SQL = "r(id, depth) AS (SELECT {s}, 0 UNION SELECT dst, depth + 1 FROM fx_edges JOIN r ON src = id WHERE depth < 40), d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)"
+
+
+@query(f"""WITH RECURSIVE {FX_GRAPH}, {LEVELS_SQL.format(s=SEED)},
+via AS (SELECT b.id, min(a.id) AS via FROM fx_edges JOIN d a ON a.id = src JOIN d b ON b.id = dst AND b.depth = a.depth + 1 GROUP BY b.id),
+p(id, path) AS (SELECT {SEED}, [{SEED}] UNION ALL SELECT via.id, list_append(path, via.id) FROM via JOIN p ON via.via = p.id)
+SELECT id, path FROM p""")
 def graph_path(spark, sf_dir):
-    nodes, edges = _graph(spark)
-    return graph.shortest_paths(nodes.filter("id = 'main'"), edges)
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.shortest_paths(_seed(nodes), edges)
 
 
-@query(f"""WITH RECURSIVE {FX_GRAPH}, r(first, id, path) AS (SELECT DISTINCT src, src, [src] FROM fx_edges UNION SELECT first, dst, list_append(path, dst) FROM fx_edges JOIN r ON src = id WHERE NOT list_contains(path, dst) AND dst > first)
+@query(f"""WITH RECURSIVE {FX_SPARSE}, r(first, id, path) AS (SELECT DISTINCT src, src, [src] FROM fx_edges UNION SELECT first, dst, list_append(path, dst) FROM fx_edges JOIN r ON src = id WHERE NOT list_contains(path, dst) AND dst > first)
 SELECT DISTINCT path AS cycle FROM r JOIN fx_edges ON src = id AND dst = first""")
 def graph_cycles(spark, sf_dir):
-    return graph.cycles(_graph(spark)[1])
+    return graph.cycles(_graph(spark, sf_dir, "fx_hops")[1])
 
 
-@query(f"""WITH RECURSIVE {FX_GRAPH}, r(id) AS (SELECT id FROM fx_nodes WHERE kind = 'Endpoint' UNION SELECT dst FROM fx_edges JOIN r ON src = r.id),
+@query(f"""WITH RECURSIVE {FX_SPARSE}, r(id) AS (SELECT id FROM fx_nodes WHERE kind = 'Endpoint' UNION SELECT dst FROM fx_edges JOIN r ON src = r.id),
 c(first, id, path) AS (SELECT DISTINCT src, src, [src] FROM fx_edges UNION SELECT first, dst, list_append(path, dst) FROM fx_edges JOIN c ON src = c.id WHERE NOT list_contains(path, dst) AND dst > first)
 SELECT (SELECT count(*) FROM fx_nodes) AS total_nodes, (SELECT count(*) FROM fx_edges) AS total_edges, (SELECT count(*) FROM fx_nodes WHERE kind = 'Endpoint') AS endpoint_count,
   (SELECT count(*) FROM fx_nodes WHERE kind = 'Test') AS test_count, (SELECT count(*) FROM fx_nodes WHERE kind = 'Internal') AS internal_count, (SELECT count(*) FROM fx_nodes WHERE kind = 'External') AS external_count,
   (SELECT count(*) FROM fx_nodes WHERE kind = 'Internal' AND id NOT IN (SELECT id FROM r)) AS unreachable_internal,
   (SELECT count(DISTINCT path) FROM c JOIN fx_edges ON src = c.id AND dst = first) AS cycle_count, (SELECT max(callers) FROM degs) AS max_in_degree, (SELECT max(callees) FROM degs) AS max_out_degree""")
 def graph_stats(spark, sf_dir):
-    return graph.graph_stats(*_graph(spark))
+    return graph.graph_stats(*_graph(spark, sf_dir, "fx_hops"))
 
 
-@query(f"WITH RECURSIVE {FX_GRAPH}, r(id) AS (SELECT id FROM fx_nodes WHERE kind = 'Endpoint' UNION SELECT dst FROM fx_edges JOIN r ON src = r.id) SELECT id FROM fx_nodes WHERE kind = 'Internal' AND id NOT IN (SELECT id FROM r)")
+@query(f"WITH RECURSIVE {FX_SPARSE}, r(id) AS (SELECT id FROM fx_nodes WHERE kind = 'Endpoint' UNION SELECT dst FROM fx_edges JOIN r ON src = r.id) SELECT id FROM fx_nodes WHERE kind = 'Internal' AND id NOT IN (SELECT id FROM r)")
 def graph_unreachable(spark, sf_dir):
-    nodes, edges = _graph(spark)
-    reached = graph.reachable(nodes.filter("kind = 'Endpoint'"), edges).select("id").distinct()
+    nodes, edges = _graph(spark, sf_dir, "fx_hops")
+    reached = traverse.reached(nodes.filter("kind = 'Endpoint'"), edges)
     return nodes.filter("kind = 'Internal'").join(reached, "id", "left_anti").select("id")
 
 
 @query(f"""WITH {FX_GRAPH}, base(kind, b) AS (VALUES {', '.join(f"('{k}', {b})" for k, b in K.EDGE_BASES.items())})
 SELECT src, dst, kind, is_conditional, is_in_loop, src || '->' || dst AS edge_id, round(b * CASE WHEN is_conditional THEN 0.8 ELSE 1 END * CASE WHEN is_in_loop THEN 1.5 ELSE 1 END, 6)::DOUBLE AS weight FROM fx_edges JOIN base USING (kind)""")
 def edge_weight(spark, sf_dir):
-    return graph.weighted_edges(_graph(spark)[1])
+    return graph.weighted_edges(_graph(spark, sf_dir)[1])
 
 
 @query(f"WITH {FX_GRAPH} SELECT src || ' -[' || kind || ']-> ' || dst AS text FROM fx_edges")
 def edge_display(spark, sf_dir):
-    return graph.edge_text(_graph(spark)[1])
+    return graph.edge_text(_graph(spark, sf_dir)[1])
 
 
 @query(f"WITH {FX_GRAPH} SELECT src, dst, CASE WHEN src = dst THEN 'Recursive' ELSE kind END AS kind FROM fx_edges")
 def edge_recursive(spark, sf_dir):
-    return graph.edge_kinds(_graph(spark)[1]).select("src", "dst", "kind")
+    return graph.edge_kinds(_graph(spark, sf_dir)[1]).select("src", "dst", "kind")
 
 
 @query(f"WITH {FX_GRAPH}, m AS (SELECT DISTINCT dst AS id, string_split(dst, '::') AS p FROM fx_edges WHERE dst NOT IN (SELECT id FROM fx_nodes)) SELECT id, p[len(p)] AS name, p[:len(p) - 1] AS module_path, 'External' AS kind FROM m")
 def external_nodes(spark, sf_dir):
-    nodes, edges = _graph(spark)
+    nodes, edges = _graph(spark, sf_dir)
     return graph.external_nodes(edges, nodes)
 
 
 @query(f"WITH {FX_GRAPH} SELECT src, dst, kind FROM fx_edges WHERE src IN (SELECT id FROM fx_nodes) AND dst IN (SELECT id FROM fx_nodes)")
 def dangling_filter(spark, sf_dir):
-    nodes, edges = _graph(spark)
+    nodes, edges = _graph(spark, sf_dir)
     return graph.known_edges(edges, nodes).select("src", "dst", "kind")
 
 
 @query(f"WITH {FX_GRAPH} SELECT id, callers > 0 OR kind IN ('Endpoint', 'Test') AS is_reachable FROM fx_nodes JOIN degs USING (id)")
 def node_reachable_flag(spark, sf_dir):
-    nodes, edges = _graph(spark)
+    nodes, edges = _graph(spark, sf_dir)
     return graph.locally_reachable(nodes, graph.degrees(nodes, edges))
 
 
 @query(f"WITH {FX_GRAPH} SELECT kind, count(*) AS n FROM fx_nodes GROUP BY kind")
 def nodes_by_kind(spark, sf_dir):
-    return _graph(spark)[0].groupBy("kind").agg(F.count("*").alias("n"))
+    return _graph(spark, sf_dir)[0].groupBy("kind").agg(F.count("*").alias("n"))
 
 
 TRADE_SQL = """trade AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
@@ -582,9 +596,77 @@ LINKS_SQL = "links AS (SELECT DISTINCT url AS src, h AS dst FROM (SELECT url, un
 @query(f"WITH RECURSIVE {LINKS_SQL}, roots AS (SELECT min(url) AS id FROM pages), r(id) AS (SELECT id FROM roots UNION SELECT dst FROM links JOIN r ON src = r.id) SELECT id FROM r")
 def graph_reachable_pages(spark, sf_dir):
     """What the first page, by its address, links to, over all links."""
-    p = read(spark, sf_dir, "pages")
-    edges = p.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("dst"))
-    return graph.reachable(p.agg(F.min("url").alias("id")), edges).select("id")
+    return graph.reachable(read(spark, sf_dir, "pages").agg(F.min("url").alias("id")), _links(spark, sf_dir)).select("id")
+
+
+#: Links of each page in their order: each leads to the next.
+TRAIL_SQL = "trail AS (SELECT DISTINCT h[i] AS src, h[i + 1] AS dst FROM (SELECT regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1) AS h FROM pages), unnest(range(1, len(h))) t(i))"
+WALK_SQL = f"{LINKS_SQL}, {TRAIL_SQL}, walk AS (SELECT * FROM links UNION SELECT * FROM trail)"
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("dst"))
+
+
+def _trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))
+    two = F.arrays_zip(F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))).alias("src"), F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))).alias("dst"))
+    return read(spark, sf_dir, "pages").select(F.explode(two).alias("x")).select("x.src", "x.dst")
+
+
+CLOSED_SQL = "c(a, b) AS (SELECT src, dst FROM {e} UNION SELECT a, dst FROM {e} JOIN c ON src = b), own AS (SELECT src AS id FROM {e} UNION SELECT dst FROM {e}), comp AS (SELECT id, least(id, coalesce(min(x.b), id)) AS component FROM own LEFT JOIN (SELECT p.a, p.b FROM c p JOIN c q ON p.a = q.b AND p.b = q.a) x ON x.a = id GROUP BY id)"
+
+
+@query(f"WITH RECURSIVE {LINKS_SQL}, {TRAIL_SQL}, {CLOSED_SQL.format(e='trail')} SELECT id, component FROM comp")
+def graph_components_pages(spark, sf_dir):
+    """Strong components of the graph in which each link of a page leads to the next (C-14)."""
+    return components.strong_components(_trail(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {LINKS_SQL}, {TRAIL_SQL}, {CLOSED_SQL.format(e='trail')}, inside AS (SELECT x.component, src, dst FROM trail JOIN comp x ON x.id = src JOIN comp y ON y.id = dst AND x.component = y.component)
+SELECT component, count(DISTINCT src) AS n_ids, count(*) AS n_hops FROM inside GROUP BY component""")
+def graph_component_sizes_pages(spark, sf_dir):
+    """Ids and hops of the components with a cycle (C-14, C-15)."""
+    return components.component_sizes(_trail(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {FX_SPARSE}, h AS (SELECT DISTINCT src, dst FROM fx_edges), {CLOSED_SQL.format(e='h')} SELECT id, component FROM comp")
+def graph_components(spark, sf_dir):
+    """Strong components of the graph of one call for each function (C-14)."""
+    return components.strong_components(_graph(spark, sf_dir, "fx_hops")[1])
+
+
+@query(f"""WITH RECURSIVE {FX_SPARSE}, r(first, id, path) AS (SELECT DISTINCT src, src, [src] FROM fx_edges UNION SELECT first, dst, list_append(path, dst) FROM fx_edges JOIN r ON src = id WHERE NOT list_contains(path, dst) AND dst > first)
+SELECT DISTINCT first AS component, path AS cycle FROM r JOIN fx_edges ON src = id AND dst = first""")
+def graph_component_cycles(spark, sf_dir):
+    """A shortest cycle of each component; where every function calls one, it is the only one (C-14)."""
+    return components.component_cycles(_graph(spark, sf_dir, "fx_hops")[1])
+
+
+@query(f"WITH RECURSIVE {WALK_SQL}, r(seed, id) AS (SELECT DISTINCT url, url FROM pages UNION SELECT seed, dst FROM walk JOIN r ON src = r.id) SELECT id, count(*) AS n_seeds FROM r GROUP BY id")
+def graph_seed_sets_pages(spark, sf_dir):
+    """How many pages lead to each link, every page being a seed; seeds travel as bits (C-11, C-12)."""
+    numbers = traverse.numbered_seeds(read(spark, sf_dir, "pages").select(F.col("url").alias("id")))
+    return traverse.set_sizes(traverse.reach_sets(numbers, _links(spark, sf_dir).unionByName(_trail(spark, sf_dir))))
+
+
+@query(f"WITH RECURSIVE {WALK_SQL}, r(seed, id, depth) AS (SELECT DISTINCT url, url, 0 FROM pages UNION SELECT seed, dst, depth + 1 FROM walk JOIN r ON src = r.id WHERE depth < 2) SELECT seed, id, min(depth) AS depth FROM r GROUP BY seed, id")
+def graph_trace_depth_pages(spark, sf_dir):
+    """What every page leads to within two steps, a row for each pair (C-18)."""
+    return graph.reachable(read(spark, sf_dir, "pages").select(F.col("url").alias("id")), _links(spark, sf_dir).unionByName(_trail(spark, sf_dir)), max_depth=2)
+
+
+@query(f"""WITH RECURSIVE {WALK_SQL}, goal AS (SELECT max(dst) AS g FROM walk), r(id, depth) AS (SELECT g, 0 FROM goal UNION SELECT src, depth + 1 FROM walk JOIN r ON dst = r.id WHERE depth < 40),
+d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id) SELECT u.url AS src, g AS dst, d.depth AS n_hops, CASE WHEN d.depth IS NOT NULL THEN d.depth END AS n_known FROM (SELECT DISTINCT url FROM pages) u, goal LEFT JOIN d ON d.id = u.url""")
+def graph_paths_pages(spark, sf_dir):
+    """A shortest path from every page to the last link, from both ends: its hops, and how many of them are links (C-13)."""
+    edges = _links(spark, sf_dir).unionByName(_trail(spark, sf_dir)).distinct()
+    goal = edges.agg(F.max("dst").alias("dst"))
+    found = traverse.paths_between(read(spark, sf_dir, "pages").select(F.col("url").alias("src")).distinct().crossJoin(F.broadcast(goal)), edges)
+    steps = found.select("src", "dst", F.posexplode_outer(F.slice("path", F.lit(1), F.size("path") - 1)).alias("i", "a"), "path").withColumn("b", F.get("path", F.col("i") + 1))
+    known = steps.join(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("known")), ["a", "b"], "left")
+    counts = known.groupBy("src", "dst").agg(F.when(F.first(F.col("path").isNotNull()), F.count("known")).alias("n_known"), F.first(F.size("path") - 1).alias("hops"))
+    return counts.select("src", "dst", F.when(F.col("n_known").isNotNull(), F.col("hops")).alias("n_hops"), "n_known")
 
 
 @query("""WITH steps AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
@@ -607,8 +689,8 @@ hit AS (SELECT call_id, arg_min(key, o) AS full_path FROM keys WHERE key IN (SEL
 SELECT call_id, path, CASE WHEN full_path IS NULL AND ext THEN path ELSE full_path END AS full_path, full_path IS NULL AND ext AS is_external
 FROM (SELECT c.*, hit.full_path, first IN ({', '.join(f"'{r}'" for r in K.EXTERNAL_ROOTS)}) OR first NOT IN (SELECT full_path FROM fx_symbols) AS ext FROM c LEFT JOIN hit USING (call_id))""")
 def symbol_resolution(spark, sf_dir):
-    calls = table(spark, "fx_calls").withColumn("module", F.when(F.col("module") == "", F.array().cast("array<string>")).otherwise(F.split("module", "::")))
-    return graph.resolve_calls(calls, table(spark, "fx_symbols"), table(spark, "fx_imports"))
+    calls = table(spark, sf_dir, "fx_calls").withColumn("module", F.when(F.col("module") == "", F.array().cast("array<string>")).otherwise(F.split("module", "::")))
+    return graph.resolve_calls(calls, table(spark, sf_dir, "fx_symbols"), table(spark, sf_dir, "fx_imports"))
 
 
 # ---------------------------------------------------------------- weighted patterns
@@ -635,13 +717,13 @@ ORDER_SQL = "CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for i, (c, _, _)
 RANKED_SQL = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, {ORDER_SQL})::INTEGER AS rank FROM scores)"
 
 
-def _fx_texts(spark: SparkSession) -> DataFrame:
-    return table(spark, "fx_files").select(F.col("file").alias("doc"), F.col("source").alias("text"))
+def _fx_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "fx_files").select(F.col("file").alias("doc"), F.col("source").alias("text"))
 
 
 @query(f"{FX_PATTERNS} SELECT doc, ord, grp, pattern, weight, matched FROM m")
 def pattern_matches(spark, sf_dir):
-    return patterns.match_patterns(_fx_texts(spark))
+    return patterns.match_patterns(_fx_texts(spark, sf_dir))
 
 
 @query(f"{DOC_PATTERNS} SELECT doc, ord, pattern, count(*) AS n FROM m GROUP BY doc, ord, pattern")
@@ -653,41 +735,41 @@ def pattern_matches_documents(spark, sf_dir):
 
 @query(f"{FX_PATTERNS} SELECT t.doc, least(coalesce(round(avg(weight), 6), 0), 1)::DOUBLE AS confidence, count(weight) AS n_matches FROM t LEFT JOIN m USING (doc) GROUP BY t.doc")
 def pattern_confidence(spark, sf_dir):
-    texts = _fx_texts(spark)
+    texts = _fx_texts(spark, sf_dir)
     return patterns.confidence(texts, patterns.match_patterns(texts))
 
 
 @query(f"{FX_PATTERNS}, c AS (SELECT t.doc, least(coalesce(round(avg(weight), 6), 0), 1)::DOUBLE AS confidence, count(weight) AS n_matches FROM t LEFT JOIN m USING (doc) GROUP BY t.doc) SELECT * FROM c WHERE confidence >= 0.7")
 def pattern_confident(spark, sf_dir):
-    texts = _fx_texts(spark)
+    texts = _fx_texts(spark, sf_dir)
     return patterns.confident(patterns.confidence(texts, patterns.match_patterns(texts)), 0.7)
 
 
 @query(f"{FX_PATTERNS}, {SCORES_SQL} SELECT * FROM scores")
 def pattern_categories(spark, sf_dir):
-    return patterns.category_scores(patterns.match_patterns(_fx_texts(spark)))
+    return patterns.category_scores(patterns.match_patterns(_fx_texts(spark, sf_dir)))
 
 
 @query(f"{FX_PATTERNS}, {SCORES_SQL}, {RANKED_SQL} SELECT * FROM ranked WHERE rank <= 2")
 def pattern_top_n(spark, sf_dir):
-    return patterns.top_categories(patterns.category_scores(patterns.match_patterns(_fx_texts(spark))), 2)
+    return patterns.top_categories(patterns.category_scores(patterns.match_patterns(_fx_texts(spark, sf_dir))), 2)
 
 
 @query(f"{FX_PATTERNS}, {SCORES_SQL}, {RANKED_SQL} SELECT t.doc, coalesce(category, 'Unknown') AS category FROM t LEFT JOIN ranked ON t.doc = ranked.doc AND rank = 1")
 def pattern_best_category(spark, sf_dir):
-    texts = _fx_texts(spark)
+    texts = _fx_texts(spark, sf_dir)
     return patterns.best_category(texts, patterns.category_scores(patterns.match_patterns(texts)))
 
 
 @query(f"{FX_PATTERNS} SELECT doc, list_sort(list(DISTINCT substr(grp, 11))) AS frameworks FROM m WHERE grp LIKE 'framework:%' GROUP BY doc")
 def pattern_frameworks(spark, sf_dir):
-    return patterns.frameworks(patterns.match_patterns(_fx_texts(spark)))
+    return patterns.frameworks(patterns.match_patterns(_fx_texts(spark, sf_dir)))
 
 
 @query(f"{FX_PATTERNS}, {SCORES_SQL}, p AS (SELECT string_split(doc, '/')[1] AS doc, category, sum(score) AS w FROM scores GROUP BY ALL) SELECT doc, category, round(w / max(w) OVER (PARTITION BY doc), 6)::DOUBLE AS score FROM p")
 def pattern_merge(spark, sf_dir):
     """Scores of files merged by project."""
-    scores = patterns.category_scores(patterns.match_patterns(_fx_texts(spark)))
+    scores = patterns.category_scores(patterns.match_patterns(_fx_texts(spark, sf_dir)))
     return patterns.merged_scores(scores.withColumn("doc", F.substring_index("doc", "/", 1)))
 
 
@@ -698,7 +780,7 @@ FX_FN = f"WITH {values('fx_functions')}"
 
 @query(f"{FX_FN} SELECT name, cyclomatic > 7 AS complex, unwrap_calls > 0 OR expect_calls > 0 AS unsafe, is_async, lines_of_code > 50 AS long FROM fx_functions")
 def fn_filters(spark, sf_dir):
-    f = table(spark, "fx_functions")
+    f = table(spark, sf_dir, "fx_functions")
     flag = lambda df, c: df.select("name", F.lit(True).alias(c))
     out = f.select("name")
     for c, df in (("complex", functions.by_complexity(f, 7)), ("unsafe", functions.unsafe_handling(f)), ("is_async", functions.async_functions(f)), ("long", functions.by_line_count(f, 50))):
@@ -708,27 +790,27 @@ def fn_filters(spark, sf_dir):
 
 @query(f"{FX_FN} SELECT file, name, CASE WHEN cyclomatic <= 5 THEN 'Low' WHEN cyclomatic <= 10 THEN 'Medium' WHEN cyclomatic <= 20 THEN 'High' ELSE 'Critical' END AS risk, cyclomatic > 10 OR cognitive > 15 OR lines_of_code > 50 OR max_nesting_depth > 4 AS refactor FROM fx_functions")
 def complexity_risk(spark, sf_dir):
-    return functions.risks(table(spark, "fx_functions"))
+    return functions.risks(table(spark, sf_dir, "fx_functions"))
 
 
 @query(f"{FX_FN} SELECT round(avg(cyclomatic), 6)::DOUBLE AS average_complexity FROM fx_functions WHERE NOT is_test")
 def avg_complexity(spark, sf_dir):
-    return functions.average_complexity(table(spark, "fx_functions"))
+    return functions.average_complexity(table(spark, sf_dir, "fx_functions"))
 
 
 @query(f"{FX_FN} SELECT round(avg((unwrap_calls = 0 AND expect_calls = 0 AND (question_mark_ops > 0 OR error_matches > 0 OR error_if_lets > 0 OR result_returns = 0))::INTEGER) * 100, 6)::DOUBLE AS error_handling_score FROM fx_functions WHERE NOT is_test")
 def error_score(spark, sf_dir):
-    return functions.error_handling_score(table(spark, "fx_functions"))
+    return functions.error_handling_score(table(spark, sf_dir, "fx_functions"))
 
 
 @query(f"{FX_FN} SELECT file, name, cyclomatic FROM fx_functions WHERE NOT is_test ORDER BY cyclomatic DESC, ord DESC LIMIT 1")
 def most_complex(spark, sf_dir):
-    return functions.most_complex(table(spark, "fx_functions"))
+    return functions.most_complex(table(spark, sf_dir, "fx_functions"))
 
 
 @query(f"{FX_FN} SELECT round(least(count(*) FILTER (WHERE is_test) / count(*) FILTER (WHERE NOT is_test), 1) * 100, 6)::DOUBLE AS test_coverage_estimate FROM fx_functions")
 def test_coverage_estimate(spark, sf_dir):
-    return functions.test_coverage_estimate(table(spark, "fx_functions"))
+    return functions.test_coverage_estimate(table(spark, sf_dir, "fx_functions"))
 
 
 @query("""SELECT event_id, CASE WHEN v < 60 THEN v || 's' WHEN v < 3600 THEN (v // 60) || 'm ' || (v % 60) || 's' ELSE (v // 3600) || 'h ' || (v % 3600 // 60) || 'm' END AS duration,
@@ -750,7 +832,7 @@ def scalar_texts(spark, sf_dir):
 @query(f"""WITH {values('fx_files')}, p AS (SELECT file, position('/src/' IN file) AS spot FROM fx_files), q AS (SELECT file, spot, regexp_replace(substr(file, spot + 5), '(\\.rs)+$', '') AS rest FROM p)
 SELECT file, CASE WHEN spot = 0 OR rest IN ('main', 'lib') THEN 'f' ELSE replace(rest, '/', '::') || '::f' END AS id FROM q""")
 def function_ids(spark, sf_dir):
-    return table(spark, "fx_files").select("file", S.function_id(S.module_path(F.col("file")), F.lit("f")).alias("id"))
+    return table(spark, sf_dir, "fx_files").select("file", S.function_id(S.module_path(F.col("file")), F.lit("f")).alias("id"))
 
 
 # ---------------------------------------------------------------- fixes
@@ -769,7 +851,7 @@ ins AS (
 
 @query(f"{FX_FIX},\n{INSERT_SQL} SELECT * FROM ins")
 def insertion_points(spark, sf_dir):
-    return fixer.insertion_points(table(spark, "fx_files").select("file", "source"), table(spark, "fx_gaps"))
+    return fixer.insertion_points(table(spark, sf_dir, "fx_files").select("file", "source"), table(spark, sf_dir, "fx_gaps"))
 
 
 APPLY_SQL = """old AS (SELECT file, line AS spot, 1 AS kind, 0 AS nth, raw AS content FROM l_lines),
@@ -781,20 +863,15 @@ SELECT file, t || CASE WHEN source LIKE '%' || chr(10) THEN chr(10) ELSE '' END
 
 @query(f"{FX_FIX},\n{INSERT_SQL},\n{APPLY_SQL}")
 def apply_insertions(spark, sf_dir):
-    files = table(spark, "fx_files").select("file", "source").filter("source <> ''")
-    return fixer.apply_insertions(files, fixer.insertion_points(files, table(spark, "fx_gaps")))
+    files = table(spark, sf_dir, "fx_files").select("file", "source").filter("source <> ''")
+    return fixer.apply_insertions(files, fixer.insertion_points(files, table(spark, sf_dir, "fx_gaps")))
 
 
-@query("""WITH x(file, source, was_added) AS (VALUES
-  ('none.rs', 'use tracing::instrument;' || chr(10) || 'fn main() {}' || chr(10) , true), ('a.rs', 'use std::fs;' || chr(10) || 'use std::io;' || chr(10) || 'use tracing::instrument;' || chr(10) || chr(10) || 'fn f() {}' || chr(10) || 'use late::x;', true),
-  ('b.rs', '//! doc' || chr(10) || '#![allow(x)]' || chr(10) || 'use tracing::instrument;' || chr(10) || 'fn f() {}', true), ('c.rs', 'use tracing::{info, instrument};', false), ('d.rs', '#[tracing::instrument]' || chr(10) || 'fn f() {}', false))
-SELECT * FROM x""")
+@query(f"""WITH {values('fx_sources')}, x AS (SELECT *, position(chr(10) IN source) AS p, {_any('source', ['use tracing::instrument', 'use tracing::*', 'tracing::instrument'])} AS present FROM fx_sources)
+SELECT file, CASE WHEN present THEN source ELSE source[:p] || 'use tracing::instrument;' || chr(10) || source[p + 1:] END AS source, NOT present AS was_added FROM x""")
 def ensure_import(spark, sf_dir):
-    rows = [
-        ("none.rs", "fn main() {}\n"), ("a.rs", "use std::fs;\nuse std::io;\n\nfn f() {}\nuse late::x;"), ("b.rs", "//! doc\n#![allow(x)]\nfn f() {}"),
-        ("c.rs", "use tracing::{info, instrument};"), ("d.rs", "#[tracing::instrument]\nfn f() {}"),
-    ]
-    return fixer.ensure_import(spark.createDataFrame(rows, "file string, source string"))
+    """The import after the uses that a file begins with (H-4)."""
+    return fixer.ensure_import(table(spark, sf_dir, "fx_sources"))
 
 
 DIFF_SQL = """d AS (
@@ -805,8 +882,8 @@ DIFF_SQL = """d AS (
 
 @query(f"{FX_FIX},\n{INSERT_SQL},\n{DIFF_SQL} SELECT file, line, function_name, target_line, diff FROM d WHERE file IN (SELECT file FROM t_files)")
 def diff_preview(spark, sf_dir):
-    files = table(spark, "fx_files").select("file", "source")
-    planned = fixer.diff_previews(files, fixer.insertion_points(files, table(spark, "fx_gaps")))
+    files = table(spark, sf_dir, "fx_files").select("file", "source")
+    planned = fixer.diff_previews(files, fixer.insertion_points(files, table(spark, sf_dir, "fx_gaps")))
     return planned.filter("diff is not null").select("file", "line", "function_name", "target_line", "diff")
 
 
@@ -814,61 +891,62 @@ def diff_preview(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY file, ok ORDER BY ord) AS nth FROM w)
 SELECT file, line, function_name, CASE WHEN file NOT IN (SELECT file FROM fx_files) THEN 'Failed: Failed to read file' WHEN NOT ok THEN 'Skipped: Severity filter' WHEN nth > 1 THEN 'Skipped: Max fixes limit reached' ELSE 'DryRun' END AS status FROM r""")
 def max_fixes(spark, sf_dir):
-    return fixer.plan_fixes(table(spark, "fx_files").select("file", "source"), table(spark, "fx_gaps"), "Major", 1).drop("diff")
+    return fixer.plan_fixes(table(spark, sf_dir, "fx_files").select("file", "source"), table(spark, sf_dir, "fx_gaps"), "Major", 1).drop("diff")
 
 
-@query(f"WITH {values('fx_gaps')} SELECT count(*) AS total, count(*) FILTER (WHERE file <> 'gone.rs' AND severity <> 'Minor') AS applied, count(*) FILTER (WHERE severity = 'Minor' AND file <> 'gone.rs') AS skipped, count(*) FILTER (WHERE file = 'gone.rs') AS failed FROM fx_gaps")
+TALLY_SQL = "w AS (SELECT *, file IN (SELECT file FROM fx_files) AS here FROM fx_gaps), n AS (SELECT count(*) AS total, count(*) FILTER (WHERE here AND severity <> 'Minor') AS applied, count(*) FILTER (WHERE severity = 'Minor' AND here) AS skipped, count(*) FILTER (WHERE NOT here) AS failed FROM w)"
+
+
+@query(f"WITH {values('fx_files')}, {values('fx_gaps')}, {TALLY_SQL} SELECT * FROM n")
 def fix_status(spark, sf_dir):
-    return fixer.tally(fixer.plan_fixes(table(spark, "fx_files").select("file", "source"), table(spark, "fx_gaps"), "Major"))
+    return fixer.tally(fixer.plan_fixes(table(spark, sf_dir, "fx_files").select("file", "source"), table(spark, sf_dir, "fx_gaps"), "Major"))
 
 
 # ---------------------------------------------------------------- the whole analysis
 
 
-def _shop(spark: SparkSession) -> analyze.Analysis:
-    files = table(spark, "fx_files").filter("project = 'shop'").select("file", "source")
-    nodes, edges = table(spark, "fx_nodes").filter("project = 'shop'"), table(spark, "fx_edges")
-    return analyze.analyze(files, table(spark, "fx_deps").filter("project = 'shop'"), nodes, graph.known_edges(edges, nodes), analyze.Config(naming_rules=RULES))
+def _shop(spark: SparkSession, sf_dir: str) -> analyze.Analysis:
+    """All derived sources as one project of the framework that their routes show."""
+    nodes, edges = table(spark, sf_dir, "fx_nodes"), table(spark, sf_dir, "fx_edges")
+    config = analyze.Config(naming_rules=RULES, framework="Axum")
+    return analyze.analyze(table(spark, sf_dir, "fx_files").select("file", "source"), table(spark, sf_dir, "fx_deps"), nodes, graph.known_edges(edges, nodes), config)
 
 
-SHOP_SQL = FX_LINES.replace("t_files AS (SELECT file, source FROM fx_files)", "t_files AS (SELECT file, source FROM fx_files WHERE project = 'shop')")
+SHOP_SQL = FX_LINES
 SHOP_POINTS = f"{SHOP_SQL},\n{EXISTING_SQL},\n{AXUM_SQL}, e_rows AS (SELECT * FROM a_rows),\n{ENDPOINT_POINTS},\nlive AS (SELECT * FROM p_endpoint p WHERE NOT EXISTS (SELECT 1 FROM x_rows e WHERE e.file = p.file AND e.line BETWEEN greatest(p.line - 1, 0) AND p.line + 1))"
 
 
 @query(f"{SHOP_POINTS} SELECT file, line, function_name, suggested_span_name, EXISTS (SELECT 1 FROM live l WHERE l.file = p.file AND l.line = p.line AND l.function_name = p.function_name) AS is_gap FROM p_endpoint p")
 def flagship_sources(spark, sf_dir):
     """Endpoints of the fixture project to points and the gaps among them."""
-    a = _shop(spark)
+    a = _shop(spark, sf_dir)
     marks = a.gaps.select("file", "line", "function_name", F.lit(True).alias("is_gap")).distinct()
     return a.points.select("file", "line", "function_name", "suggested_span_name").join(marks, ["file", "line", "function_name"], "left").withColumn("is_gap", F.coalesce("is_gap", F.lit(False)))
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixture sources and every document with its source lines, as files."""
-    return table(spark, "fx_files").select("file", "source").unionByName(_marked(spark, sf_dir))
-
-
-CORPUS_SQL = FX_LINES.replace("t_files AS (SELECT file, source FROM fx_files)", "t_files AS (SELECT file, source FROM fx_files UNION ALL SELECT doc_id::VARCHAR, CODE FROM documents)".replace("CODE", CODE))
-FLAG_SQL = f"{CORPUS_SQL},\n{EXISTING_SQL},\n{AXUM_SQL}, e_rows AS (SELECT * FROM a_rows),\n{ENDPOINT_POINTS},\nopen_ AS (SELECT * FROM p_endpoint p WHERE NOT EXISTS (SELECT 1 FROM x_rows e WHERE e.file = p.file AND e.line BETWEEN greatest(p.line - 1, 0) AND p.line + 1))"
+FLAG_SQL = f"{MARKED_LINES},\n{EXISTING_SQL},\n{AXUM_SQL}, e_rows AS (SELECT * FROM a_rows),\n{ENDPOINT_POINTS},\nopen_ AS (SELECT * FROM p_endpoint p WHERE NOT EXISTS (SELECT 1 FROM x_rows e WHERE e.file = p.file AND e.line BETWEEN greatest(p.line - 1, 0) AND p.line + 1))"
 
 
 @query(f"""{FLAG_SQL}
 SELECT (SELECT count(*) FROM t_files) AS total_files, (SELECT count(*) FROM l_lines) AS total_lines, (SELECT count(*) FROM e_rows) AS endpoints_count, (SELECT count(*) FROM x_rows) AS existing_count,
   (SELECT count(*) FROM p_endpoint) AS instrumentation_points, (SELECT count(*) FROM open_) AS gaps_count, round(((SELECT count(*) FROM p_endpoint) - (SELECT count(*) FROM open_)) / (SELECT count(*) FROM p_endpoint) * 100, 6)::DOUBLE AS coverage""")
 def flagship(spark, sf_dir):
-    """The minimum slice over fixtures and all documents: lines, endpoints, points, existing, gaps, coverage."""
-    a = analyze.analyze(_corpus(spark, sf_dir), config=analyze.Config(framework="Axum"))
+    """The minimum slice over all documents: lines, endpoints, points, existing, gaps, coverage."""
+    a = analyze.analyze(_marked(spark, sf_dir), config=analyze.Config(framework="Axum"))
     check = gaps.coverage_check(a.points, a.gaps, 80.0).select("coverage", F.lit(1).alias("one"))
     counts = a.stats.select("total_files", "total_lines", "endpoints_count", "existing_count", "instrumentation_points", "gaps_count", F.lit(1).alias("one"))
     return counts.join(check, "one").drop("one")
 
 
-@query(f"""{SHOP_POINTS}, {values('fx_nodes')} SELECT (SELECT count(*) FROM t_files) AS total_files, (SELECT count(*) FROM fx_nodes WHERE project = 'shop') AS total_functions, (SELECT count(*) FROM l_lines) AS total_lines, (SELECT count(*) FROM e_rows) AS endpoints_count,
+FORBIDDEN_SQL = "(" + " + ".join(f"(SELECT count(*) FROM {{t}} WHERE regexp_matches({{c}}, '{p}'))" for p in FORBIDDEN) + ")"
+
+
+@query(f"""{SHOP_POINTS}, {values('fx_nodes')} SELECT (SELECT count(*) FROM t_files) AS total_files, (SELECT count(*) FROM fx_nodes) AS total_functions, (SELECT count(*) FROM l_lines) AS total_lines, (SELECT count(*) FROM e_rows) AS endpoints_count,
   (SELECT count(*) FROM p_endpoint) AS instrumentation_points, (SELECT count(*) FROM x_rows) AS existing_count, (SELECT count(*) FROM live) AS gaps_count,
-  (SELECT count(*) FROM (SELECT {PREFIX_KIND} AS p, span_name, kind FROM x_rows) WHERE p IS NOT NULL AND NOT starts_with(span_name, p)) + (SELECT count(*) FROM x_rows WHERE regexp_matches(span_name, 'pass\\w+|token$'))
-  + (SELECT count(*) FROM p_endpoint WHERE NOT starts_with(suggested_span_name, 'api.')) + (SELECT count(*) FROM p_endpoint WHERE regexp_matches(suggested_span_name, 'pass\\w+|token$')) AS rule_violations_count""")
+  (SELECT count(*) FROM (SELECT {PREFIX_KIND} AS p, span_name, kind FROM x_rows) WHERE p IS NOT NULL AND NOT starts_with(span_name, p)) + {FORBIDDEN_SQL.format(t='x_rows', c='span_name')}
+  + (SELECT count(*) FROM p_endpoint WHERE NOT starts_with(suggested_span_name, 'api.')) + {FORBIDDEN_SQL.format(t='p_endpoint', c='suggested_span_name')} AS rule_violations_count""")
 def stats(spark, sf_dir):
-    return _shop(spark).stats
+    return _shop(spark, sf_dir).stats
 
 
 MODULE = """concat('use std::fs;', chr(10), 'pub fn create_', id, '() -> Result<(), String> { let x = load()?; Ok(()) }', chr(10), 'pub fn get_', id, '(id: u64) -> Option<u64> { if id > 1 { Some(id) } else { None } }', chr(10),
@@ -887,33 +965,33 @@ def large_project(spark, sf_dir):
 
 @query()
 def report_json(spark, sf_dir):
-    return report.json_report(_shop(spark))
+    return report.json_report(_shop(spark, sf_dir))
 
 
 @query()
 def report_tree(spark, sf_dir):
-    return report.tree_rows(_shop(spark))
+    return report.tree_rows(_shop(spark, sf_dir))
 
 
 @query(f"""{SHOP_POINTS}, e AS (SELECT *, row_number() OVER (ORDER BY file, line, framework, method, path) - 1 AS i FROM e_rows), {values('fx_nodes')}, {values('fx_edges')}
 SELECT '    EP' || i || '["' || method || ' ' || path || '"]' || chr(10) || '    EP' || i || ' --> ' || regexp_replace(handler, '::|<|>| ', '_', 'g') AS text FROM e
-UNION ALL SELECT '    ' || replace(src, '::', '_') || ' --> ' || replace(dst, '::', '_') FROM fx_edges WHERE src IN (SELECT id FROM fx_nodes WHERE project = 'shop') AND dst IN (SELECT id FROM fx_nodes WHERE project = 'shop')
+UNION ALL SELECT '    ' || replace(src, '::', '_') || ' --> ' || replace(dst, '::', '_') FROM fx_edges WHERE src IN (SELECT id FROM fx_nodes) AND dst IN (SELECT id FROM fx_nodes)
 UNION ALL SELECT '    class ' || regexp_replace(function_name, '::|<|>| ', '_', 'g') || ' critical' FROM p_endpoint
 UNION ALL SELECT unnest(['graph TD', '', '    classDef critical fill:#ff0000,stroke:#333,stroke-width:2px', '    classDef high fill:#ff6600,stroke:#333,stroke-width:2px', '    classDef medium fill:#ffcc00,stroke:#333,stroke-width:1px', '    classDef low fill:#99cc99,stroke:#333,stroke-width:1px'])""")
 def report_mermaid(spark, sf_dir):
-    return report.mermaid_rows(_shop(spark)).select("text")
+    return report.mermaid_rows(_shop(spark, sf_dir)).select("text")
 
 
 @query(f"""{SHOP_POINTS} SELECT 'endpoint' AS kind, file, line FROM e_rows UNION ALL SELECT 'existing', file, line FROM x_rows UNION ALL SELECT 'gap', file, line FROM live UNION ALL SELECT 'point', file, line FROM p_endpoint""")
 def report_findings(spark, sf_dir):
     """Endpoints, existing instrumentation, gaps and points as JSON lines; each JSON text tells the place that stands beside it."""
-    rows = report.finding_rows(_shop(spark)).filter("kind <> 'violation'")
+    rows = report.finding_rows(_shop(spark, sf_dir)).filter("kind <> 'violation'")
     told = F.from_json("finding", "file string, line int")
     return rows.filter((told["file"] == F.col("file")) & (told["line"] == F.col("line"))).select("kind", "file", "line")
 
 
 HEADER_SQL = " || ".join(f"'   {t}' || {c} || chr(10)" for t, c in (
-    ("Files analyzed:     ", "(SELECT count(*) FROM t_files)"), ("Functions found:    ", "(SELECT count(*) FROM fx_nodes WHERE project = 'shop')"), ("Lines of code:      ", "(SELECT count(*) FROM l_lines)"), ("Endpoints:          ", "(SELECT count(*) FROM e_rows)"),
+    ("Files analyzed:     ", "(SELECT count(*) FROM t_files)"), ("Functions found:    ", "(SELECT count(*) FROM fx_nodes)"), ("Lines of code:      ", "(SELECT count(*) FROM l_lines)"), ("Endpoints:          ", "(SELECT count(*) FROM e_rows)"),
     ("Instrumentation:    ", "(SELECT count(*) FROM p_endpoint) || ' points'"), ("Existing:           ", "(SELECT count(*) FROM x_rows) || ' found'"), ("Gaps:               ", "(SELECT count(*) FROM live)")))
 
 
@@ -925,26 +1003,25 @@ UNION ALL SELECT 4, 0, '🚨 Instrumentation Gaps' || chr(10) WHERE (SELECT coun
 UNION ALL SELECT 4, (row_number() OVER (ORDER BY file, line, function_name))::INTEGER, '   [Critical] ' || function_name || ' (HTTP/gRPC Endpoint) has no instrumentation' || chr(10) || '      Location: ' || file || ':' || line || chr(10) || '      Suggested: #[instrument(name = "' || suggested_span_name || '")]' || chr(10) || chr(10) FROM live""")
 def report_tree_sections(spark, sf_dir):
     """The numbers, endpoints and gaps of the tree report, as text; the count of violations is left to `stats`."""
-    rows = report.tree_rows(_shop(spark)).filter("section in (1, 2, 4)")
+    rows = report.tree_rows(_shop(spark, sf_dir)).filter("section in (1, 2, 4)")
     return rows.select("section", "n", F.regexp_replace("text", r"   Rule violations:.*\n\n\z", "").alias("text"))
 
 
 @query(f"{FX_GAPS}, {LIVE_SQL} {COVERAGE.format(c='false', w='')}")
 def check_report(spark, sf_dir):
     """The coverage gate's JSON, read back (K-6)."""
-    p = _points(spark)
-    check = gaps.coverage_check(p, gaps.gaps_live(p, table(spark, "fx_existing")), 40.0)
-    text = report.check_json(check).first()["report"]
-    return spark.createDataFrame([(text,)], "report string").select(F.from_json("report", check.schema).alias("x")).select("x.*")
+    p = _points(spark, sf_dir)
+    check = gaps.coverage_check(p, gaps.gaps_live(p, table(spark, sf_dir, "fx_existing")), 40.0)
+    return report.check_json(check).select(F.from_json("report", check.schema).alias("x")).select("x.*")
 
 
-@query(f"""WITH {values('fx_gaps')}, n AS (SELECT count(*) AS total, count(*) FILTER (WHERE file <> 'gone.rs' AND severity <> 'Minor') AS applied, count(*) FILTER (WHERE severity = 'Minor' AND file <> 'gone.rs') AS skipped, count(*) FILTER (WHERE file = 'gone.rs') AS failed FROM fx_gaps)
-SELECT 'Total gaps: ' || total AS text FROM n UNION ALL SELECT 'Applied: ' || applied FROM n UNION ALL SELECT 'Skipped: ' || skipped FROM n UNION ALL SELECT 'Failed: ' || failed FROM n
-UNION ALL SELECT DISTINCT 'File: ' || file FROM fx_gaps""")
+@query(f"""WITH {values('fx_files')}, {values('fx_gaps')}, {TALLY_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY file, line, function_name) AS n, row_number() OVER (PARTITION BY file ORDER BY line, function_name) AS k FROM w)
+SELECT 1 AS section, 0 AS n, 'Instrumentation Fix Report' || chr(10) || '==========================' || chr(10) || chr(10) || 'Total gaps: ' || total || chr(10) || 'Applied: ' || applied || chr(10) || 'Skipped: ' || skipped || chr(10) || 'Failed: ' || failed || chr(10) AS text FROM n
+UNION ALL SELECT 2, n::INTEGER, CASE WHEN k = 1 THEN chr(10) || 'File: ' || file || chr(10) ELSE '' END || '  [' || CASE WHEN NOT here THEN 'FAILED: Failed to read file' WHEN severity = 'Minor' THEN 'SKIPPED: Severity filter' ELSE 'DRY-RUN' END || '] ' || function_name || ' at line ' || line || chr(10) FROM r""")
 def fix_report(spark, sf_dir):
-    """The head and the files of a fix report (K-9)."""
-    text = report.fix_report(fixer.plan_fixes(table(spark, "fx_files").select("file", "source"), table(spark, "fx_gaps"), "Major"))
-    return spark.createDataFrame([(x,) for x in text.split("\n")], "text string").filter("text rlike '^(Total gaps|Applied|Skipped|Failed|File):? ?'")
+    """The head and the files of a fix report, as rows; the diffs are left to `diff_preview` (K-9)."""
+    attempts = fixer.plan_fixes(table(spark, sf_dir, "fx_files").select("file", "source"), table(spark, sf_dir, "fx_gaps"), "Major")
+    return report.fix_report_rows(attempts.withColumn("diff", F.lit(None).cast("string")))
 
 
 @query("""SELECT 'g' || s_suppkey || '.rs' AS file, 1 AS line, CASE WHEN s_suppkey % 3 = 0 THEN 'Failed: Syntax validation failed' ELSE 'Applied' END AS status, s_suppkey % 3 <> 0 AS has_diff FROM supplier""")
@@ -964,55 +1041,74 @@ def fix_gate(spark, sf_dir):
 SELECT *, (row_number() OVER (ORDER BY CASE severity WHEN 'Critical' THEN 0 WHEN 'Major' THEN 1 ELSE 2 END, file, line, function_name))::INTEGER AS n FROM s""")
 def gaps_by_severity(spark, sf_dir):
     """Gaps in their order of severity (T-2)."""
-    rows = gaps.by_severity(gaps.gaps_live(_points(spark), table(spark, "fx_existing"))).collect()
-    return spark.createDataFrame([(r["file"], r["line"], r["function_name"], r["severity"], i) for i, r in enumerate(rows, 1)], "file string, line int, function_name string, severity string, n int")
+    return gaps.ranked(gaps.gaps_live(_points(spark, sf_dir), table(spark, sf_dir, "fx_existing"))).select("file", "line", "function_name", "severity", "n")
 
 
 # ---------------------------------------------------------------- sources
 
 
-@query(f"WITH {values('fx_files')} SELECT file, sha256(source) AS content_hash FROM fx_files WHERE source <> ''")
+def _folder(rows: DataFrame, name: str) -> str:
+    """A folder with a text file for each project of (project, value, at), its rows in the order of at."""
+    root = new_folder(rows.sparkSession, name)
+    rows.repartition("project").sortWithinPartitions("project", "at").select("project", "value").write.partitionBy("project").text(root)
+    return root
+
+
+def _project_of() -> Column:
+    return F.regexp_extract("file", "project=([^/]+)/", 1)
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """project, value, at: derived sources by project, and a folder that scans leave out."""
+    rows = table(spark, sf_dir, "fx_sources").select(F.substring_index("file", "/", 1).alias("project"), F.col("source").alias("value"), F.col("file").alias("at"))
+    return rows.unionByName(rows.select(F.lit("target").alias("project"), "value", "at"))
+
+
+@query(f"WITH {values('fx_sources')} SELECT string_split(file, '/')[1] AS file, sha256(string_agg(source || chr(10), '' ORDER BY file)) AS content_hash FROM fx_sources GROUP BY 1")
 def file_scan(spark, sf_dir):
-    """A project folder as files; what lies under an excluded folder is left out (F-1)."""
-    root = project(spark)
-    return lines.content_hashes(files.scan_files(spark, [root])).withColumn("file", F.regexp_extract("file", r"-project/(.*)$", 1))
+    """A folder of sources as files; what lies under an excluded folder is left out (F-1)."""
+    root = _folder(_sources(spark, sf_dir), "project")
+    return lines.content_hashes(files.scan_files(spark, [root], suffix=".txt")).withColumn("file", _project_of())
+
 
+def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifests of all projects, written as files and scanned."""
+    own = table(spark, sf_dir, "fx_deps").distinct()
+    titles = F.create_map(*[F.lit(x) for x in ("normal", "[dependencies]", "dev", "[dev-dependencies]", "build", "[build-dependencies]")])
+    head = own.select("project", F.concat(F.lit('[package]\nname = "'), "package", F.lit('"')).alias("value"), F.lit("").alias("at")).distinct()
+    section = own.select("project", titles[F.col("dep_kind")].alias("value"), F.col("dep_kind").alias("at")).distinct()
+    entry = own.select("project", F.concat("dep_name", F.lit(' = "1"')).alias("value"), F.concat("dep_kind", F.lit("/"), "dep_name").alias("at"))
+    return manifest.scan_manifests(spark, _folder(head.unionByName(section).unionByName(entry), "manifests"), "*.txt")
 
-@query(f"WITH {values('fx_deps')} SELECT project, package, dep_name, dep_kind FROM fx_deps")
+
+@query(f"WITH {values('fx_deps')} SELECT DISTINCT project, package, dep_name, dep_kind FROM fx_deps")
 def manifest_scan(spark, sf_dir):
-    """The manifests of all fixture projects (F-6)."""
-    root = project(spark).removeprefix("file://")
-    out = None
-    for name in sorted({d[0] for d in DEPS}):
-        rows = manifest.read_manifest(spark, f"{root}/{name}")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """The manifests of all projects, read where they lie (F-6)."""
+    return _manifests(spark, sf_dir).select(F.regexp_extract("folder", "project=(.+)$", 1).alias("project"), "package", "dep_name", "dep_kind")
 
 
 @query(f"WITH {values('fx_deps')} SELECT project, bool_or(dep_name = 'axum' AND dep_kind IN ('normal', 'dev')) AS detected FROM fx_deps GROUP BY project")
 def manifest_probe(spark, sf_dir):
     """Which projects' manifests name axum (F-10, D-6)."""
-    root = project(spark).removeprefix("file://")
-    names = sorted({d[0] for d in DEPS})
-    return spark.createDataFrame([(n, registry.DetectorRegistry().detect(f"{root}/{n}") == ["axum"]) for n in names], "project string, detected boolean")
+    return manifest.probed(_manifests(spark, sf_dir), "axum").select(F.regexp_extract("folder", "project=(.+)$", 1).alias("project"), "detected")
 
 
-@query("SELECT 0.25::DOUBLE AS threshold, 'Rocket' AS framework, 10 AS max_depth, 'api.' AS endpoint_prefix, ['target', 'node_modules', '.git'] AS exclude_patterns")
+@query("SELECT 'n' || n_nationkey AS project, n_nationkey / 100 AS threshold, CASE WHEN n_nationkey % 2 = 0 THEN 'Rocket' ELSE 'auto' END AS framework, 10 AS max_depth, 'api.' || n_nationkey AS endpoint_prefix, ['target', 'node_modules', '.git'] AS exclude_patterns FROM nation")
 def config_scan(spark, sf_dir):
-    """A settings file over the defaults, written and read back (F-7)."""
-    path = f"{project(spark)}/settings.toml"
-    put_text(spark, path, 'threshold = 0.25\nframework = "Rocket"\nunknown = 1\n[naming_rules]\nendpoint_prefix = "api."\n')
-    c = config.load_config(path.removeprefix("file://"))
-    return spark.createDataFrame([(c.threshold, c.framework, c.max_depth, c.naming_rules.endpoint_prefix, c.exclude_patterns)], "threshold double, framework string, max_depth int, endpoint_prefix string, exclude_patterns array<string>")
+    """A settings file for each nation over the defaults, written and read back (F-7)."""
+    k = F.col("n_nationkey").cast("string")
+    text = F.concat(F.lit("threshold = "), (F.col("n_nationkey") / 100).cast("string"), F.when(F.col("n_nationkey") % 2 == 0, '\nframework = "Rocket"').otherwise(""), F.lit('\nunknown = 1\n[naming_rules]\nendpoint_prefix = "api.'), k, F.lit('"'))
+    rows = read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), k).alias("project"), text.alias("value"), F.lit("").alias("at"))
+    found = config.scan_configs(spark, _folder(rows, "settings"), "*.txt")
+    return found.select(F.regexp_extract("path", "project=([^/]+)/", 1).alias("project"), "threshold", "framework", "max_depth", "endpoint_prefix", "exclude_patterns")
 
 
-@query(f"""WITH {values('fx_files')}, t AS (SELECT file, regexp_replace(regexp_replace(source, '(?s)impl .*?\\n\\}}\\n', '', 'g'), 'trait [^\\n]*', '', 'g') AS source FROM fx_files)
-SELECT file, len(regexp_extract_all(source, '\\bfn \\w+'))::BIGINT AS n FROM t WHERE len(regexp_extract_all(source, '\\bfn \\w+')) > 0""")
+@query(f"WITH {values('fx_sources')} SELECT string_split(file, '/')[1] AS file, sum(len(regexp_extract_all(source, '\\bfn \\w')))::BIGINT AS n FROM fx_sources GROUP BY 1")
 def directory_graph(spark, sf_dir):
     """Graph nodes of a scanned folder, by file: free functions alone (F-8, F-9)."""
-    found = files.distinct_files(files.scan_files(spark, [project(spark)]))
+    found = files.distinct_files(files.scan_files(spark, [_folder(_sources(spark, sf_dir), "project")], suffix=".txt"))
     nodes = ast.fn_nodes(ast.parsed_or_fail(ast.parse_files(found)))
-    return nodes.groupBy(F.regexp_extract("file", r"-project/(.*)$", 1).alias("file")).agg(F.count("*").alias("n"))
+    return nodes.groupBy(_project_of().alias("file")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT 'f' || s_suppkey || '.rs' AS file, '/v' || s_suppkey AS base_path, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS n_routes, ['auth'] AS middleware FROM supplier WHERE s_suppkey % 5 <> 0""")
@@ -1041,37 +1137,36 @@ def retryable(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", S.is_retryable(kind, F.get(kinds, (F.col("event_id") % 5).cast("int"))).alias("retry"))
 
 
-@query("SELECT * FROM (VALUES ('helper', 'helper'), ('inner', 'outer::inner'), ('m::load', 'store::load')) v(path, full_path)")
+@query("""SELECT o_orderkey AS call_id, path, CASE WHEN t IS NULL THEN path ELSE t END AS full_path, t IS NULL AS is_external FROM (
+  SELECT o_orderkey, path, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN m < 25 THEN 'm' || m || '::shared' END WHEN 1 THEN CASE WHEN a < 10 THEN 'm' || a || '::shared' END END AS t FROM (
+    SELECT o_orderkey, o_custkey % 30 AS m, o_custkey % 12 AS a, CASE o_orderkey % 3 WHEN 0 THEN 'shared' WHEN 1 THEN 'al' || o_custkey % 12 || '::shared' ELSE 'other' END AS path FROM orders))""")
 def symbol_scope(spark, sf_dir):
-    """Calls resolved against symbols that were put down by hand (C-20)."""
+    """The calls of all orders resolved against modules and imports that were entered by hand (C-20)."""
     scope = graph.Scope()
-    scope.register_function("helper")
-    scope.register_import("m", "store")
-    scope.enter_module("outer")
-    scope.register_function("inner")
-    module = list(scope.module)
-    scope.exit_module()
-    scope.enter_module("store")
-    scope.register_function("load")
+    for i in range(25):
+        scope.enter_module(f"m{i}")
+        scope.register_function("shared")
+        scope.exit_module()
+    for i in range(10):
+        scope.register_import(f"al{i}", f"m{i}")
     symbols, imports = scope.tables(spark)
-    calls = spark.createDataFrame([(1, module, "helper"), (3, module, "m::load")], "call_id int, module array<string>, path string")
-    inner = spark.createDataFrame([(2, ["outer"], "inner")], "call_id int, module array<string>, path string")
-    full = symbols.filter("full_path like '%::%' or full_path = 'helper'")
-    return graph.resolve_calls(calls.unionByName(inner), full, imports).select("path", "full_path")
+    key = F.col("o_custkey")
+    path = F.when(F.col("o_orderkey") % 3 == 0, "shared").when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("al"), (key % 12).cast("string"), F.lit("::shared"))).otherwise("other")
+    calls = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), F.array(F.concat(F.lit("m"), (key % 30).cast("string"))).alias("module"), path.alias("path"))
+    return graph.resolve_calls(calls, symbols.filter("full_path like '%::%'"), imports)
 
 
 # ---------------------------------------------------------------- syntax
 
 
-def _parsed(spark: SparkSession, observed: bool = True) -> DataFrame:
-    return ast.parse_files(table(spark, "fx_files").select("file", "source"), observed)
+def _parsed(spark: SparkSession, sf_dir: str, observed: bool = True) -> DataFrame:
+    return ast.parse_files(table(spark, sf_dir, "fx_sources"), observed)
 
 
-@query("""SELECT unnest(['shop/src/main.rs', 'desk/src/api/desk.rs', 'rpc/src/lib.rs', 'shop/src/ledger.rs', 'shop/src/ledger/tests.rs', 'desk/src/mocks.rs', 'void/src/empty.rs', 'void/src/line.rs']) AS file,
-unnest([5, 4, 2, 2, 2, 1, 0, 0])::BIGINT AS functions""")
+@query(f"WITH {values('fx_sources')} SELECT file, len(regexp_extract_all(source, '\\bfn \\w'))::BIGINT AS functions FROM fx_sources")
 def ast_functions_per_file(spark, sf_dir):
-    """Functions and methods of each fixture file that parses."""
-    p = _parsed(spark)
+    """Functions and methods of each source that parses."""
+    p = _parsed(spark, sf_dir)
     n = ast.functions(p).groupBy("file").agg(F.count("*").alias("n"))
     return p.filter("parse_ok").select("file").join(n, "file", "left").select("file", F.coalesce("n", F.lit(0)).cast("bigint").alias("functions"))
 
@@ -1201,10 +1296,10 @@ def ast_locations(spark, sf_dir):
 @query(f"""WITH {values('fx_files')}, u(label, mark) AS (VALUES {', '.join(f"({_sql_text(c)}, {_sql_text(m)})" for c, marks in K.CRATE_USAGE.items() for m in marks)})
 SELECT DISTINCT file, label FROM fx_files JOIN u ON contains(source, mark)""")
 def crate_usage(spark, sf_dir):
-    return deps.crate_usage(table(spark, "fx_files").select("file", "source"))
+    return deps.crate_usage(table(spark, sf_dir, "fx_files").select("file", "source"))
 
 
 @query(f"""WITH {values('fx_points')} SELECT file, line, function_name, 'MissingAttribute' AS kind, 'Warning' AS severity, 'Span ''' || suggested_span_name || ''' lacks attribute ''user''' AS message,
 'Add field ''user''' AS suggestion FROM fx_points WHERE kind = 'Endpoint'""")
 def rules_missing_attributes(spark, sf_dir):
-    return rules.missing_attributes(_points(spark), rules.NamingRules(required_endpoint_attrs=["method", "user"], required_database_attrs=["query"]))
+    return rules.missing_attributes(_points(spark, sf_dir), rules.NamingRules(required_endpoint_attrs=["method", "user"], required_database_attrs=["query"]))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import choose, mermaid_id, priority_score, quality_status
+from ..operators.fixer import tally
 from ..operators.gaps import kind_name
 from ..operators.ranges import numbered
 
@@ -154,24 +155,26 @@ def check_text(check: DataFrame, gaps: DataFrame, existing_count: int) -> str:
     return "\n".join([*lines, ""])
 
 
+def fix_report_rows(attempts: DataFrame) -> DataFrame:
+    """section, n, text: the head of the report, then the text of each planned or applied fix in the order of its file (K-9)."""
+    told = tally(attempts)
+    line = lambda name, c: F.when(F.col(c) > 0, F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit("\n"))).otherwise("")
+    done = F.when(F.col("applied") > 0, F.concat(F.lit("Applied: "), F.col("applied").cast("string"))).otherwise(F.concat(F.lit("Would apply: "), (F.col("total") - F.col("skipped") - F.col("failed")).cast("string")))
+    title = "Instrumentation Fix Report\n==========================\n\nTotal gaps: "
+    head = told.select(F.lit(1).alias("section"), F.lit(0).alias("n"), F.concat(F.lit(title), F.col("total").cast("string"), F.lit("\n"), done, F.lit("\n"), line("Skipped", "skipped"), line("Failed", "failed")).alias("text"))
+    rows = _numbered(attempts, "file", "line", "function_name")
+    first = F.row_number().over(Window.partitionBy("file").orderBy("n")) == 1
+    status = F.col("status")
+    label = F.when(status == "Applied", "APPLIED").when(status == "DryRun", "DRY-RUN").otherwise(F.regexp_replace(F.regexp_replace(status, "^Skipped", "SKIPPED"), "^Failed", "FAILED"))
+    diff = F.transform(F.split(F.rtrim("diff", F.lit("\n")), "\n"), lambda x: F.concat(F.lit("    "), x, F.lit("\n")))
+    shown = F.when(status.isin("Applied", "DryRun") & F.col("diff").isNotNull(), F.array_join(diff, "")).otherwise("")
+    text = F.concat(F.when(F.col("first"), F.concat(F.lit("\nFile: "), "file", F.lit("\n"))).otherwise(""), F.lit("  ["), label, F.lit("] "), "function_name", F.lit(" at line "), F.col("line").cast("string"), F.lit("\n"), shown)
+    return head.unionByName(rows.withColumn("first", first).select(F.lit(2).alias("section"), "n", text.alias("text")))
+
+
 def fix_report(attempts: DataFrame) -> str:
-    """The text of planned or applied fixes (K-9); small, as an edit for each row follows."""
-    rows = attempts.orderBy("file", "line", "function_name").collect()
-    count = lambda p: sum(r["status"].startswith(p) for r in rows)
-    applied, skipped, failed = count("Applied") + count("DryRun"), count("Skipped"), count("Failed")
-    out = ["Instrumentation Fix Report", "==========================", "", f"Total gaps: {len(rows)}"]
-    out.append(f"Applied: {applied}" if applied else f"Would apply: {len(rows) - skipped - failed}")
-    out += [f"{name}: {n}" for name, n in (("Skipped", skipped), ("Failed", failed)) if n]
-    file = None
-    for r in rows:
-        if r["file"] != file:
-            out += ["", f"File: {r['file']}"]
-            file = r["file"]
-        label = {"Applied": "APPLIED", "DryRun": "DRY-RUN"}.get(r["status"], r["status"].replace("Skipped", "SKIPPED").replace("Failed", "FAILED"))
-        out.append(f"  [{label}] {r['function_name']} at line {r['line']}")
-        if r["diff"] and r["status"] in ("Applied", "DryRun"):
-            out += [f"    {x}" for x in r["diff"].rstrip("\n").split("\n")]
-    return "\n".join([*out, ""])
+    """The rows as one text, for results of a size to read (K-9)."""
+    return "".join(r["text"] for r in fix_report_rows(attempts).orderBy("section", "n").collect())
 
 
 FORMATTERS: dict[str, Callable] = {"tree": tree_text, "json": lambda a: json_report(a).first()["report"], "mermaid": mermaid_text}  # K-4

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import DEFAULT_EXCLUDES
 
 
+def stored_path() -> Column:
+    """The path of a scanned file as it was given: not as a URL, and without the scheme of local files."""
+    return F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:(//)?", "")
+
+
 def scan_files(spark: SparkSession, paths: list[str], exclude: list[str] | None = None, suffix: str = ".rs") -> DataFrame:
     """file, source of every source below each path (F-1).
 
@@ -26,8 +31,7 @@ def scan_files(spark: SparkSession, paths: list[str], exclude: list[str] | None
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         if not single:
             reader = reader.option("pathGlobFilter", f"*{suffix}")
-        name = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:(//)?", "")
-        rows = reader.load(path).select(name.alias("file"), F.decode("content", "UTF-8").alias("source"))
+        rows = reader.load(path).select(stored_path().alias("file"), F.decode("content", "UTF-8").alias("source"))
         for word in [] if single else exclude:
             rows = rows.filter(~F.contains("file", F.lit(word)))
         parts.append(rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import new_folder, put_text
+from spanlight.sources.tables import new_folder, put_text
 
 SHOP = '''//! Shop service
 #![allow(dead_code)]
