@@ -1,8 +1,9 @@
 """Strongly connected components by forward and backward colours, and cycles inside them (C-14, C-15).
 
-A colour is the least label among all ids that reach an id; labels are ordered
-by a hash of the id, so that chains and rings in the order of their ids take
-few rounds.  Ids of one colour that the colour's root is reached from form a
+A colour is the least label among all ids that reach an id.  Ids with many hops
+into and out of them come first, as they are likely to lie in large components,
+then a hash of the id decides, so that chains and rings in the order of their
+ids take few rounds.  Ids of one colour that the colour's root is reached from form a
 component, the root's.  Hops between colours lie in no component and are
 dropped; what is left inside colours is coloured again.
 """
@@ -15,11 +16,15 @@ from pyspark.sql import functions as F
 from ..sources.tables import Growing, written, written_with
 from .traverse import distinct_hops, shortest_cycles
 
-LABEL = "struct<h:bigint,id:string>"
+LABEL = "struct<w:bigint,h:bigint,id:string>"
 
 
-def _label(c: str):
-    return F.struct(F.xxhash64(c).alias("h"), F.col(c).cast("string").alias("id"))
+def _labels(hops: DataFrame) -> DataFrame:
+    """id, least: the own label of every end of a hop."""
+    one = F.lit(1).cast("bigint")
+    both = hops.select(F.col("src").alias("id"), one.alias("o"), (one - 1).alias("i")).unionByName(hops.select(F.col("dst").alias("id"), (one - 1).alias("o"), one.alias("i")))
+    weight = -F.sum("o") * F.sum("i")
+    return both.groupBy("id").agg(weight.alias("w")).select("id", F.struct(F.col("w"), F.xxhash64("id").alias("h"), F.col("id")).cast(LABEL).alias("least"))
 
 
 def ends(hops: DataFrame) -> DataFrame:
@@ -30,17 +35,18 @@ def ends(hops: DataFrame) -> DataFrame:
 def least_reaching(hops: DataFrame, name: str = "colours") -> DataFrame:
     """id, least: the least label among an id and all ids that reach it, for every end of (src, dst).
 
-    A round takes the least label over incoming hops and then that of the id
-    behind the label, which doubles what a label has seen on long chains.
-    Every round is a written table; a count of changes ends the loop.
+    A round takes the least label over incoming hops and then, twice, that of
+    the id behind the label, which multiplies what a label has seen on long
+    chains.  Every round is a written table; a count of changes ends the loop.
     """
-    labels = written(ends(hops).select("id", _label("id").alias("least")), name)
+    labels = written(_labels(hops), name)
     while True:
         sent = hops.join(labels, hops["src"] == labels["id"]).select(F.col("dst").alias("id"), "least", F.lit(None).cast(LABEL).alias("own"))
-        near = labels.select("id", "least", F.col("least").alias("own")).unionByName(sent).groupBy("id").agg(F.min("least").alias("near"), F.max("own").alias("own"))
-        behind = labels.select(F.col("id").alias("b_id"), F.col("least").alias("b_least"))
-        jumped = near.join(behind, F.col("near.id") == F.col("b_id")).select("id", F.least("near", "b_least").alias("least"), "own")
-        now, told = written_with(jumped, name, changed=F.count_if(F.col("least") != F.col("own")))
+        near = labels.select("id", "least", F.col("least").alias("own")).unionByName(sent).groupBy("id").agg(F.min("least").alias("least"), F.max("own").alias("own"))
+        for n in range(2):
+            behind = labels.select(F.col("id").alias(f"id_{n}"), F.col("least").alias(f"least_{n}"))
+            near = near.join(behind, F.col("least.id") == F.col(f"id_{n}")).select("id", F.least("least", f"least_{n}").alias("least"), "own")
+        now, told = written_with(near, name, changed=F.count_if(F.col("least") != F.col("own")))
         labels = now.select("id", "least")
         if not told["changed"]:
             return labels
