@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from . import automaton
 
 Pattern = tuple[str, str, float, bool]
 
@@ -21,27 +22,13 @@ def add_pattern(patterns: list[Pattern], category: str, pattern: str, weight: fl
     return [*patterns, (category if category in known else f"framework:{category}", pattern, weight, is_regex)]
 
 
-def _texts(c: Column, pattern: str, is_regex: bool) -> Column:
-    """What a pattern matches: each occurrence of a regex, a plain text once (S-16)."""
-    if is_regex:
-        return F.regexp_extract_all(c, F.lit(pattern.replace("$", r"\z")), F.lit(0))
-    return F.when(F.contains(c, F.lit(pattern)), F.array(F.lit(pattern))).otherwise(F.array().cast("array<string>"))
-
-
-def _row(fixed: list[Column]):
-    return lambda m: F.struct(*fixed, m.alias("matched"))
-
-
 def match_patterns(texts: DataFrame, patterns: list[Pattern] | None = None) -> DataFrame:
     """doc, ord, grp, pattern, weight, matched for every match (P-4, P-5, P-9, J-13).
 
-    Patterns are literals of the plan, so that each is compiled once.
+    A regular expression counts at each occurrence, a plain text once (S-16).
+    All patterns pass a text together, see `automaton`.
     """
-    rows = []
-    for i, (group, pattern, weight, is_regex) in enumerate(K.PATTERNS if patterns is None else patterns):
-        fixed = [F.lit(i).alias("ord"), F.lit(group).alias("grp"), F.lit(pattern).alias("pattern"), F.lit(float(weight)).alias("weight")]
-        rows.append(F.transform(_texts(F.col("text"), pattern, is_regex), _row(fixed)))
-    return texts.select("doc", F.explode(F.concat(*rows)).alias("x")).select("doc", "x.*")
+    return automaton.matches(texts, K.PATTERNS if patterns is None else patterns)
 
 
 def confidence(texts: DataFrame, matches: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as S
 from ..operators import ast, classify, components, deps, endpoints, existing, fixer, functions, gaps, graph, lines, patterns, points, ranges, rules, traverse
-from ..sources import config, files, manifest
+from ..sources import config, files, manifest, splits
 from ..sources.tables import new_folder
+from ..streaming import gaps as stream_gaps
 from . import analyze, registry, report
 from .derived import table, values
 
@@ -1071,6 +1072,52 @@ def file_scan(spark, sf_dir):
     return lines.content_hashes(files.scan_files(spark, [root], suffix=".txt")).withColumn("file", _project_of())
 
 
+def _prose(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with all documents and their code, a text file for each project."""
+    rows = table(spark, sf_dir, "fx_files").select("project", F.col("source").alias("value"), F.col("file").alias("at"))
+    return _folder(rows, "texts")
+
+
+JOINED_LINES = f"WITH {values('fx_files')}, t_files AS (SELECT project AS file, string_agg(source || chr(10), '' ORDER BY file) AS source FROM fx_files GROUP BY project),\n{LINES_SQL}"
+
+
+@query(f"{JOINED_LINES} SELECT file, line, raw, text FROM l_lines")
+def line_scan_splits(spark, sf_dir):
+    """Numbered lines of large files, read in splits (F-2)."""
+    return splits.scan_text_lines(spark, _prose(spark, sf_dir), "*.txt").withColumn("file", _project_of())
+
+
+@query(f"{JOINED_LINES} SELECT file, count(*) AS line_count FROM l_lines GROUP BY file")
+def line_count_splits(spark, sf_dir):
+    """Lines of large files, counted in splits (F-5)."""
+    return splits.count_text_lines(spark, _prose(spark, sf_dir), "*.txt").select(_project_of().alias("file"), "line_count")
+
+
+@query(f"{JOINED_LINES},\n{EXISTING_SQL} SELECT file, line, ord, kind, span_name, score FROM x_rows")
+def existing_scan_splits(spark, sf_dir):
+    """Instrumentation that is there, over the split lines of large files (X-5)."""
+    return existing.scan_existing(splits.scan_text_lines(spark, _prose(spark, sf_dir), "*.txt").withColumn("file", _project_of())).drop("issues")
+
+
+#: Every event is a finding of its user's file: errors and views instrument a line, other events are points; signups take a line's instrumentation away again.
+CHANGES_SQL = """SELECT 'f' || user_id AS file, event_id AS seq, CASE WHEN event_type IN ('error', 'view', 'signup') THEN 'existing' ELSE 'point' END AS what, CAST(event_id % 40 AS INT) AS line, event_type AS name, event_type <> 'signup' AS added FROM {events}"""
+
+
+@query(f"""WITH c AS ({CHANGES_SQL.format(events='events')}),
+marks AS (SELECT *, CASE WHEN added THEN 1 ELSE -1 END AS d FROM c WHERE what = 'existing'),
+walk AS (SELECT file, line, seq, sum(d) OVER (PARTITION BY file, line ORDER BY seq) AS s FROM marks),
+floor_ AS (SELECT file, line, min(least(s, 0)) AS low, arg_max(s, seq) AS last FROM walk GROUP BY file, line),
+there AS (SELECT file, line FROM floor_ WHERE last - low > 0),
+p AS (SELECT DISTINCT file, line, name FROM c WHERE what = 'point')
+SELECT file, line, name FROM p WHERE NOT EXISTS (SELECT 1 FROM there e WHERE e.file = p.file AND e.line BETWEEN greatest(p.line - 1, 0) AND p.line + 1)""")
+def gaps_stream(spark, sf_dir):
+    """Gaps that are open after all events, kept up by a stream with state for each file (A-2, J-1)."""
+    # A pattern of paths, as a stream's source may be one file only if a pattern finds it.
+    changes = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    changes = spark.sql(CHANGES_SQL, events=changes)
+    return stream_gaps.open_gaps(stream_gaps.drained(stream_gaps.gap_events(changes)))
+
+
 def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifests of all projects, written as files and scanned."""
     own = table(spark, sf_dir, "fx_deps").distinct()
