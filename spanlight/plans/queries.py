@@ -964,13 +964,76 @@ def large_project(spark, sf_dir):
     return analyze.analyze(sources, nodes=ast.fn_nodes(ast.parse_files(sources))).stats.select("total_files", "total_functions", "total_lines")
 
 
-@query()
+#: Issues of an attribute line as (kind, message) in their order, as JSON; violations of the analysis; its eight counts.
+ISSUES_SQL = "[x for x in [" + ", ".join(
+    [f"CASE WHEN {_any('text', K.LARGE_WORDS)} AND NOT contains(text, 'skip') THEN 'MissingSkip|Large fields should use skip or skip_all' END"]
+    + [f"CASE WHEN contains(text, '{w}') AND NOT contains(text, 'skip') THEN 'SensitiveData|Sensitive field ''{w}'' should be skipped or redacted' END" for w in K.SENSITIVE_WORDS]
+    + ["CASE WHEN contains(text, 'err') AND NOT contains(text, 'err = true') AND NOT contains(text, 'err(') THEN 'NoErrorHandling|Consider adding err = true for error tracking' END"]
+) + "] if x IS NOT NULL]"
+WHOLE_SQL = f"""{SHOP_POINTS}, {values('fx_nodes')},
+i_rows AS (SELECT x.*, CASE WHEN x.ord = 1 THEN {ISSUES_SQL} ELSE [] END AS issues FROM x_rows x JOIN l_lines l USING (file, line)),
+fx_existing AS (SELECT file, line, '' AS function_name, kind, span_name FROM x_rows), fx_points AS (SELECT * FROM p_endpoint),
+v_rows AS ({V_EXISTING} UNION ALL {V_POINTS}),
+g_open AS (SELECT file, line, function_name, function_name || ' (HTTP/gRPC Endpoint) has no instrumentation' AS description, '#[instrument(name = "' || suggested_span_name || '")]' AS suggested_fix, 'Critical' AS severity FROM live),
+s_row AS (SELECT (SELECT count(*) FROM t_files) AS total_files, (SELECT count(*) FROM fx_nodes) AS total_functions, (SELECT count(*) FROM l_lines) AS total_lines, (SELECT count(*) FROM e_rows) AS endpoints_count,
+  (SELECT count(*) FROM p_endpoint) AS instrumentation_points, (SELECT count(*) FROM x_rows) AS existing_count, (SELECT count(*) FROM live) AS gaps_count, (SELECT count(*) FROM v_rows) AS rule_violations_count)"""
+
+
+def _json_sql(fields: list[tuple[str, str]]) -> str:
+    """SQL for a JSON object of named SQL expressions, in their order."""
+    return "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields) + " || '}'"
+
+
+def _js(c: str) -> str:
+    return f"coalesce(to_json({c})::VARCHAR, 'null')"
+
+
+_PLACE = _json_sql([("file", _js("file")), ("line", "line")])
+_CALLER = _json_sql([("file", _js("file")), ("function", _js("function_name")), ("line", "line")])
+_ISSUES = "'[' || array_to_string(list_transform(issues, lambda x: '{\"kind\":\"' || split_part(x, '|', 1) || '\",\"message\":\"' || split_part(x, '|', 2) || '\"}'), ',') || ']'"
+JSON_PARTS = [
+    ("endpoints", "e_rows", "file, line, framework, method, path", [("framework", _js("framework")), ("handler", _js("handler")), ("location", _PLACE), ("method", _js("method")), ("path", _js("path"))]),
+    ("existing_instrumentation", "i_rows", "file, line, ord", [("issues", _ISSUES), ("kind", _js("kind")), ("location", _PLACE), ("quality_score", "printf('%.1f', score)"), ("span_name", _js("span_name"))]),
+    ("gaps", "g_open", "file, line, function_name, description", [("description", _js("description")), ("location", _CALLER), ("severity", _js("severity")), ("suggested_fix", _js("suggested_fix"))]),
+    ("instrumentation_points", "p_endpoint", "phase, file, line, function_name", [(k, _js(c) if k != "line" else c) for k, c in (("file", "file"), ("function", "function_name"), ("kind", "kind"), ("line", "line"), ("priority", "priority"), ("reason", "reason"), ("suggested_span_name", "suggested_span_name"))]),
+    ("rule_violations", "v_rows", "file, line, kind, message", [("kind", _js("kind")), ("location", _CALLER), ("message", _js("message")), ("severity", _js("severity")), ("suggestion", _js("suggestion"))]),
+]
+STAT_NAMES = ["endpoints_count", "existing_count", "gaps_count", "instrumentation_points", "rule_violations_count", "total_files", "total_functions", "total_lines"]
+
+
+def _json_rows_sql() -> str:
+    out = [f"SELECT 6 AS section, 0 AS n, '],\"stats\":' || {_json_sql([(k, k) for k in STAT_NAMES])} || '}}' AS text FROM s_row"]
+    for i, (key, rows, order, fields) in enumerate(JSON_PARTS, 1):
+        out.append(f"SELECT {i}, 0, '{'{' if i == 1 else '],'}\"{key}\":['")
+        out.append(f"SELECT {i}, n::INTEGER, CASE WHEN n > 1 THEN ',' ELSE '' END || {_json_sql(fields)} FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS n FROM {rows})")
+    return "\nUNION ALL ".join(out)
+
+
+@query(f"{WHOLE_SQL}\n{_json_rows_sql()}")
 def report_json(spark, sf_dir):
-    return report.json_report(_shop(spark, sf_dir))
+    """The JSON report in pieces that make one document (K-2)."""
+    return report.json_rows(_shop(spark, sf_dir))
 
 
-@query()
+_AT = "'      Location: ' || file || ':' || line || chr(10)"
+_SEVERITY = "CASE severity WHEN 'Error' THEN 'ERROR' WHEN 'Warning' THEN 'WARN' ELSE 'INFO' END"
+
+
+@query(f"""{WHOLE_SQL}
+SELECT 1 AS section, 1 AS n, 'Analysis Results' || chr(10) || repeat('═', 16) || chr(10) || chr(10) || '📊 Statistics' || chr(10) || {" || ".join(f"'   {t}' || {c} || '{u}' || chr(10)" for t, c, u in (
+    ("Files analyzed:     ", "total_files", ""), ("Functions found:    ", "total_functions", ""), ("Lines of code:      ", "total_lines", ""), ("Endpoints:          ", "endpoints_count", ""), ("Instrumentation:    ", "instrumentation_points", " points"),
+    ("Existing:           ", "existing_count", " found"), ("Gaps:               ", "gaps_count", ""), ("Rule violations:    ", "rule_violations_count", "")))} || chr(10) AS text FROM s_row
+UNION ALL SELECT 2, 0, '🔗 Detected Endpoints' || chr(10)
+UNION ALL SELECT 2, n::INTEGER, '   ' || method || ' ' || path || ' → ' || handler || chr(10) || '      ' || file || ':' || line || chr(10) FROM (SELECT *, row_number() OVER (ORDER BY file, line, framework, method, path) AS n FROM e_rows)
+UNION ALL SELECT 3, 0, '🎯 Existing Instrumentation' || chr(10)
+UNION ALL SELECT 3, n::INTEGER, '   ' || CASE WHEN score >= 0.8 THEN 'OK' WHEN score >= 0.5 THEN 'WARN' ELSE 'BAD' END || ' ' || CASE kind {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.EXISTING_LABELS.items())} END || ' ' || coalesce('"' || span_name || '"', '(unnamed)') || chr(10)
+  || '      ' || file || ':' || line || chr(10) || array_to_string(list_transform(issues, lambda x: '      ⚠️  ' || split_part(x, '|', 2) || chr(10)), '') FROM (SELECT *, row_number() OVER (ORDER BY file, line, ord) AS n FROM i_rows)
+UNION ALL SELECT 4, 0, '🚨 Instrumentation Gaps' || chr(10) WHERE (SELECT count(*) FROM live) > 0
+UNION ALL SELECT 4, n::INTEGER, '   [' || severity || '] ' || description || chr(10) || {_AT} || '      Suggested: ' || suggested_fix || chr(10) || chr(10) FROM (SELECT *, row_number() OVER (ORDER BY file, line, function_name, description) AS n FROM g_open)
+UNION ALL SELECT 5, 0, '📋 Rule Violations' || chr(10) WHERE (SELECT count(*) FROM v_rows) > 0
+UNION ALL SELECT 5, n::INTEGER, '   [' || {_SEVERITY} || '] [' || CASE kind WHEN 'NamingConvention' THEN 'Naming' ELSE 'Forbidden' END || '] ' || message || chr(10) || {_AT} || '      Suggestion: ' || suggestion || chr(10) || chr(10) FROM (SELECT *, row_number() OVER (ORDER BY file, line, kind, message) AS n FROM v_rows)""")
 def report_tree(spark, sf_dir):
+    """The whole tree report, in the pieces that make its text (K-1)."""
     return report.tree_rows(_shop(spark, sf_dir))
 
 

@@ -95,18 +95,38 @@ def _listed(df: DataFrame, name: str, value: Column, *order: Column | str) -> Da
     return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda x: x["v"]).alias(name), F.lit(1).alias("one"))
 
 
-def json_report(a) -> DataFrame:
-    """One row, report: the JSON document, its keys in alphabetical order (K-2); see finding_rows for results too many for one."""
+def _json_items(a) -> list[tuple[str, DataFrame, Column, list]]:
+    """(key, rows, item, order) of the lists of the JSON report, its keys in alphabetical order."""
     c = F.col
     place = F.struct("file", "line")
     with_function = F.struct("file", c("function_name").alias("function"), "line")
-    parts = [
-        _listed(a.endpoints, "endpoints", F.struct("framework", "handler", place.alias("location"), "method", "path"), "file", "line", "framework", "method", "path"),
-        _listed(a.existing, "existing_instrumentation", F.struct("issues", "kind", place.alias("location"), c("score").alias("quality_score"), "span_name"), "file", "line", "ord"),
-        _listed(a.gaps, "gaps", F.struct("description", with_function.alias("location"), "severity", "suggested_fix"), "file", "line", "function_name", "description"),
-        _listed(a.points, "instrumentation_points", F.struct("file", c("function_name").alias("function"), "kind", "line", "priority", "reason", "suggested_span_name"), priority_score(c("priority")) * -1, "phase", "file", "line", "function_name"),
-        _listed(a.violations, "rule_violations", F.struct("kind", with_function.alias("location"), "message", "severity", "suggestion"), "file", "line", "kind", "message"),
+    return [
+        ("endpoints", a.endpoints, F.struct("framework", "handler", place.alias("location"), "method", "path"), ["file", "line", "framework", "method", "path"]),
+        ("existing_instrumentation", a.existing, F.struct("issues", "kind", place.alias("location"), c("score").alias("quality_score"), "span_name"), ["file", "line", "ord"]),
+        ("gaps", a.gaps, F.struct("description", with_function.alias("location"), "severity", "suggested_fix"), ["file", "line", "function_name", "description"]),
+        ("instrumentation_points", a.points, F.struct("file", c("function_name").alias("function"), "kind", "line", "priority", "reason", "suggested_span_name"), [priority_score(c("priority")) * -1, "phase", "file", "line", "function_name"]),
+        ("rule_violations", a.violations, F.struct("kind", with_function.alias("location"), "message", "severity", "suggestion"), ["file", "line", "kind", "message"]),
     ]
+
+
+def json_rows(a) -> DataFrame:
+    """section, n, text: pieces that make the JSON document when they are put together by section and n (K-2).
+
+    An item is one piece, so a document of any size is written in tasks
+    (`write_rows`) and no task holds a list.
+    """
+    out = a.stats.select(F.lit(6).alias("section"), F.lit(0).alias("n"), F.concat(F.lit('],"stats":'), F.to_json(F.struct(*sorted(a.stats.columns))), F.lit("}")).alias("text"))
+    for i, (key, rows, item, order) in enumerate(_json_items(a), 1):
+        one = _numbered(rows, *order)
+        text = F.concat(F.when(F.col("n") > 1, ",").otherwise(""), F.to_json(item, {"ignoreNullFields": "false"}))
+        head = a.stats.select(F.lit(i).alias("section"), F.lit(0).alias("n"), F.lit(("{" if i == 1 else "],") + f'"{key}":[').alias("text"))
+        out = out.unionByName(head).unionByName(_section(one, i, text))
+    return out
+
+
+def json_report(a) -> DataFrame:
+    """One row, report: the JSON document, its keys in alphabetical order (K-2), for results of a size to read; json_rows has any number."""
+    parts = [_listed(rows, key, item, *order) for key, rows, item, order in _json_items(a)]
     out = a.stats.select(F.struct(*sorted(a.stats.columns)).alias("stats"), F.lit(1).alias("one"))
     for p in parts:
         out = out.join(p, "one")
