@@ -61,6 +61,10 @@ def tonic_methods(lines: DataFrame) -> DataFrame:
     return found.select("file", "line", F.lit("gRPC").alias("method"), F.concat(F.lit("/"), "handler").alias("path"), "handler", F.lit("tonic").alias("framework"))
 
 
+#: One of these is in every line that the detector of a framework looks at; other frameworks' detectors look at all lines.
+MARKS = {"Axum": [".route(", "fn "], "Tonic": ["async fn "]}
+
+
 def endpoint_lines(files: DataFrame, framework: str) -> DataFrame:
     """The lines that detect_endpoints needs, of files that have a mark of the framework."""
     having = lambda marks: files.filter(contains_any(F.col("source"), marks))

@@ -34,6 +34,22 @@ def lines_with(files: DataFrame, marks: list[str]) -> DataFrame:
     return rows.select("file", "x.*")
 
 
+def cut_once(files: DataFrame, marks: list[str]) -> DataFrame:
+    """file, line_count, marked: how many lines a file has, and those that hold one of the marks, from one cut of its text.
+
+    To be written, so that every detector and the counts read what one scan found.
+    """
+    parts = files.select("file", line_array(F.col("source")).alias("parts"), contains_any(F.col("source"), marks).alias("some"))
+    both = F.transform("parts", lambda x, i: F.struct((i + 1).alias("line"), x.alias("raw"), trimmed(x).alias("text")))
+    chosen = F.when(F.col("some"), F.filter(both, lambda x: contains_any(x["raw"], marks))).otherwise(F.array().cast("array<struct<line:int,raw:string,text:string>>"))
+    return parts.select("file", F.size("parts").cast("bigint").alias("line_count"), chosen.alias("marked"))
+
+
+def marked_lines(cut: DataFrame) -> DataFrame:
+    """file, line, raw, text of what cut_once has."""
+    return cut.select("file", F.explode("marked").alias("x")).select("file", "x.*")
+
+
 def line_counts(files: DataFrame) -> DataFrame:
     """file, line_count (F-5)."""
     return files.select("file", F.size(line_array(F.col("source"))).cast("bigint").alias("line_count"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import classify, deps, endpoints, existing, gaps, graph, points, rules, traverse
-from ..operators.lines import line_counts, lines_with
+from ..operators.lines import cut_once, line_counts, lines_with, marked_lines
+from ..sources.tables import written
 
 
 @dataclass
@@ -38,21 +39,15 @@ class Analysis:
     gaps: DataFrame
     violations: DataFrame
     stats: DataFrame
-    kept: list[DataFrame] = field(default_factory=list)
-
-    def release(self) -> None:
-        """Give back what is kept in memory; the tables can still be read, at the cost of computing them again."""
-        for df in self.kept:
-            df.unpersist()
 
 
 NODE = "id string, name string, kind string, file string, line int"
 EDGE = "src string, dst string, kind string, is_conditional boolean, is_in_loop boolean"
 
 
-def run_stats(files: DataFrame, nodes: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
-    """The eight counts in one row (A-1); files and their lines are counted in one pass."""
-    counts = line_counts(files).agg(F.count("*").alias("total_files"), F.coalesce(F.sum("line_count"), F.lit(0)).alias("total_lines")).unpivot([], ["total_files", "total_lines"], "name", "n")
+def run_stats(lines: DataFrame, nodes: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """The eight counts in one row (A-1); lines: file, line_count."""
+    counts = lines.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("line_count"), F.lit(0)).alias("total_lines")).unpivot([], ["total_files", "total_lines"], "name", "n")
     for name, df in {"total_functions": nodes, **found}.items():
         counts = counts.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n"))
     return counts.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in ("total_files", "total_functions", "total_lines", *found)])
@@ -83,9 +78,15 @@ def analyze(files: DataFrame, dependencies: DataFrame | None = None, nodes: Data
         if framework == "Unknown":
             by_source = deps.framework_by_source(files.withColumn("project", F.lit("p"))).first()
             framework = by_source["framework"] if by_source else "Unknown"
-    # Narrow tables that several stages read.
-    found = endpoints.detect_endpoints(endpoints.endpoint_lines(files, framework), framework).persist()
-    there = existing.scan_existing(lines_with(files, existing.MARKS)).persist()
+    # Texts are cut once; what all stages read are the lines with marks, and the narrow tables that follow.
+    if framework in endpoints.MARKS:
+        cut = written(cut_once(files, [*existing.MARKS, *endpoints.MARKS[framework]]), "cut")
+        of_endpoints = of_existing = marked_lines(cut)
+        counts = cut.select("file", "line_count")
+    else:
+        of_endpoints, of_existing, counts = endpoints.endpoint_lines(files, framework), lines_with(files, existing.MARKS), line_counts(files)
+    found = written(endpoints.detect_endpoints(of_endpoints, framework), "endpoints")
+    there = written(existing.scan_existing(of_existing), "existing")
     context = deps.detection_context(one.unionByName(spark.createDataFrame([("p", "", "", "")], dependencies.schema)))
     matches = classify.classify_in_context(nodes.withColumn("project", F.lit("p")), context).drop("project")
     degs = graph.degrees(nodes, edges)
@@ -94,8 +95,8 @@ def analyze(files: DataFrame, dependencies: DataFrame | None = None, nodes: Data
         seeds = found.select(F.col("handler").alias("id")).distinct()
         near = traverse.reached(seeds, edges, config.max_depth).select(F.col("id").alias("function_name"))
         suggested = suggested.join(near, "function_name", "left_semi").select(*points.COLUMNS)
-    suggested = suggested.persist()
+    suggested = written(suggested, "points")
     open_ = gaps.gaps_live(suggested, there)
     broken = rules.check_all(there, suggested, config.naming_rules)
-    stats = run_stats(files, nodes, {"endpoints_count": found, "instrumentation_points": suggested, "existing_count": there, "gaps_count": open_, "rule_violations_count": broken})
-    return Analysis(files, nodes, edges, found, there, suggested, open_, broken, stats, [found, there, suggested])
+    stats = run_stats(counts, nodes, {"endpoints_count": found, "instrumentation_points": suggested, "existing_count": there, "gaps_count": open_, "rule_violations_count": broken})
+    return Analysis(files, nodes, edges, found, there, suggested, open_, broken, stats)

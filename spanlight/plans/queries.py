@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as S
-from ..operators import ast, classify, components, deps, endpoints, existing, fixer, functions, gaps, graph, lines, patterns, points, ranges, rules, traverse
+from ..operators import ast, classify, components, deps, detectors, endpoints, existing, fixer, functions, gaps, graph, lines, patterns, points, ranges, rules, traverse
 from ..sources import config, files, manifest, splits
 from ..sources.tables import new_folder
 from ..streaming import gaps as stream_gaps
@@ -1181,6 +1181,16 @@ def gaps_stream(spark, sf_dir):
     return stream_gaps.open_gaps(stream_gaps.drained(stream_gaps.gap_events(changes)))
 
 
+_SHOWN = "CASE WHEN line BETWEEN 3 AND 9 THEN 'app_' || n WHEN line = 12 THEN 'list_' || n WHEN line BETWEEN 14 AND 16 THEN 'show_' || n WHEN line = 18 THEN 'save_' || n WHEN line = 23 THEN 'test_' || n END"
+
+
+@query(f"""WITH {values('fx_sources')}, t_files AS (SELECT file, source FROM fx_sources),\n{LINES_SQL}, named AS (SELECT file, line, regexp_extract(source, 'fn app_(\\w+)', 1) AS n FROM l_lines JOIN t_files USING (file))
+SELECT file, line, CASE WHEN line BETWEEN 20 AND 24 THEN ['tests'] ELSE []::VARCHAR[] END AS module_path, {_SHOWN} AS function, CASE WHEN line BETWEEN 4 AND 9 OR line IN (15, 16) OR line BETWEEN 21 AND 24 THEN 1 ELSE 0 END AS depth FROM named""")
+def line_contexts(spark, sf_dir):
+    """The modules and the function of every line of the derived sources, by a detector from outside (W-6, V-1, V-7)."""
+    return detectors.detect(lines.scan_lines(table(spark, sf_dir, "fx_sources")), "spanlight.operators.detectors:Contexts")
+
+
 def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifests of all projects, written as files and scanned."""
     own = table(spark, sf_dir, "fx_deps").distinct()

@@ -49,7 +49,7 @@ def _settings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan_configs(spark: SparkSession, path: str, name: str = "*.toml") -> DataFrame:
-    """A row of settings for every file of that name below a path, read in tasks; what can't be parsed has the defaults and is not readable (F-7)."""
+    """A row of settings for every file of that name below a path, read in tasks; what can't be parsed has the defaults and is not readable; files of no bytes are passed over (F-7)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(path)
     return map_arrow(found.select(stored_path().alias("path"), "content"), _settings, SETTINGS)
 

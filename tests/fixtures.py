@@ -1,10 +1,9 @@
-"""Small sources and tables that queries and tests share, as Spark rows and as SQL VALUES."""
+"""Small sources and tables with corner cases, as Spark rows and as SQL VALUES, for queries that otherwise read derived tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlight.sources.tables import new_folder, put_text
 
 SHOP = '''//! Shop service
 #![allow(dead_code)]
@@ -179,25 +178,13 @@ TABLES = {
 }
 
 
-def table(spark: SparkSession, name: str) -> DataFrame:
-    schema, rows = TABLES[name]
-    return spark.createDataFrame(rows, schema)
+TABLES["fx_hops"] = TABLES["fx_edges"]
 
 
-def project(spark: SparkSession) -> str:
-    """A folder with the fixture sources, a manifest for each project and a generated folder that scans leave out."""
-    root = new_folder(spark, "project")
-    for _, file, source in FILES:
-        put_text(spark, f"{root}/{file}", source)
-    put_text(spark, f"{root}/shop/target/made.rs", "fn made() {}")
-    sections = {"normal": "dependencies", "dev": "dev-dependencies", "build": "build-dependencies"}
-    for name in sorted({d[0] for d in DEPS}):
-        text = f'[package]\nname = "{name}"\n'
-        for kind, title in sections.items():
-            own = [d for p, _, d, k in DEPS if p == name and k == kind]
-            text += f"[{title}]\n" + "".join(f'{d} = "1"\n' for d in own)
-        put_text(spark, f"{root}/{name}/Cargo.toml", text)
-    return root
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """In the place of `derived.table`."""
+    schema, rows = TABLES[name]
+    return spark.createDataFrame(rows, schema)
 
 
 def _literal(v) -> str:
