@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import os
-import shutil
 import sys
 
 from pyspark.sql import SparkSession
@@ -14,6 +13,7 @@ from ..operators import ast, fixer, gaps, graph
 from ..sources.config import load_config, save_config
 from ..sources.files import scan_files
 from ..sources.manifest import read_manifest
+from ..sources.rewrite import rewrite_files
 from ..sources.tables import checkpointed
 from . import report
 from .analyze import Analysis, Config, analyze
@@ -39,15 +39,6 @@ def analyse_paths(spark: SparkSession, paths: list[str], config: Config, trace:
     return analyze(good, read_manifest(spark, paths[0]), nodes, edges, config)
 
 
-def backup(path: str) -> str:
-    """Copy beside the file (K-8)."""
-    return shutil.copy2(path, path + ".bak")
-
-
-def restore(path: str) -> None:
-    shutil.copy2(path + ".bak", path)
-
-
 def prepare_fixes(a: Analysis, chosen) -> tuple:
     """(fixed files with parse_ok and parse_error, the same without their sources), as written tables (H-6)."""
     fixed = checkpointed(fixer.fixed_files(a.files, chosen))
@@ -56,12 +47,8 @@ def prepare_fixes(a: Analysis, chosen) -> tuple:
 
 
 def write_fixes(fixed, parsed, keep: bool) -> None:
-    """Write the fixed sources that parse (K-7); the driver writes, a file at a time."""
-    for row in fixed.join(parsed.filter("parse_ok"), "file", "left_semi").toLocalIterator():
-        if keep:
-            backup(row["file"])
-        with open(row["file"], "w", encoding="utf-8") as f:
-            f.write(row["source"])
+    """Write the fixed sources that parse, in tasks (K-7, K-8)."""
+    checkpointed(rewrite_files(fixed.join(parsed.filter("parse_ok"), "file", "left_semi"), keep))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as S
 from ..operators import ast, classify, components, deps, detectors, endpoints, existing, fixer, functions, gaps, graph, lines, patterns, points, ranges, rules, traverse
-from ..sources import config, files, manifest, splits
-from ..sources.tables import new_folder
+from ..sources import config, files, manifest, rewrite, splits
+from ..sources.tables import new_folder, written
 from ..streaming import gaps as stream_gaps
 from . import analyze, registry, report
 from .derived import table, values
@@ -875,6 +875,24 @@ def ensure_import(spark, sf_dir):
     return fixer.ensure_import(table(spark, sf_dir, "fx_sources"))
 
 
+@query(f"""{FX_FIX},\n{INSERT_SQL}, fixed AS ({APPLY_SQL.replace('old AS', 'WITH old AS', 1)})
+SELECT file, sha256(f.source) AS content_hash, sha256(t.source) AS backup_hash, true AS is_restored FROM fixed f JOIN t_files t USING (file)""")
+def fix_write(spark, sf_dir):
+    """Fixed sources written over the files of a folder, with backups that are put back in the end (K-7, K-8)."""
+    root = new_folder(spark, "sources").removeprefix("file://")
+    texts = table(spark, sf_dir, "fx_files").select("file", "source")
+    at = lambda df: df.withColumn("file", F.concat(F.lit(root + "/"), "file"))
+    read_back = lambda suffix: lines.content_hashes(files.scan_files(spark, [root], suffix=suffix)).withColumn("file", F.regexp_replace(F.substr("file", F.lit(len(root) + 2)), r"\.bak$", ""))
+    written(rewrite.rewrite_files(at(texts)), "originals")
+    fixed = fixer.apply_insertions(texts, fixer.insertion_points(texts, table(spark, sf_dir, "fx_gaps")))
+    done = written(rewrite.rewrite_files(at(fixed), keep=True), "rewritten")
+    hashes = written(read_back(".rs").join(read_back(".bak").withColumnRenamed("content_hash", "backup_hash"), "file"), "hashes")
+    restored = written(rewrite.restore_files(done), "restored")
+    again = read_back(".rs").withColumnRenamed("content_hash", "now")
+    back = restored.select(F.substr("file", F.lit(len(root) + 2)).alias("file"), F.col("is_restored").alias("is_put"))
+    return hashes.join(again, "file").join(back, "file").select("file", "content_hash", "backup_hash", (F.col("is_put") & (F.col("now") == F.col("backup_hash"))).alias("is_restored"))
+
+
 DIFF_SQL = """d AS (
   SELECT ins.*, coalesce((SELECT string_agg('  ' || raw || chr(10), '' ORDER BY l.line) FROM l_lines l WHERE l.file = ins.file AND l.line BETWEEN target_line - 2 AND target_line - 1), '')
     || '+ ' || indentation || content || chr(10)

@@ -165,3 +165,18 @@ def test_each_detector_has_its_columns(spark):
     assert detect(rows, "spanlight.operators.detectors:LineDetector").columns == ["file", "line"]
     assert detect(rows, "spanlight.operators.detectors:Contexts").columns == ["file", "line", "module_path", "function", "depth"]
     assert list(LineDetector().close()) == []
+
+
+def test_files_are_written_once(spark, tmp_path):
+    """A second run changes nothing and keeps the first backup; what is restored is the text before."""
+    from spanlight.sources.rewrite import restore_files, rewrite_files
+
+    (tmp_path / "a.rs").write_text("old")
+    rows = spark.createDataFrame([(str(tmp_path / "a.rs"), "new é"), (str(tmp_path / "sub/b.rs"), "made"), (None, "x"), (str(tmp_path / "c.rs"), None)], "file string, source string")
+    first = {x["file"].rsplit("/", 1)[1]: (x["n_bytes"], x["is_changed"], x["has_backup"]) for x in rewrite_files(rows, keep=True).collect()}
+    assert first == {"a.rs": (6, True, True), "b.rs": (4, True, False)}
+    again = {x["file"].rsplit("/", 1)[1]: (x["is_changed"], x["has_backup"]) for x in rewrite_files(rows, keep=True).collect()}
+    assert again == {"a.rs": (False, True), "b.rs": (False, False)}
+    assert ((tmp_path / "a.rs").read_text(), (tmp_path / "a.rs.bak").read_text()) == ("new é", "old")
+    assert sorted(x["is_restored"] for x in restore_files(rows).collect()) == [False, False, True]
+    assert (tmp_path / "a.rs").read_text() == "old" and sorted(p.name for p in tmp_path.iterdir()) == ["a.rs", "sub"]
