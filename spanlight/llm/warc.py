@@ -137,17 +137,18 @@ def split_records(data: bytes) -> Iterator[tuple[bytes, str | None]]:
             at = stop + 4
 
 
-def response_record(url: str, page: str, date: str = NO_DATE, name: str | None = None) -> bytes:
-    """A response record for a page that was kept without its headers."""
+def response_record(url: str, page: str, date: str = NO_DATE, key: object = None) -> bytes:
+    """A response record for a page that was kept without its headers; its id follows from key, address and content."""
     body = page.encode("utf-8", "surrogatepass")
+    of_body = digest(body)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
     headers = [
         ("WARC-Type", "response"),
-        ("WARC-Record-ID", record_id("response", name if name is not None else f"{url}\n{digest(block)}")),
+        ("WARC-Record-ID", record_id("response", f"{key}\n{url}\n{of_body}")),
         ("WARC-Target-URI", url),
         ("WARC-Date", date),
         ("Content-Type", "application/http; msgtype=response"),
-        ("WARC-Payload-Digest", digest(body)),
+        ("WARC-Payload-Digest", of_body),
         ("WARC-Block-Digest", digest(block)),
     ]
     return build_record(headers, block)
@@ -231,14 +232,15 @@ def derive(data: bytes) -> list[tuple[str, list[tuple[str, str]], bytes]]:
         except LookupError:
             page = body.decode("utf-8", "replace")
         told += [("http-status", status.decode("latin-1")), *((f"http-{k.lower()}", v) for k, v in http)]
-        told += [("charset", charset), ("computed-payload-digest", digest(body)), ("payload-length", str(len(body)))]
+        own = digest(body)
+        told += [("charset", charset), ("computed-payload-digest", own), ("payload-length", str(len(body)))]
         declared = get(fields, "WARC-Payload-Digest")
-        told.append(("payload-digest-matches", "unknown" if declared is None else str(declared == digest(body)).lower()))
+        told.append(("payload-digest-matches", "unknown" if declared is None else str(declared == own).lower()))
         read = read_page(page)
         told += [(k, read[k]) for k in ("language", "title") if read[k] is not None]
         told += [("outlink", x) for x in read["links"]]
         text = read["text"].encode("utf-8", "surrogatepass")
-        extra = [("Content-Type", "text/plain; charset=utf-8"), ("WARC-Source-Payload-Digest", declared or digest(body))]
+        extra = [("Content-Type", "text/plain; charset=utf-8"), ("WARC-Source-Payload-Digest", declared or own)]
         out.append(("conversion", extra, text))
     except ValueError as why:
         told.append(("error", str(why)))
@@ -274,7 +276,9 @@ def _row(data: bytes | None, broken: str | None = None) -> list[dict]:
         return [{"kind": None, "error": str(why)}]
     out = []
     for kind, headers, block in made:
-        error = next((x[7:] for x in block.decode("utf-8", "replace").split("\r\n") if kind == "metadata" and x.startswith("error: ")), None)
+        # Only a metadata record tells an error, on a line of its own.
+        told = block.decode("utf-8", "replace").split("\r\n") if kind == "metadata" and b"error: " in block else ()
+        error = next((x[7:] for x in told if x.startswith("error: ")), None)
         out.append(
             {
                 "kind": kind,
@@ -309,7 +313,7 @@ def _respond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 256):
             cut = batch.slice(lo, 256)
             rows = zip(*(cut.column(c).to_pylist() for c in ("key", "url", "html", "date")))
-            made = [None if page is None else response_record(url or "", page, date or NO_DATE, f"{key}\n{url}\n{digest(page.encode('utf-8', 'surrogatepass'))}") for key, url, page, date in rows]
+            made = [None if page is None else response_record(url or "", page, date or NO_DATE, key) for key, url, page, date in rows]
             yield pa.record_batch([cut.column("key"), pa.array(made, pa.binary())], ["key", "record"])
 
 
