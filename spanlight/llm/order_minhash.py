@@ -326,23 +326,40 @@ def _uncompared(members: DataFrame, known: DataFrame, comps: DataFrame, similari
 
     Nodes are dealt to bands of length, of which two near nodes share one; a
     group whose nodes are all linked has nothing to compare, and of groups of
-    the same nodes one is compared for all.  The others are cut into blocks.
+    the same nodes one is compared for all.  The others are cut into blocks,
+    those of the largest component apart, as it has nothing to compare within.
     """
     info = known.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").select("node", "n_words", "histogram", F.coalesce("comp", "node").alias("comp"))
     width = max(-math.log(similarity), 1e-6) * (1 + 1e-9)
     band = F.floor(F.log("n_words") / width)
     light = members.join(info.select("node", "comp", band.alias("b")), "node")
-    light = light.select("key", "node", "comp", F.explode(F.array("b", F.col("b") + 1)).alias("band"))
-    groups = light.groupBy("key", "band").agg(
-        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("node")).alias("s0"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s1"),
+    light = light.select("key", "node", "comp", "b", F.explode(F.array("b", F.col("b") + 1)).alias("band"))
+    own = F.col("b") == F.col("band")
+    name = lambda n: F.xxhash64("node", F.lit(n))
+    by_comp = light.groupBy("key", "band", "comp").agg(
+        F.count("*").alias("n"), F.count_if(own).alias("n_own"), *[F.bit_xor(name(i)).alias(f"s{i}") for i in (0, 1)], *[F.bit_xor(F.when(own, name(i))).alias(f"o{i}") for i in (0, 1)]
     )
-    groups = groups.filter("c0 < c1").groupBy("n", "s0", "s1").agg(F.min(F.struct("key", "band")).alias("g"), F.count("*").alias("mult"))
-    groups = scratch.written(groups.select("g.key", "g.band", "n", "mult"), "groups")
-    some, _ = scratch.split_by_ids(light.select("key", "node", "band"), groups, "key")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = some.join(groups, ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), blocks))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    # Pairs of the band below are met there; nodes of that band whose component is that of all nodes of this band meet nobody here.
+    here = F.col("n_own") > 0
+    groups = by_comp.groupBy("key", "band").agg(
+        F.count("*").alias("n_comps"), F.count_if(here).alias("n_here"), F.max(F.when(here, F.col("comp"))).alias("lone"),
+        *[F.struct(F.sum(n).alias("n"), F.bit_xor(s0).alias("s0"), F.bit_xor(s1).alias("s1"), F.max(F.struct(n.alias("n"), "comp")).alias("main")).alias(c) for c, n, s0, s1 in (
+            ("whole", F.col("n"), F.col("s0"), F.col("s1")),
+            ("less", F.when(here, F.col("n_own")).otherwise(F.col("n")), F.when(here, F.col("o0")).otherwise(F.col("s0")), F.when(here, F.col("o1")).otherwise(F.col("s1"))),
+        )],
+    )
+    groups = groups.filter("n_comps > 1 and n_here > 0").select("key", "band", F.when(F.col("n_here") == 1, F.col("lone")).alias("lone"), F.when(F.col("n_here") == 1, F.col("less")).otherwise(F.col("whole")).alias("g"))
+    groups = groups.groupBy("g", "lone").agg(F.min(F.struct("key", "band")).alias("at"), F.count("*").alias("mult"))
+    groups = scratch.written(groups.select("at.key", "at.band", "lone", "g.n", F.col("g.main.n").alias("n_main"), F.col("g.main.comp").alias("main"), "mult"), "groups")
+    some, _ = scratch.split_by_ids(light, groups, "key")
+    # Nodes of a group's largest component are linked: they meet the blocks of the others, never their own.
+    others, mains = F.ceil((F.col("n") - F.col("n_main")) / BLOCK), F.ceil(F.col("n_main") / BLOCK)
+    inside = F.col("comp") == F.col("main")
+    place = F.xxhash64("node", F.lit(2))
+    of = groups.withColumnsRenamed({"key": "g_key", "band": "g_band"})
+    met = (F.col("key") == F.col("g_key")) & (F.col("band") == F.col("g_band")) & (own | F.col("lone").isNull() | (F.col("comp") != F.col("lone")))
+    dealt = some.join(of, met).withColumn("own", F.when(inside, others + F.pmod(place, mains)).otherwise(F.pmod(place, others)))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(inside, others - 1).otherwise(others + mains - 1))))
     dealt = dealt.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "mult", "node").join(info, "node")
     runs = dealt.repartition("key", "band", "p", "q").sortWithinPartitions("key", "band", "p", "q")
     long = T.LongType()

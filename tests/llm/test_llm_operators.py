@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import struct
 from collections import Counter, defaultdict
@@ -984,3 +985,22 @@ def test_short_shapes_run_out(spark):
     out = pii.dictionary(spark.createDataFrame(full, "kind string, form string"), KEY).collect()
     assert len({r["surrogate"] for r in out}) == len(full) and all(r["surrogate"] != r["form"] for r in out)
     assert all(re.fullmatch(r"\d\d" if r["kind"] == "phone" else r"(\d+\.){3}\d+", r["surrogate"]) for r in out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_crowded_buckets_against_all_pairs(spark, monkeypatch, seed):
+    """Every pair of two components that shares a bucket and whose lengths are near is met, however blocks and bands are cut."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 5)
+    r = random.Random(seed)
+    flat = bytes(2 * order_minhash.HISTOGRAM)
+    size = {i: int(20 * 1.25 ** r.uniform(0, 4)) for i in range(90)}
+    comp = {i: r.choice([1000, 1000, 1000, 1001, 1002]) for i in range(90) if r.random() < 0.8}
+    keys = {(k, i) for k in range(12) for i in r.sample(range(90), r.choice([2, 3, 10, 40]))} | {(99, i) for i in range(90)}
+    members = spark.createDataFrame(sorted(keys), "key bigint, node bigint")
+    known = spark.createDataFrame([(i, n, flat) for i, n in size.items()], "node bigint, n_words bigint, histogram binary")
+    comps = spark.createDataFrame(sorted(comp.items()), "id bigint, comp bigint")
+    got = [(x["x"], x["y"]) for x in order_minhash._uncompared(members, known, comps, 0.8).collect()]
+    of = lambda i: comp.get(i, i)
+    near = lambda i, j: abs(size[i] - size[j]) <= order_minhash.allowed(max(size[i], size[j]), 0.8)
+    want = {(i, j) for k, i in keys for k2, j in keys if k == k2 and i < j and of(i) != of(j) and near(i, j)}
+    assert len(got) == len(set(got)) and set(got) == want
