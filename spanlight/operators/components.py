@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import Growing, written, written_with
-from .traverse import distinct_hops, shortest_cycles
+from .traverse import distinct_hops, read_back, shortest_cycles
 
 LABEL = "struct<w:bigint,h:bigint,id:string>"
 
@@ -97,18 +97,42 @@ def hops_inside(edges: DataFrame) -> DataFrame:
     return distinct_hops(edges).join(one, "src").join(two, "dst").filter("component = c_dst").select("component", "src", "dst")
 
 
-def component_sizes(edges: DataFrame) -> DataFrame:
-    """component, n_ids, n_hops of every component with a cycle."""
-    inside = written(hops_inside(edges), "inside")
+def _sizes(inside: DataFrame) -> DataFrame:
     ids = inside.select("component", F.explode(F.array("src", "dst")).alias("id")).distinct().groupBy("component").agg(F.count("*").alias("n_ids"))
     return ids.join(inside.groupBy("component").agg(F.count("*").alias("n_hops")), "component")
 
 
+def component_sizes(edges: DataFrame) -> DataFrame:
+    """component, n_ids, n_hops of every component with a cycle."""
+    return _sizes(written(hops_inside(edges), "inside"))
+
+
+def split_rings(inside: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(component, cycle of the components that are one ring, component, src, dst of the hops of all others), from hops_inside as a written table.
+
+    A component with as many hops as ids is a single cycle.  It is cut before
+    its least id and read back by pointer doubling, so a long ring takes few
+    rounds.
+    """
+    # Written first, so that AQE can split a component with very many hops.
+    sizes = written(_sizes(inside), "component-sizes")
+    ring = written(inside.join(sizes.filter("n_ids = n_hops").select("component"), "component", "left_semi"), "rings")
+    rest = inside.join(sizes.filter("n_ids < n_hops").select("component"), "component", "left_semi")
+    depth = F.lit(0)
+    chain = ring.filter("dst <> component").select(F.col("component").alias("pair"), F.col("dst").alias("id"), depth.alias("depth"), F.col("src").alias("via"))
+    first = ring.filter("dst = component").select(F.col("component").alias("pair"), F.col("component").alias("id"), depth.alias("depth"), F.lit(None).cast("string").alias("via"))
+    last = ring.filter("dst = component").select(F.col("component").alias("l_pair"), F.col("src").alias("l_id"))
+    whole = read_back(first.unionByName(chain)).join(last, (F.col("pair") == F.col("l_pair")) & (F.col("id") == F.col("l_id")))
+    return whole.select(F.col("pair").alias("component"), F.col("path").alias("cycle")), rest
+
+
 def component_cycles(edges: DataFrame) -> DataFrame:
     """component, cycle: a shortest cycle through the least id of every component that has one, from that id on.
 
     One cycle a component, found in time that grows with its hops; `graph.cycles`
     lists every simple cycle.
     """
-    inside = written(hops_inside(edges), "inside")
-    return shortest_cycles(inside.select(F.col("component").alias("id")).distinct(), inside.select("src", "dst")).withColumnRenamed("id", "component")
+    rings, rest = split_rings(written(hops_inside(edges), "inside"))
+    rest = written(rest, "inside")
+    found = shortest_cycles(rest.select(F.col("component").alias("id")).distinct(), rest.select("src", "dst"))
+    return rings.unionByName(found.withColumnRenamed("id", "component"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import edge_weight
-from ..sources.tables import Growing, checkpointed, written_with
+from ..sources.tables import Growing, checkpointed
 from . import components, traverse
 
 
@@ -101,21 +101,23 @@ def shortest_paths(start: DataFrame, edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """cycle: each simple cycle once, of any length, from its least id on (C-14).
 
-    Only hops inside strongly connected components are followed.  Paths start
-    at a cycle's least id and never pass a smaller one, which finds each cycle
-    once.  A dense component has exponentially many simple cycles, and all are
-    listed; `components.component_cycles` gives a shortest one of each.
+    Only hops inside strongly connected components are followed.  A component
+    that is one ring is read off it; in others paths start at a cycle's least
+    id and never pass a smaller one, which finds each cycle once.  A dense
+    component has exponentially many simple cycles, and all are listed;
+    `components.component_cycles` gives a shortest one of each.
     """
-    hops = checkpointed(components.hops_inside(edges).select("src", "dst"))
-    found = Growing(edges.sparkSession, "cycle array<string>", "cycles")
-    found.add(hops.filter("src = dst").select(F.array("src").alias("cycle")))
-    paths, told = written_with(hops.filter("dst > src").select(F.array("src").alias("path"), "dst"), "paths", n=F.count(F.lit(1)))
+    rings, rest = components.split_rings(checkpointed(components.hops_inside(edges)))
+    hops = checkpointed(rest.select("src", "dst"))
+    steps = Growing(edges.sparkSession, "path array<string>, dst string, is_closed boolean", "cycles")
+    going = F.count_if(~F.col("is_closed"))
+    front, told = steps.add(hops.filter("dst >= src").select(F.array("src").alias("path"), "dst", (F.col("src") == F.col("dst")).alias("is_closed")), n=going)
     while told["n"]:
-        longer = paths.select(F.array_append("path", F.col("dst")).alias("path")).join(hops, F.element_at("path", -1) == F.col("src")).filter(F.col("dst") >= F.col("path")[0]).select("path", "dst")
-        steps = checkpointed(longer.filter((F.col("dst") == F.col("path")[0]) | ~F.array_contains("path", F.col("dst"))))
-        found.add(steps.filter(F.col("dst") == F.col("path")[0]).select(F.col("path").alias("cycle")))
-        paths, told = written_with(steps.filter(F.col("dst") != F.col("path")[0]), "paths", n=F.count(F.lit(1)))
-    return found.all()
+        longer = front.filter("not is_closed").select(F.array_append("path", F.col("dst")).alias("path")).join(hops, F.element_at("path", -1) == F.col("src"))
+        first = F.col("path")[0]
+        longer = longer.filter((F.col("dst") >= first) & ((F.col("dst") == first) | ~F.array_contains("path", F.col("dst"))))
+        front, told = steps.add(longer.select("path", "dst", (F.col("dst") == first).alias("is_closed")), n=going)
+    return rings.select("cycle").unionByName(steps.all().filter("is_closed").select(F.col("path").alias("cycle")))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

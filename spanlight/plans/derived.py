@@ -63,7 +63,7 @@ _ID = "lower(c_mktsegment) || '::' || CASE CAST(floor(abs(c_acctbal)) AS INT) %
 _CRATES = ["axum", "sqlx", "reqwest", "redis", "tracing", "tracing-subscriber", "actix-web", "tonic", "serde", "env_logger", "diesel", "rocket", "moka", "warp"]
 _EDGE = """CASE o_orderpriority WHEN '1-URGENT' THEN 'Direct' WHEN '2-HIGH' THEN 'Indirect' WHEN '3-MEDIUM' THEN 'Dynamic' WHEN '5-LOW' THEN 'Closure' ELSE 'Trait' END AS kind,
   o_orderstatus = 'F' AS is_conditional, o_orderkey % 3 = 0 AS is_in_loop"""
-_IDS = f"(SELECT c_custkey, {_ID} AS id, c_acctbal FROM {{customer}})"
+_IDS = f"(SELECT c_custkey, c_nationkey, {_ID} AS id FROM {{customer}})"
 
 TABLES = {
     "fx_files": f"SELECT {_PROJECT} AS project, {_FILE} AS file, t || chr(10) || {_CODE} AS source FROM {_NAMED}",
@@ -74,9 +74,8 @@ TABLES = {
   'n' || c_nationkey || '/src/c.rs' AS file, CAST(1 + c_custkey AS INT) AS line FROM {{customer}} WHERE c_acctbal >= 0""",
     # The customer of each order calls that of the next.
     "fx_edges": f"SELECT a.id AS src, b.id AS dst, {_EDGE} FROM (SELECT x.*, y.o_custkey AS next_key FROM {{orders}} x JOIN {{orders}} y ON y.o_orderkey = x.o_orderkey + 1) o JOIN {_IDS} a ON a.c_custkey = o_custkey JOIN {_IDS} b ON b.c_custkey = next_key",
-    # One call of each customer, after the dearest order; such a graph has few cycles.
-    "fx_hops": f"""SELECT a.id AS src, b.id AS dst, {_EDGE} FROM (SELECT x.*, y.o_custkey AS next_key FROM {{orders}} x JOIN (SELECT o_custkey AS c, max(o_totalprice) AS most FROM {{orders}} GROUP BY o_custkey) l ON l.c = x.o_custkey AND l.most = x.o_totalprice
-  JOIN {{orders}} y ON y.o_orderkey = x.o_orderkey + 1) o JOIN {_IDS} a ON a.c_custkey = o_custkey JOIN {_IDS} b ON b.c_custkey = next_key""",
+    # The calls within a project; such a graph is sparse and has few cycles.
+    "fx_hops": f"SELECT a.id AS src, b.id AS dst, {_EDGE} FROM (SELECT x.*, y.o_custkey AS next_key FROM {{orders}} x JOIN {{orders}} y ON y.o_orderkey = x.o_orderkey + 1) o JOIN {_IDS} a ON a.c_custkey = o_custkey JOIN {_IDS} b ON b.c_custkey = next_key AND b.c_nationkey = a.c_nationkey",
     "fx_points": f"""SELECT 'f' || o_custkey AS file, CAST(o_orderkey % 500 AS INT) AS line, id AS function_name,
   CASE o_orderkey % 7 WHEN 0 THEN 'Endpoint' WHEN 1 THEN 'DatabaseCall' WHEN 2 THEN 'ExternalApiCall' WHEN 3 THEN 'CacheOperation' WHEN 4 THEN 'ErrorBoundary' ELSE 'BusinessLogic' END AS kind,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium' ELSE 'Low' END AS priority,

@@ -458,7 +458,7 @@ def rules_all(spark, sf_dir):
 # ---------------------------------------------------------------- graphs
 
 FX_GRAPH = f"{values('fx_nodes')}, {values('fx_edges')}, {DEGREES_SQL}"
-#: The same nodes with one call each: long chains, few cycles.
+#: The same nodes with the calls within projects: few cycles.
 FX_SPARSE = f"{values('fx_nodes')}, {values('fx_hops')}, fx_edges AS (SELECT * FROM fx_hops), {DEGREES_SQL}"
 SEED, SINK = "(SELECT min(id) FROM fx_nodes WHERE kind = 'Endpoint')", "(SELECT max(id) FROM fx_nodes)"
 
@@ -633,15 +633,19 @@ def graph_component_sizes_pages(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {FX_SPARSE}, h AS (SELECT DISTINCT src, dst FROM fx_edges), {CLOSED_SQL.format(e='h')} SELECT id, component FROM comp")
 def graph_components(spark, sf_dir):
-    """Strong components of the graph of one call for each function (C-14)."""
+    """Strong components of the calls within projects (C-14)."""
     return components.strong_components(_graph(spark, sf_dir, "fx_hops")[1])
 
 
-@query(f"""WITH RECURSIVE {FX_SPARSE}, r(first, id, path) AS (SELECT DISTINCT src, src, [src] FROM fx_edges UNION SELECT first, dst, list_append(path, dst) FROM fx_edges JOIN r ON src = id WHERE NOT list_contains(path, dst) AND dst > first)
-SELECT DISTINCT first AS component, path AS cycle FROM r JOIN fx_edges ON src = id AND dst = first""")
+@query(f"""WITH RECURSIVE {FX_SPARSE}, h AS (SELECT DISTINCT src, dst FROM fx_edges), {CLOSED_SQL.format(e='h')}, r(first, id, n) AS (SELECT src, dst, 1 FROM h JOIN comp ON id = src AND component = src UNION SELECT first, dst, n + 1 FROM h JOIN r ON src = r.id WHERE r.id <> first AND n < 60)
+SELECT first AS component, min(n) AS n_hops, min(n) AS n_known FROM r WHERE id = first GROUP BY first""")
 def graph_component_cycles(spark, sf_dir):
-    """A shortest cycle of each component; where every function calls one, it is the only one (C-14)."""
-    return components.component_cycles(_graph(spark, sf_dir, "fx_hops")[1])
+    """The length of a shortest cycle through the least id of each component, and how many of its steps are calls (C-14)."""
+    edges = _graph(spark, sf_dir, "fx_hops")[1].select("src", "dst").distinct()
+    found = components.component_cycles(edges).select("component", F.size("cycle").alias("n_hops"), F.posexplode("cycle").alias("i", "src"), "cycle")
+    steps = found.withColumn("dst", F.coalesce(F.get("cycle", F.col("i") + 1), "component"))
+    known = steps.join(edges.withColumn("known", F.lit(1)), ["src", "dst"], "left")
+    return known.groupBy("component", "n_hops").agg(F.count("known").alias("n_known"))
 
 
 @query(f"WITH RECURSIVE {WALK_SQL}, r(seed, id) AS (SELECT DISTINCT url, url FROM pages UNION SELECT seed, dst FROM walk JOIN r ON src = r.id) SELECT id, count(*) AS n_seeds FROM r GROUP BY id")
