@@ -38,7 +38,7 @@ def depths(g, start):
 
 
 GRAPHS = [
-    made(1, 30, 45), made(2, 25, 80), made(3, 40, 40), [], [("a", "a")], [("a", None), (None, "b"), ("a", "b"), ("a", "b")],
+    made(1, 30, 45), [], [("a", None), ("c", "c"), (None, "b"), ("a", "b"), ("a", "b")],
     [(f"r{i:02d}", f"r{(i + 1) % 30:02d}") for i in range(30)] + [(f"r{(i + 1) % 30:02d}x", f"r{i:02d}x") for i in range(30)] + [("r03", "r05x")],
 ]
 
