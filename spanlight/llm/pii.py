@@ -6,27 +6,34 @@ case, a secret's value wherever it stands), so that mentions corefer across
 documents.  A person's name is taken word by word: the first of several words
 is a given name, others are family names, and a word that stands alone is what
 it is elsewhere in the corpus, so `Mr John Smith` and `Mr Smith` stay related.
+A given name behind a title without gender has the gender that the corpus gives
+it, and full names that a title introduces anywhere are found without it too.
 
 Each distinct form gets a surrogate drawn from a keyed digest: digits become
 digits and letters letters of the same script and case, card numbers keep their
 issuer digit and Luhn sum, IBANs their country and a valid check, addresses stay
 valid, and given names come from lists of the same gender and script as long as
 these last.  Surrogates that two forms of any type share, or that are forms in
-the corpus themselves, are drawn again until all are distinct; only the
-dictionary of forms is iterated, never the texts.
+the corpus themselves, are drawn again until all are distinct, in the end with
+more characters than the form has.  Only forms without a surrogate are drawn and
+judged again, never the whole dictionary or the texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
 
-#: Draws of a form's own shape; forms that are left then swap places among themselves.
+#: Draws of a form's own shape; each later draw has a character more than the one before.
 MAX_DRAWS = 24
 #: Draws that take given names from the lists; later ones make names up.
 LIST_DRAWS = 8
+#: Draws that are judged together: the first for all forms, then all others of their shape for those that are left.
+TURNS = [range(1), range(1, MAX_DRAWS)]
 
 #: Given names by gender and script.
 NAMES = {
@@ -56,10 +63,15 @@ def _one_of(words: list[str]) -> str:
 
 
 _TITLE = r"(?:" + _one_of([t for ts in TITLES.values() for t in ts]) + r"\.?|" + _one_of([t for ts in DOTTED.values() for t in ts]) + r"\.)"
+_LOUD = _one_of([t.upper() for ts in TITLES.values() for t in ts]) + r"\.?"
+#: What follows a name and is none: generations.
+_SUFFIX = r"^(?:Jr|Sr|II|III|IV|VI{0,3}|IX)$"
+_SECRET_NAME = r"(?i:password|passwd|token|secret|api_?key)[\"']?\s?[=:]"
 _KEY_MARK = r"(?:AKIA|ASIA|gh[pousr]_|sk-)"
 TYPES = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "assigned": r"(?i:password|passwd|token|secret|api_?key)[\"']?\s?[=:]\s?[\"']?[A-Za-z0-9_/+-]{8,}[\"']?",
+    # In quotes anything; without them four characters or more that hold a digit or a sign, or eight of a key's alphabet.
+    "assigned": _SECRET_NAME + r"\s?(?:\"[^\"\s]+\"|'[^'\s]+'|(?=[^\s\"'<>,;&]{4})(?=[^\s\"'<>,;&]{0,255}?(?:[0-9]|[@#$%^*~!][A-Za-z0-9]))[^\s\"'<>,;&]*[^\s\"'<>,;&.!?)\]}:]|[\"']?[A-Za-z0-9_/+-]{8,}[\"']?)",
     "key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9_-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{16})(?![\d-]|\.\d)",
@@ -67,12 +79,17 @@ TYPES = {
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d(+.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d.-])\d{3}\.\d{3}\.\d{4}(?![\d.-])|(?<![\d+.-])(?<!\d )0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?![\d-])",
-    "person": r"(?<![\p{L}\p{N}])" + _TITLE + " " + _WORD + "(?: " + _WORD + "){0,2}",
+    # In capitals three words at most, as what follows is in capitals too.
+    "person": r"(?<![\p{L}\p{N}])(?:" + _TITLE + " " + _WORD + "(?: (?!" + _TITLE + " )" + _WORD + ")*+|" + _LOUD + " " + _WORD + "(?: (?!" + _LOUD + " )" + _WORD + "){0,2}+)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: A cheap test that every text with an entity passes.
-HINT = r"@|\d[ .)-]?\d|" + _KEY_MARK + r"|[=:]\s?[\"']?[A-Za-z0-9_/+-]{8}|::|(?:[0-9A-Fa-f]{1,4}:){7}|" + _TITLE + r" [\p{Lu}\p{Lo}]|[A-Z]{2}\d{2}[ A-Z0-9]"
-_VALUE = r"[=:]\s?[\"']?([A-Za-z0-9_/+-]+)[\"']?$"
+HINT = r"@|\d[ .)-]?\d|" + _KEY_MARK + "|" + _SECRET_NAME + r"|::|(?:[0-9A-Fa-f]{1,4}:){7}|(?:" + _TITLE + "|" + _LOUD + r") [\p{Lu}\p{Lo}]|[A-Z]{2}\d{2}[ A-Z0-9]"
+_VALUE = r"[=:]\s?[\"']?(\S+?)[\"']?$"
+#: Names that stand without a title are looked for in runs of capitalised words.
+_RUN = r"(?<![\p{L}\p{M}\p{N}])" + _WORD + "(?: " + _WORD + ")++"
+#: North American numbers, which are the same with and without their country code.
+_NANP = r"^\+1(?:\D*\d){10}$"
 
 
 def _every(first: int, n: int, step: int = 1) -> str:
@@ -109,8 +126,9 @@ def luhn(digits: Column) -> Column:
 
 
 def _gender(entity: Column) -> Column:
-    title = F.regexp_replace(F.substring_index(entity, " ", 1), r"\.$", "")
-    return F.when(title.isin(*TITLES["m"], *DOTTED["m"]), "m").when(title.isin(*TITLES["f"], *DOTTED["f"]), "f").otherwise("x")
+    title = F.upper(F.regexp_replace(F.substring_index(entity, " ", 1), r"\.$", ""))
+    those = lambda g: title.isin([t.upper() for t in TITLES[g] + DOTTED[g]])
+    return F.when(those("m"), "m").when(those("f"), "f").otherwise("x")
 
 
 def found_in(docs: DataFrame) -> DataFrame:
@@ -118,7 +136,7 @@ def found_in(docs: DataFrame) -> DataFrame:
 
     A person has a part for each word of the name and its title as prefix;
     anything else is one part.  kind and form are null for what only looks
-    like an IBAN.
+    like an IBAN and for what tells a generation, such as Jr or III.
     """
     hit = docs.filter(F.col("text").rlike(HINT)).select("doc_id", "tid", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("at", "entity"))
     typed = hit.withColumn("type", type_of(F.col("entity")))
@@ -126,7 +144,8 @@ def found_in(docs: DataFrame) -> DataFrame:
     title = F.regexp_extract("entity", r"^(\S+ )", 1)
     words = F.split(F.substr(F.col("entity"), F.length(title) + 1), " ")
     parts = typed.withColumns({"gender": _gender(F.col("entity")), "words": F.when(person, words).otherwise(F.array("entity")), "prefix": F.when(person, title).otherwise("")})
-    parts = parts.select("doc_id", "tid", "at", "type", "gender", "prefix", F.size("words").alias("n"), F.posexplode("words").alias("part", "piece"))
+    named = F.size(F.filter("words", lambda w: ~w.rlike(_SUFFIX)))
+    parts = parts.select("doc_id", "tid", "at", "type", "gender", "prefix", named.alias("n"), F.posexplode("words").alias("part", "piece"))
     bare = F.regexp_replace("piece", "[^A-Za-z0-9]", "")
     iban = (check_97(bare) == 1) | bare.rlike(r"^[A-Z]{2}\d+$")
     given = F.concat(F.lit("given-"), "gender")
@@ -134,25 +153,33 @@ def found_in(docs: DataFrame) -> DataFrame:
         F.when(F.col("type").isin("assigned", "key"), "secret")
         .when(F.col("type") == "iban", F.when(iban, "iban"))
         .when(F.col("type") != "person", F.col("type"))
-        .when(F.col("n") == 1, "alone")
+        .when((F.col("part") > 0) & F.col("piece").rlike(_SUFFIX), F.lit(None).cast("string"))
+        .when(F.col("n") <= 1, "alone")
         .otherwise(F.when(F.col("part") == 0, given).otherwise("family"))
     )
     form = (
         F.when(F.col("type") == "assigned", F.regexp_extract("piece", _VALUE, 1))
         .when(F.col("type") == "key", F.col("piece"))
         .when(F.col("type") == "iban", bare)
+        .when(F.col("piece").rlike(_NANP) & (F.col("type") == "phone"), F.substring(F.regexp_replace("piece", r"\D", ""), 2, 10))
         .when(F.col("type").isin("card", "ssn", "phone"), F.regexp_replace("piece", r"\D", ""))
         .otherwise(F.lower("piece"))
     )
     parts = scratch.written(parts.withColumns({"kind": kind, "form": F.when(kind.isNotNull(), form)}), "pii-mentions")
     # A word that stands alone is a given name if it is one elsewhere, or in the lists, and no family name.
     listed = F.col("form").isin(sorted({n for names in NAMES.values() for n in names}))
-    seen = parts.filter("type = 'person'").groupBy("form").agg(F.max(F.col("kind") == "family").alias("is_family"), F.max(F.col("kind").startswith("given-")).alias("is_given"))
+    has = lambda g: F.max((F.col("gender") == g) & (F.col("kind") != "family"))
+    seen = parts.filter("type = 'person' and kind is not null").groupBy("form").agg(
+        F.max(F.col("kind") == "family").alias("is_family"), F.max(F.col("kind").startswith("given-")).alias("is_given"), has("m").alias("is_m"), has("f").alias("is_f")
+    )
     seen = scratch.written(seen.withColumnRenamed("form", "s_form"), "pii-names")
-    alone = parts.filter("kind = 'alone'").join(seen, F.col("form") == F.col("s_form"))
-    alone = alone.withColumn("kind", F.when(~F.col("is_family") & (F.col("is_given") | listed), given).otherwise("family"))
+    # Where the title tells no gender, the name's other mentions do, if they agree.
+    open_ = F.col("kind").isin("alone", "given-x")
+    unsure = parts.filter(open_).join(seen, F.col("form") == F.col("s_form"))
+    settled = F.when(F.col("gender") != "x", given).when(F.col("is_m") & ~F.col("is_f"), "given-m").when(F.col("is_f") & ~F.col("is_m"), "given-f").otherwise("given-x")
+    unsure = unsure.withColumn("kind", F.when((F.col("kind") == "given-x") | ~F.col("is_family") & (F.col("is_given") | listed), settled).otherwise("family"))
     columns = ["doc_id", "tid", "at", "part", "prefix", "piece", "type", "kind", "form"]
-    return scratch.written(parts.filter("kind is null or kind <> 'alone'").select(columns).unionByName(alone.select(columns)), "pii-parts")
+    return scratch.written(parts.filter(open_.isNull() | ~open_).select(columns).unionByName(unsure.select(columns)), "pii-parts")
 
 
 def _number(digest: Column, i: Column | int) -> Column:
@@ -187,15 +214,19 @@ def _mapped(value: Column, digest: Column, keep: Column) -> Column:
 def _drawn(table: DataFrame, key: str) -> DataFrame:
     """table (kind, form, draw) with surrogate: the draw-th surrogate of each form, in the form's own shape.
 
-    Each step is a column, so that no expression holds another many times.
+    From MAX_DRAWS on it has more characters, or is an IPv6 address of eight
+    groups, so that every form finds one.  Each step is a column, so that no expression holds another many times.
     """
     kind, form, draw = F.col("kind"), F.col("form"), F.col("draw")
     hashed = lambda *parts: F.sha2(F.concat_ws("\x1f", F.lit(key), F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 512)), 512)
     domain = F.substring_index(form, "@", -1)
+    body = F.when(kind == "email", F.substring_index(form, "@", 1)).otherwise(form)
+    last = F.regexp_extract(body, r"[\p{L}0-9](?=[^\p{L}0-9]*$)", 0)
+    more = F.repeat(F.when(last == "", "x").otherwise(last), F.greatest(draw - (MAX_DRAWS - 1), F.lit(0)).cast("int"))
     step = table.withColumns(
         {
             "s_digest": hashed(kind, form, draw.cast("string")),
-            "s_body": F.when(kind == "email", F.substring_index(form, "@", 1)).otherwise(form),
+            "s_body": F.when(kind.isin("ipv4", "ipv6"), form).otherwise(F.concat(body, more)),
             # A key keeps its mark, an IBAN its country; issuer and country code of a number their first digit.
             "s_keep": F.when(kind == "secret", F.length(F.regexp_extract(form, "^" + _KEY_MARK, 0))).when(kind == "iban", 2).when((kind == "card") | ((kind == "phone") & (F.length(form) > 10)), 1).otherwise(0),
             "s_host": F.when((kind == "email") & ~domain.rlike(r"(?:^|\.)example\.(?:com|net|org)$"), F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1)),
@@ -225,8 +256,10 @@ def _drawn(table: DataFrame, key: str) -> DataFrame:
         pick = lambda at: F.element_at(F.array(*[F.lit(n) for n in names]), F.pmod(_number(F.col("s_digest"), at), F.lit(len(names))) + 1)  # noqa: B023, E731
         given = F.when(fits, F.when(F.contains(form, F.lit("-")), F.concat(pick(50), F.lit("-"), pick(51))).otherwise(pick(50))).otherwise(given)
     email = F.concat(mapped, F.lit("@"), F.when(F.col("s_host").isNull(), domain).otherwise(F.concat("s_host_mapped", F.lit("."), F.substring_index(domain, ".", -1))))
+    address = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(F.col("s_digest"), i * 4 + 1, F.lit(4))), ":")
     surrogate = (
-        F.when(kind == "email", email)
+        F.when(kind.isin("ipv4", "ipv6") & (draw >= MAX_DRAWS), address)
+        .when(kind == "email", email)
         .when((kind == "card") & F.col("s_check").isNotNull(), F.concat("s_front", "s_check"))
         .when((kind == "iban") & F.col("s_check").isNotNull(), F.concat(F.substring(form, 1, 2), "s_check", F.substr(mapped, F.lit(5))))
         .when(kind == "ipv4", F.array_join("s_octets", "."))
@@ -241,52 +274,39 @@ def _space(kind: Column) -> Column:
     return F.when(kind.startswith("given-"), "given").otherwise("other")
 
 
-def _swapped(left: DataFrame) -> DataFrame:
-    """kind, form, surrogate of forms whose shape has no value left: each takes the next one's form, which nothing else has.
-
-    A shape with one such form gets a character more.
-    """
-    shape = F.regexp_replace(F.regexp_replace("form", "[0-9]", "0"), r"\p{L}", "a")
-    ring = left.select("kind", "form", shape.alias("shape"))
-    order = Window.partitionBy("kind", "shape").orderBy("form")
-    whole = Window.partitionBy("kind", "shape")
-    following = F.coalesce(F.lead("form").over(order), F.min("form").over(whole))
-    return ring.withColumn("next", following).select("kind", "form", F.when(F.col("next") != F.col("form"), F.col("next")).otherwise(F.concat("form", F.substring("form", -1, 1))).alias("surrogate"))
-
-
 def dictionary(forms: DataFrame, key: str) -> DataFrame:
     """kind, form, surrogate: distinct surrogates of distinct forms, none of which is its own form or, but for given names, any form."""
-    originals = scratch.written(forms.select("kind", "form").filter("form is not null").distinct(), "pii-forms")
-    table = scratch.written(_drawn(originals.withColumn("draw", F.lit(0)), key), "pii-draw")
-    taken = scratch.written(originals.filter(_space(F.col("kind")) == "other").select(F.col("form").alias("o_form")).distinct(), "pii-taken")
-    for draw in range(1, MAX_DRAWS + 1):
-        spaced = table.withColumn("space", _space(F.col("kind")))
-        first = spaced.groupBy("space", "surrogate").agg(F.min(F.struct("draw", "kind", "form")).alias("winner"))
-        judged = (
-            spaced.join(scratch.written(first, "pii-first"), ["space", "surrogate"])
-            .join(taken, (F.col("space") == "other") & (F.col("surrogate") == F.col("o_form")), "left")
-            .withColumn("bad", (F.col("winner.form") != F.col("form")) | (F.col("winner.kind") != F.col("kind")) | F.col("o_form").isNotNull() | (F.col("surrogate") == F.col("form")))
-        )
-        judged = scratch.written(judged.select("kind", "form", "draw", "surrogate", "bad"), "pii-judged")
-        again = judged.filter("bad").select("kind", "form", F.lit(draw).alias("draw"))
-        if again.isEmpty():
-            break
-        good = judged.filter("not bad").drop("bad")
-        if draw == MAX_DRAWS:
-            return good.drop("draw").unionByName(_swapped(again))
-        table = scratch.written(good.unionByName(_drawn(again, key)), "pii-draw")
-    return table.select("kind", "form", "surrogate")
+    waiting = scratch.written(forms.select("kind", "form").filter("form is not null").distinct(), "pii-forms")
+    taken = scratch.written(waiting.filter(_space(F.col("kind")) == "other").select(F.col("form").alias("surrogate")).distinct(), "pii-taken")
+    settled = None
+    for turn in itertools.count():
+        start = MAX_DRAWS + 4 * (turn - len(TURNS))
+        draws = TURNS[turn] if turn < len(TURNS) else range(start, start + 4)
+        tried = _drawn(waiting.withColumn("draw", F.explode(F.array(*[F.lit(d) for d in draws]))), key).filter("surrogate <> form")
+        tried = scratch.written(tried.withColumn("space", _space(F.col("kind"))), "pii-tried")
+        forbidden = taken.withColumn("space", F.lit("other"))
+        if settled is not None:
+            # Only the part of the dictionary that the few new draws may meet is shuffled.
+            forbidden = scratch.split_by_ids(forbidden.unionByName(settled.select("surrogate", _space(F.col("kind")).alias("space"))), tried, "surrogate")[0]
+        free = tried.join(forbidden, ["space", "surrogate"], "left_anti")
+        won = free.groupBy("space", "surrogate").agg(F.min(F.struct("draw", "kind", "form")).alias("w"))
+        own = won.groupBy("w.kind", "w.form").agg(F.min(F.struct("w.draw", "surrogate")).alias("d"))
+        own = scratch.written(own.select("kind", "form", F.col("d.surrogate").alias("surrogate")), "pii-settled")
+        settled = own if settled is None else settled.unionByName(own)
+        waiting, told = scratch.written_with(waiting.join(own, ["kind", "form"], "left_anti"), "pii-waiting", n=F.count(F.lit(1)))
+        if not told["n"]:
+            return settled
 
 
 def _in_order(piece: Column, surrogate: Column, kind: str) -> Column:
-    """piece with its characters of a kind replaced by those of the surrogate, one after the other."""
+    """piece with its characters of a kind replaced by those of the surrogate, one after the other; more of them follow it."""
     state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def step(s: Column, c: Column) -> Column:
         own = c.rlike(f"^{kind}$")
         return F.struct(F.concat(s["out"], F.when(own, F.substring(surrogate, s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + own.cast("int")).alias("at"))
 
-    return F.aggregate(F.split(piece, ""), state, step)["out"]
+    return F.aggregate(F.split(piece, ""), state, step, lambda s: F.concat(s["out"], F.substr(surrogate, s["at"])))
 
 
 def _cased(piece: Column, surrogate: Column) -> Column:
@@ -302,9 +322,9 @@ def _cased(piece: Column, surrogate: Column) -> Column:
 def rendered(type_: Column, piece: Column, surrogate: Column) -> Column:
     """The surrogate in the format of this mention."""
     whole = F.length(F.regexp_extract(piece, _VALUE, 1))
-    at = F.length(F.regexp_extract(piece, r"^(.*?[=:]\s?[\"']?)[A-Za-z0-9_/+-]+[\"']?$", 1))
+    at = F.length(F.regexp_extract(piece, r"(?s)^(.*?[=:]\s?[\"']?)\S+?[\"']?$", 1))
     return (
-        F.when(type_.isin("card", "ssn", "phone"), _in_order(piece, surrogate, "[0-9]"))
+        F.when(type_.isin("card", "ssn", "phone"), _in_order(piece, F.when((type_ == "phone") & piece.rlike(_NANP), F.concat(F.lit("1"), surrogate)).otherwise(surrogate), "[0-9]"))
         .when(type_ == "iban", _in_order(piece, surrogate, "[A-Za-z0-9]"))
         .when(type_.isin("email", "person", "ipv6"), _cased(piece, surrogate))
         .when(type_ == "assigned", F.concat(F.substring(piece, F.lit(1), at), surrogate, F.substr(piece, at + whole + 1)))
@@ -312,6 +332,27 @@ def rendered(type_: Column, piece: Column, surrogate: Column) -> Column:
     )
 
 
+def _untitled(rows: DataFrame, persons: DataFrame) -> DataFrame | None:
+    """doc_id, tid, names: the full names of persons (forms, surrogates) that stand in a row, as (old, put), long ones first; None without any.
+
+    A name of three words or more is also looked for by its first and last.
+    """
+    whole = persons.filter(F.size("forms") > 1)
+    ends = persons.filter(F.size("forms") > 2).select(*[F.array(F.get(c, F.lit(0)), F.element_at(c, -1)).alias(c) for c in ("forms", "surrogates")])
+    known = whole.unionByName(ends).groupBy(F.array_join("forms", " ").alias("name")).agg(F.min("surrogates").alias("surrogates"))
+    known, told = scratch.written_with(known, "pii-known", sizes=F.collect_set(F.size("surrogates")))
+    if not told["sizes"]:
+        return None
+    runs = rows.filter(F.col("text").rlike(_RUN)).select("doc_id", "tid", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_RUN), F.lit(0)))).alias("run"))
+    words = runs.select("doc_id", "tid", F.split("run", " ").alias("words"), F.explode(F.array(*[F.lit(n) for n in sorted(told["sizes"])])).alias("n")).filter(F.size("words") >= F.col("n"))
+    words = words.select("doc_id", "tid", "words", "n", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)).alias("first"))
+    old = words.select("doc_id", "tid", F.array_join(F.slice("words", F.col("first"), F.col("n")), " ").alias("old")).withColumn("name", F.lower("old"))
+    met = scratch.split_by_ids(old, known, "name")[0].join(known, "name")
+    put = F.array_join(F.transform(F.arrays_zip(F.split("old", " ").alias("w"), F.col("surrogates").alias("s")), lambda x: _cased(x["w"], x["s"])), " ")
+    names = met.select("doc_id", "tid", F.struct((-F.length("old")).alias("order"), "old", put.alias("put")).alias("name"))
+    return names.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
 def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, n_entities, text of every row, with a surrogate in place of each entity.
 
@@ -326,15 +367,34 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     table = scratch.written(dictionary(mentions, key), "pii-dictionary").select(F.col("kind").alias("d_kind"), F.col("form").alias("d_form"), "surrogate")
     told = mentions.join(table, (F.col("kind") == F.col("d_kind")) & (F.col("form") == F.col("d_form")), "left")
     put = F.when(F.col("surrogate").isNull(), F.col("piece")).otherwise(rendered(F.col("type"), F.col("piece"), F.col("surrogate")))
-    told = told.select("doc_id", "tid", "at", "part", "prefix", put.alias("put"), F.col("surrogate").isNotNull().alias("is_entity"))
+    name = F.when(F.col("type") == "person", F.struct("part", "form", "surrogate"))
+    told = told.select("doc_id", "tid", "at", "part", "prefix", put.alias("put"), F.col("surrogate").isNotNull().alias("is_entity"), name.alias("name"))
     whole = told.groupBy("doc_id", "tid", "at").agg(
-        F.max("prefix").alias("prefix"), F.max("is_entity").alias("is_entity"), F.array_sort(F.collect_set(F.struct("part", "put"))).alias("parts")
+        F.max("prefix").alias("prefix"), F.max("is_entity").alias("is_entity"), F.array_sort(F.collect_set(F.struct("part", "put"))).alias("parts"), F.array_sort(F.collect_set("name")).alias("name")
     )
-    whole = whole.select("doc_id", "tid", "at", "is_entity", F.concat("prefix", F.array_join(F.transform("parts", lambda x: x["put"]), " ")).alias("put"))
+    whole = scratch.written(whole.select("doc_id", "tid", "at", "is_entity", F.concat("prefix", F.array_join(F.transform("parts", lambda x: x["put"]), " ")).alias("put"), "name"), "pii-whole")
     by_row = whole.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_list(F.struct("at", "put"))).alias("puts"), F.count_if("is_entity").alias("n"))
-    by_row = scratch.written(by_row.select(F.col("doc_id").alias("p_id"), F.col("tid").alias("p_tid"), F.transform("puts", lambda x: x["put"]).alias("puts"), "n"), "pii-rows")
+    by_row = by_row.select("doc_id", "tid", F.transform("puts", lambda x: x["put"]).alias("puts"), "n")
+    words = F.filter("name", lambda x: x["surrogate"].isNotNull())
+    persons = whole.select(F.transform(words, lambda x: x["form"]).alias("forms"), F.transform(words, lambda x: x["surrogate"]).alias("surrogates"))
+    names = _untitled(rows, persons)
+    if names is None:
+        by_row = by_row.withColumn("names", F.lit(None).cast("array<struct<order:int,old:string,put:string>>"))
+    else:
+        by_row = by_row.unionByName(names, True).groupBy("doc_id", "tid").agg(*[F.first(c, True).alias(c) for c in ("puts", "n", "names")])
+    by_row = scratch.written(by_row.withColumnsRenamed({"doc_id": "p_id", "tid": "p_tid"}), "pii-rows")
     some, clean = scratch.split_by_ids(rows, by_row.select(F.col("p_tid").alias("tid")), "tid")
     joined = some.join(by_row, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("tid") == F.col("p_tid")), "left")
-    pieces = F.transform(F.split("text", PATTERN, -1), lambda x, i: F.concat(x, F.coalesce(F.get("puts", i), F.lit(""))))
-    out = joined.select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_entities"), F.when(F.col("puts").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")).alias("text"))
+    # Between the entities, names without a title are replaced where they stand as whole words.
+    any_name = F.array_join(F.transform("names", lambda x: x["old"]), "|")
+    joined = joined.select(
+        "doc_id", "text", "n", "puts", F.split("text", PATTERN, -1).alias("gaps"),
+        F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), any_name, F.lit(r")(?![\p{L}\p{M}\p{N}])")).alias("any_name"), F.map_from_entries(F.transform("names", lambda x: F.struct(x["old"], x["put"]))).alias("names"),
+    )
+    hits = lambda gap: F.regexp_extract_all(gap, F.col("any_name"), F.lit(0))
+    named = lambda gap: F.array_join(F.zip_with(F.split(gap, F.col("any_name"), -1), hits(gap), lambda x, h: F.concat(x, F.coalesce(F.element_at("names", h), F.lit("")))), "")
+    pieces = F.transform("gaps", lambda x, i: F.concat(F.when(F.col("any_name").isNull(), x).otherwise(named(x)), F.coalesce(F.get("puts", i), F.lit(""))))
+    more = F.when(F.col("any_name").isNull(), 0).otherwise(F.aggregate("gaps", F.lit(0), lambda n, gap: n + F.size(hits(gap))))
+    count = F.coalesce("n", F.lit(0)) + more
+    out = joined.select("doc_id", count.cast("bigint").alias("n_entities"), F.when(F.col("puts").isNull() & F.col("any_name").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")).alias("text"))
     return out.unionByName(clean.select("doc_id", F.lit(0).cast("bigint").alias("n_entities"), "text"))

@@ -980,11 +980,60 @@ def test_surrogates_stay_distinct(spark):
 
 
 def test_short_shapes_run_out(spark):
-    """Forms whose shape has no value left swap places: type and format stay, and nobody keeps the own form."""
+    """Forms whose shape has no value left get a longer one of the same type; no surrogate is a form, and nobody keeps the own form."""
     full = [("phone", f"0{i}") for i in range(10)] + [("phone", f"{i}{j}") for i in range(1, 10) for j in range(10)] + [("ipv4", f"{i}.{j}.1.1") for i in range(1, 4) for j in range(1, 4)]
     out = pii.dictionary(spark.createDataFrame(full, "kind string, form string"), KEY).collect()
-    assert len({r["surrogate"] for r in out}) == len(full) and all(r["surrogate"] != r["form"] for r in out)
-    assert all(re.fullmatch(r"\d\d" if r["kind"] == "phone" else r"(\d+\.){3}\d+", r["surrogate"]) for r in out)
+    assert len({r["surrogate"] for r in out}) == len(out) == len(full) and not {r["surrogate"] for r in out} & {f for _, f in full}
+    assert all(re.fullmatch(r"\d{3,}" if r["kind"] == "phone" else r"(\d+\.){3}\d+", r["surrogate"]) for r in out)
+    signs = pii.dictionary(spark.createDataFrame([("secret", "!!!!"), ("secret", "????"), ("family", "ᚠ")], "kind string, form string"), KEY).collect()
+    assert len({r["surrogate"] for r in signs}) == 3 and all(r["surrogate"] != r["form"] for r in signs)
+
+
+def test_dense_names_settle(spark):
+    """All family names of a consonant and a vowel: no real one is left as a surrogate."""
+    names = [a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]
+    out = pii.replace_pii(spark.createDataFrame([(i, f"Mr Adam {n}") for i, n in enumerate(names)], "doc_id bigint, text string"), KEY).collect()
+    got = [r["text"].split(" ")[2] for r in out]
+    assert len(set(got)) == len(names) == 105 and not {g.lower() for g in got} & {n.lower() for n in names} and len({r["text"].split(" ")[1] for r in out}) == 1
+
+
+def surrogates_of(spark, *texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [(r["text"], r["n_entities"]) for r in sorted(pii.replace_pii(d, KEY).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_one_person_is_one(spark):
+    """Titles without gender, no title at all, more words, capitals, generations: one person keeps one surrogate."""
+    out = surrogates_of(
+        spark, "Dr John Smith met Mr John Smith.", "John Smith wrote; JOHN SMITH, John Smithson and Xjohn Smith did not. The John Smith House", "Prof John left Prof Robin Hood",
+        "Mr Anna Bert Cesar Dora Emil went, so Anna Emil and Anna Bert Cesar Dora Emil went", "MRS ANNA MARIA LOPEZ came", "Mr Tom Jones III and Mr Jones Jr", "Mr Noa Wu Mr Kim Li", "Smith alone, New York Times", "", None,
+    )
+    g, f, g2, f2 = re.fullmatch(r"Dr (\w+) (\w+) met Mr (\w+) (\w+)\.", out[0][0]).groups()
+    assert (g, f) == (g2, f2) and g.lower() in pii.NAMES["m", "latin"] and f != "Smith" and out[0][1] == 2
+    assert out[1] == (f"{g} {f} wrote; {g.upper()} {f.upper()}, John Smithson and Xjohn Smith did not. The {g} {f} House", 3)
+    assert out[2][0].startswith(f"Prof {g} left Prof ") and "Robin" not in out[2][0] and "Hood" not in out[2][0]
+    words = re.fullmatch(r"Mr (\w+ \w+ \w+ \w+ \w+) went, so (\w+ \w+) and (\w+ \w+ \w+ \w+ \w+) went", out[3][0]).groups()
+    assert words[0] == words[2] and words[1].split() == [words[0].split()[0], words[0].split()[-1]] and not set(words[0].split()) & set("Anna Bert Cesar Dora Emil".split()[1:]) and out[3][1] == 3
+    assert re.fullmatch(r"MRS [A-Z]+ [A-Z]+ [A-Z]+ came", out[4][0]) and not re.search("ANNA|MARIA|LOPEZ", out[4][0]) and out[4][1] == 1
+    a, b = re.fullmatch(r"Mr \w+ (\w+) III and Mr (\w+) Jr", out[5][0]).groups()
+    assert a == b != "Jones"
+    assert re.fullmatch(r"Mr \w+ \w+ Mr \w+ \w+", out[6][0]) and out[6][1] == 2
+    assert out[7:] == [("Smith alone, New York Times", 0), ("", 0), (None, 0)]
+
+
+def test_secrets_and_numbers_in_any_form(spark):
+    out = surrogates_of(
+        spark, "password: p@ssw0rd!x9 and p@ssw0rd!x9", 'secret = "hunter2", token=\'a\'', "the secret: nobody, my token: a, password=x1", "+1 555-123-4567 or 555-123-4567", "GET /?token=ab12cd&user=bob (token=ab12cd).", "token=" * 20000,
+    )
+    x = re.fullmatch(r"password: (\S+) and p@ssw0rd!x9", out[0][0])[1]
+    assert x != "p@ssw0rd!x9" and re.fullmatch(r"\w@\w{3}\d\w\w!\w\d", x)
+    assert re.fullmatch(r"secret = \"\w{6}\d\", token='\w'", out[1][0]) and "hunter2" not in out[1][0] and "'a'" not in out[1][0] and out[1][1] == 2
+    assert out[2] == ("the secret: nobody, my token: a, password=x1", 0)
+    a, b = re.fullmatch(r"\+1 (\d{3}-\d{3}-\d{4}) or (\d{3}-\d{3}-\d{4})", out[3][0]).groups()
+    assert a == b != "555-123-4567" and out[3][1] == 2
+    a, b = re.fullmatch(r"GET /\?token=(\w+)&user=bob \(token=(\w+)\)\.", out[4][0]).groups()
+    assert a == b != "ab12cd"
+    assert out[5] == ("token=" * 20000, 0)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
