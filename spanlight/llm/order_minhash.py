@@ -17,23 +17,26 @@ sequence, so that nothing depends on where a row is read.  In each bucket every
 node is first a candidate with the bucket's least node, which is linear in the
 bucket however large it is and links most of what is alike.  A candidate pair is verified by an exact
 edit distance over words in a band of the greatest allowed distance; pairs
-that a lower bound from word histograms rules out need no text.  Pairs inside
+that a lower bound from word histograms rules out need no text.  A histogram
+has as many bins as its text has words, so the bound is as sharp for long texts.  Pairs inside
 one component that is already linked are redundant, so the best candidate of
 each node is verified first and only the pairs that still join two components
 follow.
 
-A bucket that still holds several components is then compared as a whole, in
-blocks of a bounded size, so that of any two nodes of a bucket either both are
-linked or their distance is known to be too great.
+A bucket that still holds several components is then compared as a whole, one
+of more than BLOCK nodes in bands of length and blocks of a bounded size, so
+that of any two nodes of a bucket either both are linked or their distance is
+known to be too great.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +51,11 @@ SKETCHES = 64
 #: Texts of at most so many words have so many more sets of SKETCHES: of few k-mers, chance takes more.
 FEW_WORDS = {50: 2, 150: 1}
 SIMILARITY = 0.8
-HISTOGRAM = 128
+#: Least and most bins of a word histogram.
+HISTOGRAM, HISTOGRAM_MAX = 128, 4096
 #: Texts of fewer words find all that is similar to them, however few k-mers are left.
 SHORT = 30
-#: Nodes of a block of a bucket (1 MB of histograms); every two blocks of a bucket are one piece of work.
+#: Nodes of a block of a bucket (16 MB of histograms at most); every two blocks of a bucket are one piece of work.
 BLOCK = 4096
 
 _U = np.uint64
@@ -165,6 +169,33 @@ def piece_keys(found: words.Words, similarity: float) -> list[np.ndarray]:
     return keys
 
 
+def histograms(found: words.Words) -> pa.Array:
+    """How often each row's words fall into each bin, 255 at most: one byte for each of a power of two of bins, not under the number of words."""
+    n = np.clip(np.diff(found.ptr), HISTOGRAM, HISTOGRAM_MAX)
+    bins = np.left_shift(1, np.ceil(np.log2(n)).astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(bins)])
+    row = found.row
+    counts = np.bincount(ends[row] + (found.hash >> _U(40)).astype(np.int64) % bins[row], minlength=ends[-1])
+    return pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.minimum(counts, 255).astype(np.uint8))])
+
+
+def folded(held: pa.Array, bins: int) -> np.ndarray:
+    """Histograms of `bins` bins or more as a matrix of just `bins`; counts stay at 255 at most, which moves none by more than before."""
+    sizes = pc.binary_length(held).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(held), bins), np.uint8)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        some = np.frombuffer(b"".join(held.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), size // bins, bins)
+        out[at] = some[:, 0] if size == bins else np.minimum(some.sum(1, dtype=np.uint32), 255)
+    return out
+
+
+def least_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance of each row's texts: what the greater histogram does not share with the other."""
+    total = lambda h: h.sum(1, dtype=np.int64)
+    return np.maximum(total(x), total(y)) - total(np.minimum(x, y))
+
+
 def _sketch(k: int, n: int, ell: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
@@ -174,9 +205,6 @@ def _sketch(k: int, n: int, ell: int, similarity: float):
                 part = column.slice(lo, hi - lo)
                 found = words.scan(part, words.WHITE, words.FOLD)
                 keys = all_sketches(found, k, n, ell)
-                counts = np.zeros((hi - lo, HISTOGRAM), np.int64)
-                np.add.at(counts, (found.row, (found.hash >> _U(40)).astype(np.int64) % HISTOGRAM), 1)
-                counts = np.minimum(counts, 65535).astype(np.uint16)
                 n_words = np.diff(found.ptr)
                 digests = np.frombuffer(b"".join(found.digests(found.ptr[:-1], found.ptr[1:])), np.int64).reshape(-1, 2)
                 pieces = piece_keys(found, similarity)
@@ -185,7 +213,7 @@ def _sketch(k: int, n: int, ell: int, similarity: float):
                 numbers = pa.array(np.arange(base, base + hi - lo))
                 base += hi - lo
                 yield pa.record_batch(
-                    [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "tid")), numbers, pa.array(n_words), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([c.tobytes() for c in counts], pa.binary()), flat],
+                    [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "tid")), numbers, pa.array(n_words), pa.array(digests[:, 0]), pa.array(digests[:, 1]), histograms(found), flat],
                     ["doc_id", "tid", "nth", "n_words", "node", "check", "histogram", "keys"],
                 )
 
@@ -251,9 +279,11 @@ def _plausible(similarity: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HISTOGRAM).astype(np.int32) for c in ("hx", "hy"))
-            gap = x - y
-            least = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1))
+            bins = np.minimum(*(pc.binary_length(batch.column(c)).to_numpy() for c in ("hx", "hy")))
+            least = np.zeros(batch.num_rows, np.int64)
+            for n in np.unique(bins):
+                for at in np.array_split(rows := np.flatnonzero(bins == n), len(rows) // 4096 + 1):
+                    least[at] = least_distance(*(folded(batch.column(c).take(pa.array(at)), int(n)) for c in ("hx", "hy")))
             longest = np.maximum(batch.column("nx").to_numpy(), batch.column("ny").to_numpy())
             ok = least <= np.floor((1 - similarity) * longest + 1e-9)
             yield pa.record_batch([batch.column(c) for c in ("x", "y", "hits")], ["x", "y", "hits"]).filter(pa.array(ok))
@@ -266,7 +296,8 @@ def _across(similarity: float):
 
     def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
         node, comp, n_words, own, mult = (t.column(c).to_numpy() for c in ("node", "comp", "n_words", "own", "mult"))
-        histogram = np.frombuffer(b"".join(t.column("histogram").to_pylist()), np.uint16).reshape(-1, HISTOGRAM)
+        histogram = t.column("histogram").combine_chunks()
+        size = pc.binary_length(histogram).to_numpy()
         edges = _run_starts(t)
         found, held = [], 0
 
@@ -277,18 +308,35 @@ def _across(similarity: float):
         for lo, hi in zip(edges, np.append(edges[1:], t.num_rows)):
             p, q = t.column("p")[lo].as_py(), t.column("q")[lo].as_py()
             left, right = (lo + np.flatnonzero(own[lo:hi] == c) for c in (p, q))
+            # Within a block nothing of its largest component meets its like.
+            kinds, many = np.unique(comp[left], return_counts=True)
+            main = kinds[many.argmax()] if p == q and len(kinds) else None
+            left = left if main is None else left[comp[left] != main]
+            bins = {}  # where each row stands in a matrix of so many bins
             for at in range(0, len(left), max(1, 65536 // max(len(right), 1))):
                 some = left[at : at + max(1, 65536 // max(len(right), 1))]
                 a, b = np.repeat(some, len(right)), np.tile(right, len(some))
+                ok = comp[a] != comp[b]
+                if p == q:
+                    ok &= (b > a) | (comp[b] == main)
+                a, b = a[ok], b[ok]
                 limit = np.floor((1 - similarity) * np.maximum(n_words[a], n_words[b]) + 1e-9)
-                ok = (comp[a] != comp[b]) & (np.abs(n_words[a] - n_words[b]) <= limit) & ((b > a) | (p != q))
+                ok = np.abs(n_words[a] - n_words[b]) <= limit
                 a, b, limit = a[ok], b[ok], limit[ok]
-                for k in range(0, len(a), 8192):
-                    i, j = a[k : k + 8192], b[k : k + 8192]
-                    gap = histogram[i].astype(np.int32) - histogram[j]
-                    near = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1)) <= limit[k : k + 8192]
-                    found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), mult[i]])[:, near])
-                    held += found[-1].shape[1]
+                fewer = np.minimum(size[a], size[b])
+                for n in np.unique(fewer).tolist():
+                    if n not in bins:
+                        rows = lo + np.flatnonzero(size[lo:hi] >= n)
+                        place = np.zeros(hi - lo, np.int64)
+                        place[rows - lo] = np.arange(len(rows))
+                        bins[n] = place, folded(histogram.take(pa.array(rows)), n)
+                    place, matrix = bins[n]
+                    of = np.flatnonzero(fewer == n)
+                    for chunk in np.array_split(of, len(of) * n // (1 << 22) + 1):
+                        i, j = a[chunk], b[chunk]
+                        near = least_distance(matrix[place[i - lo]], matrix[place[j - lo]]) <= limit[chunk]
+                        found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), mult[i]])[:, near])
+                        held += found[-1].shape[1]
                 if held > 100_000:
                     yield batch()
                     found, held = [], 0
@@ -324,15 +372,38 @@ def _run_starts(t: pa.Table) -> np.ndarray:
 def _uncompared(members: DataFrame, known: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
     """x, y, hits of the plausible pairs of members (key, node) of one bucket that comps does not link, as a written table.
 
-    Nodes are dealt to bands of length, of which two near nodes share one; a
-    group whose nodes are all linked has nothing to compare, and of groups of
-    the same nodes one is compared for all.  The others are cut into blocks,
-    those of the largest component apart, as it has nothing to compare within.
+    A bucket whose nodes are all linked has nothing to compare, and of groups
+    of the same nodes one is compared for all.  A bucket of at most BLOCK nodes
+    is one group and each of its nodes is dealt once.  In a larger one nodes go
+    to bands of length, of which two near nodes share one, and bands are cut
+    into blocks, those of the largest component apart, as it has nothing to
+    compare within.
     """
     info = known.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").select("node", "n_words", "histogram", F.coalesce("comp", "node").alias("comp"))
+    light = members.join(info.select("node", "comp", "n_words"), "node")
+    name = lambda n: F.xxhash64("node", F.lit(n))
+    by_comp = light.groupBy("key", "comp").agg(F.count("*").alias("n"), *[F.bit_xor(name(i)).alias(f"s{i}") for i in (0, 1)])
+    parted = by_comp.groupBy("key").agg(F.count("*").alias("n_comps"), F.sum("n").alias("n"), *[F.bit_xor(c).alias(c) for c in ("s0", "s1")]).filter("n_comps > 1")
+    parted = scratch.written(parted.select("key", "n", "s0", "s1"), "parted")
+    small = parted.filter(F.col("n") <= BLOCK).groupBy("n", "s0", "s1").agg(F.min("key").alias("g_key"), F.count("*").alias("mult"))
+    small = scratch.written(small.select("g_key", "mult"), "groups")
+    whole, _ = scratch.split_by_ids(light, small.withColumnRenamed("g_key", "key"), "key")
+    zero = F.lit(0).cast("bigint")
+    dealt = whole.join(small, F.col("key") == F.col("g_key")).select("key", zero.alias("band"), zero.alias("p"), zero.alias("q"), zero.alias("own"), "mult", "node")
+    large = parted.filter(F.col("n") > BLOCK).select("key")
+    if not large.isEmpty():
+        some, _ = scratch.split_by_ids(light, large, "key")
+        dealt = dealt.unionByName(_in_blocks(some.join(large, "key", "left_semi"), similarity))
+    runs = dealt.join(info, "node").repartition("key", "band", "p", "q").sortWithinPartitions("key", "band", "p", "q")
+    long = T.LongType()
+    met = map_arrow(runs, _across(similarity), T.StructType([T.StructField(c, long) for c in ("x", "y", "hits")]))
+    return scratch.written(met.groupBy("x", "y").agg(F.sum("hits").alias("hits")), "uncompared")
+
+
+def _in_blocks(members: DataFrame, similarity: float) -> DataFrame:
+    """key, band, p, q, own, mult, node: (key, node, comp, n_words) of large buckets dealt to pairs (p, q) of blocks of bands of length."""
     width = max(-math.log(similarity), 1e-6) * (1 + 1e-9)
-    band = F.floor(F.log("n_words") / width)
-    light = members.join(info.select("node", "comp", band.alias("b")), "node")
+    light = members.withColumn("b", F.floor(F.log("n_words") / width))
     light = light.select("key", "node", "comp", "b", F.explode(F.array("b", F.col("b") + 1)).alias("band"))
     own = F.col("b") == F.col("band")
     name = lambda n: F.xxhash64("node", F.lit(n))
@@ -351,20 +422,15 @@ def _uncompared(members: DataFrame, known: DataFrame, comps: DataFrame, similari
     groups = groups.filter("n_comps > 1 and n_here > 0").select("key", "band", F.when(F.col("n_here") == 1, F.col("lone")).alias("lone"), F.when(F.col("n_here") == 1, F.col("less")).otherwise(F.col("whole")).alias("g"))
     groups = groups.groupBy("g", "lone").agg(F.min(F.struct("key", "band")).alias("at"), F.count("*").alias("mult"))
     groups = scratch.written(groups.select("at.key", "at.band", "lone", "g.n", F.col("g.main.n").alias("n_main"), F.col("g.main.comp").alias("main"), "mult"), "groups")
-    some, _ = scratch.split_by_ids(light, groups, "key")
     # Nodes of a group's largest component are linked: they meet the blocks of the others, never their own.
     others, mains = F.ceil((F.col("n") - F.col("n_main")) / BLOCK), F.ceil(F.col("n_main") / BLOCK)
     inside = F.col("comp") == F.col("main")
     place = F.xxhash64("node", F.lit(2))
     of = groups.withColumnsRenamed({"key": "g_key", "band": "g_band"})
     met = (F.col("key") == F.col("g_key")) & (F.col("band") == F.col("g_band")) & (own | F.col("lone").isNull() | (F.col("comp") != F.col("lone")))
-    dealt = some.join(of, met).withColumn("own", F.when(inside, others + F.pmod(place, mains)).otherwise(F.pmod(place, others)))
+    dealt = light.join(of, met).withColumn("own", F.when(inside, others + F.pmod(place, mains)).otherwise(F.pmod(place, others)))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(inside, others - 1).otherwise(others + mains - 1))))
-    dealt = dealt.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "mult", "node").join(info, "node")
-    runs = dealt.repartition("key", "band", "p", "q").sortWithinPartitions("key", "band", "p", "q")
-    long = T.LongType()
-    met = map_arrow(runs, _across(similarity), T.StructType([T.StructField(c, long) for c in ("x", "y", "hits")]))
-    return scratch.written(met.groupBy("x", "y").agg(F.sum("hits").alias("hits")), "uncompared")
+    return dealt.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "mult", "node")
 
 
 def _align(similarity: float):
@@ -374,10 +440,13 @@ def _align(similarity: float):
             for lo, hi in words.slices(batch.column("text_x")):
                 x, y = (words.scan(batch.column(c).slice(lo, hi - lo), words.WHITE, words.FOLD) for c in ("text_x", "text_y"))
                 names_x, names_y = words.codes(x, y)
+                n_names = 1 + max(names_x.max(initial=-1), names_y.max(initial=-1))
                 for r in range(hi - lo):
                     a, b = names_x[x.ptr[r] : x.ptr[r + 1]], names_y[y.ptr[r] : y.ptr[r + 1]]
                     limit = allowed(max(len(a), len(b)), similarity)
-                    ok[lo + r] = alignment_distance(a, b, limit) <= limit
+                    # Words that the other text lacks are edits wherever they stand, and told far sooner.
+                    shared = np.minimum(np.bincount(a, minlength=n_names), np.bincount(b, minlength=n_names)).sum()
+                    ok[lo + r] = max(len(a), len(b)) - shared <= limit and alignment_distance(a, b, limit) <= limit
             yield pa.record_batch([batch.column("x"), batch.column("y")], ["x", "y"]).filter(pa.array(ok))
 
     return run
@@ -424,13 +493,19 @@ def _components(links: DataFrame) -> DataFrame:
     return scratch.written(scratch.connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), "classes"), "comps")
 
 
-def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """comps after more links: only what the links join is looked at again."""
+def _hubs(links: DataFrame) -> DataFrame:
+    """(id, comp) as a written table: the least of an end and what links join to it, which puts together only what is linked, in one pass."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("y").alias("to")), F.struct(F.col("y").alias("id"), F.col("x").alias("to")))).alias("e"))
+    return scratch.written(ends.groupBy("e.id").agg(F.min("e.to").alias("to")).select("id", F.least("id", "to").alias("comp")), "hubs")
+
+
+def _joined(comps: DataFrame, links: DataFrame, joined_by: Callable[[DataFrame], DataFrame] = _components) -> DataFrame:
+    """comps after more links, as joined_by puts them together: only what the links join is looked at again."""
     if links.isEmpty():
         return comps
     at = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias("c" + c))
     ends = links.join(at("x"), "x", "left").join(at("y"), "y", "left").select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"))
-    over = _components(ends.distinct()).select(F.col("id").alias("o_id"), F.col("comp").alias("o_comp"))
+    over = joined_by(ends.distinct()).select(F.col("id").alias("o_id"), F.col("comp").alias("o_comp"))
     moved = comps.join(over, F.col("comp") == F.col("o_id"), "left").select("id", F.coalesce("o_comp", "comp").alias("comp"))
     fresh = over.join(comps.select(F.col("comp").alias("o_id")).distinct(), "o_id", "left_anti").select(F.col("o_id").alias("id"), F.col("o_comp").alias("comp"))
     return scratch.written(moved.unionByName(fresh), "comps")
@@ -501,9 +576,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     # The likeliest partner of each node first; what that links needs no other check.
     best = scratch.written(_best(pairs), "best")
     links = _verified(best, texts, similarity)
-    near = links.select(F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("y").alias("to")), F.struct(F.col("y").alias("id"), F.col("x").alias("to")))).alias("e"))
-    near = scratch.written(near.groupBy("e.id").agg(F.min("e.to").alias("to")).select("id", F.least("id", "to").alias("comp")), "hubs")
-    rest = _parted(pairs.join(best, ["x", "y"], "left_anti"), near)
+    rest = _parted(pairs.join(best, ["x", "y"], "left_anti"), _hubs(links))
     links = links.unionByName(_verified(scratch.written(rest, "rest"), texts, similarity))
     comps = _components(links)
 
@@ -516,10 +589,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     if not left.isEmpty():
         texts = _texts(left, reps.select("node", "doc_id", "tid"), rows)
         best = scratch.written(_best(left), "best")
-        comps = _joined(comps, _verified(best, texts, similarity))
-        rest = scratch.written(_parted(left.join(best, ["x", "y"], "left_anti"), comps), "rest")
-        if not rest.isEmpty():
-            comps = _joined(comps, _verified(rest, texts, similarity))
+        links = _verified(best, texts, similarity)
+        rest = _parted(left.join(best, ["x", "y"], "left_anti"), _joined(comps, links, _hubs))
+        comps = _joined(comps, links.unionByName(_verified(scratch.written(rest, "rest"), texts, similarity)))
 
     # A text without words is alone; aggregates are written before they are joined, so that AQE can split a large class.
     slim = sketched.select("doc_id", "tid", "nth", "node", F.when(F.col("n_words") == 0, F.col("nth")).otherwise(-1).alias("lone"))

@@ -1053,3 +1053,41 @@ def test_crowded_buckets_against_all_pairs(spark, monkeypatch, seed):
     near = lambda i, j: abs(size[i] - size[j]) <= order_minhash.allowed(max(size[i], size[j]), 0.8)
     want = {(i, j) for k, i in keys for k2, j in keys if k == k2 and i < j and of(i) != of(j) and near(i, j)}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_nodes_of_a_bucket_are_dealt_once(spark, monkeypatch):
+    """A bucket of at most BLOCK nodes makes one row a node, whatever their lengths and components, and all its pairs are met."""
+    r, dealt = random.Random(3), []
+    flat = bytes(order_minhash.HISTOGRAM)
+    size = {i: int(20 * 1.25 ** r.uniform(0, 4)) for i in range(120)}
+    comp = {i: 1000 + i % 3 for i in range(0, 120, 2)}
+    keys = {(k, i) for k in range(10) for i in r.sample(range(120), 50)}
+    real = order_minhash.map_arrow
+    monkeypatch.setattr(order_minhash, "map_arrow", lambda df, *a: dealt.append(df.count()) or real(df, *a))
+    members = spark.createDataFrame(sorted(keys), "key bigint, node bigint")
+    known = spark.createDataFrame([(i, n, flat) for i, n in size.items()], "node bigint, n_words bigint, histogram binary")
+    comps = spark.createDataFrame(sorted(comp.items()), "id bigint, comp bigint")
+    got = {(x["x"], x["y"]): x["hits"] for x in order_minhash._uncompared(members, known, comps, 0.8).collect()}
+    near = lambda i, j: abs(size[i] - size[j]) <= order_minhash.allowed(max(size[i], size[j]), 0.8)
+    want = Counter((i, j) for k, i in keys for k2, j in keys if k == k2 and i < j and comp.get(i, i) != comp.get(j, j) and near(i, j))
+    assert dealt == [len(keys)] and got == want
+
+
+def test_histograms_bound_the_distance_of_long_texts():
+    """The bound is never above the edit distance, and tells texts of 800 words that are too far apart."""
+    g, told = np.random.default_rng(8), []
+    for n in (40, 150, 800, 800, 800, 800):
+        x = [f"w{i}" for i in g.integers(0, 3000, n)]
+        y = list(x)
+        for i in g.choice(n, int(0.35 * n), replace=False):
+            y[i] = f"w{g.integers(3000)}"
+        y = y[: n - int(g.integers(n // 10))]
+        found = words.scan(pa.array([" ".join(x), " ".join(y)]))
+        held = order_minhash.histograms(found)
+        bins = min(len(h.as_py()) for h in held)
+        least = order_minhash.least_distance(*(order_minhash.folded(held.slice(i, 1), bins) for i in (0, 1)))[0]
+        names = words.codes(found)[0]
+        distance = order_minhash.alignment_distance(names[: found.ptr[1]], names[found.ptr[1] :], n)
+        assert least <= distance
+        told.append(least > order_minhash.allowed(n, 0.8))
+    assert all(told[2:])
