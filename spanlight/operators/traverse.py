@@ -14,6 +14,8 @@ from .ranges import numbered
 
 #: Seeds whose bits share a number.
 SEEDS = 64
+#: Pairs for each id of an end from which one search serves all pairs of that id.
+SHARED = 8
 
 
 def distinct_hops(edges: DataFrame) -> DataFrame:
@@ -88,10 +90,15 @@ def expanded(sets: DataFrame, seeds: DataFrame) -> DataFrame:
 POINTERS = "pair string, id string, depth int, via string"
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows, never broadcast: equal texts and paths take little room in a written table, so its size says nothing of what they take in memory."""
+    return rows.hint("merge")
+
+
 def _step(front: DataFrame, hops: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
     """The next level: ids that are new to their pair, each with the least id that leads to it."""
-    near = front.join(hops, front["id"] == hops["src"]).groupBy("pair", F.col("dst").alias("n_id")).agg(F.min("id").alias("via"))
-    return near.withColumnRenamed("n_id", "id").join(seen.select("pair", "id"), ["pair", "id"], "left_anti").select("pair", "id", F.lit(depth).alias("depth"), "via")
+    near = front.join(_apart(hops), front["id"] == hops["src"]).groupBy("pair", F.col("dst").alias("n_id")).agg(F.min("id").alias("via"))
+    return near.withColumnRenamed("n_id", "id").join(_apart(seen.select("pair", "id")), ["pair", "id"], "left_anti").select("pair", "id", F.lit(depth).alias("depth"), "via")
 
 
 def read_back(pointers: DataFrame) -> DataFrame:
@@ -105,7 +112,7 @@ def read_back(pointers: DataFrame) -> DataFrame:
     rows, told = written_with(begun, "pieces", open=F.count("anchor"))
     while told["open"]:
         before = rows.select(F.col("pair").alias("b_pair"), F.col("id").alias("b_id"), F.col("anchor").alias("b_anchor"), F.col("path").alias("b_path"))
-        held = rows.filter("anchor is not null").join(before, (F.col("anchor") == F.col("b_id")) & (F.col("pair") == F.col("b_pair")))
+        held = rows.filter("anchor is not null").join(_apart(before), (F.col("anchor") == F.col("b_id")) & (F.col("pair") == F.col("b_pair")))
         longer = held.select("pair", "id", F.col("b_anchor").alias("anchor"), F.concat("b_path", "path").alias("path"))
         rows, told = written_with(rows.filter("anchor is null").unionByName(longer), "pieces", open=F.count("anchor"))
     return rows.select("pair", "id", "path")
@@ -146,7 +153,7 @@ def _met(fore: DataFrame, back: DataFrame, hops: DataFrame) -> DataFrame:
     mids = Growing(spark, "pair string, mid string", "mids")
 
     def meet(rows: DataFrame, other: str) -> DataFrame:
-        both = rows.select("pair", "id").join(seen[other].all().select("pair", "id"), ["pair", "id"], "left_semi")
+        both = rows.select("pair", "id").join(_apart(seen[other].all().select("pair", "id")), ["pair", "id"], "left_semi")
         return mids.add(both.groupBy("pair").agg(F.min("id").alias("mid")))[0]
 
     done = meet(front["fore"], "back")
@@ -166,21 +173,51 @@ def _met(fore: DataFrame, back: DataFrame, hops: DataFrame) -> DataFrame:
     met = mids.all()
     heads = read_back(seen["fore"].all()).select(F.col("pair").alias("f_pair"), F.col("id").alias("f_id"), F.col("path").alias("head"))
     tails = read_back(seen["back"].all()).select(F.col("pair").alias("b_pair"), F.col("id").alias("b_id"), F.reverse("path").alias("tail"))
-    whole = met.join(heads, (F.col("pair") == F.col("f_pair")) & (F.col("mid") == F.col("f_id"))).join(tails, (F.col("pair") == F.col("b_pair")) & (F.col("mid") == F.col("b_id")))
+    whole = met.join(_apart(heads), (F.col("pair") == F.col("f_pair")) & (F.col("mid") == F.col("f_id"))).join(_apart(tails), (F.col("pair") == F.col("b_pair")) & (F.col("mid") == F.col("b_id")))
     return whole.select("pair", F.concat("head", F.slice("tail", F.lit(2), F.size("tail"))).alias("path"))
 
 
+def _fanned(pairs: DataFrame, hops: DataFrame) -> DataFrame:
+    """pair, path: a shortest path from hub to leaf for each of pairs (pair, hub, leaf) that has one; one search for each hub.
+
+    A hub's search ends once it has all its leaves.
+    """
+    seen, count = Growing(hops.sparkSession, POINTERS, "fans"), F.count(F.lit(1))
+    hubs = pairs.select(F.col("hub").alias("pair"), F.col("hub").alias("id")).distinct()
+    front, told = seen.add(hubs.select("pair", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")), n=count)
+    left, depth = pairs.select("hub", "leaf"), 0
+    while told["n"]:
+        left, more = written_with(left.join(_apart(front.select(F.col("pair").alias("hub"), F.col("id").alias("leaf"))), ["hub", "leaf"], "left_anti"), "left", n=count)
+        if not more["n"]:
+            break
+        depth += 1
+        open_ = front.join(_apart(left.select(F.col("hub").alias("pair")).distinct()), "pair", "left_semi")
+        front, told = seen.add(_step(open_, hops, seen.all(), depth), n=count)
+    found = read_back(seen.all()).select(F.col("pair").alias("f_hub"), F.col("id").alias("f_leaf"), "path")
+    return pairs.join(_apart(found), (F.col("hub") == F.col("f_hub")) & (F.col("leaf") == F.col("f_leaf"))).select("pair", "path")
+
+
 def paths_between(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """src, dst, path: a shortest path for each distinct pair (src, dst), searched from both ends; null where there is none (C-13).
+    """src, dst, path: a shortest path for each distinct pair (src, dst); null where there is none (C-13).
 
-    A pair of one id has the path of that id.  Pairs with a null end have none.
+    Pairs are searched from both ends, each by itself; where they have few
+    ids at one end (SHARED pairs for each or more), a search from each such id
+    serves all its pairs.  A pair of one id has the path of that id.  Pairs
+    with a null end have none.
     """
     hops = distinct_hops(edges)
     ids = pairs.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
     asked = written(ids.withColumn("pair", F.to_json(F.struct("src", "dst"))), "pairs")
     whole = asked.filter("src is not null and dst is not null")
     at = lambda end: whole.select("pair", F.col(end).alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"))
-    return asked.join(_met(at("src"), at("dst"), hops), "pair", "left").select("src", "dst", "path")
+    n = whole.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("src").alias("src"), F.count_distinct("dst").alias("dst")).first()
+    hub, leaf = ("src", "dst") if n["src"] < n["dst"] else ("dst", "src")
+    if n["pairs"] >= SHARED * n[hub]:
+        found = _fanned(whole.select("pair", F.col(hub).alias("hub"), F.col(leaf).alias("leaf")), hops if hub == "src" else written(reversed_hops(hops), "hops"))
+        found = found if hub == "src" else found.withColumn("path", F.reverse("path"))
+    else:
+        found = _met(at("src"), at("dst"), hops)
+    return asked.join(_apart(found), "pair", "left").select("src", "dst", "path")
 
 
 def shortest_cycles(roots: DataFrame, edges: DataFrame) -> DataFrame:

@@ -39,3 +39,30 @@ def test_hours_are_those_of_sql(spark, tmp_path):
     for zone in ("UTC", "America/New_York"):
         with setting(spark, "spark.sql.session.timeZone", zone):
             assert sorted(map(tuple, QUERIES["gaps_events"](spark, str(tmp_path)).select("event_id", "file", "line").collect()), key=repr) == want
+
+
+def test_pairs_of_one_end_share_a_search(spark, monkeypatch):
+    """Paths from and to few ids are as short as those that are searched for each pair, and no search is made for each pair."""
+    from test_graph_scale import EDGE, depths, made, near
+
+    from spanlight.operators import traverse
+
+    rows = made(17, 60, 100, [(f"c{i}", f"c{i + 1}") for i in range(12)] + [("c12", "n03"), ("n03", "n03"), (None, "n03")])
+    g = near(rows)
+    pairs = [(x, "n03") for x in sorted(g)] + [("n05", "no"), ("no", "n03"), ("no", "no"), (None, "n03"), ("n07", None)] + [(x, "c12") for x in sorted(g)]
+    monkeypatch.setattr(traverse, "_met", None)
+    for flip in (False, True):
+        asked, edges = [[(b, a) if flip else (a, b) for a, b in part] for part in (pairs, rows)]
+        h = near(edges)
+        out = traverse.paths_between(spark.createDataFrame(asked, EDGE), spark.createDataFrame(edges, EDGE)).collect()
+        assert len(out) == len(set(asked))
+        found = 0
+        for r in out:
+            d = depths(h, r["src"]) if r["src"] is not None else {}
+            if r["dst"] not in d:
+                assert r["path"] is None
+            else:
+                found += 1
+                assert (r["path"][0], r["path"][-1], len(r["path"]) - 1) == (r["src"], r["dst"], d[r["dst"]])
+                assert all(b in h[a] for a, b in zip(r["path"], r["path"][1:]))
+        assert found > 40
