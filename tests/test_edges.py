@@ -66,3 +66,37 @@ def test_pairs_of_one_end_share_a_search(spark, monkeypatch):
                 assert (r["path"][0], r["path"][-1], len(r["path"]) - 1) == (r["src"], r["dst"], d[r["dst"]])
                 assert all(b in h[a] for a, b in zip(r["path"], r["path"][1:]))
         assert found > 40
+
+
+def test_excluded_files_are_not_read(spark, tmp_path):
+    """A file beyond 2 GB in an excluded folder stops no scan; trees walked in tasks have the files that Spark finds."""
+    from spanlight.sources import files, tree
+
+    for name, text in {"a b.rs": "fn a() {}\n", "c+d.rs": "//\n", "empty.rs": "", "deep/er/ü.rs": "é", "note.txt": "no", "retarget/x.rs": "x", "_tmp/y.rs": "y", ".z.rs": "z", "k=v/_n=1.rs": "n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "target").mkdir()
+    with open(tmp_path / "target/big.rs", "wb") as f:
+        f.truncate(2**31 + 10)  # takes no room
+    got = {x["file"]: x["source"] for x in files.scan_files(spark, [str(tmp_path)]).collect()}
+    assert {k.rpartition("/")[2] for k in got} == {"a b.rs", "c+d.rs", "ü.rs", "_n=1.rs"}
+    assert sorted(x["file"] for x in tree.list_files(spark, [f"file://{tmp_path}"]).collect()) == sorted(got)
+    both = tree.list_files(spark, [str(tmp_path / "retarget/x.rs"), str(tmp_path), str(tmp_path / "deep")], ["deep/er"])
+    assert sorted(x["file"].rpartition("/")[2] for x in both.filter("file not like '%big%'").collect()) == ["_n=1.rs", "a b.rs", "c+d.rs", "x.rs", "x.rs"]
+
+
+def test_hashes_of_files_read_in_blocks(spark, tmp_path):
+    import hashlib
+
+    import pytest
+
+    from spanlight.sources import tree
+
+    text = "x" + "ä€😀\r\n" * 300_000  # characters across the ends of blocks
+    (tmp_path / "long.rs").write_bytes(text.encode())
+    (tmp_path / "bom.rs").write_bytes(b"\xef\xbb\xbfa")
+    got = {x["file"].rpartition("/")[2]: x["content_hash"] for x in tree.hash_files(tree.list_files(spark, [str(tmp_path)])).collect()}
+    assert got == {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in tmp_path.iterdir()}
+    (tmp_path / "bad.rs").write_bytes(b"a\xff")
+    with pytest.raises(Exception, match="is no UTF-8"):
+        tree.hash_files(tree.list_files(spark, [str(tmp_path)])).collect()
