@@ -95,7 +95,7 @@ def _lister(exclude: list[str], suffix: str):
     return run
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -111,7 +111,7 @@ def list_files(spark: SparkSession, paths: list[str], exclude: list[str] | None
     found = Growing(spark, "file string, is_folder boolean", "tree")
     front = spark.createDataFrame([(p,) for p in given if not p.endswith(suffix)], "file string")
     while True:
-        rows, told = found.add(map_arrow(_dealt(front), _lister(exclude, suffix), "file string, is_folder boolean"), n=F.count_if("is_folder"))
+        rows, told = found.add(map_arrow(dealt(front), _lister(exclude, suffix), "file string, is_folder boolean"), n=F.count_if("is_folder"))
         if not told["n"]:
             break
         front = rows.filter("is_folder").select("file")
@@ -134,4 +134,4 @@ def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hash_files(files: DataFrame) -> DataFrame:
     """file, content_hash: SHA-256 of the text of files of any size, of which a task holds a block (F-4)."""
-    return map_arrow(_dealt(files.select("file")), _hasher, "file string, content_hash string")
+    return map_arrow(dealt(files.select("file")), _hasher, "file string, content_hash string")

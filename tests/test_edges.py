@@ -7,6 +7,7 @@ import datetime
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from spanlight.plans.queries import QUERIES, SQL
 from spanlight.sources.tables import setting
@@ -88,7 +89,6 @@ def test_excluded_files_are_not_read(spark, tmp_path):
 def test_hashes_of_files_read_in_blocks(spark, tmp_path):
     import hashlib
 
-    import pytest
 
     from spanlight.sources import tree
 
@@ -100,3 +100,59 @@ def test_hashes_of_files_read_in_blocks(spark, tmp_path):
     (tmp_path / "bad.rs").write_bytes(b"a\xff")
     with pytest.raises(Exception, match="is no UTF-8"):
         tree.hash_files(tree.list_files(spark, [str(tmp_path)])).collect()
+
+
+ITEMS = [
+    "fn a() {}", "pub(crate) async fn b<'a>(x: &'a str) -> Vec<u8> {\n  let s = \"} fn {\\\" \";\n  if x == '}' { g('\\u{7d}') }\n}", "use a::{b, c as d};\nuse e::f;", "const A: T = T { a: 1 }\n;\n", "const B: u8 = if X { 1 }\nelse { 2 };", "static C: [u8; 2] = [\n1,\n2];",
+    "/* } /* { */\n fn no() {} */", "// } fn no() {\n", "//! inner {\n", "/// doc }\n#[cfg(test)]\nmod tests {\n  use super::*;\n  #[test]\n  fn t() { assert_eq!(1, 1); }\n}", "macro_rules! m { ($a:expr) => { fn x() {} } }", "lazy_static! {\n static ref X: u8 = 1;\n}", "thing!(a;\nb);\n",
+    "impl<T> X for Y<N>\nwhere T: Z {\n  fn m(&self) {}\n}", "struct U;", "enum E { A, B(u8) }", "type F = G<{ 1 }>\n;", "fn r() { let x = r##\"\n} \"# fn z() {\n\"##; }", "fn q() -> H<{ 1 }>\nwhere I: J {}", "extern \"C\" {\n fn c();\n}", "trait T {\n  fn d();\n}", "fn byte() { f(b'{', br\"}\", c\"{\", 'l', r#type); }", "mod sub {\n fn a() {}\n}", "fn é() { \"😀}\"; }", "const D: u8 = { 1 }\n+ { 2 };", "#[a] #[b]\nunsafe fn u() {}", "fn s() {} fn t() {}",
+]
+
+
+def test_pieces_have_the_items_of_the_source():
+    """Cut wherever it may be, however a source arrives, pieces join to the source and parse to what it holds; what does not parse whole has a piece that does not."""
+    import random
+
+    from spanlight.operators.ast import analyse
+    from spanlight.operators.rustlex import SyntaxFault, cut_items
+
+    r = random.Random(5)
+    kinds = ("functions", "nodes", "imports", "traced", "endpoints", "routers", "handlers")
+    cuts = 0
+    for n in range(150):
+        source = ("#!/bin/x {\n" if n % 7 == 0 else "") + "".join(x + r.choice(["\n", "\n\n  ", " ", "\r\n"]) for x in r.choices(ITEMS, k=r.randint(0, 25)))
+        width = r.choice([1, 3, 50, 10_000])
+        pieces = list(cut_items((source[i : i + width] for i in range(0, len(source), width)), r.choice([1, 30, 200])))
+        assert "".join(text for _, text in pieces) == source
+        cuts += len(pieces) - 1
+        whole, found = analyse(source, True), [analyse(text, True, line) for line, text in pieces]
+        for k in kinds:
+            bare = lambda rows: [{a: b for a, b in x.items() if a not in ("id", "ord")} for x in rows]
+            assert bare(whole[k]) == bare(sum((x[k] for x in found), [])), (k, source)
+    assert cuts > 500
+    for fault in ("fn a( {}\n", "}\n", "fn b() {\n", "const A: u8 = { 1 }\nfn c() {}\n", 'const X: &str = "open\n', "fn d() { '\n }\n", "/* open\n", "let x = 1;\n", 'fn e() { r#"open }\n', "use a::{b}\nfn f() {}\n"):
+        source = "fn one() {}\n" * 20 + fault + "fn two() {}\n" * 20
+        with pytest.raises(SyntaxFault):
+            analyse(source, True)
+        with pytest.raises(SyntaxFault):
+            for line, text in cut_items((source[i : i + 60] for i in range(0, len(source), 60)), 1):
+                analyse(text, True, line)
+
+
+def test_files_are_parsed_in_pieces(spark, tmp_path):
+    """No row of a scan holds a large file; lines and faults are those of the file."""
+    from spanlight.operators import ast
+    from spanlight.sources import tree
+
+    text = "".join(f"fn f{i}() {{\n    g();\n}}\n" for i in range(20_000))
+    (tmp_path / "big.rs").write_text(text)
+    files = tree.list_files(spark, [str(tmp_path)])
+    pieces = ast.source_pieces(files, 4096)
+    sizes = [len(x["source"]) for x in pieces.collect()]
+    assert sum(sizes) == len(text) and max(sizes) < 4200
+    parsed = ast.parse_pieces(pieces)
+    assert ast.fn_nodes(ast.parsed_or_fail(parsed)).count() == 20_000
+    assert {x["name"]: x["loc"]["start_line"] for x in ast.functions(parsed).collect()}["f19999"] == 3 * 19_999 + 1
+    (tmp_path / "big.rs").write_text(text + "}\n" + text)
+    with pytest.raises(Exception, match="line 60001: "):
+        ast.fn_nodes(ast.parsed_or_fail(ast.parse_pieces(pieces))).count()
