@@ -64,13 +64,16 @@ def written_with(df: DataFrame, name: str, **told: Column) -> tuple[DataFrame, d
 
 def discard(df: DataFrame) -> None:
     """Delete a table that `written` returned and that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if f"/spanlight/{spark.sparkContext.applicationId}/" not in f"{folder}/":
-            raise ValueError(f"{folder} is no written table")
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this application and all that is below it."""
+    if f"/spanlight/{spark.sparkContext.applicationId}/" not in f"{folder}/":
+        raise ValueError(f"{folder} is no written table")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{folder}" if folder.startswith("/") else folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Growing:

@@ -156,3 +156,17 @@ def test_files_are_parsed_in_pieces(spark, tmp_path):
     (tmp_path / "big.rs").write_text(text + "}\n" + text)
     with pytest.raises(Exception, match="line 60001: "):
         ast.fn_nodes(ast.parsed_or_fail(ast.parse_pieces(pieces))).count()
+
+
+def test_fixes_on_disk_are_listed_in_tasks(spark, monkeypatch):
+    """The driver's file index lists none of the files that are fixed, and nothing of them stays."""
+    import glob
+
+    from spanlight.plans import queries
+    from spanlight.sources import tables
+
+    monkeypatch.setattr(queries.files, "scan_files", None)
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["fix_write"](spark, sf)
+    assert sorted(map(tuple, got.select("file", "content_hash", "backup_hash", "is_restored").collect()), key=repr) == from_sql(sf, "fix_write", "documents")
+    assert not glob.glob(f"{tables._app_dir(spark).removeprefix('file://')}/*-sources")
