@@ -8,6 +8,7 @@ an instrumentation, so a change touches the lines next to it alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,58 +21,79 @@ CHANGES = "file string, seq bigint, what string, line int, name string, added bo
 EVENTS = "file string, seq bigint, line int, name string, opened boolean"
 
 
-class GapKeeper(StatefulProcessor):
-    """Keyed by file; rows (seq, what: 'point' or 'existing', line, name, added) give rows (file, seq, line, name, opened)."""
+#: What a file's state holds: instrumentation by line, and points by line and name, with how often each is there.
+STATE = "lines array<int>, counts array<int>, at array<int>, names array<string>, times array<int>"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.points = handle.getMapState("points", "line int, name string", "n int")
-        self.existing = handle.getMapState("existing", "line int", "n int")
-        self.names = handle.getMapState("names", "line int", "names array<string>")
 
-    def _count(self, state, key) -> int:
-        return state.getValue(key)[0] if state.containsKey(key) else 0
+class Findings:
+    """The findings of one file while its changes are worked off: existing by line, points by line and name."""
+
+    def __init__(self, held: tuple | None = None):
+        lines, counts, at, names, times = held or ((),) * 5
+        self.existing: dict[int, int] = dict(zip(lines, counts))
+        self.points: dict[int, dict[str, int]] = {}
+        for line, name, n in zip(at, names, times):
+            self.points.setdefault(line, {})[name] = n
 
-    def _put(self, state, key, n: int) -> None:
-        if n > 0:
-            state.updateValue(key, (n,))
-        elif state.containsKey(key):
-            state.removeKey(key)
+    def held(self) -> tuple:
+        points = [(line, name, n) for line, names in self.points.items() for name, n in names.items()]
+        return list(self.existing), list(self.existing.values()), [p[0] for p in points], [p[1] for p in points], [p[2] for p in points]
 
-    def _covering(self, line: int) -> int:
-        """How many instrumentations lie within a line of a point; no line is before 0."""
-        return sum(self._count(self.existing, (x,)) for x in range(max(line - 1, 0), line + 2))
+    def _covered(self, line: int) -> bool:
+        """Whether an instrumentation lies within a line of a point; no line is before 0."""
+        return line in self.existing or line + 1 in self.existing or (line > 0 and line - 1 in self.existing)
 
-    def _at(self, line: int) -> list[str]:
-        return list(self.names.getValue((line,))[0]) if self.names.containsKey((line,)) else []
+    def point(self, line: int, name: str, added: bool) -> list[tuple[int, str, bool]]:
+        names = self.points.setdefault(line, {})
+        before = names.get(name, 0)
+        after = max(before + (1 if added else -1), 0)
+        if after:
+            names[name] = after
+        else:
+            names.pop(name, None)
+            if not names:
+                del self.points[line]
+        return [] if (before > 0) == (after > 0) or self._covered(line) else [(line, name, after > 0)]
 
-    def _point(self, line: int, name: str, added: bool) -> list[tuple[int, str, bool]]:
-        before = self._count(self.points, (line, name))
+    def instrumented(self, line: int, added: bool) -> list[tuple[int, str, bool]]:
+        before = self.existing.get(line, 0)
         after = max(before + (1 if added else -1), 0)
-        self._put(self.points, (line, name), after)
         if (before > 0) == (after > 0):
+            if after:
+                self.existing[line] = after
             return []
-        names = [n for n in self._at(line) if n != name] + ([name] if after else [])
-        if names:
-            self.names.updateValue((line,), (names,))
+        near = [x for x in range(max(line - 1, 0), line + 2) if x in self.points]
+        was = [self._covered(x) for x in near]
+        if after:
+            self.existing[line] = after
         else:
-            self.names.removeKey((line,))
-        return [] if self._covering(line) else [(line, name, after > 0)]
+            del self.existing[line]
+        return [(x, name, covered) for x, covered in zip(near, was) if covered != self._covered(x) for name in sorted(self.points[x])]
+
 
-    def _instrumented(self, line: int, added: bool) -> list[tuple[int, str, bool]]:
-        before = self._count(self.existing, (line,))
-        near = [x for x in range(max(line - 1, 0), line + 2) if self._at(x)]
-        covered = {x: self._covering(x) for x in near}
-        self._put(self.existing, (line,), max(before + (1 if added else -1), 0))
-        changed = [x for x in near if (covered[x] > 0) != (self._covering(x) > 0)]
-        return [(x, n, not self._covering(x)) for x in changed for n in sorted(self._at(x))]
+class GapKeeper(StatefulProcessor):
+    """Keyed by file; rows of CHANGES give rows (file, seq, line, name, opened).
+
+    A file's findings are one value, read and written once a micro-batch: each
+    call to the store is a round trip, which costs more than many changes.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("findings", STATE)
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         from pyspark.sql import Row
 
-        for r in sorted(rows, key=lambda r: r.seq):
-            made = self._point(r.line, r.name, r.added) if r.what == "point" else self._instrumented(r.line, r.added)
-            for line, name, opened in made:
-                yield Row(file=key[0], seq=r.seq, line=line, name=name, opened=opened)
+        file, before = key[0], self.state.get()
+        found, out = Findings(before), Row("file", "seq", "line", "name", "opened")
+        for _, seq, what, line, name, added in sorted(rows, key=itemgetter(1)):
+            for x, n, opened in found.point(line, name, added) if what == "point" else found.instrumented(line, added):
+                yield out(file, seq, x, n, opened)
+        after = found.held()
+        if after[0] or after[2]:
+            self.state.update(after)
+        elif before is not None:
+            self.state.clear()
 
     def close(self) -> None:
         pass
@@ -85,6 +107,8 @@ def gap_events(changes: DataFrame) -> DataFrame:
     taken away twice; what is taken away without being there changes nothing.
     """
     ship(changes.sparkSession)
+    # Rows are taken apart by place.
+    changes = changes.select(*[c.split()[0] for c in CHANGES.split(", ")])
     return changes.groupBy("file").transformWithState(statefulProcessor=GapKeeper(), outputStructType=EVENTS, outputMode="Append", timeMode="None")
 
 

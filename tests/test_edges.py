@@ -170,3 +170,56 @@ def test_fixes_on_disk_are_listed_in_tasks(spark, monkeypatch):
     got = QUERIES["fix_write"](spark, sf)
     assert sorted(map(tuple, got.select("file", "content_hash", "backup_hash", "is_restored").collect()), key=repr) == from_sql(sf, "fix_write", "documents")
     assert not glob.glob(f"{tables._app_dir(spark).removeprefix('file://')}/*-sources")
+
+
+class Store:
+    """A state's store that counts how often it is asked; as a value and as a map."""
+
+    def __init__(self):
+        self.asked, self.values = 0, {}
+
+    def state(self, name):
+        def at(f):
+            def call(*a):
+                self.asked += 1
+                return f(self.values.setdefault(name, {}), *a)
+
+            return staticmethod(call)
+
+        return type("State", (), {
+            "get": at(lambda d: d.get(())), "update": at(lambda d, v: d.__setitem__((), v)), "clear": at(lambda d: d.clear()), "exists": at(lambda d: () in d),
+            "getValue": at(lambda d, k: d.get(k)), "containsKey": at(lambda d, k: k in d), "updateValue": at(lambda d, k, v: d.__setitem__(k, v)), "removeKey": at(lambda d, k: d.pop(k, None)),
+        })()
+
+    def getValueState(self, name, schema):
+        return self.state(name)
+
+    def getMapState(self, name, key, value):
+        return self.state(name)
+
+
+def test_state_is_asked_once_a_batch():
+    """Changes of a file cost no round trip each, and what the store holds between batches is all there is to know."""
+    import random
+
+    from pyspark.sql import Row
+    from test_sources_scale import gaps_by_hand
+
+    from spanlight.streaming.gaps import GapKeeper
+
+    r = random.Random(8)
+    made = Row("file", "seq", "what", "line", "name", "added")
+    rows = [made("f", i, r.choice(["point", "existing"]), r.randrange(12), r.choice("ab"), r.random() < 0.6) for i in range(600)]
+    store, open_ = Store(), {}
+    for lo in range(0, 600, 200):
+        keeper = GapKeeper()
+        keeper.init(store)
+        asked = store.asked
+        for x in keeper.handleInputRows(("f",), iter(r.sample(rows[lo : lo + 200], 200)), None):
+            assert open_.get((x.line, x.name), False) != x.opened
+            open_[(x.line, x.name)] = x.opened
+        assert store.asked - asked <= 2
+        assert sorted(k for k, v in open_.items() if v) == gaps_by_hand([tuple(x)[1:] for x in rows[: lo + 200]])
+    gone = [made("f", 600 + i, x.what, x.line, x.name, False) for i, x in enumerate(rows)]
+    list(keeper.handleInputRows(("f",), iter(gone), None))
+    assert not any(store.values.values())
